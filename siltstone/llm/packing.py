@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,15 +20,17 @@ from pyspark.sql import functions as F
 UNIT = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: Other white space joins such runs, so texts that have any are encoded whole.
 OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85   -     　]")
+#: Fixed value: the pieces within which byte-level vocabularies merge.
+PRE_TOKEN = regex.compile(r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 SCHEMA = "id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class UnitEncoder:
     """Token ids of texts by a byte-level vocabulary file of `tokenizers`.
 
-    Units repeat, so each is encoded once and kept, up to a bound; then the memory starts anew. Where the file's merges
-    stand in the order of their ids, a unit of letters, or of letters and one mark, is merged by tiktoken's core from
-    the same file, which gives the same ids sooner; every other unit goes to the tokenizer itself.
+    Units repeat, so each is encoded once and kept, up to a bound; then the memory starts anew. Where the file is plain
+    byte-level with its merges in the order of their ids, units are merged by tiktoken's core from the same file, which
+    gives the same ids sooner; other files, and texts with rarer white space, go to the tokenizer itself.
     """
 
     def __init__(self, tokenizer_path: str | None = None, most: int = 400_000):
@@ -49,7 +53,10 @@ class UnitEncoder:
         from siltstone.llm.token_counts import byte_alphabet
 
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            whole = json.load(file)
+        model, before = whole["model"], whole.get("pre_tokenizer") or {}
+        if whole.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+            return None
         alphabet, vocab = byte_alphabet(), model["vocab"]
         merges = [m.replace(" ", "") if isinstance(m, str) else "".join(m) for m in model["merges"]]
         if [vocab.get(m) for m in merges] != list(range(256, 256 + len(merges))):
@@ -57,36 +64,33 @@ class UnitEncoder:
         ranks = {bytes(alphabet[c] for c in p): k for p, k in vocab.items() if k < 256 + len(merges)}
         return tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
-    def learn(self, units: list[str]) -> None:
-        known, merge, hard = self.known, self.merge, []
+    def learn(self, units: set[str]) -> None:
+        known, merge = self.known, self.merge
+        if merge is None:
+            listed = list(units)
+            for at in range(0, len(listed), 4096):
+                part = listed[at : at + 4096]
+                for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                    known[u] = array("I", e.ids).tobytes()
+            return
         for u in units:
-            word = u[1:] if u[0] == " " else u
-            if merge is None:
-                hard.append(u)
-            elif word.isalpha():
-                known[u] = np.array(merge(u.encode()), "<u4").tobytes()
-            elif word[:-1].isalpha() and word[-1] in ".,;:!?":
-                known[u] = np.array(merge(u[:-1].encode()) + merge(u[-1].encode()), "<u4").tobytes()
+            if u.isalpha() or u[0] == " " and u[1:].isalpha():
+                ids = merge(u.encode())
             else:
-                hard.append(u)
-        for at in range(0, len(hard), 4096):
-            part = hard[at : at + 4096]
-            for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[u] = np.array(e.ids, "<u4").tobytes()
+                ids = [i for piece in PRE_TOKEN.findall(u) for i in merge(piece.encode())]
+            known[u] = array("I", ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if OTHER_SPACE.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         units = UNIT.findall(text)
-        try:
-            return np.frombuffer(b"".join(map(self.known.__getitem__, units)), "<u4")
-        except KeyError:
-            missing = {u for u in units if u not in self.known}
+        missing = set(units).difference(self.known)
+        if missing:
             if len(self.known) + len(missing) > self.most:
                 self.known.clear()
                 missing = set(units)
-            self.learn(list(missing))
-        return np.frombuffer(b"".join(map(self.known.__getitem__, units)), "<u4")
+            self.learn(missing)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, units)), np.uint32)
 
 
 class SumOfSquaresPacker:
