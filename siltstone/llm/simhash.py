@@ -106,7 +106,7 @@ def near_links(distinct: DataFrame, bucket_cap: int = 1024) -> DataFrame:
 
     @F.pandas_udf("array<long>")
     def longer(masks: pd.Series) -> pd.Series:
-        table = {m: wider(m) for m in masks.unique()}
+        table = {m: wider(int(m)) for m in masks.unique()}
         return masks.map(table)
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
