@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +21,38 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """While a table is written, have Spark remove that write's shuffle files when it ends: nothing reads them again."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write as Parquet in the shared folder and read it back, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, parts: int, tag: str) -> DataFrame:
+    """The same, in `parts` buckets by id; df is already dealt by id into so many partitions, so each writes one file."""
+    spark = df.sparkSession
+    name = f"{tag}_{uuid.uuid4().hex}"
+    with shuffles_dropped(spark):
+        df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(parts, "id").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def if_small(df: DataFrame, most: int = 50_000) -> DataFrame:
     """A written table of short rows, marked for broadcast only if it is counted to have at most `most` rows."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.fm_index import FMIndex, window_intervals
-from siltstone.llm.superkmers import Scheme, distinct_texts, hot_keys, joined_runs, segments_of, shards, windows_of
+from siltstone.llm.superkmers import Scheme, distinct_texts, joined_runs, segments_of, shared_minimizers, shards, windows_of
+from siltstone.llm.shared import written
 
 
 def earliest(bodies: list[bytes], owners: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,17 +70,18 @@ def shard_intervals(table: pa.Table, width: int) -> pa.Table:
     return pa.table({"id": pa.array(ids[owner], table.schema.field("id").type), "low": low + move, "high": high + move})
 
 
-def covered(docs: DataFrame, scheme: Scheme, shard_bytes: int = 4 << 20) -> DataFrame:
+def covered(texts: DataFrame, scheme: Scheme, shard_bytes: int = 4 << 20, **limits: int) -> DataFrame:
     """(id, low, high) over texts with different ids: ranges of words in windows that start in a text of a smaller id."""
-    hot = docs.sparkSession.sparkContext.broadcast(hot_keys(docs, scheme))
-    kind = docs.schema["id"].dataType.simpleString()
+    shared = shared_minimizers(texts, scheme, **limits)
+    kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in shards(batches, shard_bytes):
             yield from shard_intervals(table, scheme.width).to_batches(max_chunksize=20_000)
 
-    found = segments_of(docs, scheme, hot).repartition("key").sortWithinPartitions("key").mapInArrow(run, f"id {kind}, low long, high long")
-    if not len(hot.value):
+    found = segments_of(shared.cold, scheme).repartition("key").sortWithinPartitions("key").mapInArrow(run, f"id {kind}, low long, high long")
+    found = written(found, "ranges")
+    if shared.hot is None:
         return found
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,11 +90,11 @@ def covered(docs: DataFrame, scheme: Scheme, shard_bytes: int = 4 << 20) -> Data
             yield from pa.table({"key": table["key"], "body_hash": table["body_hash"], "least": pa.array(least[starts])}).to_batches(max_chunksize=20_000)
 
     # windows of hot minimizers: equal ones are combined before the shuffle, answered once, and joined to their places
-    warm = windows_of(docs, scheme, hot, True).withColumn("body_hash", F.xxhash64("body"))
+    warm = windows_of(shared.hot, scheme, True).withColumn("body_hash", F.xxhash64("body"))
     answers = warm.groupBy("key", "body_hash").agg(F.min("id").alias("id"), F.min("body").alias("body"))
-    answers = answers.repartition("key").sortWithinPartitions("key").mapInArrow(answer, "key long, body_hash long, least long")
-    places = windows_of(docs, scheme, hot, True).select("key", F.xxhash64("body").alias("body_hash"), "id", "at")
-    hits = places.join(answers, ["key", "body_hash"]).where("least < id")
+    answers = written(answers.repartition("key").sortWithinPartitions("key").mapInArrow(answer, "key long, body_hash long, least long"), "answers")
+    places = windows_of(shared.hot, scheme, False).select("key", "id", "at")
+    hits = places.join(answers.drop("body_hash"), "key").where("least < id")
     return found.unionByName(hits.select("id", F.col("at").cast("long").alias("low"), (F.col("at") + scheme.width).cast("long").alias("high")))
 
 

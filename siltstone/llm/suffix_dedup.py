@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.shared import written
 from siltstone.llm.substring_dedup import merged
-from siltstone.llm.superkmers import Scheme, distinct_texts, hot_keys, joined_runs, segments_of, shards, windows_of
+from siltstone.llm.superkmers import Scheme, distinct_texts, joined_runs, segments_of, shared_minimizers, shards, windows_of
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -133,29 +134,30 @@ def shard_ranges(table: pa.Table, width: int) -> pa.Table:
     return pa.table({"id": pa.array(table["id"].to_numpy()[rows][owner], table.schema.field("id").type), "low": low, "high": high})
 
 
-def repeated_ranges(texts: DataFrame, scheme: Scheme, shard_bytes: int = 2 << 20) -> DataFrame:
+def repeated_ranges(texts: DataFrame, scheme: Scheme, shard_bytes: int = 2 << 20, **limits: int) -> DataFrame:
     """(id, low, high) over different texts."""
-    hot = texts.sparkSession.sparkContext.broadcast(hot_keys(texts, scheme))
+    shared = shared_minimizers(texts, scheme, **limits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in shards(batches, shard_bytes):
             yield from shard_ranges(table, scheme.width).to_batches(max_chunksize=20_000)
 
-    found = segments_of(texts, scheme, hot).repartition("key").sortWithinPartitions("key").mapInArrow(run, "id long, low long, high long")
-    if not len(hot.value):
+    found = segments_of(shared.cold, scheme).repartition("key").sortWithinPartitions("key").mapInArrow(run, "id long, low long, high long")
+    found = written(found, "ranges")
+    if shared.hot is None:
         return found
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in shards(batches, shard_bytes):
             flags, starts = repeated(table["body"].to_pylist(), table["n"].to_numpy(), scheme.width)
-            some = pa.table({"key": table["key"], "body_hash": table["body_hash"]}).filter(pa.array(flags[starts]))
+            some = pa.table({"key": table["key"]}).filter(pa.array(flags[starts]))
             yield from some.to_batches(max_chunksize=20_000)
 
     # windows of hot minimizers: equal ones are combined before the shuffle, answered once, and joined to their places
-    warm = windows_of(texts, scheme, hot, True).withColumn("body_hash", F.xxhash64("body"))
-    answers = warm.groupBy("key", "body_hash").agg(F.count("*").alias("n"), F.min("body").alias("body"))
-    answers = answers.repartition("key").sortWithinPartitions("key").mapInArrow(answer, "key long, body_hash long")
-    hits = windows_of(texts, scheme, hot, True).select("key", F.xxhash64("body").alias("body_hash"), "id", "at").join(answers, ["key", "body_hash"])
+    warm = windows_of(shared.hot, scheme, True).withColumn("body_hash", F.xxhash64("body"))
+    answers = warm.groupBy("key", "body_hash").agg(F.sum("n").alias("n"), F.min("body").alias("body"))
+    answers = written(answers.repartition("key").sortWithinPartitions("key").mapInArrow(answer, "key long"), "answers")
+    hits = windows_of(shared.hot, scheme, False).select("key", "id", "at").join(answers, "key")
     return found.unionByName(hits.select("id", F.col("at").cast("long").alias("low"), (F.col("at") + scheme.width).cast("long").alias("high")))
 
 

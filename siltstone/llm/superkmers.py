@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import pieces, text_bytes, written
+from siltstone.llm.shared import bucketed, pieces, text_bytes, written
 
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -134,33 +134,60 @@ def batch_of(ids: pa.Array, rows: np.ndarray, keys, at, n, reps, data: np.ndarra
     return pa.RecordBatch.from_arrays(columns, ["key", "id", "at", "n", "reps", "body"])
 
 
-def mapped(docs: DataFrame, schema: str, per_piece: Callable, piece_bytes: int = 1 << 22) -> DataFrame:
-    """mapInArrow over (id, text), a few MB of whole texts at a time."""
+def mapped(texts: DataFrame, schema: str, per_piece: Callable, piece_bytes: int = 1 << 22) -> DataFrame:
+    """mapInArrow over (id, text[, keys]), a few MB of whole texts at a time; per_piece also gets the sorted keys of its texts."""
+    keyed = "keys" in texts.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             for first, last in pieces(offsets, piece_bytes):
-                for out in per_piece(batch.column(0).slice(first, last - first), data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]):
+                keys = np.unique(batch.column(2).slice(first, last - first).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) if keyed else None
+                for out in per_piece(batch.column(0).slice(first, last - first), data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], keys):
                     for at in range(0, out.num_rows, 20_000):
                         yield out.slice(at, 20_000)
 
-    return docs.select("id", "text").mapInArrow(run, schema.format(kind=docs.schema["id"].dataType.simpleString()))
+    return texts.select("id", "text", *(["keys"] if keyed else [])).mapInArrow(run, schema.format(kind=texts.schema["id"].dataType.simpleString()))
 
 
-def hot_keys(docs: DataFrame, scheme: Scheme, least: int = 400, share: int = 20_000) -> np.ndarray:
-    """Minimizers in more than max(least, all segments / share) segments, sorted: at most `share` of them, whatever the input."""
+@dataclass
+class Shared:
+    """Minimizers that stand in more than one segment, and the texts that hold them.
+
+    cold: (id, text, keys) with each text's shared minimizers but the hot ones; hot: the same with the hot ones, or None
+    if there are none. hot ones stand in more than max(least, all segments / share) segments: at most `share` of them.
+    """
+
+    cold: DataFrame
+    hot: DataFrame | None
+
+
+def shared_minimizers(texts: DataFrame, scheme: Scheme, least: int = 400, share: int = 20_000) -> Shared:
+    """Count minimizers first, from hashes alone, so that segments found nowhere else are never sent with their bytes."""
 
-    def per_piece(ids, data, offsets):
+    def per_piece(ids, data, offsets, _):
         s = segments(data, offsets, scheme)
         if s is not None:
-            keys, n = np.unique(s.keys, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
+            order = np.lexsort((s.keys, s.rows))
+            keys, rows = s.keys[order], s.rows[order]
+            first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1]))))
+            n = np.diff(np.append(first, len(keys)))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows[first])), pa.array(keys[first].view(np.int64)), pa.array(n.astype(np.int64))], ["id", "key", "n"])
 
-    counts = written(mapped(docs, "key long, n long", per_piece).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "minimizers")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    found = counts.where(F.col("n") > max(least, total // share)).select("key").toPandas()["key"].to_numpy(np.int64)
-    return np.sort(found.view(np.uint64))
+    places = written(mapped(texts, "id {kind}, key long, n long", per_piece), "places")
+    counts = written(places.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "minimizers")
+    total = places.agg(F.sum("n")).first()[0] or 0
+    cut = max(least, total // share)
+    hot = counts.where(F.col("n") > cut).select("key")
+    some_hot = not hot.isEmpty()
+    # at most `share` hot keys, so they may be broadcast; they leave before the join that brings the others together
+    cold = places.select("id", "key")
+    cold = (cold.join(F.broadcast(hot), "key", "left_anti") if some_hot else cold).join(counts.where(F.col("n") <= cut).select("key"), "key", "left_semi")
+
+    def with_keys(pairs: DataFrame) -> DataFrame:
+        return texts.join(pairs.groupBy("id").agg(F.collect_list("key").alias("keys")), "id")
+
+    return Shared(with_keys(cold), with_keys(places.select("id", "key").join(F.broadcast(hot), "key", "left_semi")) if some_hot else None)
 
 
 def is_in(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -170,40 +197,50 @@ def is_in(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[at] == keys
 
 
-def segments_of(docs: DataFrame, scheme: Scheme, hot) -> DataFrame:
-    """One row per segment whose minimizer is not hot; `at` counts units from the text's start."""
+def segments_of(cold: DataFrame, scheme: Scheme) -> DataFrame:
+    """One row per segment whose minimizer is among its text's keys; `at` counts units from the text's start."""
 
-    def per_piece(ids, data, offsets):
+    def per_piece(ids, data, offsets, wanted):
         s = segments(data, offsets, scheme)
         if s is None:
             return
         keep, reps = runs_of_equals(s, scheme)
-        cold = ~is_in(s.keys[keep], hot.value)
-        keep, reps = keep[cold], reps[cold]
+        some = is_in(s.keys[keep], wanted)
+        keep, reps = keep[some], reps[some]
         first, n, rows = s.firsts[keep], s.counts[keep], s.rows[keep]
         yield batch_of(ids, rows, s.keys[keep], first - s.begins[rows], n, reps, s.data, s.starts[first], s.ends[first + n + scheme.width - 2])
 
-    return mapped(docs, SEGMENTS, per_piece)
+    return mapped(cold, SEGMENTS, per_piece)
 
 
-def windows_of(docs: DataFrame, scheme: Scheme, hot, with_body: bool) -> DataFrame:
-    """One row per window whose minimizer is hot, keyed by the hash of the whole window."""
+def windows_of(hot: DataFrame, scheme: Scheme, with_body: bool) -> DataFrame:
+    """One row per window whose minimizer is among its text's keys, keyed by the hash of the whole window; n counts it in its piece of texts.
 
-    def per_piece(ids, data, offsets):
+    With bodies, equal windows of a piece become one row, at its least id.
+    """
+
+    def per_piece(ids, data, offsets, wanted):
         s = segments(data, offsets, scheme)
         if s is None:
             return
-        warm = np.flatnonzero(is_in(s.keys, hot.value))
+        warm = np.flatnonzero(is_in(s.keys, wanted))
         n = s.counts[warm]
         rows = np.repeat(s.rows[warm], n)
         first = np.arange(n.sum()) + np.repeat(s.firsts[warm] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
         a, b = s.starts[first], s.ends[first + scheme.width - 1]
-        one = np.ones(len(first), np.int64)
+        keys, count = s.hasher(a, b), np.ones(len(first), np.int64)
+        if with_body:
+            numbers = ids.to_numpy()
+            order = np.lexsort((numbers[rows], keys))
+            head = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1]))) if len(order) else order
+            count = np.diff(np.append(head, len(order)))
+            order = order[head]
+            keys, rows, first, a, b = keys[order], rows[order], first[order], a[order], b[order]
         for k in range(0, len(first), 20_000):
             c = slice(k, k + 20_000)
-            yield batch_of(ids, rows[c], s.hasher(a[c], b[c]), (first - s.begins[rows])[c], one[c], one[c], s.data, a[c], b[c], with_body)
+            yield batch_of(ids, rows[c], keys[c], (first - s.begins[rows])[c], count[c], count[c], s.data, a[c], b[c], with_body)
 
-    return mapped(docs, SEGMENTS, per_piece)
+    return mapped(hot, SEGMENTS, per_piece)
 
 
 def shards(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.Table]:
@@ -241,6 +278,8 @@ def joined_runs(flags: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.n
 def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(all rows: id, digest, n_bytes, rep, copies, uid; texts: id, text, one row per different text, with its uid as id).
 
+    The texts are stored in buckets by id, so later joins with them do not shuffle text.
+
     rep is the least id that has the text; ids are whole numbers, a null one counts as the largest. uid is rep, unless
     some id stands at several rows: then uids are made from id and digest, in the same order. The join that leaves one
     row per text is on the id, so copies of one text are spread over all tasks.
@@ -251,12 +290,13 @@ def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFra
     digest = F.unhex(F.sha2("text", 256)).alias("digest")
     marks = written(named.select("id", "no_id", digest, F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     groups = marks.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if marks.groupBy("id").count().where("count > 1").isEmpty():
         groups = groups.withColumn("uid", F.col("rep"))
-        texts = named.join(groups.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "text")
+        texts = named.select("id", "text").repartition(parts, "id").join(groups.select(F.col("rep").alias("id")).repartition(parts, "id"), "id", "left_semi")
     else:
         place = F.row_number().over(Window.partitionBy("rep").orderBy("digest"))
         groups = written(groups.withColumn("uid", F.col("rep") * 2048 + place), "groups")
         reps = groups.select("digest", F.col("rep").alias("id"), "uid")
-        texts = named.select("id", "text", digest).join(reps, ["digest", "id"]).dropDuplicates(["uid"]).select(F.col("uid").alias("id"), "text")
-    return marks.join(groups, "digest"), written(texts, "texts")
+        texts = named.select("id", "text", digest).join(reps, ["digest", "id"]).dropDuplicates(["uid"]).select(F.col("uid").alias("id"), "text").repartition(parts, "id")
+    return marks.join(groups, "digest"), bucketed(texts, parts, "texts")

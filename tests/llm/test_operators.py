@@ -84,14 +84,13 @@ def test_suffix_dedup(docs, rows, empty):
 
 
 def test_hot_minimizers_take_another_way_to_the_same_result(docs, rows, monkeypatch):
-    everything = lambda docs, scheme, **_: superkmers_hot(docs, scheme)
-    original = superkmers.hot_keys
+    original = superkmers.shared_minimizers
 
-    def superkmers_hot(docs, scheme):
-        return original(docs, scheme, least=2, share=20_000)
+    def crowded(texts, scheme, **_):
+        return original(texts, scheme, least=2)
 
-    monkeypatch.setattr(substring_dedup, "hot_keys", everything)
-    monkeypatch.setattr(suffix_dedup, "hot_keys", everything)
+    monkeypatch.setattr(substring_dedup, "shared_minimizers", crowded)
+    monkeypatch.setattr(suffix_dedup, "shared_minimizers", crowded)
     assert by_id(substring_dedup.substring_dedup(docs), "n_words", "n_removed", "kept_sha256") == brute.substring([r[:2] for r in rows])
     assert by_id(suffix_dedup.suffix_dedup(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.suffix([r[:2] for r in rows])
 
@@ -366,15 +365,25 @@ def test_pipeline(spark):
 
     at = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{at}/documents.parquet")
-    kept = docs
-    sizes = [docs.count()]
+    kept, after = docs, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, kept, at)
         assert kept.columns == docs.columns, name
-        sizes.append(kept.count())
-    assert sizes[0] >= sizes[1] > sizes[2] > sizes[3] and sizes[4] >= sizes[3]
+        after[name] = [(r["doc_id"], r["text"]) for r in kept.select("doc_id", "text").collect()]
+    scored = quality_classifier.quality_scores(docs, spark.read.parquet(f"{at}/labels.parquet"))
+    assert {d for d, _ in after["quality"]} == {r["doc_id"] for r in scored.where("kept").collect()}
+    last = {}
+    for d, t in after["quality"]:
+        key = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        last[key] = max(d, last.get(key, d))
+    assert {d for d, _ in after["exact"]} == set(last.values())
+    classes = brute.components({d: simhash.fingerprint(t) for d, t in after["exact"]})
+    assert {d for d, _ in after["near"]} == set(classes.values())
+    assert {d for d, _ in after["mix"]} == {d for d, _ in after["near"]} and len(after["mix"]) >= len(after["near"])
     packed = corpus_pipeline.run(spark, at)
-    assert {r[0] for r in packed.select("doc_id").distinct().collect()} == {r[0] for r in kept.select("doc_id").distinct().collect()}
+    tokens = packed.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m"))
+    copies = Counter(d for d, _ in after["mix"])
+    assert {r["doc_id"]: r["n"] // r["m"] for r in tokens.collect()} == dict(copies)
 
 
 def test_oracle_sql(spark):
