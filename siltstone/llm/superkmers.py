@@ -155,14 +155,15 @@ class Shared:
     """Minimizers that stand in more than one segment, and the texts that hold them.
 
     cold: (id, text, keys) with each text's shared minimizers but the hot ones; hot: the same with the hot ones, or None
-    if there are none. hot ones stand in more than max(least, all segments / share) segments: at most `share` of them.
+    if there are none. A minimizer is hot if its segments alone would fill more than a quarter of a mean shuffle
+    partition (and there are more than `least`); so there are at most `share` = 4 x partitions of them.
     """
 
     cold: DataFrame
     hot: DataFrame | None
 
 
-def shared_minimizers(texts: DataFrame, scheme: Scheme, least: int = 400, share: int = 20_000) -> Shared:
+def shared_minimizers(texts: DataFrame, scheme: Scheme, least: int = 4_000, share: int | None = None) -> Shared:
     """Count minimizers first, from hashes alone, so that segments found nowhere else are never sent with their bytes."""
 
     def per_piece(ids, data, offsets, _):
@@ -177,6 +178,7 @@ def shared_minimizers(texts: DataFrame, scheme: Scheme, least: int = 400, share:
     places = written(mapped(texts, "id {kind}, key long, n long", per_piece), "places")
     counts = written(places.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "minimizers")
     total = places.agg(F.sum("n")).first()[0] or 0
+    share = share or 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = max(least, total // share)
     hot = counts.where(F.col("n") > cut).select("key")
     some_hot = not hot.isEmpty()

@@ -87,7 +87,9 @@ def test_hot_minimizers_take_another_way_to_the_same_result(docs, rows, monkeypa
     original = superkmers.shared_minimizers
 
     def crowded(texts, scheme, **_):
-        return original(texts, scheme, least=2)
+        shared = original(texts, scheme, least=2, share=1 << 40)
+        assert shared.hot is not None
+        return shared
 
     monkeypatch.setattr(substring_dedup, "shared_minimizers", crowded)
     monkeypatch.setattr(suffix_dedup, "shared_minimizers", crowded)
