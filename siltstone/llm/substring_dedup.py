@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.fm_index import FMIndex, window_intervals
-from siltstone.llm.superkmers import Scheme, distinct_texts, joined_runs, segments_of, shared_minimizers, shards, windows_of
+from siltstone.llm.superkmers import Scheme, bodies_of, different_bodies, distinct_texts, joined_runs, ranges_at_places, segments_of, shared_minimizers, shards, windows_of
 from siltstone.llm.shared import written
 
 
@@ -62,12 +62,23 @@ def shard_intervals(table: pa.Table, width: int) -> pa.Table:
     row = np.repeat(np.arange(len(rows)), n)
     within = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
     first, last = joined_runs(least[starts[which][row] + within] < ids[row], row)
-    owner, low, high = row[first], within[first], within[last] + width
-    again = reps[owner]
-    shift = np.arange(int(again.sum())) - np.repeat(np.cumsum(again) - again, again)
-    owner, low, high = (np.repeat(x, again) for x in (owner, low, high))
-    move = at[owner] + shift * n[owner]
-    return pa.table({"id": pa.array(ids[owner], table.schema.field("id").type), "low": low + move, "high": high + move})
+    owner = row[first]
+    # a segment has fewer windows than a window has words, so the ranges of its repeats join
+    low, high = at[owner] + within[first], at[owner] + within[last] + (reps[owner] - 1) * n[owner] + width
+    return pa.table({"id": pa.array(ids[owner], table.schema.field("id").type), "low": low, "high": high})
+
+
+def body_answers(table: pa.Table, width: int) -> pa.Table:
+    """(key, hash, low, last, least): runs of each different segment's windows that have the same least owner."""
+    n = table["n"].to_numpy().astype(np.int64)
+    least, starts, _ = earliest(table["body"].to_pylist(), table["id"].to_numpy(), width)
+    row = np.repeat(np.arange(len(n)), n)
+    within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    least = least[starts[row] + within]
+    head = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (least[1:] != least[:-1]))))
+    last = within[np.append(head[1:] - 1, len(row) - 1)]
+    named = table.select(["key", "hash"]).take(pa.array(row[head]))
+    return named.append_column("low", pa.array(within[head])).append_column("last", pa.array(last)).append_column("least", pa.array(least[head]))
 
 
 def covered(texts: DataFrame, scheme: Scheme, shard_bytes: int = 4 << 20, **limits: int) -> DataFrame:
@@ -81,21 +92,29 @@ def covered(texts: DataFrame, scheme: Scheme, shard_bytes: int = 4 << 20, **limi
 
     found = segments_of(shared.cold, scheme).repartition("key").sortWithinPartitions("key").mapInArrow(run, f"id {kind}, low long, high long")
     found = written(found, "ranges")
-    if shared.hot is None:
-        return found
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in shards(batches, shard_bytes):
-            least, starts, _ = earliest(table["body"].to_pylist(), table["id"].to_numpy(), scheme.width)
-            yield from pa.table({"key": table["key"], "body_hash": table["body_hash"], "least": pa.array(least[starts])}).to_batches(max_chunksize=20_000)
-
-    # windows of hot minimizers: equal ones are combined before the shuffle, answered once, and joined to their places
-    warm = windows_of(shared.hot, scheme, True).withColumn("body_hash", F.xxhash64("body"))
-    answers = warm.groupBy("key", "body_hash").agg(F.min("id").alias("id"), F.min("body").alias("body"))
-    answers = written(answers.repartition("key").sortWithinPartitions("key").mapInArrow(answer, "key long, body_hash long, least long"), "answers")
-    places = windows_of(shared.hot, scheme, False).select("key", "id", "at")
-    hits = places.join(answers.drop("body_hash"), "key").where("least < id")
-    return found.unionByName(hits.select("id", F.col("at").cast("long").alias("low"), (F.col("at") + scheme.width).cast("long").alias("high")))
+    if shared.crowded is not None:
+
+        def answer_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in shards(batches, shard_bytes):
+                yield from body_answers(table, scheme.width).to_batches(max_chunksize=20_000)
+
+        answers = written(different_bodies(shared.crowded, scheme).mapInArrow(answer_bodies, "key long, hash long, low long, last long, least long"), "bodies")
+        hits = bodies_of(shared.crowded, scheme, False).drop("body").join(answers, ["key", "hash"]).where("least < id")
+        found = found.unionByName(ranges_at_places(hits, scheme.width, "low", "last"))
+    if shared.hot is not None:
+
+        def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in shards(batches, shard_bytes):
+                least, starts, _ = earliest(table["body"].to_pylist(), table["id"].to_numpy(), scheme.width)
+                yield from pa.table({"key": table["key"], "least": pa.array(least[starts])}).to_batches(max_chunksize=20_000)
+
+        # windows of hot minimizers: equal ones are combined before the shuffle, answered once, and joined to their places
+        warm = windows_of(shared.hot, scheme, True).withColumn("body_hash", F.xxhash64("body"))
+        answers = warm.groupBy("key", "body_hash").agg(F.min("id").alias("id"), F.min("body").alias("body"))
+        answers = written(answers.repartition("key").sortWithinPartitions("key").mapInArrow(answer, "key long, least long"), "answers")
+        hits = windows_of(shared.hot, scheme, False).drop("body").join(answers, "key").where("least < id")
+        found = found.unionByName(ranges_at_places(hits, scheme.width))
+    return found
 
 
 def merged(lows, highs) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.shared import written
 from siltstone.llm.substring_dedup import merged
-from siltstone.llm.superkmers import Scheme, distinct_texts, joined_runs, segments_of, shared_minimizers, shards, windows_of
+from siltstone.llm.superkmers import Scheme, bodies_of, different_bodies, distinct_texts, joined_runs, ranges_at_places, segments_of, shared_minimizers, shards, windows_of
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -134,6 +134,16 @@ def shard_ranges(table: pa.Table, width: int) -> pa.Table:
     return pa.table({"id": pa.array(table["id"].to_numpy()[rows][owner], table.schema.field("id").type), "low": low, "high": high})
 
 
+def body_answers(table: pa.Table, width: int) -> pa.Table:
+    """(key, hash, low, last): runs of each different segment's windows that occur more than once."""
+    n = table["n"].to_numpy().astype(np.int64)
+    flags, starts = repeated(table["body"].to_pylist(), table["reps"].to_numpy(), width)
+    row = np.repeat(np.arange(len(n)), n)
+    within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    first, last = joined_runs(flags[starts[row] + within], row)
+    return table.select(["key", "hash"]).take(pa.array(row[first])).append_column("low", pa.array(within[first])).append_column("last", pa.array(within[last]))
+
+
 def repeated_ranges(texts: DataFrame, scheme: Scheme, shard_bytes: int = 2 << 20, **limits: int) -> DataFrame:
     """(id, low, high) over different texts."""
     shared = shared_minimizers(texts, scheme, **limits)
@@ -144,21 +154,29 @@ def repeated_ranges(texts: DataFrame, scheme: Scheme, shard_bytes: int = 2 << 20
 
     found = segments_of(shared.cold, scheme).repartition("key").sortWithinPartitions("key").mapInArrow(run, "id long, low long, high long")
     found = written(found, "ranges")
-    if shared.hot is None:
-        return found
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in shards(batches, shard_bytes):
-            flags, starts = repeated(table["body"].to_pylist(), table["n"].to_numpy(), scheme.width)
-            some = pa.table({"key": table["key"]}).filter(pa.array(flags[starts]))
-            yield from some.to_batches(max_chunksize=20_000)
-
-    # windows of hot minimizers: equal ones are combined before the shuffle, answered once, and joined to their places
-    warm = windows_of(shared.hot, scheme, True).withColumn("body_hash", F.xxhash64("body"))
-    answers = warm.groupBy("key", "body_hash").agg(F.sum("n").alias("n"), F.min("body").alias("body"))
-    answers = written(answers.repartition("key").sortWithinPartitions("key").mapInArrow(answer, "key long"), "answers")
-    hits = windows_of(shared.hot, scheme, False).select("key", "id", "at").join(answers, "key")
-    return found.unionByName(hits.select("id", F.col("at").cast("long").alias("low"), (F.col("at") + scheme.width).cast("long").alias("high")))
+    if shared.crowded is not None:
+
+        def answer_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in shards(batches, shard_bytes):
+                yield from body_answers(table, scheme.width).to_batches(max_chunksize=20_000)
+
+        answers = written(different_bodies(shared.crowded, scheme).mapInArrow(answer_bodies, "key long, hash long, low long, last long"), "bodies")
+        hits = bodies_of(shared.crowded, scheme, False).drop("body").join(answers, ["key", "hash"])
+        found = found.unionByName(ranges_at_places(hits, scheme.width, "low", "last"))
+    if shared.hot is not None:
+
+        def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in shards(batches, shard_bytes):
+                flags, starts = repeated(table["body"].to_pylist(), table["reps"].to_numpy(), scheme.width)
+                some = pa.table({"key": table["key"]}).filter(pa.array(flags[starts]))
+                yield from some.to_batches(max_chunksize=20_000)
+
+        # windows of hot minimizers: equal ones are combined before the shuffle, answered once, and joined to their places
+        warm = windows_of(shared.hot, scheme, True).withColumn("body_hash", F.xxhash64("body"))
+        answers = warm.groupBy("key", "body_hash").agg(F.sum("reps").alias("reps"), F.min("body").alias("body"))
+        answers = written(answers.repartition("key").sortWithinPartitions("key").mapInArrow(answer, "key long"), "answers")
+        found = found.unionByName(ranges_at_places(windows_of(shared.hot, scheme, False).drop("body").join(answers, "key"), scheme.width))
+    return found
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, k: int = 24) -> DataFrame:

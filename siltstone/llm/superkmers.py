@@ -2,8 +2,9 @@
 
 A window's minimizer is the k-gram in it with the least hash, the leftmost of equals. Equal windows have equal
 minimizers, so shards by minimizer hold all places of a window. Neighbouring windows mostly share their minimizer;
-such a run is sent as one segment, so a text is sent about 3.3 times, whatever W. Minimizers that stand in very many
-segments are dealt by whole windows instead, which are combined before they are shuffled (see windows_of).
+such a run is sent as one segment, so a text is sent about 3.3 times, whatever W. Of minimizers that stand in very many
+segments, equal segments are combined first and joined back to their places (see bodies_of); those that stand in very
+many different segments are dealt by whole windows instead, combined before they are shuffled (see windows_of).
 """
 
 from __future__ import annotations
@@ -90,6 +91,12 @@ class Segments:
     begins: np.ndarray  # first unit of each text
     hasher: Hasher
 
+    def stops(self, scheme: Scheme) -> np.ndarray:
+        return self.ends[self.firsts + self.counts + scheme.width - 2]
+
+    def hashes(self, scheme: Scheme) -> np.ndarray:
+        return self.hasher(self.starts[self.firsts], self.stops(scheme))
+
 
 def segments(data: np.ndarray, offsets: np.ndarray, scheme: Scheme) -> Segments | None:
     data, starts, ends, begins = units(data, offsets, scheme.words)
@@ -115,7 +122,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, scheme: Scheme) -> Segments
 
 def runs_of_equals(s: Segments, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
     """Segments that repeat their predecessor's bytes (periodic text) join it: kept segments, repeats of each."""
-    a, b = s.starts[s.firsts], s.ends[s.firsts + s.counts + scheme.width - 2]
+    a, b = s.starts[s.firsts], s.stops(scheme)
     same = np.zeros(len(s.firsts), bool)
     near = (s.firsts[1:] == s.firsts[:-1] + s.counts[:-1]) & (s.counts[1:] == s.counts[:-1]) & (s.rows[1:] == s.rows[:-1]) & (s.keys[1:] == s.keys[:-1])
     for k in np.flatnonzero(near) + 1:
@@ -154,12 +161,14 @@ def mapped(texts: DataFrame, schema: str, per_piece: Callable, piece_bytes: int
 class Shared:
     """Minimizers that stand in more than one segment, and the texts that hold them.
 
-    cold: (id, text, keys) with each text's shared minimizers but the hot ones; hot: the same with the hot ones, or None
-    if there are none. A minimizer is hot if its segments alone would fill more than a quarter of a mean shuffle
-    partition (and there are more than `least`); so there are at most `share` = 4 x partitions of them.
+    Each is a table (id, text, keys) with the keys of one kind that a text holds. cold: minimizers in few segments.
+    crowded: those whose segments alone would fill more than a quarter of a mean shuffle partition (and there are more
+    than `least`), so there are at most `share` = 4 x partitions of them. hot: crowded ones whose different segments still
+    would. crowded and hot are None where there are none.
     """
 
     cold: DataFrame
+    crowded: DataFrame | None
     hot: DataFrame | None
 
 
@@ -169,27 +178,29 @@ def shared_minimizers(texts: DataFrame, scheme: Scheme, least: int = 4_000, shar
     def per_piece(ids, data, offsets, _):
         s = segments(data, offsets, scheme)
         if s is not None:
-            order = np.lexsort((s.keys, s.rows))
-            keys, rows = s.keys[order], s.rows[order]
-            first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1]))))
-            n = np.diff(np.append(first, len(keys)))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows[first])), pa.array(keys[first].view(np.int64)), pa.array(n.astype(np.int64))], ["id", "key", "n"])
-
-    places = written(mapped(texts, "id {kind}, key long, n long", per_piece), "places")
-    counts = written(places.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "minimizers")
-    total = places.agg(F.sum("n")).first()[0] or 0
+            keep, reps = runs_of_equals(s, scheme)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(s.rows[keep])), *(pa.array(x.view(np.int64)) for x in (s.keys[keep], s.hashes(scheme)[keep])), pa.array(reps.astype(np.int64))], ["id", "key", "hash", "reps"])
+
+    places = written(mapped(texts, "id {kind}, key long, hash long, reps long", per_piece), "places")
+    counts = written(places.groupBy("key").agg(F.count("*").alias("n"), F.sum("reps").alias("reps")).where("reps > 1"), "minimizers")
     share = share or 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = max(least, total // share)
-    hot = counts.where(F.col("n") > cut).select("key")
-    some_hot = not hot.isEmpty()
-    # at most `share` hot keys, so they may be broadcast; they leave before the join that brings the others together
-    cold = places.select("id", "key")
-    cold = (cold.join(F.broadcast(hot), "key", "left_anti") if some_hot else cold).join(counts.where(F.col("n") <= cut).select("key"), "key", "left_semi")
+    cut = max(least, places.count() // share)
+    many = counts.where(F.col("n") > cut).select("key")
+    pairs = places.select("id", "key")
 
     def with_keys(pairs: DataFrame) -> DataFrame:
-        return texts.join(pairs.groupBy("id").agg(F.collect_list("key").alias("keys")), "id")
+        return texts.join(pairs.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
+
+    def holding(keys: DataFrame) -> DataFrame | None:
+        return None if keys.isEmpty() else with_keys(pairs.join(F.broadcast(keys), "key", "left_semi"))
 
-    return Shared(with_keys(cold), with_keys(places.select("id", "key").join(F.broadcast(hot), "key", "left_semi")) if some_hot else None)
+    # at most `share` crowded keys, so they may be broadcast; they leave before the join that brings the others together
+    if some := not many.isEmpty():
+        different = places.join(F.broadcast(many), "key", "left_semi").select("key", "hash").distinct().groupBy("key").count()
+        many = written(different.select("key", (F.col("count") > cut).alias("hot")), "crowded")
+    cold = pairs.join(F.broadcast(many.select("key")), "key", "left_anti") if some else pairs
+    cold = cold.join(counts.where(F.col("n") <= cut).select("key"), "key", "left_semi")
+    return Shared(with_keys(cold), *((holding(many.where(kind).select("key")) if some else None) for kind in ("not hot", "hot")))
 
 
 def is_in(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -215,32 +226,73 @@ def segments_of(cold: DataFrame, scheme: Scheme) -> DataFrame:
     return mapped(cold, SEGMENTS, per_piece)
 
 
+def first_of_equals(keys: np.ndarray, ids: np.ndarray, reps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row with the least id of each key, and the key's summed reps."""
+    order = np.lexsort((ids, keys))
+    head = np.flatnonzero(np.concatenate((np.ones(min(len(order), 1), bool), keys[order][1:] != keys[order][:-1])))
+    return order[head], np.add.reduceat(reps[order], head) if len(head) else reps[:0]
+
+
+def bodies_of(crowded: DataFrame, scheme: Scheme, with_body: bool) -> DataFrame:
+    """Segments whose minimizer is among its text's keys, with the hash of their bytes, which names equal ones.
+
+    Without bodies, one row per segment: its place. With bodies, equal segments of a piece of texts become one row, at
+    its least id and with the summed reps.
+    """
+
+    def per_piece(ids, data, offsets, wanted):
+        s = segments(data, offsets, scheme)
+        if s is None:
+            return
+        keep, reps = runs_of_equals(s, scheme)
+        some = is_in(s.keys[keep], wanted)
+        keep, reps = keep[some], reps[some]
+        hashes = s.hashes(scheme)[keep]
+        if with_body:
+            one, reps = first_of_equals(hashes, ids.to_numpy()[s.rows[keep]], reps)
+            keep, hashes = keep[one], hashes[one]
+        first, n, rows = s.firsts[keep], s.counts[keep], s.rows[keep]
+        out = batch_of(ids, rows, s.keys[keep], first - s.begins[rows], n, reps, s.data, s.starts[first], s.ends[first + n + scheme.width - 2], with_body)
+        yield out.append_column("hash", pa.array(hashes.view(np.int64)))
+
+    return mapped(crowded, SEGMENTS + ", hash long", per_piece)
+
+
+def different_bodies(crowded: DataFrame, scheme: Scheme) -> DataFrame:
+    """(key, hash, id, n, reps, body): one row per different segment, at its least id and with the summed reps."""
+    bodies = bodies_of(crowded, scheme, True).groupBy("key", "hash").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.sum("reps").alias("reps"), F.min("body").alias("body"))
+    return bodies.repartition("key").sortWithinPartitions("key")
+
+
+def ranges_at_places(places: DataFrame, width: int, low: str = "0", last: str = "0") -> DataFrame:
+    """(id, low, high) of windows low to last of segments; a segment that repeats itself covers all up to its last repeat."""
+    return places.selectExpr("id", f"cast(at + {low} as long) AS low", f"at + (cast(reps as long) - 1) * n + {last} + {width} AS high")
+
+
 def windows_of(hot: DataFrame, scheme: Scheme, with_body: bool) -> DataFrame:
-    """One row per window whose minimizer is among its text's keys, keyed by the hash of the whole window; n counts it in its piece of texts.
+    """One row per window whose minimizer is among its text's keys, keyed by the hash of the whole window; it stands `reps` times, n units apart.
 
-    With bodies, equal windows of a piece become one row, at its least id.
+    With bodies, equal windows of a piece become one row, at its least id and with the summed reps.
     """
 
     def per_piece(ids, data, offsets, wanted):
         s = segments(data, offsets, scheme)
         if s is None:
             return
-        warm = np.flatnonzero(is_in(s.keys, wanted))
-        n = s.counts[warm]
-        rows = np.repeat(s.rows[warm], n)
-        first = np.arange(n.sum()) + np.repeat(s.firsts[warm] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+        keep, reps = runs_of_equals(s, scheme)
+        warm = is_in(s.keys[keep], wanted)
+        keep, reps = keep[warm], reps[warm]
+        n = s.counts[keep]
+        rows, apart, reps = (np.repeat(x, n) for x in (s.rows[keep], n, reps))
+        first = np.arange(n.sum()) + np.repeat(s.firsts[keep] - np.cumsum(n) + n, n)
         a, b = s.starts[first], s.ends[first + scheme.width - 1]
-        keys, count = s.hasher(a, b), np.ones(len(first), np.int64)
+        keys = s.hasher(a, b)
         if with_body:
-            numbers = ids.to_numpy()
-            order = np.lexsort((numbers[rows], keys))
-            head = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1]))) if len(order) else order
-            count = np.diff(np.append(head, len(order)))
-            order = order[head]
-            keys, rows, first, a, b = keys[order], rows[order], first[order], a[order], b[order]
+            one, reps = first_of_equals(keys, ids.to_numpy()[rows], reps)
+            keys, rows, apart, first, a, b = (x[one] for x in (keys, rows, apart, first, a, b))
         for k in range(0, len(first), 20_000):
             c = slice(k, k + 20_000)
-            yield batch_of(ids, rows[c], keys[c], (first - s.begins[rows])[c], count[c], count[c], s.data, a[c], b[c], with_body)
+            yield batch_of(ids, rows[c], keys[c], (first - s.begins[rows])[c], apart[c], reps[c], s.data, a[c], b[c], with_body)
 
     return mapped(hot, SEGMENTS, per_piece)
 
