@@ -19,6 +19,8 @@ from siltstone.llm.shared import pieces, text_bytes, written
 
 ORDER, BITS = 4, 5
 CLASSES = 1 << BITS
+#: Surprise is added up in whole numbers of 1 / UNIT.
+UNIT = 1 << 24
 
 
 def byte_classes() -> np.ndarray:
@@ -127,18 +129,29 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     return Model(model_tables(counts).toPandas())
 
 
-def surprise_sums(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per text: the summed -log2 p of its n-grams, and their number."""
+def surprise_sums(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Per text: the summed -log2 p of its n-grams, and their number.
+
+    Sums are whole numbers of 2^-24, so they are exact and the same wherever a text stands; a text of more than `most`
+    bytes is added up in parts.
+    """
     n = np.diff(offsets)
-    sums = np.zeros(len(n))
-    for first, last in pieces(offsets, 1 << 22):
-        codes = ngram_hashes(data[offsets[first] : offsets[last]])
-        running = np.concatenate(([0.0], np.cumsum(table[codes])))
-        starts = offsets[first:last] - offsets[first]
-        ends = np.maximum(offsets[first + 1 : last + 1] - offsets[first] - ORDER + 1, starts)
-        starts, ends = np.minimum(starts, len(codes)), np.minimum(ends, len(codes))
+    sums = np.zeros(len(n), np.int64)
+
+    def units(part: np.ndarray) -> np.ndarray:
+        return (table[ngram_hashes(part)] * table.dtype.type(UNIT)).astype(np.int64)
+
+    for first, last in pieces(offsets, most):
+        low, high = offsets[first], offsets[last]
+        if high - low > most:
+            sums[first] = sum(int(units(data[at : min(at + most + ORDER - 1, high)]).sum()) for at in range(low, high, most))
+            continue
+        running = np.concatenate(([0], np.cumsum(units(data[low:high]))))
+        starts = offsets[first:last] - low
+        ends = np.maximum(offsets[first + 1 : last + 1] - low - ORDER + 1, starts)
+        starts, ends = np.minimum(starts, len(running) - 1), np.minimum(ends, len(running) - 1)
         sums[first:last] = running[ends] - running[starts]
-    return sums, np.maximum(n - ORDER + 1, 0)
+    return sums / UNIT, np.maximum(n - ORDER + 1, 0)
 
 
 def quantiles(scores: DataFrame, group: str, value: str, ranks: list[float], bin_width: float = 0.001) -> DataFrame:

@@ -1,0 +1,32 @@
+"""Sums of surprise: exact over very long texts, and the same wherever a text stands."""
+
+import random
+
+import numpy as np
+import pytest
+
+from siltstone.llm import kneser_ney
+
+TABLE = np.random.default_rng(3).uniform(0.5, 12, kneser_ney.CLASSES**kneser_ney.ORDER).astype(np.float32)
+
+
+def sums(texts):
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    return kneser_ney.surprise_sums(data, np.concatenate(([0], np.cumsum([len(t) for t in texts]))), TABLE)
+
+
+def test_a_text_over_32_mb_keeps_its_sum():
+    text = b"The sea was calm and the old men sat by the harbour wall. " * 600_000
+    assert len(text) > 32 << 20
+    (total,), (n,) = sums([text])
+    codes = kneser_ney.ngram_hashes(np.frombuffer(text, np.uint8))
+    assert n == len(codes) and total / n == pytest.approx(TABLE[codes].astype(np.float64).mean(), abs=1e-6)
+
+
+def test_sums_do_not_depend_on_row_order():
+    rng = random.Random(4)
+    texts = [bytes(rng.choices(b"abcdefgh .ABC123", k=rng.choice([0, 1, 3, 4, 50, 3000]))) for _ in range(4000)] + [b""]
+    order = rng.sample(range(len(texts)), len(texts))
+    here, there = sums(texts)[0], sums([texts[k] for k in order])[0]
+    assert (here[order] == there).all()
+    assert here[:50] == pytest.approx([TABLE[kneser_ney.ngram_hashes(np.frombuffer(t, np.uint8))].astype(np.float64).sum() for t in texts[:50]], abs=1e-3)
