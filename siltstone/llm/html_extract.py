@@ -26,6 +26,11 @@ APART = set("nav header footer aside form menu dialog fieldset".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 # Words of class, id and role values that mark what is not main text.
 MARKS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|adverts|banner|breadcrumb|breadcrumbs|comment|comments|consent|cookie|cookies|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|pager|popup|promo|promoted|related|search|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)s?(?:$|[\s_-])", re.I)
+#: Class words of a layout that has, or lacks, such a part.
+LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)-\S+", re.I)
+#: Inside an article these mark its own heading part.
+HEADING_MARKS = re.compile(r"(?<![^\s_-])(?:header|masthead)s?(?![^\s_-])", re.I)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -40,22 +45,80 @@ SHORT, LONG, MOST_LINKS, SOME_STOPS, MANY_STOPS = 70, 200, 0.35, 0.15, 0.25
 class Block:
     """Text of one block: its characters, those inside links, and where it stands."""
 
-    __slots__ = ("parts", "linked", "apart", "article", "heading", "label")
+    __slots__ = ("parts", "linked", "apart", "marks", "within", "article", "heading", "label")
 
-    def __init__(self, apart: bool, article: bool, heading: bool):
+    def __init__(self, apart: bool, marks: tuple[int, ...], within: tuple[int, ...], heading: bool):
         self.parts: list[str] = []
         self.linked = 0
-        self.apart, self.article, self.heading, self.label = apart, article, heading, ""
+        self.apart, self.marks, self.within, self.heading, self.label = apart, marks, within, heading, ""
+        self.article = bool(within)
 
     @property
     def text(self) -> str:
         return SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
 
 
-def split_blocks(page: str) -> list[Block]:
-    """Blocks in page order. Unclosed and stray tags are tolerated: an end tag closes up to its nearest open element."""
+class Holder:
+    """An article or main element, with the class marks and articles around it."""
+
+    __slots__ = ("name", "apart", "marks", "size")
+
+    def __init__(self, name: str, apart: bool, marks: tuple[int, ...]):
+        self.name, self.apart, self.marks, self.size = name, apart, marks, 0
+
+
+def marked(name: str, values: dict[str, str], article: bool) -> bool:
+    """Whether class or id say that the element is not main text."""
+    if article and name in HEADINGS:
+        return False
+    said = [LAYOUT.sub(" ", values.get("class", "")), values.get("id", "")]
+    return any(MARKS.search(HEADING_MARKS.sub("", x) if article else x) for x in said)
+
+
+def set_apart(blocks: list[Block], holders: list[Holder], inside: list[tuple[int, ...]]) -> None:
+    """Take class marks back from what holds the main text, and set apart the blocks under all others.
+
+    That is: every main element; of articles, if each is under a mark, the one of most text; and within an article what
+    holds over half of its text. A page left without main text gives up the marks that hold over half of all.
+    """
+    total, sizes, waived = 0, [0] * len(inside), set()
+    open_blocks = [b for b in blocks if not b.apart]
+    for b in open_blocks:
+        n = len(b.text)
+        total += n
+        for m in b.marks:
+            sizes[m] += n
+        for a in b.within:
+            holders[a].size += n
+    able = [h for h in holders if not h.apart]
+    for h in able:
+        if h.name == "main":
+            waived.update(h.marks)
+    if able and not any(waived.issuperset(h.marks) for h in able):
+        waived.update(max(able, key=lambda h: h.size).marks)
+    waived.update(m for m, within in enumerate(inside) if within and 2 * sizes[m] > holders[within[-1]].size)
+
+    def settle() -> None:
+        for b in open_blocks:
+            b.apart = not waived.issuperset(b.marks)
+        label_blocks(blocks, [h.name for h in holders])
+
+    settle()
+    most = {m for m, n in enumerate(sizes) if 2 * n > total} - waived
+    if most and not any(b.label == "good" for b in blocks):
+        waived |= most
+        settle()
+
+
+def split_blocks(page: str) -> tuple[list[Block], list[Holder], list[tuple[int, ...]]]:
+    """Blocks in page order, articles, and the articles around each class mark.
+
+    Unclosed and stray tags are tolerated: an end tag closes up to its nearest open element.
+    """
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, apart, inside an article
+    holders: list[Holder] = []
+    inside: list[tuple[int, ...]] = []
+    stack: list[tuple[str, bool, tuple[int, ...], tuple[int, ...]]] = []  # element, apart, class marks, articles around
     current: Block | None = None
     links = 0
     at = 0
@@ -67,8 +130,7 @@ def split_blocks(page: str) -> list[Block]:
         if current is None:
             if piece.isspace():
                 return
-            apart, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            current = Block(apart, article, any(e[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for e in stack[-3:]))
+            current = Block(*(stack[-1][1:] if stack else (False, (), ())), any(e[0] in HEADINGS for e in stack[-3:]))
             blocks.append(current)
         current.parts.append(piece)
         if links:
@@ -111,23 +173,29 @@ def split_blocks(page: str) -> list[Block]:
                 stack.pop()
         if name in VOID or found[3].rstrip().endswith("/"):
             continue
-        outer = stack[-1] if stack else ("", False, False)
-        apart, article = outer[1], outer[2]
+        _, apart, marks, within = stack[-1] if stack else ("", False, (), ())
         if name in APART:
             # a heading block inside an article belongs to it
-            apart = apart or not (name == "header" and article)
+            apart = apart or not (name == "header" and within)
         elif name in ("article", "main"):
-            apart, article = apart, True
+            holders.append(Holder(name, apart, marks))
+            within = (*within, len(holders) - 1)
         if found[3] and not apart and name not in ("body", "html", "article", "main"):
             values = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(found[3])}
-            if values.get("role", "").lower() in ROLES or MARKS.search(values.get("class", "")) or MARKS.search(values.get("id", "")) or values.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|$)", found[3]) or "display:none" in values.get("style", "").replace(" ", ""):
+            if values.get("role", "").lower() in ROLES or values.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|$)", found[3]) or "display:none" in values.get("style", "").replace(" ", ""):
                 apart = True
-        stack.append((name, apart, article))
-    return blocks
+            elif marked(name, values, bool(within)):
+                inside.append(within)
+                marks = (*marks, len(inside) - 1)
+        stack.append((name, apart, marks, within))
+    return blocks, holders, inside
 
 
-def label_blocks(blocks: list[Block]) -> None:
-    """First pass by stop-word density, length and link density; second pass: ambiguous blocks take the nearest decided label."""
+def label_blocks(blocks: list[Block], holders: list[str]) -> None:
+    """First pass by stop-word density, length and link density; second pass: ambiguous blocks take the nearest decided label.
+
+    Link density decides nothing inside an article: what is linked there is still its text.
+    """
     anywhere = any(b.article and not b.apart for b in blocks)
     for b in blocks:
         plain = b.text
@@ -137,7 +205,7 @@ def label_blocks(blocks: list[Block]) -> None:
         links = b.linked / n if n else 0.0
         if b.apart or not n:
             b.label = "bad"
-        elif links > MOST_LINKS and n < 10 * LONG:
+        elif links > MOST_LINKS and n < 10 * LONG and not any(holders[a] == "article" for a in b.within):
             b.label = "bad"
         elif b.article:
             b.label = "good" if n >= SHORT or b.heading else "near"
@@ -175,8 +243,8 @@ def label_blocks(blocks: list[Block]) -> None:
 
 def main_text(page: str | None) -> str:
     """The main text: good blocks in page order, one a line."""
-    blocks = split_blocks(page or "")
-    label_blocks(blocks)
+    blocks, holders, inside = split_blocks(page or "")
+    set_apart(blocks, holders, inside)
     return "\n".join(t for b in blocks if b.label == "good" and (t := b.text))
 
 
