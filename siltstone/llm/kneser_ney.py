@@ -21,6 +21,8 @@ ORDER, BITS = 4, 5
 CLASSES = 1 << BITS
 #: Surprise is added up in whole numbers of 1 / UNIT.
 UNIT = 1 << 24
+#: Resolution of quantiles, in bits a n-gram.
+BIN = 0.001
 
 
 def byte_classes() -> np.ndarray:
@@ -154,7 +156,7 @@ def surprise_sums(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, most
     return sums / UNIT, np.maximum(n - ORDER + 1, 0)
 
 
-def quantiles(scores: DataFrame, group: str, value: str, ranks: list[float], bin_width: float = 0.001) -> DataFrame:
+def quantiles(scores: DataFrame, group: str, value: str, ranks: list[float], bin_width: float = BIN) -> DataFrame:
     """(group, q array): each group's quantiles of value at a resolution of bin_width, from a histogram of all rows.
 
     The histogram has a row per group and bin, so no group's values meet in one task.

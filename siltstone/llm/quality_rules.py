@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.kneser_ney import broadcast_table, fit, quantiles, shrunk, surprise_sums
+from siltstone.llm.kneser_ney import BIN, broadcast_table, fit, quantiles, shrunk, surprise_sums
 from siltstone.llm.shared import if_small, text_bytes, written
 
 SYMBOLS = b"#*$%&|<>"
@@ -55,13 +55,13 @@ def base_measures(text: bytes, width: int = 5) -> tuple[int, int, int, int, int]
 
 
 def quality_rules(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reach: float = 3.0, prior: float = 200.0
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", tail: float = 0.05, prior: float = 200.0
 ) -> DataFrame:
     """One row per document: id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lang, log2_perplexity, lower_band, upper_band.
 
     base_failed: under 10 words, or over 20 % of words in repeated 5-word windows. The rest is kept when its mean surprise under
-    the model counted over all documents lies within its language's bands: the quartiles among documents that pass the
-    base rules, widened by `reach` times their distance. Null and empty texts have no words and fail; a null language
+    the model counted over all documents lies within its language's bands: the quantiles `tail` and 1 - `tail` among
+    documents that pass the base rules, so about 2 x `tail` of those are rejected whatever they are. Null and empty texts have no words and fail; a null language
     is a language of its own (""). A language without documents that pass has no bands. Repeated rows each count.
     """
     spark = docs.sparkSession
@@ -88,10 +88,8 @@ def quality_rules(
     centres = quantiles(passing, "lang", "mean", [0.5]).select("lang", F.col("q")[0].alias("centre"))
     # the tables below have a row per language: broadcast where they are counted to be small, else joined by language
     valued = measured.join(if_small(written(centres, "centres")), "lang", "left").withColumn("mean", shrunk(F.col("surprise"), F.col("n_grams"), F.col("centre"), prior))
-    bands = quantiles(valued.where("not base_failed"), "lang", "mean", [0.25, 0.5, 0.75]).select(
-        "lang",
-        (F.col("q")[0] - reach * (F.col("q")[2] - F.col("q")[0]) - 0.05).alias("lower_band"),
-        (F.col("q")[2] + reach * (F.col("q")[2] - F.col("q")[0]) + 0.05).alias("upper_band"),
+    bands = quantiles(valued.where("not base_failed"), "lang", "mean", [tail, 1 - tail]).select(
+        "lang", F.col("q")[0].alias("lower_band"), (F.col("q")[1] + BIN).alias("upper_band")
     )
     inside = F.coalesce(F.col("mean").between(F.col("lower_band"), F.col("upper_band")), F.lit(True))
     return valued.join(if_small(written(bands, "bands")), "lang", "left").select(
