@@ -18,8 +18,12 @@ from pyspark.sql import functions as F
 
 #: Cuts a text where every byte-level pre-tokenizer of this family cuts: before a run of these white space characters.
 UNIT = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-#: Other white space joins such runs, so texts that have any are encoded whole.
-OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85   -     　]")
+#: Letters and marks of long-settled scripts, of which no class changed between Unicode versions. A text with any other
+#: character, or with white space that joins such runs, is encoded whole by the tokenizer itself.
+UNSETTLED = re.compile(
+    r"[^\t\n\r\x20-\x7e\xa1-\u021f\u0391-\u03a1\u03a3-\u03ce\u0400-\u0482\u048a-\u04ff\u05d0-\u05ea\u0621-\u063a\u0641-\u064a"
+    r"\u0e01-\u0e2e\u2010-\u2027\u2030-\u205e\u20a0-\u20b1\u3001-\u3003\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e]"
+)
 #: Fixed value: the pieces within which byte-level vocabularies merge.
 PRE_TOKEN = regex.compile(r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 SCHEMA = "id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -30,7 +34,8 @@ class UnitEncoder:
 
     Units repeat, so each is encoded once and kept, up to a bound; then the memory starts anew. Where the file is plain
     byte-level with its merges in the order of their ids, units are merged by tiktoken's core from the same file, which
-    gives the same ids sooner; other files, and texts with rarer white space, go to the tokenizer itself.
+    gives the same ids sooner; other files, and texts with rarer characters or with literals of added tokens, go to the
+    tokenizer itself.
     """
 
     def __init__(self, tokenizer_path: str | None = None, most: int = 400_000):
@@ -41,7 +46,9 @@ class UnitEncoder:
 
             tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
         self.tokenizer = Tokenizer.from_file(str(tokenizer_path))
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # literals of added tokens are cut out of a text before anything else
+        self.whole = re.compile("|".join([UNSETTLED.pattern, *(re.escape(x) for x in sorted(added, key=len, reverse=True) if x)]))
         self.known: dict[str, bytes] = {}
         self.most = most
         self.merge = self.merger(str(tokenizer_path))
@@ -81,7 +88,7 @@ class UnitEncoder:
             known[u] = array("I", ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        if OTHER_SPACE.search(text):
+        if self.whole.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         units = UNIT.findall(text)
         missing = set(units).difference(self.known)
@@ -96,8 +103,9 @@ class UnitEncoder:
 class SumOfSquaresPacker:
     """Places items of 1..size-1 tokens so that the sum over fill levels of (number of open windows there)^2 stays least.
 
-    counts is the level array; an open window keeps its items until it is full. drain() cuts what is left open into
-    full windows, so at most one window of a packer is not full. Over most_open open windows, drain() runs early.
+    counts is the level array; an open window keeps its items until it is full. With most_open windows open, an item
+    that would open another one is cut instead: its head fills the fullest open window, and its rest is placed by the
+    same rule. drain() cuts what is left open at the end into full windows, so at most one window of a packer is not full.
     """
 
     def __init__(self, size: int, first_window: int = 0, most_open: int = 4096):
@@ -110,14 +118,16 @@ class SumOfSquaresPacker:
         self.next += 1
         return self.next - 1, 0, item
 
-    def add(self, item, length: int) -> list[tuple]:
-        """Rows (window, offset, item) of a window that became full, else none."""
+    def best_level(self, length: int) -> int:
+        """The fill level (0: a new window) at which an item of this length leaves the least sum of squares."""
         levels = np.flatnonzero(self.counts[: self.size - length + 1])
         levels = np.concatenate((levels[levels > 0], [0]))
         to = levels + length
         closes = to == self.size
         change = np.where(levels > 0, 1 - 2 * self.counts[levels], 0) + np.where(closes, 0, 1 + 2 * self.counts[np.where(closes, 0, to)])
-        pick = levels[change == change.min()].max()
+        return int(levels[change == change.min()].max())
+
+    def place(self, item, length: int, pick: int) -> list[tuple]:
         if pick:
             window = self.open[pick].pop()
             self.counts[pick] -= 1
@@ -125,7 +135,7 @@ class SumOfSquaresPacker:
             window = []
             self.n_open += 1
         window.append((item, length))
-        level = int(pick) + length
+        level = pick + length
         if level == self.size:
             self.n_open -= 1
             return self.emit(window)
@@ -133,6 +143,21 @@ class SumOfSquaresPacker:
         self.counts[level] += 1
         return []
 
+    def add(self, item, length: int) -> list[tuple]:
+        """Rows (window, offset, item) of the windows that became full."""
+        pick = self.best_level(length)
+        rows: list[tuple] = []
+        while not pick and self.n_open >= self.most_open:
+            doc, start, ids, total = item
+            fullest = int(np.flatnonzero(self.counts)[-1])
+            take = min(self.size - fullest, length)
+            rows += self.place((doc, start, ids[:take], total), take, fullest)
+            item, length = (doc, start + take, ids[take:], total), length - take
+            if not length:
+                return rows
+            pick = self.best_level(length)
+        return rows + self.place(item, length, pick)
+
     def emit(self, window: list) -> list[tuple]:
         rows, at = [], 0
         for item, length in window:
@@ -198,8 +223,6 @@ def pack_documents(
                     rows.append(packer.whole((doc, at, ids[at : at + size], len(ids))))
                 if full < len(ids):
                     rows += packer.add((doc, full, ids[full:].copy(), len(ids)), len(ids) - full)
-                    if packer.n_open > packer.most_open:
-                        rows += packer.drain()
                 if len(rows) >= 20_000:
                     yield table(rows)
                     rows = []

@@ -37,7 +37,7 @@ def rows():
         copy = list(near)
         copy[k * 30] = f"edit{k}"
         texts.append(" ".join(copy))
-    texts += ["", None, "   \n\t ", "é" * 400, "ab" * 300, "x", " ".join(["same"] * 200), "a\x0bb\x1cc d e", "日本語 テキスト " * 60, "\0 nul"]
+    texts += ["", None, "   \n\t ", "é" * 400, "ab" * 300, "x", "one <|endoftext|> two", " ".join(["same"] * 200), "a\x0bb\x1cc d e", "日本語 テキスト " * 60, "\0 nul"]
     texts += ["line one is here\n" * 12, " ".join(words(rng, 20_000))]
     order = list(range(len(texts)))
     rng.shuffle(order)
@@ -218,7 +218,6 @@ def test_packing(docs, rows, empty):
     import public_tokenizers
 
     tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    tokenizer.encode_special_tokens = True
     ids = {d: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for d, t, *_ in rows}
     found = packing.pack_documents(docs.coalesce(2)).collect()
     windows, covered = defaultdict(list), defaultdict(list)
