@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.shared import written
@@ -13,9 +13,9 @@ from siltstone.llm.shared import written
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def with_tokens(docs: DataFrame, text_col: str) -> DataFrame:
+def tokens_of(text_col: str) -> Column:
     """A document's tokens here: its words, and one for its end, so that no document weighs nothing."""
-    return docs.withColumn("_tokens", F.coalesce(F.regexp_count(text_col, F.lit(WORD)).cast("long"), F.lit(0).cast("long")) + 1)
+    return F.coalesce(F.regexp_count(text_col, F.lit(WORD)).cast("long"), F.lit(0).cast("long")) + 1
 
 
 def bisect(f: Callable[[float], float], target: float, low: float = 0.0, high: float = 1.0, steps: int = 30) -> float:
@@ -55,14 +55,15 @@ def mixing_exponent(sources: DataFrame, repetition_limit: float | None, target_e
 
 
 def mixing_plan(docs: DataFrame, source_col: str, text_col: str, repetition_limit: float | None, target_entropy: float | None, budget_tokens: int | None, blocks: int, seed: int, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """(documents with _tokens, _source and _block; block table with copies of each block).
+    """(doc, _tokens, _source, _block: a document's row as a struct, so no column of it can clash; block table with copies of each block).
 
     A source's documents are dealt over `blocks` blocks by a seeded hash, and its blocks stand in a seeded order. Its
     budget is weight x budget_tokens: whole passes over all its blocks, then blocks in that order while they fit.
     budget_tokens None: the least at which every source is read once in full.
     """
-    marked = with_tokens(docs, text_col).withColumn("_source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
-    marked = marked.withColumn("_block", F.pmod(F.xxhash64(F.col(id_col).cast("string"), "_source", F.lit(seed)), F.lit(blocks)).cast("int"))
+    source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
+    block = F.pmod(F.xxhash64(F.col(id_col).cast("string"), source, F.lit(seed)), F.lit(blocks)).cast("int")
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), tokens_of(text_col).alias("_tokens"), source.alias("_source"), block.alias("_block"))
     sized = written(marked.groupBy("_source", "_block").agg(F.sum("_tokens").alias("block_tokens"), F.count("*").alias("block_docs")), "blocks")
     sources = written(sized.groupBy("_source").agg(F.sum("block_tokens").alias("tokens")), "sources")
     exponent = mixing_exponent(sources, repetition_limit, target_entropy)
@@ -100,5 +101,5 @@ def mix_sources(
         "mix_epoch": F.explode(F.sequence(F.lit(1).cast("long"), "_plan_copies")), "mix_block_rank": F.col("_plan_block_rank"), "mix_weight": F.col("_plan_weight"),
         "mix_exponent": F.col("_plan_exponent"), "mix_budget_tokens": F.col("_plan_budget_tokens"), "mix_tokens": F.col("_tokens"),
     }
-    kept = [c for c in docs.columns if c not in made]
+    kept = [F.col("doc").getField(c).alias(c) for c in docs.columns if c.lower() not in made]
     return joined.select(*kept, *(v.alias(k) for k, v in made.items()))

@@ -333,6 +333,47 @@ def test_mixing_meets_a_target_entropy(spark):
     assert (10 / 900) ** (e - 1) == pytest.approx(3.0, rel=1e-5) and (10 / 900) ** (e - 1) <= 3.0 and math.isfinite(e)
 
 
+def test_mixing_keeps_columns_named_like_its_own(docs, rows):
+    names = ["_source", "_SOURCE2", "_tokens", "_block", "_plan_copies", "doc", "block_rank", "copies", "Mix_Epoch"]
+    clash = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    got = mixing.mix_sources(clash, blocks=16)
+    assert set(clash.columns) - {"Mix_Epoch"} <= set(got.columns)
+    plain = Counter((r["doc_id"], r["mix_epoch"], r["mix_block_rank"], r["mix_weight"]) for r in mixing.mix_sources(docs, blocks=16).collect())
+    found = got.collect()
+    assert Counter((r["doc_id"], r["mix_epoch"], r["mix_block_rank"], r["mix_weight"]) for r in found) == plain
+    assert all(r[n] == f"{n}{r['doc_id']}" for r in found for n in names[:-1])
+
+
+def test_mixing_plan_by_hand(docs, rows):
+    """The blocks, their order, the budgets and the copies, worked out again outside Spark."""
+    import xxhash
+
+    def hashed(*parts, seed=42):  # the engine's hash of several columns: each one's hash seeds the next
+        for x in parts:
+            seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else int(x).to_bytes(4, "little", signed=True), seed)
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    blocks, seed = 16, 17
+    got = mixing.mix_sources(docs, repetition_limit=2.0, blocks=blocks, seed=seed).collect()
+    exponent = got[0]["mix_exponent"]
+    size, where = defaultdict(Counter), {}
+    for d, t, _, s, _ in rows:
+        block = hashed(str(d), s or "", seed) % blocks
+        where[d] = s or "", block
+        size[s or ""][block] += len((t or "").encode().split()) + 1
+    totals = {s: sum(c.values()) for s, c in size.items()}
+    norm = sum(n**exponent for n in totals.values())
+    budget = max(n / n**exponent for n in totals.values()) * norm
+    copies = {}
+    for s, c in size.items():
+        mine = math.floor(totals[s] ** exponent / norm * budget + 0.5)
+        upto = 0
+        for block in sorted(c, key=lambda b: (hashed(s, b, seed + 1), b)):
+            upto += c[block]
+            copies[s, block] = mine // totals[s] + (upto <= mine % totals[s])
+    assert Counter(r["doc_id"] for r in got) == Counter({d: copies[at] for d, at in where.items()})
+
+
 def test_mixing_budget(spark):
     table = spark.createDataFrame([(k, "w " * 9, "big" if k % 3 else "small") for k in range(3000)], "doc_id long, text string, source string")
     got = mixing.mix_sources(table, budget_tokens=15_000, blocks=64, small_plan=0)
