@@ -32,8 +32,12 @@ LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)-\S+", re.I)
 HEADING_MARKS = re.compile(r"(?<![^\s_-])(?:header|masthead)s?(?![^\s_-])", re.I)
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: An attribute: its name is read whole, so that no name is tried from its middle.
+ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+TAG_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+QUOTE_OR_END = re.compile(r"[>\"']")
+#: References of so many digits are beyond all code points, or filled up with zeros.
+LONG_REFERENCE = re.compile(r"&#([0-9]{9,});?")
 SPACE = re.compile(r"\s+")
 STOPS = frozenset(w for words in STOP_WORDS.values() for w in words.split())
 #: A paragraph ends at these when its end tag is left out.
@@ -42,29 +46,82 @@ CLOSES_P = BLOCK - {"body", "html", "head", "option", "optgroup"}
 SHORT, LONG, MOST_LINKS, SOME_STOPS, MANY_STOPS = 70, 200, 0.35, 0.15, 0.25
 
 
+def decoded(text: str) -> str:
+    """Character references decoded, white space made one space, ends trimmed."""
+    if "&" in text:
+        text = html.unescape(LONG_REFERENCE.sub(lambda m: f"&#{(m[1].lstrip('0') or '0')[:8]};", text))
+    return SPACE.sub(" ", text).strip()
+
+
 class Block:
-    """Text of one block: its characters, those inside links, and where it stands."""
+    """Text of one block: its characters, those inside links, and where it stands: its innermost class mark and holder (-1: none)."""
 
-    __slots__ = ("parts", "linked", "apart", "marks", "within", "article", "heading", "label")
+    __slots__ = ("parts", "linked", "apart", "mark", "holder", "heading", "label", "text")
 
-    def __init__(self, apart: bool, marks: tuple[int, ...], within: tuple[int, ...], heading: bool):
+    def __init__(self, apart: bool, mark: int, holder: int, heading: bool):
         self.parts: list[str] = []
         self.linked = 0
-        self.apart, self.marks, self.within, self.heading, self.label = apart, marks, within, heading, ""
-        self.article = bool(within)
-
-    @property
-    def text(self) -> str:
-        return SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
-
-
-class Holder:
-    """An article or main element, with the class marks and articles around it."""
-
-    __slots__ = ("name", "apart", "marks", "size")
-
-    def __init__(self, name: str, apart: bool, marks: tuple[int, ...]):
-        self.name, self.apart, self.marks, self.size = name, apart, marks, 0
+        self.apart, self.mark, self.holder, self.heading, self.label, self.text = apart, mark, holder, heading, "", ""
+
+
+class Place:
+    """A class mark, or an article or main element (name): the mark and the holder around it, and the text under it."""
+
+    __slots__ = ("name", "apart", "mark", "holder", "size")
+
+    def __init__(self, name: str, apart: bool, mark: int, holder: int):
+        self.name, self.apart, self.mark, self.holder, self.size = name, apart, mark, holder, 0
+
+
+class Tags:
+    """The tags of a page, one after another; no stretch of the page is read more than a fixed number of times."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.quotes = True  # until a tag's quote does not close: from then on tags end at the first >
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.unclosed: set[str] = set()
+
+    def end_of_tag(self, at: int) -> int:
+        """The place of the > that ends the tag whose name ends at `at`, or -1."""
+        start = at
+        while self.quotes:
+            found = QUOTE_OR_END.search(self.page, at)
+            if found is None:
+                self.quotes = False
+            elif found[0] == ">":
+                return found.start()
+            elif self.last[found[0]] == found.start():
+                self.quotes = False
+            else:
+                at = self.page.index(found[0], found.end()) + 1
+        return self.page.find(">", start)
+
+    def after(self, name: str, at: int) -> int:
+        """The place after the next end tag of that name, or -1."""
+        if name not in self.unclosed:
+            found = re.compile(rf"</{re.escape(name)}(?=[\s/>]|$)", re.I).search(self.page, at)
+            if found is not None:
+                end = self.page.find(">", found.end())
+                return end + 1 if end >= 0 else len(self.page)
+            self.unclosed.add(name)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, str]:
+        """(start, end, name, attributes) of the next tag; a comment has no name, an end tag's starts with /. start -1: none is left."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0 and self.last[">"] > start:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(page), "", ""
+            if page[start + 1 : start + 2] in ("!", "?"):
+                return start, page.index(">", start) + 1, "", ""
+            name = TAG_NAME.match(page, start + 1)
+            if name is not None:
+                end = self.end_of_tag(name.end())
+                return start, end + 1, name[0].lower(), page[name.end() : end]
+            at = start + 1
+        return -1, len(page), "", ""
 
 
 def marked(name: str, values: dict[str, str], article: bool) -> bool:
@@ -75,53 +132,24 @@ def marked(name: str, values: dict[str, str], article: bool) -> bool:
     return any(MARKS.search(HEADING_MARKS.sub("", x) if article else x) for x in said)
 
 
-def set_apart(blocks: list[Block], holders: list[Holder], inside: list[tuple[int, ...]]) -> None:
-    """Take class marks back from what holds the main text, and set apart the blocks under all others.
-
-    That is: every main element; of articles, if each is under a mark, the one of most text; and within an article what
-    holds over half of its text. A page left without main text gives up the marks that hold over half of all.
-    """
-    total, sizes, waived = 0, [0] * len(inside), set()
-    open_blocks = [b for b in blocks if not b.apart]
-    for b in open_blocks:
-        n = len(b.text)
-        total += n
-        for m in b.marks:
-            sizes[m] += n
-        for a in b.within:
-            holders[a].size += n
-    able = [h for h in holders if not h.apart]
-    for h in able:
-        if h.name == "main":
-            waived.update(h.marks)
-    if able and not any(waived.issuperset(h.marks) for h in able):
-        waived.update(max(able, key=lambda h: h.size).marks)
-    waived.update(m for m, within in enumerate(inside) if within and 2 * sizes[m] > holders[within[-1]].size)
-
-    def settle() -> None:
-        for b in open_blocks:
-            b.apart = not waived.issuperset(b.marks)
-        label_blocks(blocks, [h.name for h in holders])
-
-    settle()
-    most = {m for m, n in enumerate(sizes) if 2 * n > total} - waived
-    if most and not any(b.label == "good" for b in blocks):
-        waived |= most
-        settle()
+def hidden(values: dict[str, str]) -> bool:
+    return values.get("role", "").lower() in ROLES or values.get("aria-hidden") == "true" or "hidden" in values or "display:none" in values.get("style", "").replace(" ", "")
 
 
-def split_blocks(page: str) -> tuple[list[Block], list[Holder], list[tuple[int, ...]]]:
-    """Blocks in page order, articles, and the articles around each class mark.
+def split_blocks(page: str) -> tuple[list[Block], list[Place], list[Place]]:
+    """Blocks in page order, class marks, and holders (articles and main elements), each after the one around it.
 
     Unclosed and stray tags are tolerated: an end tag closes up to its nearest open element.
     """
     blocks: list[Block] = []
-    holders: list[Holder] = []
-    inside: list[tuple[int, ...]] = []
-    stack: list[tuple[str, bool, tuple[int, ...], tuple[int, ...]]] = []  # element, apart, class marks, articles around
+    marks: list[Place] = []
+    holders: list[Place] = []
+    stack: list[tuple[str, bool, int, int]] = []  # element, apart, innermost mark and holder
+    open_at: dict[str, list[int]] = {}  # places in the stack of each open element
     current: Block | None = None
     links = 0
     at = 0
+    tags = Tags(page)
 
     def text(piece: str) -> None:
         nonlocal current
@@ -130,122 +158,191 @@ def split_blocks(page: str) -> tuple[list[Block], list[Holder], list[tuple[int,
         if current is None:
             if piece.isspace():
                 return
-            current = Block(*(stack[-1][1:] if stack else (False, (), ())), any(e[0] in HEADINGS for e in stack[-3:]))
+            current = Block(*(stack[-1][1:] if stack else (False, -1, -1)), any(e[0] in HEADINGS for e in stack[-3:]))
             blocks.append(current)
         current.parts.append(piece)
         if links:
             current.linked += len(piece.strip())
 
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            open_at[stack.pop()[0]].pop()
+
     while at < len(page):
-        found = TOKEN.search(page, at)
-        if found is None:
-            text(page[at:])
-            break
-        text(page[at : found.start()])
-        at = found.end()
-        name = (found[2] or "").lower()
+        start, end, name, attributes = tags.next(at)
+        text(page[at : start if start >= 0 else end])
+        at = end
         if not name:
             continue
-        if found[1]:
+        if name[0] == "/":
+            name = name[1:]
             if name == "a":
                 links = max(0, links - 1)
-            if name in BLOCK or name == "br":
-                current = None if name in BLOCK else current
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is not None:
-                del stack[depth:]
+            if name in BLOCK:
+                current = None
+            if open_at.get(name):
+                close(open_at[name][-1])
             continue
         if name == "br":
             text(" ")
             continue
         if name in DROPPED:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            if end is not None or name in ("script", "style", "template", "svg"):
-                at = end.end() if end is not None else len(page)
+            end = tags.after(name, at)
+            if end >= 0 or name in ("script", "style", "template", "svg"):
+                at = end if end >= 0 else len(page)
             current = None if name in BLOCK else current
             continue
-        if name == "a" and not found[3].rstrip().endswith("/"):
+        empty = attributes.rstrip().endswith("/")
+        if name == "a" and not empty:
             links += 1
         if name in BLOCK:
             current = None
             links = 0
             if name in CLOSES_P and stack and stack[-1][0] == "p":
-                stack.pop()
-        if name in VOID or found[3].rstrip().endswith("/"):
+                close(len(stack) - 1)
+        if name in VOID or empty:
             continue
-        _, apart, marks, within = stack[-1] if stack else ("", False, (), ())
+        _, apart, mark, holder = stack[-1] if stack else ("", False, -1, -1)
         if name in APART:
             # a heading block inside an article belongs to it
-            apart = apart or not (name == "header" and within)
+            apart = apart or not (name == "header" and holder >= 0)
         elif name in ("article", "main"):
-            holders.append(Holder(name, apart, marks))
-            within = (*within, len(holders) - 1)
-        if found[3] and not apart and name not in ("body", "html", "article", "main"):
-            values = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(found[3])}
-            if values.get("role", "").lower() in ROLES or values.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|$)", found[3]) or "display:none" in values.get("style", "").replace(" ", ""):
+            holders.append(Place(name, apart, mark, holder))
+            holder = len(holders) - 1
+        if attributes and not apart and name not in ("body", "html", "article", "main"):
+            values: dict[str, str] = {}
+            for k, a, b, c in ATTRIBUTE.findall(attributes):
+                values.setdefault(k.lower(), html.unescape(a or b or c))
+            if hidden(values):
                 apart = True
-            elif marked(name, values, bool(within)):
-                inside.append(within)
-                marks = (*marks, len(inside) - 1)
-        stack.append((name, apart, marks, within))
-    return blocks, holders, inside
+            elif marked(name, values, holder >= 0):
+                marks.append(Place(name, apart, mark, holder))
+                mark = len(marks) - 1
+        open_at.setdefault(name, []).append(len(stack))
+        stack.append((name, apart, mark, holder))
+    for b in blocks:
+        b.text = decoded("".join(b.parts))
+    return blocks, marks, holders
+
+
+def set_apart(blocks: list[Block], marks: list[Place], holders: list[Place]) -> None:
+    """Take class marks back from what holds the main text, set apart the blocks under all others, and label.
+
+    That is: every main element; of articles, if each is under a mark, the one of most text; and within an article what
+    holds over half of its text. A page left without main text gives up the marks that hold over half of all.
+    """
+    waived = [False] * len(marks)
+    open_blocks = [b for b in blocks if not b.apart]
+    total = sum(len(b.text) for b in open_blocks)
+    for b in open_blocks:
+        if b.mark >= 0:
+            marks[b.mark].size += len(b.text)
+        if b.holder >= 0:
+            holders[b.holder].size += len(b.text)
+    for places, around in ((marks, "mark"), (holders, "holder")):
+        for p in reversed(places):  # each stands after the one around it
+            if getattr(p, around) >= 0:
+                places[getattr(p, around)].size += p.size
+
+    def waive(mark: int) -> None:
+        while mark >= 0 and not waived[mark]:
+            waived[mark] = True
+            mark = marks[mark].mark
+
+    def under() -> list[bool]:
+        """Whether each mark, or one around it, still holds."""
+        held: list[bool] = []
+        for m, own in zip(marks, waived, strict=True):
+            held.append(not own or m.mark >= 0 and held[m.mark])
+        return held
+
+    able = [h for h in holders if not h.apart]
+    for h in able:
+        if h.name == "main":
+            waive(h.mark)
+    held = under()
+    if able and all(h.mark >= 0 and held[h.mark] for h in able):
+        waive(max(able, key=lambda h: h.size).mark)
+    for k, m in enumerate(marks):
+        waived[k] = waived[k] or m.holder >= 0 and 2 * m.size > holders[m.holder].size
 
+    def settle() -> None:
+        held = under()
+        for b in open_blocks:
+            b.apart = b.mark >= 0 and held[b.mark]
+        label_blocks(blocks, holders)
+
+    settle()
+    most = [k for k, m in enumerate(marks) if 2 * m.size > total and not waived[k]]
+    if most and not any(b.label == "good" for b in blocks):
+        for k in most:
+            waived[k] = True
+        settle()
 
-def label_blocks(blocks: list[Block], holders: list[str]) -> None:
-    """First pass by stop-word density, length and link density; second pass: ambiguous blocks take the nearest decided label.
+
+def first_label(b: Block, anywhere: bool, in_article: bool) -> str:
+    """The first pass: good and bad by stop-word density, length and link density, near if these do not tell.
 
     Link density decides nothing inside an article: what is linked there is still its text.
     """
-    anywhere = any(b.article and not b.apart for b in blocks)
+    n = len(b.text)
+    if b.apart or not n:
+        return "bad"
+    links = b.linked / n
+    if b.holder >= 0:
+        if links > MOST_LINKS and not in_article:
+            return "bad"
+        return "good" if n >= SHORT or b.heading else "near"
+    if links > MOST_LINKS:
+        return "bad"
+    words = [w.strip(".,;:!?\"'()").lower() for w in b.text.split()]
+    density = sum(w in STOPS for w in words) / len(words)
+    if anywhere:
+        return "bad" if n < SHORT or density < SOME_STOPS else "near"
+    if n < SHORT:
+        return "bad" if b.linked else "near"
+    if density >= MANY_STOPS or density >= SOME_STOPS and n >= LONG:
+        return "good"
+    return "near" if density >= SOME_STOPS or n < LONG else "bad"
+
+
+def label_blocks(blocks: list[Block], holders: list[Place]) -> None:
+    """Both passes: the first decides by each block's own measures, the second gives ambiguous blocks the label of the nearest decided one.
+
+    Of two as near, a good one counts. An ambiguous block of an article or main element looks only at decided blocks
+    that stand in one too and are not set apart, so that an advert does not decide on the paragraph beside it; with
+    none it is good, as is any ambiguous block of a page without decided ones.
+    """
+    anywhere = any(b.holder >= 0 and not b.apart for b in blocks)
+    articles: list[bool] = []
+    for h in holders:
+        articles.append(h.name == "article" or h.holder >= 0 and articles[h.holder])
     for b in blocks:
-        plain = b.text
-        n = len(plain)
-        words = [w.strip(".,;:!?\"'()").lower() for w in plain.split()]
-        density = sum(w in STOPS for w in words) / len(words) if words else 0.0
-        links = b.linked / n if n else 0.0
-        if b.apart or not n:
-            b.label = "bad"
-        elif links > MOST_LINKS and n < 10 * LONG and not any(holders[a] == "article" for a in b.within):
-            b.label = "bad"
-        elif b.article:
-            b.label = "good" if n >= SHORT or b.heading else "near"
-        elif anywhere:
-            b.label = "bad" if n < SHORT or density < SOME_STOPS else "near"
-        elif n < SHORT:
-            b.label = "near" if not b.linked else "bad"
-        elif density >= MANY_STOPS or density >= SOME_STOPS and n >= LONG:
-            b.label = "good"
-        else:
-            b.label = "near" if density >= SOME_STOPS or n < LONG else "bad"
-    decided = [k for k, b in enumerate(blocks) if b.label in ("good", "bad")]
-    before, after = [None] * len(blocks), [None] * len(blocks)
-    last = None
-    for k, b in enumerate(blocks):
-        before[k] = last
-        last = k if b.label != "near" else last
-    last = None
-    for k in range(len(blocks) - 1, -1, -1):
-        after[k] = last
-        last = k if blocks[k].label != "near" else last
-    final = [b.label for b in blocks]
-    for k, b in enumerate(blocks):
-        if b.label == "near":
-            sides = sorted((abs(k - s), blocks[s].label != "good") for s in (before[k], after[k]) if s is not None)
-            if b.article:
-                # inside the article only its own blocks decide
-                sides = [(0, False)]
-            final[k] = ("bad" if sides[0][1] else "good") if sides else "good"
-    if not decided:
-        final = ["good"] * len(blocks)
-    for b, label in zip(blocks, final, strict=True):
-        b.label = label
+        b.label = first_label(b, anywhere, b.holder >= 0 and articles[b.holder])
+    first = [b.label for b in blocks]
+    nearest: list[list[tuple[int, bool]]] = [[] for _ in blocks]
+    for order in (range(len(blocks)), range(len(blocks) - 1, -1, -1)):
+        last: dict[bool, int | None] = {True: None, False: None}
+        for k in order:
+            b = blocks[k]
+            if first[k] == "near":
+                s = last[b.holder >= 0]
+                if s is not None:
+                    nearest[k].append((abs(k - s), first[s] != "good"))
+            else:
+                last[False] = k
+                if b.holder >= 0 and not b.apart:
+                    last[True] = k
+    for b, label, sides in zip(blocks, first, nearest, strict=True):
+        if label == "near":
+            b.label = "bad" if sides and min(sides)[1] else "good"
 
 
 def main_text(page: str | None) -> str:
     """The main text: good blocks in page order, one a line."""
-    blocks, holders, inside = split_blocks(page or "")
-    set_apart(blocks, holders, inside)
-    return "\n".join(t for b in blocks if b.label == "good" and (t := b.text))
+    blocks, marks, holders = split_blocks(page or "")
+    set_apart(blocks, marks, holders)
+    return "\n".join(b.text for b in blocks if b.label == "good" and b.text)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
