@@ -47,41 +47,48 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Index of a sequence of numbers (0 separates texts), sorted to `depth` numbers, for patterns of up to that length."""
+    """Index of a sequence of numbers (0 separates texts), for patterns of up to `depth` numbers.
 
-    def __init__(self, sequence: np.ndarray, depth: int):
+    The suffixes are sorted to `depth` numbers once; of that order only the Burrows-Wheeler transform stays, as a
+    wavelet matrix, and where groups of suffixes that agree in depth - 1 and in depth numbers begin. With `owners` (one
+    for each place) the least owner of each group of the latter is kept too, so an interval is answered without places.
+    """
+
+    def __init__(self, sequence: np.ndarray, depth: int, owners: np.ndarray | None = None):
         n = len(sequence)
         self.n, self.depth = n, depth
         self.sigma = int(sequence.max()) + 1 if n else 1
-        self.names: dict[int, np.ndarray] = {}
         names, have = sequence.astype(np.int64), 1
         while True:
-            order = None
             nxt = np.zeros(n, np.int64)
             nxt[: max(n - have, 0)] = names[have:] + 1
             keys = names * (int(nxt.max(initial=0)) + 1) + nxt
-            self.names[have] = names
             if 2 * have >= depth:
                 order = np.argsort(keys, kind="stable")
                 break
             _, names = np.unique(keys, return_inverse=True)
             have *= 2
-        self.have = have
-        self.order = order
         self.bwt = WaveletMatrix(sequence[order - 1], self.sigma)
         self.first = np.concatenate(([0], np.cumsum(np.bincount(sequence, minlength=self.sigma))))
 
-    def groups(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each place of the suffix order: begin and end of the suffixes that agree with it in `depth` numbers."""
-        names, order = self.names[self.have], self.order
-        n = self.n
-        second = np.minimum(order + depth - self.have, n - 1)
-        same = (names[order[1:]] == names[order[:-1]]) & (names[second[1:]] == names[second[:-1]])
-        same &= np.maximum(order[1:], order[:-1]) + depth <= n
-        new = np.concatenate(([True], ~same))
-        starts = np.flatnonzero(new)
-        label = np.cumsum(new) - 1
-        return starts[label], np.append(starts[1:], n)[label]
+        def begins(length: int) -> np.ndarray:
+            """Where groups of suffixes that agree in so many numbers begin."""
+            second = np.minimum(order + length - have, n - 1)
+            same = (names[order[1:]] == names[order[:-1]]) & (names[second[1:]] == names[second[:-1]])
+            same &= np.maximum(order[1:], order[:-1]) + length <= n
+            return np.flatnonzero(np.concatenate((np.ones(min(n, 1), bool), ~same))).astype(np.int32)
+
+        self.wide, self.full = begins(depth - 1), begins(depth)
+        self.least = np.minimum.reduceat(owners[order], self.full) if owners is not None and n else None
+
+    def widened(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The interval of the suffixes that agree in depth - 1 numbers with the one at each place of the order."""
+        group = np.searchsorted(self.wide, low, side="right")
+        return self.wide[group - 1].astype(np.int64), np.append(self.wide, self.n)[group].astype(np.int64)
+
+    def least_owners(self, low: np.ndarray) -> np.ndarray:
+        """The least owner of the interval of depth numbers that begins at each of these places."""
+        return self.least[np.searchsorted(self.full, low)]
 
     def extend(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward step: the interval of symbol + pattern from the pattern's."""
@@ -102,7 +109,6 @@ def window_intervals(index: FMIndex, sequence: np.ndarray, starts: np.ndarray, l
     low_of, high_of = np.zeros(len(sequence), np.int64), np.zeros(len(sequence), np.int64)
     if not index.n or not len(starts):
         return low_of, high_of
-    wide_low, wide_high = index.groups(width - 1)
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
     low, high = np.zeros(len(starts), np.int64), np.full(len(starts), index.n, np.int64)
@@ -112,8 +118,8 @@ def window_intervals(index: FMIndex, sequence: np.ndarray, starts: np.ndarray, l
         at = starts[:live] + lengths[:live] - 1 - step
         lo, hi, m = low[:live], high[:live], matched[:live]
         full = m >= width
-        at_low = np.minimum(lo, index.n - 1)
-        lo, hi = np.where(full, wide_low[at_low], lo), np.where(full, wide_high[at_low], hi)
+        wide_low, wide_high = index.widened(np.minimum(lo, index.n - 1))
+        lo, hi = np.where(full, wide_low, lo), np.where(full, wide_high, hi)
         m = np.where(full, width - 1, m)
         symbols = sequence[at]
         known = symbols < index.sigma

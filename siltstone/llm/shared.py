@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/siltstone-checkpoints"
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session has an own one (tests)."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = f"{tempfile.gettempdir()}/siltstone-checkpoints"
     return path.rstrip("/")
 
 
@@ -35,24 +40,63 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
 
 
+#: Paths and tables made inside scratch(), to be removed at its end.
+_made: ContextVar[list[tuple[str, str | None]] | None] = ContextVar("made", default=None)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write as Parquet in the shared folder and read it back, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append((path, None))
     with shuffles_dropped(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, parts: int, tag: str) -> DataFrame:
-    """The same, in `parts` buckets by id; df is already dealt by id into so many partitions, so each writes one file."""
+def bucketed(df: DataFrame, parts: int, columns: list[str], tag: str) -> DataFrame:
+    """The same, in `parts` buckets by these columns; df is already dealt by them into so many partitions, so each writes one file."""
     spark = df.sparkSession
     name = f"{tag}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    if (made := _made.get()) is not None:
+        made.append((path, name))
+    if parts > int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")):
+        spark.conf.set("spark.sql.sources.bucketing.maxBuckets", str(parts))
     with shuffles_dropped(spark):
-        df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(parts, "id").format("parquet").saveAsTable(name)
+        df.write.option("compression", "zstd").option("path", path).bucketBy(parts, *columns).format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables made within are removed at the end; the function it gives writes what stays.
+
+    An operator whose intermediate tables hold text ends with its result written, so that these need not stay.
+    """
+    token = _made.set([])
+
+    def keep(df: DataFrame, tag: str) -> DataFrame:
+        made = _made.get()
+        _made.set(None)
+        try:
+            return written(df, tag)
+        finally:
+            _made.set(made)
+
+    try:
+        yield keep
+    finally:
+        made = _made.get()
+        _made.reset(token)
+        for path, table in made:
+            if table is not None:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def if_small(df: DataFrame, most: int = 50_000) -> DataFrame:
     """A written table of short rows, marked for broadcast only if it is counted to have at most `most` rows."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import written
-from siltstone.llm.substring_dedup import merged
-from siltstone.llm.superkmers import Scheme, bodies_of, different_bodies, distinct_texts, joined_runs, ranges_at_places, segments_of, shared_minimizers, shards, windows_of
+from siltstone.llm.shared import scratch, written
+from siltstone.llm.substring_dedup import RANGES, merged
+from siltstone.llm.superkmers import Scheme, Texts, bodies_of, different_bodies, distinct_texts, joined_runs, one_text_a_digest, ranges_at_places, segments_of, shared_minimizers, shards, windows_of
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -111,13 +111,13 @@ def repeated(bodies: list[bytes], weights: np.ndarray, width: int) -> tuple[np.n
 
 
 def shard_ranges(table: pa.Table, width: int) -> pa.Table:
-    """(id, low, high): byte ranges of each text covered by strings that occur more than once."""
+    """(id, name, low, high): byte ranges of each text covered by strings that occur more than once."""
     keys, reps = table["key"].to_numpy(), table["reps"].to_numpy().astype(np.int64)
     heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     shared = np.add.reduceat(reps, heads) > 1
     rows = np.flatnonzero(np.repeat(shared, np.diff(np.append(heads, len(keys)))))
     if not len(rows):
-        return pa.table({"id": table["id"].slice(0, 0), "low": pa.array([], pa.int64()), "high": pa.array([], pa.int64())})
+        return pa.table({"id": table["id"].slice(0, 0), "name": table["name"].slice(0, 0), "low": pa.array([], pa.int64()), "high": pa.array([], pa.int64())})
     bodies = table["body"].combine_chunks().take(pa.array(rows)).to_pylist()
     number: dict[bytes, int] = {}
     which = np.array([number.setdefault(b, len(number)) for b in bodies])
@@ -131,51 +131,52 @@ def shard_ranges(table: pa.Table, width: int) -> pa.Table:
     low = at[owner] + within[first]
     # the windows of a segment that repeats itself all occur twice, so its range runs to the last repeat
     high = at[owner] + within[last] + (reps[owner] - 1) * n[owner] + width
-    return pa.table({"id": pa.array(table["id"].to_numpy()[rows][owner], table.schema.field("id").type), "low": low, "high": high})
+    texts = table.select(["id", "name"]).take(pa.array(rows[owner]))
+    return texts.append_column("low", pa.array(low)).append_column("high", pa.array(high))
 
 
 def body_answers(table: pa.Table, width: int) -> pa.Table:
-    """(key, hash, low, last): runs of each different segment's windows that occur more than once."""
+    """(key, digest, low, last): runs of each different segment's windows that occur more than once."""
     n = table["n"].to_numpy().astype(np.int64)
     flags, starts = repeated(table["body"].to_pylist(), table["reps"].to_numpy(), width)
     row = np.repeat(np.arange(len(n)), n)
     within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     first, last = joined_runs(flags[starts[row] + within], row)
-    return table.select(["key", "hash"]).take(pa.array(row[first])).append_column("low", pa.array(within[first])).append_column("last", pa.array(within[last]))
+    return table.select(["key", "digest"]).take(pa.array(row[first])).append_column("low", pa.array(within[first])).append_column("last", pa.array(within[last]))
 
 
-def repeated_ranges(texts: DataFrame, scheme: Scheme, shard_bytes: int = 2 << 20, **limits: int) -> DataFrame:
-    """(id, low, high) over different texts."""
-    shared = shared_minimizers(texts, scheme, **limits)
+def repeated_ranges(texts: Texts, scheme: Scheme, shard_bytes: int = 2 << 20, **limits: int) -> DataFrame:
+    """(id, name, low, high) over different texts."""
+    shared = shared_minimizers(texts.different, texts.parts, scheme, **limits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in shards(batches, shard_bytes):
             yield from shard_ranges(table, scheme.width).to_batches(max_chunksize=20_000)
 
-    found = segments_of(shared.cold, scheme).repartition("key").sortWithinPartitions("key").mapInArrow(run, "id long, low long, high long")
+    found = segments_of(shared.cold, scheme).repartition(shared.parts, "key").sortWithinPartitions("key").mapInArrow(run, RANGES)
     found = written(found, "ranges")
     if shared.crowded is not None:
 
         def answer_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for table in shards(batches, shard_bytes):
-                yield from body_answers(table, scheme.width).to_batches(max_chunksize=20_000)
+                yield from body_answers(one_text_a_digest(table), scheme.width).to_batches(max_chunksize=20_000)
 
-        answers = written(different_bodies(shared.crowded, scheme).mapInArrow(answer_bodies, "key long, hash long, low long, last long"), "bodies")
-        hits = bodies_of(shared.crowded, scheme, False).drop("body").join(answers, ["key", "hash"])
+        different = different_bodies(bodies_of(shared.crowded, scheme, True), shared.parts)
+        answers = written(different.mapInArrow(answer_bodies, "key long, digest binary, low long, last long"), "bodies")
+        hits = bodies_of(shared.crowded, scheme, False).drop("body").join(answers, ["key", "digest"])
         found = found.unionByName(ranges_at_places(hits, scheme.width, "low", "last"))
     if shared.hot is not None:
 
         def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for table in shards(batches, shard_bytes):
-                flags, starts = repeated(table["body"].to_pylist(), table["reps"].to_numpy(), scheme.width)
-                some = pa.table({"key": table["key"]}).filter(pa.array(flags[starts]))
-                yield from some.to_batches(max_chunksize=20_000)
+                flags, starts = repeated(one_text_a_digest(table)["body"].to_pylist(), table["reps"].to_numpy(), scheme.width)
+                yield from table.select(["key", "digest"]).filter(pa.array(flags[starts])).to_batches(max_chunksize=20_000)
 
         # windows of hot minimizers: equal ones are combined before the shuffle, answered once, and joined to their places
-        warm = windows_of(shared.hot, scheme, True).withColumn("body_hash", F.xxhash64("body"))
-        answers = warm.groupBy("key", "body_hash").agg(F.sum("reps").alias("reps"), F.min("body").alias("body"))
-        answers = written(answers.repartition("key").sortWithinPartitions("key").mapInArrow(answer, "key long"), "answers")
-        found = found.unionByName(ranges_at_places(windows_of(shared.hot, scheme, False).drop("body").join(answers, "key"), scheme.width))
+        different = different_bodies(windows_of(shared.hot, scheme, True), shared.parts)
+        answers = written(different.mapInArrow(answer, "key long, digest binary"), "answers")
+        hits = windows_of(shared.hot, scheme, False).drop("body").join(answers, ["key", "digest"])
+        found = found.unionByName(ranges_at_places(hits, scheme.width))
     return found
 
 
@@ -183,12 +184,17 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: id_col, n_bytes, n_removed, n_spans, kept_sha256, spans (array of removed byte ranges).
 
     Each byte covered by a string of `width` bytes that also starts anywhere else, in this or another document, is
-    removed; overlaps count; judged on the input. Null counts as empty. Ids are whole numbers below 2^52 or null; rows
+    removed; overlaps count; judged on the input. Null counts as empty. Ids are whole numbers below 2^63 - 1 or null; rows
     that repeat an id are documents of their own. An empty table gives an empty result; other columns are ignored.
     """
-    rows, texts = distinct_texts(docs, id_col, text_col)
+    with scratch(docs.sparkSession) as keep:
+        return keep(removed_bytes(docs, id_col, text_col, width, k), "suffix-dedup")
+
+
+def removed_bytes(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -> DataFrame:
+    texts = distinct_texts(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    ranges = repeated_ranges(texts, Scheme(width, k, False)).groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    ranges = repeated_ranges(texts, Scheme(width, k, False)).groupBy("id", "name").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
 
     @F.pandas_udf("struct<n_removed: long, n_spans: long, kept_sha256: string, spans: array<struct<low: long, high: long>>>")
     def apply(text: pd.Series, ranges: pd.Series) -> pd.DataFrame:
@@ -202,12 +208,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_sha256", "spans"])
 
     # texts with copies are removed whole or kept whole, so only single ones are cut, and untouched ones have their digest
-    single = rows.where("copies = 1").select(F.col("uid").alias("id"))
-    done = texts.join(ranges.join(single, "id", "left_semi"), "id").select(F.col("id").alias("uid"), apply("text", "ranges").alias("r")).select("uid", "r.*")
+    single = texts.rows.where("copies = 1").select("id", "name")
+    ranges = ranges.join(single, ["id", "name"], "left_semi")
+    done = texts.different.join(ranges, ["id", "name"]).select("name", apply("text", "ranges").alias("r")).select("name", "r.*")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= width)
     zero = F.lit(0).cast("long")
     everything = F.array(F.struct(zero.alias("low"), F.col("n_bytes").alias("high")))
-    return rows.join(done, "uid", "left").select(
+    return texts.rows.join(done, "name", "left").select(
         F.when(~F.col("no_id"), F.col("id")).cast(kind).alias(id_col),
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),

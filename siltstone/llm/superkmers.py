@@ -11,17 +11,22 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.shared import bucketed, pieces, text_bytes, written
 
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 INVERSE = pow(BASE, -1, 1 << 64)
-SEGMENTS = "key long, id {kind}, at int, n int, reps int, body binary"
+SEGMENTS = "key long, id long, name binary, at int, n int, reps int, body binary"
+#: The id of rows without one: the largest.
+LAST = (1 << 63) - 1
+#: Bytes of text in a bucket or a shuffle partition, where these are more than spark.sql.shuffle.partitions.
+PART_BYTES = 256 << 20
 
 
 @dataclass(frozen=True)
@@ -131,37 +136,62 @@ def runs_of_equals(s: Segments, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]
     return keep, np.diff(np.append(keep, len(same)))
 
 
-def batch_of(ids: pa.Array, rows: np.ndarray, keys, at, n, reps, data: np.ndarray, a: np.ndarray, b: np.ndarray, with_body: bool = True) -> pa.RecordBatch:
+def binary(offsets: np.ndarray, data: bytes) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
+def batch_of(ids: pa.Array, names: pa.Array, rows: np.ndarray, keys, at, n, reps, data: np.ndarray, a: np.ndarray, b: np.ndarray, with_body: bool = True) -> pa.RecordBatch:
     lengths = b - a if with_body else np.zeros(len(a), np.int64)
     offsets = np.concatenate(([0], np.cumsum(lengths)))
     # gather all bodies at once: each output byte's place in data
     places = np.arange(offsets[-1]) + np.repeat(a - offsets[:-1], lengths)
-    body = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[places].tobytes())])
-    columns = [pa.array(np.ascontiguousarray(keys).view(np.int64)), ids.take(pa.array(rows)), *(pa.array(np.asarray(x, np.int32)) for x in (at, n, reps)), body]
-    return pa.RecordBatch.from_arrays(columns, ["key", "id", "at", "n", "reps", "body"])
+    which = pa.array(rows)
+    columns = [pa.array(np.ascontiguousarray(keys).view(np.int64)), ids.take(which), names.take(which), *(pa.array(np.asarray(x, np.int32)) for x in (at, n, reps)), binary(offsets, data[places].tobytes())]
+    return pa.RecordBatch.from_arrays(columns, ["key", "id", "name", "at", "n", "reps", "body"])
+
+
+def different_slices(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Which of the different slices data[a:b] each one is, by their bytes, and the different ones."""
+    whole = data.tobytes()
+    number: dict[bytes, int] = {}
+    which = np.fromiter((number.setdefault(whole[x:y], len(number)) for x, y in zip(a.tolist(), b.tolist(), strict=True)), np.int64, len(a))
+    return which, list(number)
+
+
+def digests(slices: list[bytes]) -> pa.Array:
+    return binary(np.arange(len(slices) + 1) * 16, b"".join(blake2b(x, digest_size=16).digest() for x in slices))
+
+
+def one_text_a_digest(table: pa.Table) -> pa.Table:
+    """Rows of different bodies, all of a key together: that no two of a key have the same 128-bit digest, by which places are joined."""
+    named = set(zip(table["key"].to_pylist(), table["digest"].to_pylist(), strict=True))
+    if len(named) < table.num_rows:
+        raise RuntimeError("two different texts have one 128-bit digest")
+    return table
 
 
 def mapped(texts: DataFrame, schema: str, per_piece: Callable, piece_bytes: int = 1 << 22) -> DataFrame:
-    """mapInArrow over (id, text[, keys]), a few MB of whole texts at a time; per_piece also gets the sorted keys of its texts."""
+    """mapInArrow over (id, name, text[, keys]), a few MB of whole texts at a time; per_piece also gets the sorted keys of its texts."""
     keyed = "keys" in texts.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
+            data, offsets = text_bytes(batch.column(2))
             for first, last in pieces(offsets, piece_bytes):
-                keys = np.unique(batch.column(2).slice(first, last - first).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) if keyed else None
-                for out in per_piece(batch.column(0).slice(first, last - first), data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], keys):
+                keys = np.unique(batch.column(3).slice(first, last - first).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) if keyed else None
+                ids, names = (batch.column(k).slice(first, last - first) for k in (0, 1))
+                for out in per_piece(ids, names, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], keys):
                     for at in range(0, out.num_rows, 20_000):
                         yield out.slice(at, 20_000)
 
-    return texts.select("id", "text", *(["keys"] if keyed else [])).mapInArrow(run, schema.format(kind=texts.schema["id"].dataType.simpleString()))
+    return texts.select("id", "name", "text", *(["keys"] if keyed else [])).mapInArrow(run, schema)
 
 
 @dataclass
 class Shared:
     """Minimizers that stand in more than one segment, and the texts that hold them.
 
-    Each is a table (id, text, keys) with the keys of one kind that a text holds. cold: minimizers in few segments.
+    Each is a table (id, name, text, keys) with the keys of one kind that a text holds. cold: minimizers in few segments.
     crowded: those whose segments alone would fill more than a quarter of a mean shuffle partition (and there are more
     than `least`), so there are at most `share` = 4 x partitions of them. hot: crowded ones whose different segments still
     would. crowded and hot are None where there are none.
@@ -170,26 +200,31 @@ class Shared:
     cold: DataFrame
     crowded: DataFrame | None
     hot: DataFrame | None
+    parts: int
 
 
-def shared_minimizers(texts: DataFrame, scheme: Scheme, least: int = 4_000, share: int | None = None) -> Shared:
-    """Count minimizers first, from hashes alone, so that segments found nowhere else are never sent with their bytes."""
+def shared_minimizers(texts: DataFrame, parts: int, scheme: Scheme, least: int = 4_000, share: int | None = None) -> Shared:
+    """Count minimizers first, from hashes alone, so that segments found nowhere else are never sent with their bytes.
 
-    def per_piece(ids, data, offsets, _):
+    Here hashes only choose between ways that have the same result.
+    """
+
+    def per_piece(ids, names, data, offsets, _):
         s = segments(data, offsets, scheme)
         if s is not None:
             keep, reps = runs_of_equals(s, scheme)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(s.rows[keep])), *(pa.array(x.view(np.int64)) for x in (s.keys[keep], s.hashes(scheme)[keep])), pa.array(reps.astype(np.int64))], ["id", "key", "hash", "reps"])
+            which = pa.array(s.rows[keep])
+            yield pa.RecordBatch.from_arrays([ids.take(which), names.take(which), *(pa.array(x.view(np.int64)) for x in (s.keys[keep], s.hashes(scheme)[keep])), pa.array(reps.astype(np.int64))], ["id", "name", "key", "hash", "reps"])
 
-    places = written(mapped(texts, "id {kind}, key long, hash long, reps long", per_piece), "places")
+    places = written(mapped(texts, "id long, name binary, key long, hash long, reps long", per_piece), "places")
     counts = written(places.groupBy("key").agg(F.count("*").alias("n"), F.sum("reps").alias("reps")).where("reps > 1"), "minimizers")
-    share = share or 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = share or 4 * parts
     cut = max(least, places.count() // share)
     many = counts.where(F.col("n") > cut).select("key")
-    pairs = places.select("id", "key")
+    pairs = places.select("id", "name", "key")
 
     def with_keys(pairs: DataFrame) -> DataFrame:
-        return texts.join(pairs.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
+        return texts.join(pairs.groupBy("id", "name").agg(F.collect_set("key").alias("keys")), ["id", "name"])
 
     def holding(keys: DataFrame) -> DataFrame | None:
         return None if keys.isEmpty() else with_keys(pairs.join(F.broadcast(keys), "key", "left_semi"))
@@ -200,7 +235,7 @@ def shared_minimizers(texts: DataFrame, scheme: Scheme, least: int = 4_000, shar
         many = written(different.select("key", (F.col("count") > cut).alias("hot")), "crowded")
     cold = pairs.join(F.broadcast(many.select("key")), "key", "left_anti") if some else pairs
     cold = cold.join(counts.where(F.col("n") <= cut).select("key"), "key", "left_semi")
-    return Shared(with_keys(cold), *((holding(many.where(kind).select("key")) if some else None) for kind in ("not hot", "hot")))
+    return Shared(with_keys(cold), *((holding(many.where(kind).select("key")) if some else None) for kind in ("not hot", "hot")), parts)
 
 
 def is_in(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -213,7 +248,7 @@ def is_in(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
 def segments_of(cold: DataFrame, scheme: Scheme) -> DataFrame:
     """One row per segment whose minimizer is among its text's keys; `at` counts units from the text's start."""
 
-    def per_piece(ids, data, offsets, wanted):
+    def per_piece(ids, names, data, offsets, wanted):
         s = segments(data, offsets, scheme)
         if s is None:
             return
@@ -221,61 +256,62 @@ def segments_of(cold: DataFrame, scheme: Scheme) -> DataFrame:
         some = is_in(s.keys[keep], wanted)
         keep, reps = keep[some], reps[some]
         first, n, rows = s.firsts[keep], s.counts[keep], s.rows[keep]
-        yield batch_of(ids, rows, s.keys[keep], first - s.begins[rows], n, reps, s.data, s.starts[first], s.ends[first + n + scheme.width - 2])
+        yield batch_of(ids, names, rows, s.keys[keep], first - s.begins[rows], n, reps, s.data, s.starts[first], s.ends[first + n + scheme.width - 2])
 
     return mapped(cold, SEGMENTS, per_piece)
 
 
-def first_of_equals(keys: np.ndarray, ids: np.ndarray, reps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The row with the least id of each key, and the key's summed reps."""
-    order = np.lexsort((ids, keys))
-    head = np.flatnonzero(np.concatenate((np.ones(min(len(order), 1), bool), keys[order][1:] != keys[order][:-1])))
+def first_of_equals(which: np.ndarray, ids: np.ndarray, reps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row with the least id of each different slice, in their order, and the slice's summed reps."""
+    order = np.lexsort((ids, which))
+    head = np.flatnonzero(np.diff(which[order], prepend=-1))
     return order[head], np.add.reduceat(reps[order], head) if len(head) else reps[:0]
 
 
 def bodies_of(crowded: DataFrame, scheme: Scheme, with_body: bool) -> DataFrame:
-    """Segments whose minimizer is among its text's keys, with the hash of their bytes, which names equal ones.
+    """Segments whose minimizer is among its text's keys, with the digest of their bytes, which names equal ones.
 
     Without bodies, one row per segment: its place. With bodies, equal segments of a piece of texts become one row, at
     its least id and with the summed reps.
     """
 
-    def per_piece(ids, data, offsets, wanted):
+    def per_piece(ids, names, data, offsets, wanted):
         s = segments(data, offsets, scheme)
         if s is None:
             return
         keep, reps = runs_of_equals(s, scheme)
         some = is_in(s.keys[keep], wanted)
         keep, reps = keep[some], reps[some]
-        hashes = s.hashes(scheme)[keep]
+        which, different = different_slices(s.data, s.starts[s.firsts[keep]], s.stops(scheme)[keep])
+        named = digests(different)
         if with_body:
-            one, reps = first_of_equals(hashes, ids.to_numpy()[s.rows[keep]], reps)
-            keep, hashes = keep[one], hashes[one]
+            one, reps = first_of_equals(which, ids.to_numpy()[s.rows[keep]], reps)
+            keep, which = keep[one], which[one]
         first, n, rows = s.firsts[keep], s.counts[keep], s.rows[keep]
-        out = batch_of(ids, rows, s.keys[keep], first - s.begins[rows], n, reps, s.data, s.starts[first], s.ends[first + n + scheme.width - 2], with_body)
-        yield out.append_column("hash", pa.array(hashes.view(np.int64)))
+        out = batch_of(ids, names, rows, s.keys[keep], first - s.begins[rows], n, reps, s.data, s.starts[first], s.ends[first + n + scheme.width - 2], with_body)
+        yield out.append_column("digest", named.take(pa.array(which)))
 
-    return mapped(crowded, SEGMENTS + ", hash long", per_piece)
+    return mapped(crowded, SEGMENTS + ", digest binary", per_piece)
 
 
-def different_bodies(crowded: DataFrame, scheme: Scheme) -> DataFrame:
-    """(key, hash, id, n, reps, body): one row per different segment, at its least id and with the summed reps."""
-    bodies = bodies_of(crowded, scheme, True).groupBy("key", "hash").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.sum("reps").alias("reps"), F.min("body").alias("body"))
-    return bodies.repartition("key").sortWithinPartitions("key")
+def different_bodies(bodies: DataFrame, parts: int) -> DataFrame:
+    """(key, digest, body, id, n, reps): one row per different body of a key, compared by bytes, at its least id and with the summed reps; sorted by key."""
+    found = bodies.groupBy("key", "digest", "body").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.sum("reps").alias("reps"))
+    return found.repartition(parts, "key").sortWithinPartitions("key")
 
 
 def ranges_at_places(places: DataFrame, width: int, low: str = "0", last: str = "0") -> DataFrame:
-    """(id, low, high) of windows low to last of segments; a segment that repeats itself covers all up to its last repeat."""
-    return places.selectExpr("id", f"cast(at + {low} as long) AS low", f"at + (cast(reps as long) - 1) * n + {last} + {width} AS high")
+    """(id, name, low, high) of windows low to last of segments; a segment that repeats itself covers all up to its last repeat."""
+    return places.selectExpr("id", "name", f"cast(at + {low} as long) AS low", f"at + (cast(reps as long) - 1) * n + {last} + {width} AS high")
 
 
 def windows_of(hot: DataFrame, scheme: Scheme, with_body: bool) -> DataFrame:
-    """One row per window whose minimizer is among its text's keys, keyed by the hash of the whole window; it stands `reps` times, n units apart.
+    """One row per window whose minimizer is among its text's keys, with its digest; key is a hash of the window; it stands `reps` times, n units apart.
 
     With bodies, equal windows of a piece become one row, at its least id and with the summed reps.
     """
 
-    def per_piece(ids, data, offsets, wanted):
+    def per_piece(ids, names, data, offsets, wanted):
         s = segments(data, offsets, scheme)
         if s is None:
             return
@@ -286,15 +322,18 @@ def windows_of(hot: DataFrame, scheme: Scheme, with_body: bool) -> DataFrame:
         rows, apart, reps = (np.repeat(x, n) for x in (s.rows[keep], n, reps))
         first = np.arange(n.sum()) + np.repeat(s.firsts[keep] - np.cumsum(n) + n, n)
         a, b = s.starts[first], s.ends[first + scheme.width - 1]
-        keys = s.hasher(a, b)
+        which, different = different_slices(s.data, a, b)
+        named = digests(different)
         if with_body:
-            one, reps = first_of_equals(keys, ids.to_numpy()[rows], reps)
-            keys, rows, apart, first, a, b = (x[one] for x in (keys, rows, apart, first, a, b))
+            one, reps = first_of_equals(which, ids.to_numpy()[rows], reps)
+            which, rows, apart, first, a, b = (x[one] for x in (which, rows, apart, first, a, b))
+        keys = s.hasher(a, b)
         for k in range(0, len(first), 20_000):
             c = slice(k, k + 20_000)
-            yield batch_of(ids, rows[c], keys[c], (first - s.begins[rows])[c], apart[c], reps[c], s.data, a[c], b[c], with_body)
+            out = batch_of(ids, names, rows[c], keys[c], (first - s.begins[rows])[c], apart[c], reps[c], s.data, a[c], b[c], with_body)
+            yield out.append_column("digest", named.take(pa.array(which[c])))
 
-    return mapped(hot, SEGMENTS, per_piece)
+    return mapped(hot, SEGMENTS + ", digest binary", per_piece)
 
 
 def shards(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.Table]:
@@ -329,28 +368,36 @@ def joined_runs(flags: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.n
     return first, np.flatnonzero(flags & edge)
 
 
-def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(all rows: id, digest, n_bytes, rep, copies, uid; texts: id, text, one row per different text, with its uid as id).
+@dataclass
+class Texts:
+    """rows: id, no_id, name, digest, n_bytes, rep, copies of every row; different: id, name, text, a row per different text; parts: its buckets.
+
+    name is the text's 128-bit name (the first half of its SHA-256), rep the least id that has the text, and the id
+    under which the text itself stands; a missing id counts as the largest. Ids may repeat: a text is known by (id, name).
+    """
+
+    rows: DataFrame
+    different: DataFrame
+    parts: int
+
 
-    The texts are stored in buckets by id, so later joins with them do not shuffle text.
+def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> Texts:
+    """Of equal texts, the one with the least id is stored, in buckets by (id, name), so later joins with it do not shuffle text.
 
-    rep is the least id that has the text; ids are whole numbers, a null one counts as the largest. uid is rep, unless
-    some id stands at several rows: then uids are made from id and digest, in the same order. The join that leaves one
-    row per text is on the id, so copies of one text are spread over all tasks.
+    The join that leaves one row per text is on both, so copies of one text, and texts of one id, are spread over all tasks.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    last = (1 << 52) - 1
-    named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("id"), text.alias("text"), F.col(id_col).isNull().alias("no_id"))
-    digest = F.unhex(F.sha2("text", 256)).alias("digest")
-    marks = written(named.select("id", "no_id", digest, F.octet_length("text").cast("long").alias("n_bytes")), "digests")
-    groups = marks.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if marks.groupBy("id").count().where("count > 1").isEmpty():
-        groups = groups.withColumn("uid", F.col("rep"))
-        texts = named.select("id", "text").repartition(parts, "id").join(groups.select(F.col("rep").alias("id")).repartition(parts, "id"), "id", "left_semi")
-    else:
-        place = F.row_number().over(Window.partitionBy("rep").orderBy("digest"))
-        groups = written(groups.withColumn("uid", F.col("rep") * 2048 + place), "groups")
-        reps = groups.select("digest", F.col("rep").alias("id"), "uid")
-        texts = named.select("id", "text", digest).join(reps, ["digest", "id"]).dropDuplicates(["uid"]).select(F.col("uid").alias("id"), "text").repartition(parts, "id")
-    return marks.join(groups, "digest"), bucketed(texts, parts, "texts")
+    named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(id_col).isNull().alias("no_id"), text.alias("text"))
+    named = named.withColumn("digest", F.unhex(F.sha2("text", 256))).withColumn("name", F.substring("digest", 1, 16))
+    marks = written(named.select("id", "no_id", "name", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
+    groups = marks.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"))
+    groups = written(groups, "groups")
+    bytes_ = groups.agg(F.sum("n_bytes")).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-bytes_ // PART_BYTES))
+    rows = marks.join(groups.drop("n_bytes"), "digest")
+    texts = named.select("id", "name", "text")
+    if not marks.groupBy("id", "name").count().where("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["id", "name"])  # repeated rows meet already combined
+    firsts = groups.select(F.col("rep").alias("id"), F.substring("digest", 1, 16).alias("name"))
+    texts = texts.repartition(parts, "id", "name").join(firsts.repartition(parts, "id", "name"), ["id", "name"], "left_semi")
+    return Texts(rows, bucketed(texts, parts, ["id", "name"], "texts"), parts)

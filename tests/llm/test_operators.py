@@ -86,8 +86,8 @@ def test_suffix_dedup(docs, rows, empty):
 def test_hot_minimizers_take_another_way_to_the_same_result(docs, rows, monkeypatch):
     original = superkmers.shared_minimizers
 
-    def crowded(texts, scheme, **_):
-        shared = original(texts, scheme, least=2, share=1 << 40)
+    def crowded(texts, parts, scheme, **_):
+        shared = original(texts, parts, scheme, least=2, share=1 << 40)
         assert shared.crowded is not None and shared.hot is not None
         return shared
 
