@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.kneser_ney import BIN, broadcast_table, fit, quantiles, shrunk, surprise_sums
-from siltstone.llm.shared import if_small, text_bytes, written
+from siltstone.llm.kneser_ney import DEVIATION_BIN, MOST_ENTRIES, Scorer, bounds_at, deviation, fit, joined_surprise, n_grams, quantiles
+from siltstone.llm.shared import if_small, pieces, text_bytes, written
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -55,44 +55,52 @@ def base_measures(text: bytes, width: int = 5) -> tuple[int, int, int, int, int]
 
 
 def quality_rules(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", tail: float = 0.05, prior: float = 200.0
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", tails: tuple[float, float] = (0.05, 0.05), most_entries: int = MOST_ENTRIES
 ) -> DataFrame:
     """One row per document: id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lang, log2_perplexity, lower_band, upper_band.
 
-    base_failed: under 10 words, or over 20 % of words in repeated 5-word windows. The rest is kept when its mean surprise under
-    the model counted over all documents lies within its language's bands: the quantiles `tail` and 1 - `tail` among
-    documents that pass the base rules, so about 2 x `tail` of those are rejected whatever they are. Null and empty texts have no words and fail; a null language
+    base_failed: under 10 words, or over 20 % of words in repeated 5-word windows. The rest is kept when its perplexity under
+    the model counted over all documents (each different word of a document once) lies within its language's bands. These are quantiles of the
+    deviation (see there) among documents that pass the base rules, so a share of `tails` (below, above) of those is rejected whatever
+    they are; lower_band and upper_band give them for a text of this length. Null and empty texts have no words and fail; a null language
     is a language of its own (""). A language without documents that pass has no bands. Repeated rows each count.
     """
     spark = docs.sparkSession
-    scores = broadcast_table(spark, fit(docs, text_col))
+    model = fit(docs, text_col, most_entries, once=True)
+    arrays = spark.sparkContext.broadcast(model.arrays) if model.small else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = scores.value
+        scorer = Scorer(arrays.value) if arrays is not None else None
         for batch in batches:
-            data, offsets = text_bytes(batch.column(2))
-            sums, n = surprise_sums(data, offsets, table)
-            base = [base_measures(data[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            base = np.array(base, np.int64).reshape(-1, 5).T
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, base), pa.array(sums), pa.array(n)], names)
-
-    names = ["id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "surprise", "n_grams"]
+            data, offsets = text_bytes(batch.column(3))
+            n = n_grams(data, offsets)
+            for first, last in pieces(offsets, 1 << 22):
+                base = np.array([base_measures(data[offsets[k] : offsets[k + 1]].tobytes()) for k in range(first, last)], np.int64).T
+                sums = scorer(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]) if scorer else np.zeros(last - first)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, last - first) for k in range(3)), *map(pa.array, base), pa.array(sums), pa.array(n[first:last])], names)
+
+    names = ["id", "lang", "name", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "surprise", "n_grams"]
     kind = docs.schema[id_col].dataType.simpleString()
     language = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
-    measured = docs.select(F.col(id_col).alias("id"), language.alias("lang"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, lang string, " + ", ".join(f"{x} long" for x in names[2:7]) + ", surprise double, n_grams long"
-    )
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    name = F.lit(None).cast("binary") if model.small else F.unhex(F.sha2(text, 256))
+    named = docs.select(F.col(id_col).alias("id"), language.alias("lang"), name.alias("name"), text.alias("text"))
+    measured = named.mapInArrow(run, f"id {kind}, lang string, name binary, " + ", ".join(f"{x} long" for x in names[3:8]) + ", surprise double, n_grams long")
+    if not model.small:
+        measured = measured.drop("surprise", "n_grams").join(joined_surprise(named, model), "name")
+    measured = measured.drop("name")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     measured = written(measured.withColumn("base_failed", failed), "rules")
     passing = measured.where("not base_failed and n_grams > 0").withColumn("mean", F.col("surprise") / F.col("n_grams"))
     centres = quantiles(passing, "lang", "mean", [0.5]).select("lang", F.col("q")[0].alias("centre"))
     # the tables below have a row per language: broadcast where they are counted to be small, else joined by language
-    valued = measured.join(if_small(written(centres, "centres")), "lang", "left").withColumn("mean", shrunk(F.col("surprise"), F.col("n_grams"), F.col("centre"), prior))
-    bands = quantiles(valued.where("not base_failed"), "lang", "mean", [tail, 1 - tail]).select(
-        "lang", F.col("q")[0].alias("lower_band"), (F.col("q")[1] + BIN).alias("upper_band")
+    valued = measured.join(if_small(written(centres, "centres")), "lang", "left").withColumn("deviation", deviation(F.col("surprise"), F.col("n_grams"), F.col("centre")))
+    bands = quantiles(valued.where("not base_failed"), "lang", "deviation", [tails[0], 1 - tails[1]], DEVIATION_BIN).select(
+        "lang", F.col("q")[0].alias("lower"), (F.col("q")[1] + DEVIATION_BIN).alias("upper")
     )
-    inside = F.coalesce(F.col("mean").between(F.col("lower_band"), F.col("upper_band")), F.lit(True))
+    inside = F.coalesce(F.col("deviation").between(F.col("lower"), F.col("upper")), F.lit(True))
+    at = {f"{side}_band": bounds_at(F.col(side), F.col("n_grams"), F.col("centre")) for side in ("lower", "upper")}
     return valued.join(if_small(written(bands, "bands")), "lang", "left").select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & inside).alias("kept"), "lang", F.col("mean").alias("log2_perplexity"), "lower_band", "upper_band",
+        (~F.col("base_failed") & inside).alias("kept"), "lang", F.try_divide("surprise", "n_grams").alias("log2_perplexity"), *(v.alias(k) for k, v in at.items()),
     )
