@@ -27,17 +27,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+SORTED = "spark.sql.execution.replaceHashWithSortAgg"
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """While a table is written, have Spark remove that write's shuffle files when it ends: nothing reads them again."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def with_conf(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
+def shuffles_dropped(spark: SparkSession):
+    """While a table is written, have Spark remove that write's shuffle files when it ends: nothing reads them again."""
+    return with_conf(spark, CLEANUP, "true")
+
+
+def merging_sorted(spark: SparkSession):
+    """Have Spark aggregate what is sorted already in that order, instead of hashing it."""
+    return with_conf(spark, SORTED, "true")
 
 
 #: Paths and tables made inside scratch(), to be removed at its end.

@@ -88,3 +88,20 @@ def test_intermediate_tables_go(spark):
     tables, files = len(spark.catalog.listTables()), len(os.listdir(at))
     assert substring_dedup.substring_dedup(docs).count() == suffix_dedup.suffix_dedup(docs).count() == 2
     assert len(spark.catalog.listTables()) == tables and len(os.listdir(at)) == files + 2  # the two results
+
+
+def test_runs_are_merged_in_sorted_order(spark):
+    """Six binomial rounds over sorted runs: the rounds' plan aggregates in order, and no Python worker takes part."""
+    from pyspark.sql import functions as F
+
+    from siltstone.llm import exact_dedup
+    from siltstone.llm.shared import merging_sorted
+
+    rows = spark.createDataFrame([(k, f"text {k % 37}") for k in range(500)], "doc_id long, text string").repartition(7)
+    digests = exact_dedup.digest_runs(rows, "doc_id", "text", 64)
+    one = exact_dedup.tree_merge(digests, "largest", 64).collect()
+    assert len(one) == 37 and sum(r["group_size"] for r in one) == 500 and sorted(r["keep_id"] for r in one) == list(range(463, 500))
+    order = ["run", *exact_dedup.KEY]
+    with merging_sorted(spark):
+        plan = digests.repartition("run").sortWithinPartitions(*order).groupBy(*order).agg(F.first("id"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" in plan and "HashAggregate" not in plan

@@ -66,7 +66,7 @@ def test_exact_dedup(docs, rows, empty):
     for d, t in norm.items():
         groups[t].append(d)
     assert got == {d: (max(groups[t]), len(groups[t]), max(groups[t]) == d, hashlib.sha256(t.encode()).hexdigest()) for d, t in norm.items()}
-    small = by_id(exact_dedup.exact_dedup(docs, keep="smallest", runs=5, fan_in=2), "keep_id")
+    small = by_id(exact_dedup.exact_dedup(docs, keep="smallest", runs=5), "keep_id")
     assert small == {d: (min(groups[t]),) for d, t in norm.items()}
     assert exact_dedup.exact_dedup(empty).count() == 0
 
