@@ -404,8 +404,19 @@ def test_pipeline(spark):
         key = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
         last[key] = max(d, last.get(key, d))
     assert {d for d, _ in after["exact"]} == set(last.values())
-    classes = brute.components({d: simhash.fingerprint(t) for d, t in after["exact"]})
-    assert {d for d, _ in after["near"]} == set(classes.values())
+    # near copies: 5-word shingles, Jaccard similarity 0.8 or more
+    shingles = {}
+    for d, t in after["exact"]:
+        ws = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode().split()
+        shingles[d] = {tuple(ws[i : i + 5]) for i in range(max(len(ws) - 4, min(len(ws), 1)))}
+    root = {d: d for d in shingles}
+    for a in sorted(shingles):
+        for b in sorted(shingles):
+            common = len(shingles[a] & shingles[b])
+            if a < b and 10 * common >= 8 * (len(shingles[a]) + len(shingles[b]) - common):
+                low, high = sorted((root[a], root[b]))
+                root = {d: low if r == high else r for d, r in root.items()}
+    assert {d for d, _ in after["near"]} == set(root.values())
     assert {d for d, _ in after["mix"]} == {d for d, _ in after["near"]} and len(after["mix"]) >= len(after["near"])
     packed = corpus_pipeline.run(spark, at)
     tokens = packed.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m"))
@@ -413,6 +424,29 @@ def test_pipeline(spark):
     assert {r["doc_id"]: r["n"] // r["m"] for r in tokens.collect()} == dict(copies)
 
 
+def test_pipeline_stages_judge_rows_one_by_one(spark, monkeypatch):
+    """Rows without a doc_id, rows that share one, and full repeats."""
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    texts = [" ".join(words(rng, 60)) for _ in range(8)]
+    near = texts[0] + " tail"
+    rows = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (5, texts[2]), (6, texts[4]), (6, texts[4]), (7, near), (None, texts[5]), (None, texts[5]), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], schema).repartition(3)
+
+    def kept(stage, docs):
+        return Counter((r["doc_id"], r["text"]) for r in getattr(corpus_pipeline, stage)(spark, docs, None).collect())
+
+    once = set(rows) - {(None, texts[2])}  # its copy has an id
+    assert kept("exact", docs) == Counter(once)
+    assert kept("near", docs) == Counter(once - {(7, near)})
+    labels = spark.createDataFrame([(None, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")  # none is good: only blank texts go
+    monkeypatch.setattr(corpus_pipeline, "documents", lambda *_: labels)
+    blank = spark.createDataFrame([(1, "", "en", "s", 1), (None, " \n", "en", "s", 1)], schema)
+    assert kept("quality", docs.unionByName(blank)) == Counter(r for r in rows if r[1])
+
+
 def test_oracle_sql(spark):
     import duckdb
 
