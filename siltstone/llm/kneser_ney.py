@@ -93,7 +93,7 @@ def grams_of(words: dict[bytes, int]) -> Iterator[tuple[str, int]]:
         yield whole[place : place + ORDER], int(count)
 
 
-def count_ngrams(docs: DataFrame, text_col: str = "text", once: bool = False, most_words: int = 200_000, most_bytes: int = 64 << 20, most_grams: int = 1_000_000) -> DataFrame:
+def count_ngrams(docs: DataFrame, text_col: str = "text", once: bool = False, most_words: int = 60_000, most_bytes: int = 32 << 20, most_grams: int = 1_000_000) -> DataFrame:
     """(gram, n) over whole texts. A task counts words first, then their n-grams, and sends each n-gram once, or again after every most_grams of them.
 
     once: each different word of a text counts once, so that a text of one word a thousand times does not make that word usual.
@@ -117,7 +117,7 @@ def count_ngrams(docs: DataFrame, text_col: str = "text", once: bool = False, mo
 
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
-            for first, last in pieces(offsets, 1 << 22):
+            for first, last in pieces(offsets, 1 << 21):
                 found, bounds = units(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
                 if once:
                     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -199,7 +199,7 @@ class HashArrays:
 class Scorer:
     """Sums over the words of texts; the surprise of up to `most` different words is kept, then the memory starts anew."""
 
-    def __init__(self, arrays: HashArrays, most: int = 400_000):
+    def __init__(self, arrays: HashArrays, most: int = 300_000):
         self.arrays, self.most = arrays, most
         self.known: dict[bytes, int] = {}
 

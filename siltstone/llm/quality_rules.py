@@ -74,7 +74,7 @@ def quality_rules(
         for batch in batches:
             data, offsets = text_bytes(batch.column(3))
             n = n_grams(data, offsets)
-            for first, last in pieces(offsets, 1 << 22):
+            for first, last in pieces(offsets, 1 << 21):
                 base = np.array([base_measures(data[offsets[k] : offsets[k + 1]].tobytes()) for k in range(first, last)], np.int64).T
                 sums = scorer(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]) if scorer else np.zeros(last - first)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, last - first) for k in range(3)), *map(pa.array, base), pa.array(sums), pa.array(n[first:last])], names)
