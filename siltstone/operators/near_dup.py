@@ -74,6 +74,8 @@ def clusters(found: DataFrame, most_rounds: int = 50) -> DataFrame:
         labels = nxt.drop("old")
         if done:
             break
+    else:
+        raise RuntimeError("clusters did not converge")
     members = labels.join(degree, "a").groupBy("label").agg(F.count("*").alias("files"), F.min(F.struct((-F.col("degree")).alias("d"), "a")).alias("r"))
     pairs_of = found.join(labels.select(F.col("a").alias("left_path"), "label"), "left_path").groupBy("label").agg(F.count("*").alias("pair_count"), F.max("similarity").alias("max_similarity"))
     return members.join(pairs_of, "label").select(F.col("label").alias("cluster"), "files", F.col("r.a").alias("representative"), "pair_count", "max_similarity")

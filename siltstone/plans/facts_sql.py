@@ -14,8 +14,8 @@ doc_lines AS (
 EMBEDDED = r"""
 page_parts AS (
   SELECT 'pages/' || page_id || '.html' AS path, 'HTML' AS lang, 'parent' AS kind, html AS body FROM pages WHERE html IS NOT NULL
-  UNION ALL SELECT 'pages/' || page_id || '.html', 'JavaScript', 'child', regexp_extract(html, '(?s)<script>(.*?)</script>', 1) FROM pages WHERE html IS NOT NULL
-  UNION ALL SELECT 'pages/' || page_id || '.html', 'CSS', 'child', regexp_extract(html, '(?s)<style>(.*?)</style>', 1) FROM pages WHERE html IS NOT NULL
+  UNION ALL SELECT 'pages/' || page_id || '.html', 'JavaScript', 'child', unnest(regexp_extract_all(html, '(?s)<script(?:\s[^>]*)?>(.*?)</script>', 1)) FROM pages WHERE html IS NOT NULL
+  UNION ALL SELECT 'pages/' || page_id || '.html', 'CSS', 'child', unnest(regexp_extract_all(html, '(?s)<style(?:\s[^>]*)?>(.*?)</style>', 1)) FROM pages WHERE html IS NOT NULL
 ), page_counts AS (
   SELECT path, 'pages' AS module, lang, kind, string_split(body, chr(10)) AS ls, CASE kind WHEN 'parent' THEN octet_length(encode(body))::BIGINT ELSE 0::BIGINT END AS bytes
   FROM page_parts WHERE kind = 'parent' OR body <> ''

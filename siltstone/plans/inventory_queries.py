@@ -142,7 +142,7 @@ QUERIES = {
     ),
     "integrity_digest": (
         lambda s, d: inv.integrity(src.files(s, d)),
-        with_(FILES, "e AS (SELECT path || ':' || bytes || ':' || lines AS entry FROM files)", "b AS (SELECT substr(sha256(entry), 1, 2) AS b, sha256(string_agg(entry, chr(10) ORDER BY entry)) AS h, count(*) AS n FROM e GROUP BY 1)")
+        with_(FILES, "e AS (SELECT path || ':' || bytes || ':' || lines AS entry FROM files)", "l AS (SELECT ('0x' || substr(sha256(entry), 1, 5))::BIGINT AS b, sha256(string_agg(entry, chr(10) ORDER BY entry)) AS h, count(*) AS n FROM e GROUP BY 1)", "b AS (SELECT b >> 10 AS b, sha256(string_agg(h, chr(10) ORDER BY b)) AS h, sum(n) AS n FROM l GROUP BY b >> 10)")
         + "SELECT 'sha256' AS algo, sha256(string_agg(h, chr(10) ORDER BY b)) AS hash, sum(n)::BIGINT AS entries FROM b",
     ),
     "lang_diff": (lambda s, d: inv.lang_diff(labelled(s, d, 0), labelled(s, d, 1)), with_(FILES, SIDES) + "SELECT * FROM diffs"),

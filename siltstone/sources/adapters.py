@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.scalars import module_key
@@ -43,11 +43,16 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as parents, their first script and style blocks as children without bytes and tokens."""
+    """Pages as parents, all their script and style blocks as children without bytes and tokens."""
     pages = table(spark, sf_dir, "pages").where("html is not null")
     pages = pages.withColumn("path", F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html"))).withColumn("module", F.lit("pages"))
     parents = line_counts(pages.withColumn("lang", F.lit("HTML")).withColumn("kind", F.lit("parent")), "html")
-    parts = F.array(*(F.struct(F.lit(lang).alias("lang"), F.regexp_extract("html", rf"(?s)<{tag}>(.*?)</{tag}>", 1).alias("body")) for lang, tag in (("JavaScript", "script"), ("CSS", "style"))))
+
+    def blocks(lang: str, tag: str) -> Column:
+        bodies = F.regexp_extract_all("html", F.lit(rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), F.lit(1))
+        return F.transform(bodies, lambda body: F.struct(F.lit(lang).alias("lang"), body.alias("body")))
+
+    parts = F.concat(blocks("JavaScript", "script"), blocks("CSS", "style"))
     children = pages.select("path", "module", F.explode(parts).alias("part")).select("path", "module", "part.lang", F.lit("child").alias("kind"), "part.body").where("body <> ''")
     children = line_counts(children, "body").withColumn("bytes", F.lit(0).cast("long")).withColumn("tokens", F.lit(0).cast("long"))
     return parents.select(FILE_COLUMNS).unionByName(children.select(FILE_COLUMNS))

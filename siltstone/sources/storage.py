@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() into spark.checkpoint.dir; an own folder is set only where that is unset, as in tests."""
+    """checkpoint() into spark.checkpoint.dir; an own folder is set only in a local session where that is unset, as in tests."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/siltstone-checkpoints")
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(path or f"{tempfile.gettempdir()}/siltstone-checkpoints")
     return df.checkpoint()
