@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.kneser_ney import DEVIATION_BIN, MOST_ENTRIES, Scorer, bounds_at, deviation, fit, joined_surprise, n_grams, quantiles
-from siltstone.llm.shared import if_small, pieces, text_bytes, written
+from siltstone.llm.shared import if_small, pieces, small_batches, text_bytes, written
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -90,7 +90,8 @@ def quality_rules(
         measured = measured.drop("surprise", "n_grams").join(joined_surprise(named, model), "name")
     measured = measured.drop("name")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    measured = written(measured.withColumn("base_failed", failed), "rules")
+    with small_batches(spark):
+        measured = written(measured.withColumn("base_failed", failed), "rules")
     passing = measured.where("not base_failed and n_grams > 0").withColumn("mean", F.col("surprise") / F.col("n_grams"))
     centres = quantiles(passing, "lang", "mean", [0.5]).select("lang", F.col("q")[0].alias("centre"))
     # the tables below have a row per language: broadcast where they are counted to be small, else joined by language

@@ -45,6 +45,11 @@ def shuffles_dropped(spark: SparkSession):
     return with_conf(spark, CLEANUP, "true")
 
 
+def small_batches(spark: SparkSession):
+    """While a table is written, hand texts to Python 2000 rows at a time, so that a worker holds few of them."""
+    return with_conf(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def merging_sorted(spark: SparkSession):
     """Have Spark aggregate what is sorted already in that order, instead of hashing it."""
     return with_conf(spark, SORTED, "true")
