@@ -93,7 +93,7 @@ def grams_of(words: dict[bytes, int]) -> Iterator[tuple[str, int]]:
         yield whole[place : place + ORDER], int(count)
 
 
-def count_ngrams(docs: DataFrame, text_col: str = "text", once: bool = False, most_words: int = 40_000, most_bytes: int = 32 << 20, most_grams: int = 1_000_000) -> DataFrame:
+def count_ngrams(docs: DataFrame, text_col: str = "text", once: bool = False, most_words: int = 60_000, most_bytes: int = 32 << 20, most_grams: int = 1_000_000) -> DataFrame:
     """(gram, n) over whole texts. A task counts words first, then their n-grams, and sends each n-gram once, or again after every most_grams of them.
 
     once: each different word of a text counts once, so that a text of one word a thousand times does not make that word usual.
@@ -199,7 +199,7 @@ class HashArrays:
 class Scorer:
     """Sums over the words of texts; the surprise of up to `most` different words is kept, then the memory starts anew."""
 
-    def __init__(self, arrays: HashArrays, most: int = 250_000):
+    def __init__(self, arrays: HashArrays, most: int = 400_000):
         self.arrays, self.most = arrays, most
         self.known: dict[bytes, int] = {}
 
@@ -212,8 +212,8 @@ class Scorer:
             missing = set(words)
         if missing:
             listed = list(missing)
-            for at in range(0, len(listed), 16_384):
-                part = listed[at : at + 16_384]
+            for at in range(0, len(listed), 65_536):
+                part = listed[at : at + 65_536]
                 self.known.update(zip(part, self.arrays.surprise([w.decode("utf-8", "replace") for w in part]).tolist(), strict=True))
         running = np.concatenate(([0], np.cumsum(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))))
         return (running[bounds[1:]] - running[bounds[:-1]]) / UNIT
