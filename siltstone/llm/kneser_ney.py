@@ -27,6 +27,7 @@ PAD = " "  # no word holds one
 #: ASCII marks: what is neither letter, digit nor white space.
 MARK = r"[\x00-\x08\x0E-\x1F!-/:-@\[-`{-\x7F]"
 MARKS = np.array([re.fullmatch(MARK, chr(b)) is not None for b in range(128)] + [False] * 128)
+AFTER_MARK = [bytes((b, 32)) for b in range(128)]
 #: Surprise is added up in whole numbers of 1 / UNIT.
 UNIT = 1 << 24
 #: Resolution of quantiles: of bits a n-gram, and of deviations.
@@ -47,21 +48,32 @@ def edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return ~space & after, ~space & before
 
 
-def units(data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """The words of texts end to end, and len + 1 offsets; a word at a text's start, or after a mark, has that and a space before it."""
+def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The words of texts end to end, and len + 1 offsets."""
     out: list[bytes] = []
     bounds = [0]
+    whole = data.tobytes()
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        out += data[a:b].tobytes().split()
+        out += whole[a:b].split()
         bounds.append(len(out))
+    return out, np.array(bounds)
+
+
+def units(data: np.ndarray, offsets: np.ndarray, words: list[bytes] | None = None, bounds: np.ndarray | None = None) -> tuple[list[bytes], np.ndarray]:
+    """The words (split already, or not) of texts end to end, and len + 1 offsets; a word at a text's start, or after a mark, has that and a space before it."""
+    if words is None:
+        words, bounds = split_words(data, offsets)
+    out = words.copy()
     last = data[edges(data, offsets)[1]]
-    first = {k for k, n in zip(bounds[:-1], bounds[1:], strict=True) if k < n}
-    for k in (np.flatnonzero(MARKS[last[:-1]]) + 1).tolist():
-        if k not in first:
-            out[k] = bytes((last[k - 1], 32)) + out[k]
-    for k in first:
+    after = MARKS[last[:-1]]
+    first = bounds[:-1][bounds[:-1] < bounds[1:]]
+    after[first[first > 0] - 1] = False
+    at = np.flatnonzero(after)
+    for k, mark in zip((at + 1).tolist(), last[at].tolist(), strict=True):
+        out[k] = AFTER_MARK[mark] + out[k]
+    for k in first.tolist():
         out[k] = b"\n " + out[k]
-    return out, np.array(bounds)
+    return out, bounds
 
 
 def padded(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,41 +95,35 @@ def hashes(points: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-def grams_of(words: dict[bytes, int]) -> Iterator[tuple[str, int]]:
-    """The n-grams of counted words."""
+def grams_of(words: dict[bytes, int]) -> tuple[list[str], np.ndarray]:
+    """The n-grams of counted words, and how often each stands there."""
     points, at, n = padded([w.decode("utf-8", "replace") for w in words])
     _, first, which = np.unique(hashes(points, at, ORDER), return_index=True, return_inverse=True)
-    counts = np.bincount(which, np.repeat(np.fromiter(words.values(), np.int64, len(words)), n))
+    counts = np.bincount(which, np.repeat(np.fromiter(words.values(), np.int64, len(words)), n)).astype(np.int64)
     whole = points.tobytes().decode("utf-32-le", "surrogatepass")
-    for place, count in zip(at[first].tolist(), counts.tolist(), strict=True):
-        yield whole[place : place + ORDER], int(count)
+    return [whole[place : place + ORDER] for place in at[first].tolist()], counts
 
 
-def count_ngrams(docs: DataFrame, text_col: str = "text", once: bool = False, most_words: int = 60_000, most_bytes: int = 32 << 20, most_grams: int = 1_000_000) -> DataFrame:
-    """(gram, n) over whole texts. A task counts words first, then their n-grams, and sends each n-gram once, or again after every most_grams of them.
+def count_ngrams(docs: DataFrame, text_col: str = "text", once: bool = False, most_words: int = 150_000, most_bytes: int = 32 << 20, most_grams: int = 100_000) -> DataFrame:
+    """(gram, n) over whole texts. A task counts words first, then their n-grams, most_words different words at a time, and hands them on in batches of most_grams; Spark adds them up in the task before it sends them.
 
     once: each different word of a text counts once, so that a text of one word a thousand times does not make that word usual.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[bytes] = Counter()
-        grams: Counter[str] = Counter()
         size = 0
 
-        def settle() -> None:
+        def settled() -> Iterator[pa.RecordBatch]:
             if words:
-                for gram, n in grams_of(words):
-                    grams[gram] += n
+                grams, n = grams_of(words)
                 words.clear()
-
-        def sent() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["gram", "n"])
-            grams.clear()
-            return out
+                for at in range(0, len(grams), most_grams):
+                    yield pa.RecordBatch.from_arrays([pa.array(grams[at : at + most_grams], pa.string()), pa.array(n[at : at + most_grams])], ["gram", "n"])
 
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
-            for first, last in pieces(offsets, 1 << 21):
+            for first, last in pieces(offsets, 1 << 22):
                 found, bounds = units(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
                 if once:
                     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -126,12 +132,9 @@ def count_ngrams(docs: DataFrame, text_col: str = "text", once: bool = False, mo
                     words.update(found)
                 size += offsets[last] - offsets[first]
                 if len(words) >= most_words or size >= most_bytes:
-                    settle()
+                    yield from settled()
                     size = 0
-                    if len(grams) >= most_grams:
-                        yield sent()
-        settle()
-        yield sent()
+        yield from settled()
 
     return docs.select(text_col).mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -196,26 +199,43 @@ class HashArrays:
         return np.add.reduceat(units[which], np.cumsum(n) - n)
 
 
+class Surprises(dict[bytes, int]):
+    """Word: surprise. A word that is missing is noted and stands for -1."""
+
+    def __init__(self):
+        super().__init__()
+        self.noted: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.noted.append(word)
+        return -1
+
+
 class Scorer:
     """Sums over the words of texts; the surprise of up to `most` different words is kept, then the memory starts anew."""
 
     def __init__(self, arrays: HashArrays, most: int = 400_000):
         self.arrays, self.most = arrays, most
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Each text's surprise."""
-        words, bounds = units(data, offsets)
-        missing = set(words).difference(self.known)
-        if len(self.known) + len(missing) > self.most:
-            self.known.clear()
-            missing = set(words)
-        if missing:
-            listed = list(missing)
+        self.known = Surprises()
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray, words: list[bytes] | None = None, bounds: np.ndarray | None = None) -> np.ndarray:
+        """Each text's surprise; words and bounds as split_words gives them, if they are at hand."""
+        words, bounds = units(data, offsets, words, bounds)
+        known = self.known
+        known.noted = []
+        values = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        if known.noted:
+            wanted = dict.fromkeys(known.noted)
+            listed = list(wanted)
+            if len(known) + len(listed) > self.most:
+                known.clear()
             for at in range(0, len(listed), 65_536):
                 part = listed[at : at + 65_536]
-                self.known.update(zip(part, self.arrays.surprise([w.decode("utf-8", "replace") for w in part]).tolist(), strict=True))
-        running = np.concatenate(([0], np.cumsum(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))))
+                wanted.update(zip(part, self.arrays.surprise([w.decode("utf-8", "replace") for w in part]).tolist(), strict=True))
+            values[values < 0] = np.fromiter(map(wanted.__getitem__, known.noted), np.int64, len(known.noted))
+            known.update(wanted)
+            known.noted = []
+        running = np.concatenate(([0], np.cumsum(values)))
         return (running[bounds[1:]] - running[bounds[:-1]]) / UNIT
 
 
@@ -272,10 +292,10 @@ def joined_surprise(texts: DataFrame, model: Model) -> DataFrame:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for word_id, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = list(grams_of({word.encode("utf-8", "surrogatepass"): 1}))
+                found, times = grams_of({word.encode("utf-8", "surrogatepass"): 1})
                 for at in range(0, len(found), 20_000):
                     part = found[at : at + 20_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([word_id] * len(part), pa.binary()), pa.array([g for g, _ in part]), pa.array([n for _, n in part])], ["word_id", "gram", "times"])
+                    yield pa.RecordBatch.from_arrays([pa.array([word_id] * len(part), pa.binary()), pa.array(part), pa.array(times[at : at + 20_000])], ["word_id", "gram", "times"])
 
     split = texts.select("name", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w"))
 

@@ -9,10 +9,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.kneser_ney import DEVIATION_BIN, MOST_ENTRIES, Scorer, bounds_at, deviation, fit, joined_surprise, n_grams, quantiles
+from siltstone.llm.kneser_ney import DEVIATION_BIN, MOST_ENTRIES, Scorer, bounds_at, deviation, fit, joined_surprise, n_grams, quantiles, split_words
 from siltstone.llm.shared import if_small, pieces, small_batches, text_bytes, written
 
 SYMBOLS = b"#*$%&|<>"
+IS_SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
+
+
+def window_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """A hash of each run of `width` words; equal runs have equal hashes within a process."""
+    each = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+    count = max(len(words) - width + 1, 0)
+    mixed = np.zeros(count, np.uint64)
+    for k in range(width):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + each[k : k + count]
+        mixed ^= mixed >> np.uint64(31)
+    return mixed
 
 
 def repeated_words(words: list[bytes], width: int) -> int:
@@ -20,24 +32,27 @@ def repeated_words(words: list[bytes], width: int) -> int:
     n = len(words)
     if n <= width:
         return 0
-    number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
-    if len(number) == n:
+    distinct = set(words)
+    if len(distinct) == n:
         return 0
+    number = dict(zip(distinct, range(len(distinct)), strict=True))
+    ids = np.fromiter(map(number.__getitem__, words), np.int64, n)
     keys, have = ids, 1
     while have < width:  # exact: each step ranks the pairs of what it has
         step = min(have, width - have)
         pairs = keys[: len(keys) - step] * n + keys[step:]
-        distinct, keys = np.unique(pairs, return_inverse=True)
-        if len(distinct) == len(pairs):
+        ordered = np.sort(pairs)
+        if not (ordered[1:] == ordered[:-1]).any():
             return 0
         have += step
-    again = np.bincount(keys)[keys] > 1
-    edge = np.zeros(n + 1, np.int64)
-    at = np.flatnonzero(again)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + width, -1)
-    return int((np.cumsum(edge[:-1]) > 0).sum())
+        keys = np.unique(pairs, return_inverse=True)[1] if have < width else pairs
+    ordered = np.sort(keys)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    covered = np.zeros(n, bool)
+    at = np.flatnonzero(np.isin(keys, twice))
+    for k in range(width):
+        covered[at + k] = True
+    return int(covered.sum())
 
 
 def repeated_lines(text: bytes) -> int:
@@ -45,13 +60,22 @@ def repeated_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def base_measures(text: bytes, width: int = 5) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    words = text.split()
-    joined = np.frombuffer(b"".join(words), np.uint8)
-    chars = int(((joined & 0xC0) != 0x80).sum())
-    symbols = len(text) - len(text.translate(None, SYMBOLS))
-    return len(words), chars, symbols, repeated_lines(text) if b"\n" in text else 0, repeated_words(words, width)
+def base_measures(data: np.ndarray, offsets: np.ndarray, words: list[bytes], bounds: np.ndarray, width: int = 5) -> list[np.ndarray]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of texts end to end, with their words."""
+
+    def per_text(marked: np.ndarray) -> np.ndarray:
+        running = np.concatenate(([0], np.cumsum(marked, dtype=np.int64)))
+        return running[offsets[1:]] - running[offsets[:-1]]
+
+    chars = per_text(~((data == 32) | (data >= 9) & (data <= 13)) & ((data & 0xC0) != 0x80))
+    whole = data.tobytes()
+    lines = [repeated_lines(whole[a:b]) if whole.find(b"\n", a, b) >= 0 else 0 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    mixed = window_hashes(words, width)
+    repeats = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        own = np.sort(mixed[a : max(b - width + 1, a)])
+        repeats.append(repeated_words(words[a:b], width) if (own[1:] == own[:-1]).any() else 0)
+    return [np.diff(bounds), chars, per_text(IS_SYMBOL[data]), np.array(lines, np.int64), np.array(repeats, np.int64)]
 
 
 def quality_rules(
@@ -74,9 +98,11 @@ def quality_rules(
         for batch in batches:
             data, offsets = text_bytes(batch.column(3))
             n = n_grams(data, offsets)
-            for first, last in pieces(offsets, 1 << 21):
-                base = np.array([base_measures(data[offsets[k] : offsets[k + 1]].tobytes()) for k in range(first, last)], np.int64).T
-                sums = scorer(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]) if scorer else np.zeros(last - first)
+            for first, last in pieces(offsets, 1 << 22):
+                part, at = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+                words, bounds = split_words(part, at)
+                base = base_measures(part, at, words, bounds)
+                sums = scorer(part, at, words, bounds) if scorer else np.zeros(last - first)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, last - first) for k in range(3)), *map(pa.array, base), pa.array(sums), pa.array(n[first:last])], names)
 
     names = ["id", "lang", "name", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "surprise", "n_grams"]
