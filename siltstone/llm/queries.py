@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import conversation_repair, exact_dedup, html_extract, mixing, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
+from siltstone.llm import conversation_repair, exact_dedup, html_extract, language_id, mixing, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
 from siltstone.llm.shared import documents
 
 
@@ -50,6 +50,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_report(documents(spark, sf_dir))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_report(conversation_repair.damage(documents(spark, sf_dir, "conversations")), "lost")
 
@@ -66,6 +70,6 @@ FROM marked m JOIN grouped g ON m.norm = g.norm
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_token_counts, op3_suffix_dedup, op4_quality_rules, op5_packing, op6_simhash, op7_mixing, op8_html_extraction, op9_quality_classifier, op10_exact_dedup, op13_conversation_repair)
+    for f in (op1_substring_dedup, op2_token_counts, op3_suffix_dedup, op4_quality_rules, op5_packing, op6_simhash, op7_mixing, op8_html_extraction, op9_quality_classifier, op10_exact_dedup, op12_language_id, op13_conversation_repair)
 }
 ORACLE_SQL = {"op10_exact_dedup": OP10_SQL}
