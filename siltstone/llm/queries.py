@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import conversation_repair, exact_dedup, html_extract, language_id, mixing, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
+from siltstone.llm import conversation_repair, exact_dedup, html_extract, language_id, lexical_search, mixing, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
 from siltstone.llm.shared import documents
 
 
@@ -50,6 +50,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_report(documents(spark, sf_dir))
 
@@ -68,8 +72,25 @@ SELECT m.doc_id, g.keep_id, g.group_size, m.doc_id IS NOT DISTINCT FROM g.keep_i
 FROM marked m JOIN grouped g ON m.norm = g.norm
 """
 
+OP11_SQL = r"""
+WITH doc_terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), counted AS (SELECT doc_id, term, count(*) AS tf FROM doc_terms GROUP BY doc_id, term),
+sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM counted GROUP BY doc_id),
+whole AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS l FROM sizes),
+items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM counted, whole GROUP BY term, nn
+), scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // l))))::BIGINT AS score
+  FROM items JOIN weights USING (term) JOIN counted USING (term) JOIN sizes USING (doc_id), whole GROUP BY item_id, doc_id
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_token_counts, op3_suffix_dedup, op4_quality_rules, op5_packing, op6_simhash, op7_mixing, op8_html_extraction, op9_quality_classifier, op10_exact_dedup, op12_language_id, op13_conversation_repair)
+    for f in (op1_substring_dedup, op2_token_counts, op3_suffix_dedup, op4_quality_rules, op5_packing, op6_simhash, op7_mixing, op8_html_extraction, op9_quality_classifier, op10_exact_dedup, op11_lexical_search, op12_language_id, op13_conversation_repair)
 }
-ORACLE_SQL = {"op10_exact_dedup": OP10_SQL}
+ORACLE_SQL = {"op10_exact_dedup": OP10_SQL, "op11_lexical_search": OP11_SQL}
