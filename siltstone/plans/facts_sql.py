@@ -1,5 +1,7 @@
 """The adapters' fact tables as DuckDB common table expressions, for the oracle queries."""
 
+from siltstone.sources import rendered
+
 FILES = r"""
 doc_lines AS (
   SELECT coalesce(lang, 'und') || '/' || coalesce(source, 'none') || '/' || doc_id || '.txt' AS path, coalesce(lang, 'und') || '/' || coalesce(source, 'none') AS module,
@@ -74,3 +76,27 @@ def avg_half_up(a: str, b: str) -> str:
 
 def with_(*parts: str) -> str:
     return "WITH " + ", ".join(p.strip() for p in parts) + " "
+
+
+def code_sql() -> str:
+    """The rendered code files: code_files(path, module, lang, text)."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+
+    def line(x) -> str:
+        if isinstance(x, tuple):
+            return f"CASE WHEN {rendered.CONDITIONS[x[0]]} THEN {line(x[1])} END"
+        return "(" + " || ".join(f"({rendered.NAMES[p]})::VARCHAR" if named else quoted(p) for named, p in rendered.pieces(x)) + ")"
+
+    def pick(key: str, values: list[str]) -> str:
+        return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
+
+    joined = lambda lines: f"concat_ws(chr(10), {', '.join(map(line, lines))})"
+    body, head = pick("l_orderkey", [joined(x[3]) for x in rendered.FILES]), pick("o_orderkey", [joined(x[2]) for x in rendered.FILES])
+    lang, ext = pick("o_orderkey", [quoted(x[0]) for x in rendered.FILES]), pick("o_orderkey", [quoted(x[1]) for x in rendered.FILES])
+    return f"""code_parts AS (SELECT l_orderkey, l_linenumber, {body} AS body FROM lineitem),
+      code_bodies AS (SELECT l_orderkey, string_agg(body, chr(10) ORDER BY l_linenumber, body) AS bodies FROM code_parts GROUP BY l_orderkey),
+      code_named AS (SELECT {lang} AS lang, {ext} AS ext, o_orderkey AS o, {head} || chr(10) || coalesce(bodies, '') AS text FROM orders LEFT JOIN code_bodies ON o_orderkey = l_orderkey),
+      code_files AS (SELECT 'src/' || lower(lang) || '/' || (o % 50) || '/o' || o || '.' || ext AS path, 'src/' || lower(lang) AS module, lang, text FROM code_named)"""
+
+
+CODE = code_sql()

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.scalars import module_key, normalize_path
+from siltstone.sources.line_scanner import scan_rows
 
 # Languages by file extension and by whole name.
 LANGS = {
@@ -19,8 +20,6 @@ LANGS = {
 }
 NAMES = {"Dockerfile": "Dockerfile", "Makefile": "Makefile", "CMakeLists.txt": "CMake"}
 SHEBANGS = {"bash": "Shell", "node": "JavaScript", "perl": "Perl", "python": "Python", "ruby": "Ruby", "sh": "Shell"}
-# How a comment line begins.
-COMMENTS = {"Python": "#", "Ruby": "#", "Shell": "#", "YAML": "#", "TOML": "#", "Makefile": "#", "Dockerfile": "#", "SQL": "--"}
 
 
 def language(path, text):
@@ -47,18 +46,17 @@ def checked_inputs(inputs: DataFrame) -> DataFrame:
     return safe.join(twice, F.lower(safe["path"]) == twice["k"], "left_anti")
 
 
-def file_rows(contents: DataFrame, roots: list[str], depth: int = 2) -> DataFrame:
-    """File rows of (path, text): bytes are estimated as 40 a line and tokens as a quarter of them."""
-    lang = language(F.col("path"), F.col("text"))
-    lines = F.transform(F.split(F.regexp_replace("text", "\n$", ""), "\n", -1), lambda x: F.trim(x))
-    lines = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(lines)
-    rows = contents.withColumn("lang", lang).where("lang is not null").withColumn("_lines", lines)
-    table = F.create_map(*(F.lit(x) for kv in COMMENTS.items() for x in kv))
-    rows = rows.withColumn("_mark", F.coalesce(F.try_element_at(table, F.col("lang")), F.lit("//")))
-    rows = rows.withColumn("lines", F.size("_lines").cast("long")).withColumn("blanks", F.size(F.filter("_lines", lambda x: x == "")).cast("long"))
-    rows = rows.withColumn("comments", F.size(F.filter("_lines", lambda x: x.startswith(F.col("_mark")))).cast("long"))
-    rows = rows.withColumn("code", F.col("lines") - F.col("blanks") - F.col("comments")).withColumn("bytes", F.col("lines") * 40).withColumn("tokens", F.floor(F.col("bytes") / 4).cast("long"))
-    return rows.withColumn("module", module_key("path", roots, depth)).withColumn("kind", F.lit("parent")).select("path", "module", "lang", "kind", "code", "comments", "blanks", "lines", "bytes", "tokens")
+def file_rows(contents: DataFrame, roots: list[str], depth: int = 2, children: str = "parents-only", doc_strings: bool = False, exact_bytes: bool = False) -> DataFrame:
+    """File rows of (path, text), each line classified by the scanner; files of unknown languages are left out.
+
+    Bytes are estimated as 40 a line, or those of the text with exact_bytes; tokens are a quarter of them.
+    """
+    rows = contents.withColumn("lang", language(F.col("path"), F.col("text"))).where("lang is not null")
+    rows = scan_rows(rows.withColumn("module", module_key("path", roots, depth)), children, doc_strings)
+    if exact_bytes:
+        return rows
+    size = F.when(F.col("kind") == "parent", F.col("lines") * 40).otherwise(F.lit(0).cast("long"))
+    return rows.withColumn("bytes", size).withColumn("tokens", F.floor(F.col("bytes") / 4).cast("long"))
 
 
 def read_zip(archives: DataFrame, entry_bytes: int = 64 << 20, total_bytes: int = 1 << 30, entries: int = 65_536, ratio: float = 100.0) -> DataFrame:
