@@ -1,4 +1,4 @@
-"""Code-quality operators over contents (path, module, lang, text): all of them Column expressions over a text's lines."""
+"""Code-quality operators over contents (path, module, lang, text): functions are intervals of lines, scores are column expressions over them."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.scalars import col, ratio, round_away
+from siltstone.operators.functions import function_facts
 
 # Substrings that count as decision points in whole files, by language.
 C_LIKE = ["if ", "case ", "while ", "for ", "?", "&&", "||", "catch "]
@@ -14,22 +15,45 @@ DECISIONS = {
     "python": ["if ", "elif ", "while ", "for ", "except ", " and ", " or "], "go": ["if ", "case ", "for ", "select ", "&&", "||"],
     "ruby": ["if ", "elsif ", "unless ", "while ", "until ", "for ", "when ", "rescue ", " and ", " or "],
 }
-# Lines that begin a function, by language.
-FUNCTIONS = {
-    "rust": r'^\s*(pub(\([^)]+\))?\s+)?((async|unsafe|const|extern\s+"[^"]*")\s+)*fn\s+(r#)?[\p{L}_]\w*',
-    "python": r"^\s*(async\s+)?def\s+\w+",
-    "javascript": r"^\s*(export\s+)?(async\s+)?function\s+\w+|^\s*(export\s+)?(const|let|var)\s+\w+\s*=\s*(async\s+)?\([^)]*\)\s*=>",
-    "go": r"^\s*func\s+\w+|^\s*func\s+\([^)]*\)\s*\w+",
+LANGS = list(DECISIONS)
+# Keywords that are decision points of a function, by language, where they begin a word; and operators.
+KEYWORD_POINTS = {
+    "rust": ["if ", "match ", "for ", "while ", "loop "],
+    "python": ["if ", "elif ", "for ", "while ", "except ", "except:"],
+    "javascript": ["if ", "if(", "switch ", "switch(", "for ", "for(", "while ", "while(", "catch ", "catch(", "case "],
+    "go": ["if ", "switch ", "select ", "for ", "case "],
 }
-# Keywords that Halstead counts as operators, by language; symbols are the same for all.
-KEYWORDS = {
-    "python": "and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split(),
-    "rust": "as async await break const continue crate else enum extern fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait type unsafe use where while".split(),
-    "go": "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split(),
-    "javascript": "async await break case catch class const continue default delete do else export finally for function if import in instanceof let new of return super switch this throw try typeof var void while yield".split(),
+KEYWORD_POINTS["typescript"] = KEYWORD_POINTS["javascript"]
+OPERATOR_POINTS = {"rust": ["&&", "||", "=>"], "python": [" and ", " or "], "javascript": ["&&", "||"], "typescript": ["&&", "||"], "go": ["&&", "||"]}
+# Keywords that nest, by language.
+C_NESTING = ["if ", "if(", "switch ", "switch(", "for ", "for(", "while ", "while(", "catch ", "catch("]
+NESTING = {
+    "rust": ["match ", "for ", "while ", "loop "],
+    "python": ["if ", "elif ", "for ", "while ", "except ", "except:"],
+    "javascript": C_NESTING, "typescript": C_NESTING, "c": C_NESTING, "c++": C_NESTING, "java": C_NESTING, "c#": C_NESTING,
+    "go": ["if ", "switch ", "select ", "for "],
+}
+#: A question mark that ends a fallible call (Rust), and one of a conditional expression (JavaScript).
+TRY = r"(?md)(?<![:#])\?(?=[;)}, ]|$)"
+TERNARY = r"(?md)\?(?![.;)]|$)(?=[^\n]*:)"
+# Operators of Halstead's measures, by language.
+OPERATORS = {
+    "rust": """fn let mut if else match while for loop return break continue struct enum impl trait pub use mod async await move ref self Self where type const static unsafe extern crate super as in
+        -> => :: = == != < > <= >= + - * / % & | ^ ! && || << >> += -= *= /= %= &= |= ^= <<= >>= .. ..= ?""".split(),
+    "javascript": """function var let const if else switch case while for do return break continue class new this super import export default try catch finally throw async await yield typeof instanceof in of delete void
+        => = == === != !== < > <= >= + - * / % & | ^ ! && || ~ << >> >>> += -= *= /= %= &= |= ^= <<= >>= >>>= ** **= ?. ?? ??= ++ -- ...""".split(),
+    "python": """def class if elif else while for return break continue import from as try except finally raise with yield lambda pass del global nonlocal assert async await and or not is in
+        = == != < > <= >= + - * / // % ** & | ^ ~ << >> += -= *= /= //= %= **= &= |= ^= <<= >>= :=""".split(),
+    "go": """func var const type struct interface if else switch case for range return break continue goto defer go select chan map package import fallthrough
+        := = == != < > <= >= + - * / % & | ^ ! && || << >> &^ += -= *= /= %= &= |= ^= <<= >>= &^= ++ -- <-""".split(),
+    "java": """if else switch case while for do return break continue class struct new delete try catch throw finally void static const public private protected virtual override abstract interface extends implements import include using namespace typedef template
+        = == != < > <= >= + - * / % & | ^ ! && || ~ << >> += -= *= /= %= &= |= ^= <<= >>= ++ -- -> :: sizeof typeof""".split(),
+    "ruby": """def class module if elsif else unless while until for do return break next begin rescue ensure raise yield require include extend attr_reader attr_writer attr_accessor self super end and or not
+        = == != < > <= >= + - * / % & | ^ ! && || ~ << >> += -= *= /= %= &= |= ^= <<= >>= ** **= <=> =~ !~ .. ...""".split(),
 }
-SYMBOLS = r"\.\.\.|\*\*=|//=|<<=|>>=|===|!==|->|=>|::|==|!=|<=|>=|&&|\|\||<<|>>|\+=|-=|\*=|/=|%=|&=|\|=|\^=|\*\*|//|:=|[-+*/%=<>&|^~!?]"
-TOKENS = rf"[A-Za-z_][A-Za-z0-9_]*|[0-9]+(?:\.[0-9]+)?|{SYMBOLS}"
+OPERATORS |= {"typescript": OPERATORS["javascript"]} | {x: OPERATORS["java"] for x in ("c", "c++", "c#", "php")}
+
+SPACE = " \t\r\n\x0b\x0c"
 
 
 def by_lang(lang: Column, values: dict[str, Column], otherwise: Column) -> Column:
@@ -43,6 +67,15 @@ def occurrences(text: Column, word: str) -> Column:
     return F.floor((F.char_length(text) - F.char_length(F.replace(text, F.lit(word), F.lit("")))) / len(word)).cast("long")
 
 
+def escaped(words: list[str]) -> str:
+    return "|".join("".join(c if c.isalnum() or c in " _" else "\\" + c for c in w) for w in words)
+
+
+def keywords(text: Column, words: list[str]) -> Column:
+    """How often one of the words begins where no letter, digit or underscore is before it."""
+    return F.regexp_count(text, F.lit(rf"(?<![\p{{IsAlphabetic}}\p{{N}}_])(?:{escaped(words)})")).cast("long")
+
+
 def estimate_cyclomatic(lang: Column | str, text: Column | str) -> Column:
     """1 + substring counts in the lower-cased text; a longer keyword that holds a shorter one counts for both."""
     lower = F.lower(col(text))
@@ -51,45 +84,97 @@ def estimate_cyclomatic(lang: Column | str, text: Column | str) -> Column:
 
 
 def lines_of(text: Column | str) -> Column:
-    return F.split(col(text), "\n", -1)
+    """Lines without their ends; an end of line at the end of the text begins no line."""
+    whole = F.regexp_replace(col(text), r"\r?\n\z", "")
+    return F.when(col(text) == "", F.array().cast("array<string>")).otherwise(F.split(whole, r"\r?\n", -1))
+
+
+def trim(line: Column) -> Column:
+    return F.trim(line, F.lit(SPACE))
+
+
+def is_comment(body: Column, lang: Column) -> Column:
+    """Whether a trimmed line begins like a comment."""
+    return F.when(lang == "python", body.startswith("#")).otherwise(body.startswith("//") | body.startswith("/*") | body.startswith("*"))
+
+
+def bodies(lines: Column, lang: Column) -> Column:
+    """Trimmed lines that are no comments."""
+    return F.filter(F.transform(lines, trim), lambda x: ~is_comment(x, lang))
 
 
-def function_count(lang: Column | str, text: Column | str) -> Column:
-    lines = lines_of(text)
+def function_cyclomatic(lines: Column, lang: Column) -> Column:
+    """1 + decision points in the lines of a function."""
+    text = F.array_join(bodies(lines, lang), "\n")
+
+    def points(name: str) -> Column:
+        found = keywords(text, KEYWORD_POINTS[name]) + F.regexp_count(text, F.lit(escaped(OPERATOR_POINTS[name]))).cast("long")
+        extra = {"rust": TRY, "javascript": TERNARY, "typescript": TERNARY}.get(name)
+        return found + F.regexp_count(text, F.lit(extra)).cast("long") if extra else found
+
+    return F.lit(1).cast("long") + by_lang(lang, {k: points(k) for k in KEYWORD_POINTS}, F.lit(0).cast("long"))
+
+
+def function_cognitive(lines: Column, lang: Column) -> Column:
+    """Structures at one more than their depth, runs of lines with logical operators, labelled jumps (Rust).
+
+    A fold over the lines: depth is what earlier lines opened and did not close (in Python nothing closes), at least 0.
+    """
+    has = lambda x, *words: F.lit(False) if not words else _any(x.contains(w) for w in words)
+
+    def structures(x: Column, name: str) -> Column:
+        found = keywords(x, NESTING[name])
+        return found + F.when(x.contains("else if "), occurrences(x, "else if ")).otherwise(occurrences(x, "if ")) if name == "rust" else found
+
+    def opened(x: Column) -> Column:
+        flags = [has(x, "if ", "elif "), has(x, "for ", "while "), has(x, "try:", "except ", "except:"), has(x, "with ")]
+        return F.when(lang == "python", sum((f.cast("long") for f in flags), F.lit(0).cast("long"))).otherwise(occurrences(x, "{"))
+
+    def line(x: Column) -> Column:
+        jumps = F.when(lang == "rust", x.contains("break '").cast("long") + x.contains("continue '").cast("long")).otherwise(F.lit(0).cast("long"))
+        return F.struct(
+            by_lang(lang, {k: structures(x, k) for k in NESTING}, F.lit(0).cast("long")).alias("structures"), has(x, "&&", "||", " and ", " or ").alias("logical"), jumps.alias("jumps"),
+            opened(x).alias("opened"), F.when(lang == "python", F.lit(0).cast("long")).otherwise(occurrences(x, "}")).alias("closed"),
+        )
+
+    def step(s: Column, x: Column) -> Column:
+        score = s["score"] + x["structures"] * (s["depth"] + 1) + (x["logical"] & ~s["logical"]).cast("long") + x["jumps"]
+        return F.struct(F.greatest(s["depth"] + x["opened"] - x["closed"], F.lit(0).cast("long")).alias("depth"), x["logical"].alias("logical"), score.alias("score"))
+
+    zero = F.lit(0).cast("long")
+    return F.aggregate(F.transform(bodies(lines, lang), line), F.struct(zero.alias("depth"), F.lit(False).alias("logical"), zero.alias("score")), step, lambda s: s["score"])
 
-    def heads(pattern: str) -> Column:
-        return F.size(F.filter(lines, lambda x: x.rlike(pattern))).cast("long")
 
-    return by_lang(F.lower(col(lang)), {k: heads(p) for k, p in FUNCTIONS.items()}, F.lit(0).cast("long"))
+def _any(conditions) -> Column:
+    out = None
+    for c in conditions:
+        out = c if out is None else out | c
+    return out
 
 
-def brace_depth(text: Column | str) -> Column:
+def brace_depth(lines: Column, lang: Column) -> Column:
     """Greatest depth of braces, counted line by line; closing more than is open stays at 0. Comment lines are skipped."""
-    lines = F.filter(lines_of(text), lambda x: ~F.ltrim(x).startswith("//"))
+    kept = F.filter(lines, lambda x: ~is_comment(trim(x), lang))
     step = lambda s, x: F.struct(
         F.greatest(s["depth"] + occurrences(x, "{") - occurrences(x, "}"), F.lit(0).cast("long")).alias("depth"), F.greatest(s["most"], s["depth"] + occurrences(x, "{")).alias("most")
     )
     zero = F.lit(0).cast("long")
-    return F.aggregate(lines, F.struct(zero.alias("depth"), zero.alias("most")), step, lambda s: s["most"])
+    return F.aggregate(kept, F.struct(zero.alias("depth"), zero.alias("most")), step, lambda s: s["most"])
 
 
-def indent_depth(text: Column | str, unit: int = 4) -> Column:
-    """Greatest depth of indentation in whole units; a tab is a unit. Blank and comment lines are skipped."""
-    lines = F.filter(lines_of(text), lambda x: (F.trim(x) != "") & ~F.ltrim(x).startswith("#"))
-    depths = F.transform(lines, lambda x: F.floor(F.char_length(F.regexp_replace(F.regexp_extract(x, r"^[ \t]*", 0), "\t", " " * unit)) / unit).cast("long"))
+def indent_depth(lines: Column) -> Column:
+    """Greatest indentation in units; the unit is the first indentation of 1 to 8, a tab, or 4. Blank and comment lines are skipped."""
+    width = lambda x: F.char_length(F.regexp_extract(x, r"^\s*", 0))
+    units = F.filter(F.transform(lines, lambda x: F.when(x.startswith("\t"), 1).when((width(x) > 0) & (width(x) <= 8), width(x))), lambda u: u.isNotNull())
+    unit = F.coalesce(F.get(units, F.lit(0)), F.lit(4))
+    depths = F.transform(F.filter(lines, lambda x: (trim(x) != "") & ~trim(x).startswith("#")), lambda x: F.floor(width(x) / unit).cast("long"))
     return F.coalesce(F.array_max(depths), F.lit(0).cast("long"))
 
 
-def longest_function(lang: Column | str, text: Column | str) -> Column:
-    """Lines from one function head to the next or to the end, the most of them; 0 without functions."""
-    lines = lines_of(text)
-
-    def spans(pattern: str) -> Column:
-        heads = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(pattern), i)), lambda i: i.isNotNull())
-        ends = F.array_append(F.slice(heads, 2, F.greatest(F.size(heads) - 1, F.lit(0))), F.size(lines))
-        return F.when(F.size(heads) > 0, F.array_max(F.transform(F.arrays_zip(heads.alias("a"), ends.alias("b")), lambda z: z["b"] - z["a"])).cast("long")).otherwise(F.lit(0).cast("long"))
-
-    return by_lang(F.lower(col(lang)), {k: spans(p) for k, p in FUNCTIONS.items()}, F.lit(0).cast("long"))
+def nesting(lines: Column, lang: Column) -> Column:
+    """Greatest depth, null where nothing nests."""
+    depth = F.when(lang == "python", indent_depth(lines)).otherwise(brace_depth(lines, lang))
+    return F.when(depth > 0, depth)
 
 
 def risk_class(functions: Column, longest: Column, cyclomatic: Column, cognitive: Column, nesting: Column) -> Column:
@@ -107,48 +192,120 @@ def risk_class(functions: Column, longest: Column, cyclomatic: Column, cognitive
     return F.when(score <= 1, "low").when(score <= 4, "moderate").when(score <= 7, "high").otherwise("critical")
 
 
+def within(lines: Column, span: Column) -> Column:
+    return F.slice(lines, span["first"] + 1, span["last"] - span["first"] + 1)
+
+
+def source_facts(contents: DataFrame) -> DataFrame:
+    """function_facts of files in languages that are scored, with their lines."""
+    known = contents.where(F.lower("lang").isin(LANGS))
+    return function_facts(known).withColumn("lines", lines_of("text"))
+
+
+def function_scores(contents: DataFrame) -> DataFrame:
+    """(path, module, lang, name, line, cyclomatic, cognitive) of every function; cyclomatic is null in the C family."""
+    lang, s = F.col("lang"), F.col("s")
+    rows = source_facts(contents).select("path", "module", "lang", "lines", F.explode("scored").alias("s"))
+    own = within(F.col("lines"), s)
+    return rows.select(
+        "path", "module", "lang", s["name"].alias("name"), (s["first"] + 1).cast("long").alias("line"),
+        F.when(lang.isin(list(KEYWORD_POINTS)), function_cyclomatic(own, lang)).alias("cyclomatic"), function_cognitive(own, lang).alias("cognitive"),
+    )
+
+
+def function_details(contents: DataFrame) -> DataFrame:
+    """(path, module, lang, name, line_start, line_end, length, cyclomatic, cognitive, max_nesting, param_count); 0 parameters are null."""
+    s, lang = F.col("s"), F.col("lang")
+    rows = source_facts(contents).select("path", "module", "lang", "lines", F.explode("details").alias("s")).withColumn("own", within(F.col("lines"), s))
+    head = F.element_at("own", 1)
+    opened, closed = F.instr(head, "("), F.instr(head, ")")
+    params = F.trim(F.substr(head, opened + 1, closed - opened - 1), F.lit(SPACE))
+    count = F.when((opened > 0) & (closed > opened) & (params != ""), F.size(F.split(params, ",", -1)).cast("long"))
+    inner = F.aggregate("s.inner", F.lit(0).cast("long"), lambda total, x: total + function_cognitive(within(F.col("own"), x), lang))
+    return rows.select(
+        "path", "module", "lang", s["name"].alias("name"), (s["first"] + 1).cast("long").alias("line_start"), (s["last"] + 1).cast("long").alias("line_end"), (s["last"] - s["first"] + 1).cast("long").alias("length"),
+        estimate_cyclomatic(lang, F.array_join("own", "\n")).alias("cyclomatic"), inner.alias("cognitive"), nesting(F.col("own"), lang).alias("max_nesting"), count.alias("param_count"),
+    )
+
+
 def file_complexity(contents: DataFrame) -> DataFrame:
-    """(path, module, lang, function_count, max_function_length, cyclomatic, max_nesting, risk)."""
-    nesting = F.when(F.lower("lang") == "python", indent_depth("text")).otherwise(brace_depth("text"))
-    out = contents.select("path", "module", "lang", function_count("lang", "text").alias("function_count"), longest_function("lang", "text").alias("max_function_length"), estimate_cyclomatic("lang", "text").alias("cyclomatic"), nesting.alias("max_nesting"))
-    return out.withColumn("risk", risk_class(F.col("function_count"), F.col("max_function_length"), F.col("cyclomatic"), F.lit(None).cast("long"), F.col("max_nesting")))
+    """(path, module, lang, function_count, max_function_length, cyclomatic, max_function_cyclomatic, cognitive, max_nesting, risk).
+
+    Files in languages that are not scored are left out. cyclomatic is the sum over functions; a file whose functions
+    are not found by interval, but counted, has that of the whole file, one without any has 0. cognitive and
+    max_nesting are null where there is nothing to score.
+    """
+    lang, lines = F.col("lang"), F.col("lines")
+    longs = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
+    scored = F.transform("scored", lambda s: F.struct(F.when(lang.isin(list(KEYWORD_POINTS)), function_cyclomatic(within(lines, s), lang)).alias("cyclomatic"), function_cognitive(within(lines, s), lang).alias("cognitive")))
+    rows = source_facts(contents).withColumn("scores", scored)
+    points = F.filter(F.col("scores.cyclomatic"), lambda x: x.isNotNull())
+    whole = F.when(F.col("function_count") > 0, estimate_cyclomatic(lang, F.col("text"))).otherwise(F.lit(0).cast("long"))
+    out = rows.select(
+        "path", "module", "lang", "function_count", "max_function_length", F.when(F.size(points) > 0, longs(points)).otherwise(whole).alias("cyclomatic"), F.when(F.size(points) > 0, F.array_max(points)).otherwise(whole).alias("max_function_cyclomatic"),
+        F.when(F.size("scores") > 0, longs(F.col("scores.cognitive"))).alias("cognitive"), nesting(lines, lang).alias("max_nesting"),
+    )
+    return out.withColumn("risk", risk_class(F.col("function_count"), F.col("max_function_length"), F.col("max_function_cyclomatic"), F.col("cognitive"), F.col("max_nesting")))
 
 
 def complexity_summary(files: DataFrame) -> DataFrame:
-    """Totals over files; the mean function length is the mean of the files' longest functions."""
-    high = F.sum(F.col("risk").isin("high", "critical").cast("long"))
+    """Totals over files: the mean function length is that of the files' longest, the mean cyclomatic a function's."""
+    zero = lambda x: F.coalesce(x, F.lit(0)).cast("long")
     out = files.agg(
-        F.count("*").alias("files"), F.coalesce(F.sum("function_count"), F.lit(0)).cast("long").alias("total_functions"), F.sum("max_function_length").alias("l"), F.coalesce(F.max("max_function_length"), F.lit(0)).alias("max_function_length"),
-        F.sum("cyclomatic").alias("c"), F.coalesce(F.max("cyclomatic"), F.lit(0)).alias("max_cyclomatic"), F.coalesce(high, F.lit(0)).cast("long").alias("high_risk_files"),
+        F.count("*").alias("files"), zero(F.sum("function_count")).alias("total_functions"), zero(F.sum("max_function_length")).alias("l"), zero(F.max("max_function_length")).alias("max_function_length"),
+        zero(F.sum(F.when(F.col("function_count") > 0, F.col("cyclomatic")))).alias("c"), zero(F.max("max_function_cyclomatic")).alias("max_cyclomatic"),
+        F.sum("cognitive").alias("g"), F.count("cognitive").alias("gn"), F.max("cognitive").alias("max_cognitive"), F.sum("max_nesting").alias("d"), F.count("max_nesting").alias("dn"), F.max("max_nesting").alias("max_nesting_depth"),
+        zero(F.sum(F.col("risk").isin("high", "critical").cast("long"))).alias("high_risk_files"),
+    )
+    length = F.when(F.col("total_functions") > 0, ratio("l", "files", 2)).otherwise(0.0)
+    return out.select(
+        "files", "total_functions", length.alias("avg_function_length"), "max_function_length", ratio("c", "total_functions", 2).alias("avg_cyclomatic"), "max_cyclomatic",
+        F.when(F.col("gn") > 0, ratio("g", "gn", 2)).alias("avg_cognitive"), "max_cognitive", F.when(F.col("dn") > 0, ratio("d", "dn", 2)).alias("avg_nesting_depth"), "max_nesting_depth", "high_risk_files",
     )
-    return out.select("files", "total_functions", ratio(F.coalesce("l", F.lit(0)), "files", 2).alias("avg_function_length"), "max_function_length", ratio(F.coalesce("c", F.lit(0)), "files", 2).alias("avg_cyclomatic"), "max_cyclomatic", "high_risk_files")
 
 
 def complexity_histogram(files: DataFrame, width: int = 5, buckets: int = 7) -> DataFrame:
-    """(bucket, low, files): the last bucket is open; every bucket stands."""
+    """(bucket, low, files) by a file's largest function: the last bucket is open; every bucket stands."""
     spark = files.sparkSession
-    counts = files.groupBy(F.least(F.floor(F.col("cyclomatic") / width), F.lit(buckets - 1)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+    counts = files.groupBy(F.least(F.floor(F.col("max_function_cyclomatic") / width), F.lit(buckets - 1)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
     names = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"), (F.col("id") * width).alias("low"))
     return names.join(counts, "bucket", "left").select("bucket", "low", F.coalesce("n", F.lit(0)).cast("long").alias("files"))
 
 
 def debt_ratio(files: DataFrame, code_lines: DataFrame) -> DataFrame:
-    """Complexity points per 1 000 lines of code and its level; no row without code."""
-    points = files.agg(F.sum("cyclomatic").cast("long").alias("complexity_points"))
+    """Cyclomatic and cognitive points per 1 000 lines of code and their level; no row without code or files."""
+    points = files.agg(F.sum(F.col("cyclomatic") + F.coalesce("cognitive", F.lit(0))).cast("long").alias("complexity_points")).where("complexity_points is not null")
     out = points.crossJoin(F.broadcast(code_lines.select("code"))).where("code > 0")  # one row each
     value = ratio(F.col("complexity_points") * 1000, "code", 2)
     out = out.select(value.alias("ratio"), "complexity_points", ratio("code", F.lit(1000)).alias("code_kloc"))
     return out.withColumn("level", F.when(F.col("ratio") < 30, "low").when(F.col("ratio") < 60, "moderate").when(F.col("ratio") < 100, "high").otherwise("critical"))
 
 
+def halstead_tokens(contents: DataFrame) -> DataFrame:
+    """(op, token, n): operators and operands of all files, found by the longest operator at each place.
+
+    Comment lines are skipped. A string is one operand `<string>`, whatever it holds; it ends with its line at the latest.
+    """
+    lang = F.col("lang")
+    known = contents.where("text is not null").select(F.lower("lang").alias("lang"), "text").where(lang.isin(list(OPERATORS)))
+    kept = F.filter(F.transform(lines_of("text"), trim), lambda x: (x != "") & ~(x.startswith("//") | x.startswith("#") | x.startswith("/*") | x.startswith("*")))
+    quoted = r'"(?:\\[^\n]|[^"\\\n])*(?:"|\\?$)|' + r"'(?:\\[^\n]|[^'\\\n])*(?:'|\\?$)"
+
+    def pattern(name: str) -> Column:
+        symbols = sorted((w for w in OPERATORS[name] if not w[0].isalpha()), key=lambda w: (-len(w), w))
+        return F.lit(rf"(?md)({quoted}|[\p{{IsAlphabetic}}\p{{N}}_]+|{escaped(symbols)})")
+
+    text = F.array_join(kept, "\n")
+    found = by_lang(lang, {k: F.regexp_extract_all(text, pattern(k), F.lit(1)) for k in OPERATORS}, F.array().cast("array<string>"))
+    tokens = known.select("lang", F.explode(found).alias("token"))
+    op = by_lang(lang, {k: F.col("token").isin(words) for k, words in OPERATORS.items()}, F.lit(False))
+    named = F.when(F.substring("token", 1, 1).isin('"', "'"), F.lit("<string>")).otherwise(F.col("token"))
+    return tokens.select(op.alias("op"), named.alias("token")).groupBy("op", "token").agg(F.count("*").alias("n"))  # each distinct token once before the global sums
+
+
 def halstead(contents: DataFrame) -> DataFrame:
     """One row: distinct and total operators and operands of all files, and the measures derived from them."""
-    lang = F.lower("lang")
-    keyword = by_lang(lang, {k: F.col("token").isin(words) for k, words in KEYWORDS.items()}, F.lit(False))
-    tokens = contents.where(lang.isin(list(KEYWORDS))).select("lang", F.explode(F.regexp_extract_all("text", F.lit(f"({TOKENS})"), 1)).alias("token"))
-    # each distinct token once before the global sums
-    counts = tokens.withColumn("op", keyword | ~F.col("token").rlike("^[A-Za-z0-9_]")).groupBy("op", "token").agg(F.count("*").alias("n"))
-    one = counts.agg(
+    one = halstead_tokens(contents).agg(
         F.coalesce(F.sum(F.col("op").cast("long")), F.lit(0)).cast("long").alias("distinct_operators"), F.coalesce(F.sum((~F.col("op")).cast("long")), F.lit(0)).cast("long").alias("distinct_operands"),
         F.coalesce(F.sum(F.when(F.col("op"), F.col("n"))), F.lit(0)).cast("long").alias("total_operators"), F.coalesce(F.sum(F.when(~F.col("op"), F.col("n"))), F.lit(0)).cast("long").alias("total_operands"),
     )
@@ -174,6 +331,22 @@ def maintainability_index(files: DataFrame, volume: Column | None = None) -> Dat
     return out.withColumn("grade", F.when(F.col("index") >= 85, "A").when(F.col("index") >= 65, "B").otherwise("C"))
 
 
+def maintainability_report(files: DataFrame, code_lines: DataFrame, volume: DataFrame | None = None) -> DataFrame:
+    """One row (score, avg_cyclomatic, avg_loc, avg_halstead_volume, grade) from the averages of all files.
+
+    files: file_complexity; code_lines: (code, files) of all parents; volume: (volume), which counts if it is above 0.
+    No row without files or code.
+    """
+    averages = complexity_summary(files).where("files > 0").select("avg_cyclomatic")
+    loc = code_lines.where("files > 0 and code > 0").select(ratio("code", "files", 2).alias("avg_loc"))
+    one = averages.crossJoin(F.broadcast(loc))  # one row each
+    one = one.crossJoin(F.broadcast(volume.select("volume"))) if volume is not None else one.withColumn("volume", F.lit(None).cast("double"))
+    used = F.when(F.col("volume") > 0, F.col("volume"))
+    raw = F.lit(171.0) - F.when(used.isNotNull(), 5.2 * F.log(used)).otherwise(0.0) - 0.23 * F.col("avg_cyclomatic") - 16.2 * F.log("avg_loc")
+    out = one.select(round_away(F.greatest(raw, F.lit(0.0)), 2).alias("score"), "avg_cyclomatic", "avg_loc", used.alias("avg_halstead_volume"))
+    return out.withColumn("grade", F.when(F.col("score") >= 85, "A").when(F.col("score") >= 65, "B").otherwise("C"))
+
+
 # Lines that declare a symbol, and what makes one public, by language.
 SYMBOL_LINES = {
     "rust": (r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*(fn|struct|enum|trait|type|static|mod)\s+(\w+)", r"^\s*pub\s", r"^\s*(///|#\[doc|/\*\*)"),

@@ -107,7 +107,7 @@ def hunks(lines: DataFrame) -> DataFrame:
 
 
 def complexity_gate(files: DataFrame, most: int = 15) -> DataFrame:
-    """0 files above `most` pass, up to 3 warn, more fail."""
+    """0 files above `most` pass, up to 3 warn, more fail; files: rust_complexity, or (cyclomatic) of each file's largest function."""
     n = files.agg(F.coalesce(F.sum((F.col("cyclomatic") > most).cast("long")), F.lit(0)).cast("long").alias("high_files"))
     return n.withColumn("status", F.when(F.col("high_files") == 0, "pass").when(F.col("high_files") <= 3, "warn").otherwise("fail"))
 

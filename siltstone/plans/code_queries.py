@@ -8,7 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.plans.facts_sql import CODE, with_
+from siltstone.operators import complexity as cx
+from siltstone.operators import functions as fns
+from siltstone.operators import review as rev
+from siltstone.plans.facts_sql import CODE, COVERAGE, r, ratio, with_
 from siltstone.sources import adapters as src
 from siltstone.sources import line_scanner as scan
 from siltstone.sources.rendered import code_files
@@ -89,3 +92,197 @@ QUERIES = {
         with_(CODE, CODE_IDS, CLASSES) + "SELECT id || '.md' AS path, lang, 'child' AS kind, code, comments, blanks FROM classes UNION ALL SELECT id || '.md', 'Markdown', 'parent', code, comments + 3, blanks + 1 FROM classes",
     ),
 }
+
+# --- functions, their scores, files' complexity --------------------------------------------------------------------
+
+CODE_LINES = r"""
+code_lines AS (
+  SELECT path, module, lang, i, line, b, CASE WHEN lang = 'python' THEN starts_with(b, '#') ELSE regexp_matches(b, '^(//|/\*|\*)') END AS comment, length(line) - length(ltrim(line, ' ' || chr(9))) AS ind
+  FROM (SELECT *, trim(line, ' ' || chr(9)) AS b FROM (SELECT path, module, lower(lang) AS lang, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM (SELECT *, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS ls FROM code_files)))
+), braces AS (
+  SELECT path, i, k, ch, sum(CASE ch WHEN '{' THEN 1 ELSE -1 END) OVER (PARTITION BY path ORDER BY i, k) AS d
+  FROM (SELECT path, i, unnest(regexp_extract_all(line, '[{}]')) AS ch, generate_subscripts(regexp_extract_all(line, '[{}]'), 1) AS k FROM code_lines)
+), leveled AS (SELECT *, lead(i) OVER (PARTITION BY path, CASE ch WHEN '{' THEN d ELSE d + 1 END ORDER BY i, k) AS close_i FROM braces),
+pairs AS (SELECT path, i * 1000 + k AS pos, close_i FROM leveled WHERE ch = '{'),
+heads AS (
+  SELECT path, module, lang, i, ind, line, b FROM (SELECT *, lead(b) OVER (PARTITION BY path ORDER BY i) AS after FROM code_lines)
+  WHERE (lang = 'rust' AND regexp_matches(line, '^\s*(pub(\([^)]+\))?\s+)?((async|unsafe|const)\s+)*fn\s+\w+')) OR (lang = 'python' AND regexp_matches(line, '^\s*(async\s+)?def\s+\w+')) OR (lang = 'go' AND regexp_matches(line, '^\s*func\s+\w+'))
+    OR (lang IN ('javascript', 'typescript') AND NOT regexp_matches(b, '^(//|/\*|\*)') AND NOT regexp_matches(b, '[,;]$')
+      AND (regexp_matches(line, '^\s*(export\s+)?(async\s+)?function\s+\w+') OR regexp_matches(line, '^\s*(export\s+)?(const|let|var)\s+\w+\s*=\s*(async\s+)?\([^)]*\)\s*=>') OR regexp_matches(line, '^\s*(async\s+)?\w+\s*\([^)]*\)\s*\{')))
+    OR (lang = 'java' AND (ends_with(b, ') {') OR ends_with(b, ')') AND starts_with(after, '{')) AND NOT regexp_matches(b, '^(if|while|for|switch|catch)[ (]'))
+), brace_ends AS (SELECT h.*, p.close_i AS e FROM heads h ASOF JOIN pairs p ON h.path = p.path AND h.i * 1000 <= p.pos WHERE h.lang <> 'python'),
+py AS (SELECT path, i, ind, b FROM code_lines WHERE lang = 'python' AND b <> '' AND NOT comment),
+py_stops AS (SELECT h.path, h.i, min(c.i) AS stop FROM heads h JOIN py c ON c.path = h.path AND c.i > h.i AND c.ind <= h.ind WHERE h.lang = 'python' GROUP BY h.path, h.i),
+indent_ends AS (SELECT h.path, h.module, h.lang, h.i, h.ind, h.line, h.b, max(c.i) AS e FROM heads h LEFT JOIN py_stops s ON s.path = h.path AND s.i = h.i JOIN py c ON c.path = h.path AND c.i >= h.i AND (s.stop IS NULL OR c.i < s.stop) WHERE h.lang = 'python' GROUP BY ALL),
+ends AS (SELECT path, module, lang, i, i AS s, e, b FROM brace_ends WHERE e IS NOT NULL UNION ALL
+  SELECT h.path, h.module, h.lang, h.i, CASE WHEN l.b IS NOT NULL THEN h.i - 1 ELSE h.i END, h.e, coalesce(l.b, h.b) FROM indent_ends h LEFT JOIN code_lines l ON l.path = h.path AND l.i = h.i - 1 AND starts_with(l.b, '@') AND l.ind = h.ind),
+spans AS (
+  SELECT path, module, lang, s, e, i, CASE WHEN lang = 'rust' THEN regexp_extract(b, 'fn (\w+)', 1) WHEN lang = 'go' THEN regexp_extract(b, 'func (\w+)', 1) WHEN lang = 'python' AND contains(b, 'def ') THEN regexp_extract(b, 'def (\w+)', 1)
+    WHEN lang IN ('javascript', 'typescript') THEN CASE WHEN contains(b, 'function ') THEN regexp_extract(b, 'function (\w+)', 1) WHEN contains(b, 'const ') THEN regexp_extract(b, 'const (\w+)', 1) ELSE regexp_extract(b, '(\S+)\(', 1) END ELSE 'unknown' END AS name FROM ends
+), outer_spans AS (SELECT * FROM spans a WHERE NOT EXISTS (SELECT 1 FROM spans o WHERE o.path = a.path AND o.i < a.i AND o.e >= a.i))
+"""
+
+
+def hits(pattern: str, of: str = "b") -> str:
+    return f"len(regexp_extract_all({of}, '{pattern}'))"
+
+
+WORD = r"(?:^|[^\pL\pN_])"
+POINTS = f"""CASE lang WHEN 'rust' THEN {hits(WORD + "(?:if|match|for|while|loop) ")} + {hits("&&|[|][|]|=>")} + {hits("[^:#][?](?:[;)}, ]|$)")}
+  WHEN 'python' THEN {hits(WORD + "(?:(?:if|elif|for|while|except) |except:)")} + {hits(" and ")} + {hits(" or ")}
+  WHEN 'go' THEN {hits(WORD + "(?:if|switch|select|for|case) ")} + {hits("&&|[|][|]")}
+  ELSE {hits(WORD + "(?:(?:if|switch|for|while|catch)[ (]|case )")} + {hits("&&|[|][|]")} + {hits("[?][^.;)].*:")} END"""
+STRUCTURES = f"""CASE lang WHEN 'rust' THEN {hits(WORD + "(?:match|for|while|loop) ")} + CASE WHEN contains(b, 'else if ') THEN {hits("else if ")} ELSE {hits("if ")} END
+  WHEN 'python' THEN {hits(WORD + "(?:(?:if|elif|for|while|except) |except:)")} WHEN 'go' THEN {hits(WORD + "(?:if|switch|select|for) ")} ELSE {hits(WORD + "(?:if|switch|for|while|catch)[ (]")} END"""
+OPENED = "CASE lang WHEN 'python' THEN (contains(b, 'if ') OR contains(b, 'elif '))::INT + (contains(b, 'for ') OR contains(b, 'while '))::INT + (contains(b, 'try:') OR contains(b, 'except ') OR contains(b, 'except:'))::INT + contains(b, 'with ')::INT ELSE len(regexp_extract_all(b, '[{]')) END"
+SCORES = f"""
+inside AS (SELECT o.path, o.lang, o.s, o.e, o.name, l.i, l.b FROM outer_spans o JOIN code_lines l ON l.path = o.path AND l.i BETWEEN o.s AND o.e WHERE NOT l.comment),
+scored_lines AS (SELECT *, {POINTS} AS points, {STRUCTURES} AS structures, regexp_matches(b, '&&|[|][|]| and | or ') AS logical, CASE WHEN lang = 'rust' THEN regexp_matches(b, 'break ''')::INT + regexp_matches(b, 'continue ''')::INT ELSE 0 END AS jumps, {OPENED} - CASE lang WHEN 'python' THEN 0 ELSE {hits("[}]")} END AS net FROM inside),
+deep AS (SELECT *, coalesce(sum(net) OVER w, 0) AS depth, coalesce(lag(logical) OVER (PARTITION BY path, s ORDER BY i), false) AS before FROM scored_lines WINDOW w AS (PARTITION BY path, s ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+scores AS (SELECT path, lang, s, e, name, CASE WHEN lang <> 'java' THEN 1 + sum(points) END::BIGINT AS cyclomatic, sum(structures * (depth + 1) + (logical AND NOT before)::INT + jumps)::BIGINT AS cognitive FROM deep GROUP BY path, lang, s, e, name)
+"""
+WHOLE = " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" for w in ("if ", "case ", "while ", "for ", "?", "&&", "||", "catch "))
+NEST = """CASE WHEN lang = 'python' THEN max(CASE WHEN b <> '' AND NOT comment THEN ind // 4 END) ELSE max(depth + opens) END"""
+FILE_SCORES = f"""
+lengths AS (SELECT path, count(*) AS n, max(e - s + 1) AS longest FROM outer_spans WHERE lang <> 'python' GROUP BY path UNION ALL
+  SELECT path, count(*), max(coalesce(stop, n) - i) FROM (SELECT h.path, h.i, s.stop, (SELECT count(*) FROM code_lines l WHERE l.path = h.path) AS n FROM heads h LEFT JOIN py_stops s ON s.path = h.path AND s.i = h.i WHERE h.lang = 'python') GROUP BY path),
+running AS (SELECT *, coalesce(sum(CASE WHEN comment THEN 0 ELSE opens - closes END) OVER (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth FROM (SELECT *, CASE WHEN comment THEN 0 ELSE {hits("[{]", "line")} END AS opens, {hits("[}]", "line")} AS closes FROM code_lines)),
+nested AS (SELECT path, {NEST} AS deepest FROM running GROUP BY path, lang),
+sums AS (SELECT path, sum(cyclomatic) AS cyclomatic, max(cyclomatic) AS most, sum(cognitive) AS cognitive FROM scores GROUP BY path),
+cx AS (SELECT f.path, f.module, lower(f.lang) AS lang, coalesce(l.n, 0)::BIGINT AS function_count, coalesce(longest, 0)::BIGINT AS max_function_length,
+    coalesce(s.cyclomatic, CASE WHEN l.n > 0 THEN 1 + {WHOLE.replace('(t', '(lower(f.text)')} ELSE 0 END)::BIGINT AS cyclomatic, coalesce(s.most, CASE WHEN l.n > 0 THEN 1 + {WHOLE.replace('(t', '(lower(f.text)')} ELSE 0 END)::BIGINT AS max_function_cyclomatic,
+    s.cognitive::BIGINT AS cognitive, nullif(deepest, 0)::BIGINT AS max_nesting FROM code_files f LEFT JOIN lengths l ON l.path = f.path LEFT JOIN sums s ON s.path = f.path LEFT JOIN nested n ON n.path = f.path)
+"""
+
+
+def band(x: str, *steps: tuple[int, int]) -> str:
+    return "CASE " + " ".join(f"WHEN {x} > {least} THEN {score}" for least, score in steps) + " ELSE 0 END"
+
+
+RISK = " + ".join((band("function_count", (50, 2), (20, 1)), band("max_function_length", (100, 3), (50, 2), (25, 1)), band("max_function_cyclomatic", (50, 3), (20, 2), (10, 1)), band("cognitive", (100, 3), (50, 2), (25, 1)), band("max_nesting", (8, 3), (5, 2), (4, 1))))
+RISKS = f"rk AS (SELECT *, CASE WHEN {RISK} <= 1 THEN 'low' WHEN {RISK} <= 4 THEN 'moderate' WHEN {RISK} <= 7 THEN 'high' ELSE 'critical' END AS risk FROM cx)"
+COMPLEXITY = (CODE, CODE_LINES, SCORES, FILE_SCORES)
+SUMMARY = f"""sm AS (SELECT count(*) AS files, sum(function_count)::BIGINT AS total_functions, {ratio('sum(max_function_length)', 'count(*)', 2)} AS avg_function_length, max(max_function_length) AS max_function_length,
+  {ratio('sum(cyclomatic) FILTER (function_count > 0)', 'sum(function_count)', 2)} AS avg_cyclomatic, max(max_function_cyclomatic) AS max_cyclomatic, {ratio('sum(cognitive)', 'count(cognitive)', 2)} AS avg_cognitive, max(cognitive) AS max_cognitive,
+  {ratio('sum(max_nesting)', 'count(max_nesting)', 2)} AS avg_nesting_depth, max(max_nesting) AS max_nesting_depth, count(*) FILTER (risk IN ('high', 'critical')) AS high_risk_files FROM rk)"""
+
+# --- Halstead's measures -------------------------------------------------------------------------------------------
+
+# Operators by language, stated here for the SQL on their own.
+HALSTEAD_SQL = {
+    "Rust": "fn let mut if else match while for loop return break continue struct enum impl trait pub use mod async await move ref self Self where type const static unsafe extern crate super as in -> => :: = == != < > <= >= + - * / % & | ^ ! && || << >> += -= *= /= %= &= |= ^= <<= >>= .. ..= ?",
+    "JavaScript": "function var let const if else switch case while for do return break continue class new this super import export default try catch finally throw async await yield typeof instanceof in of delete void => = == === != !== < > <= >= + - * / % & | ^ ! && || ~ << >> >>> += -= *= /= %= &= |= ^= <<= >>= >>>= ** **= ?. ?? ??= ++ -- ...",
+    "Python": "def class if elif else while for return break continue import from as try except finally raise with yield lambda pass del global nonlocal assert async await and or not is in = == != < > <= >= + - * / // % ** & | ^ ~ << >> += -= *= /= //= %= **= &= |= ^= <<= >>= :=",
+    "Go": "func var const type struct interface if else switch case for range return break continue goto defer go select chan map package import fallthrough := = == != < > <= >= + - * / % & | ^ ! && || << >> &^ += -= *= /= %= &= |= ^= <<= >>= &^= ++ -- <-",
+    "Java": "if else switch case while for do return break continue class struct new delete try catch throw finally void static const public private protected virtual override abstract interface extends implements import include using namespace typedef template = == != < > <= >= + - * / % & | ^ ! && || ~ << >> += -= *= /= %= &= |= ^= <<= >>= ++ -- -> :: sizeof typeof",
+}
+
+
+def halstead_sql() -> str:
+    def part(lang: str, words: list[str]) -> str:
+        marks = "|".join("".join("\\" + c for c in w) for w in sorted((w for w in words if not w[0].isalpha()), key=len, reverse=True))
+        quoted = r'"(?:\\.|[^"\\])*(?:"|\\?$)|' + "''(?:\\\\.|[^''\\\\])*(?:''|\\\\?$)"
+        listed = ", ".join(f"'{w}'" for w in words)
+        names = "('javascript', 'typescript')" if lang == "JavaScript" else f"('{lang.lower()}')"
+        return f"SELECT x AS token, x IN ({listed}) AS op FROM (SELECT unnest(regexp_extract_all(b, '{quoted}|[\\pL\\pN_]+|{marks}')) AS x FROM hl WHERE lang IN {names})"
+
+    parts = " UNION ALL ".join(part(k, w.split()) for k, w in HALSTEAD_SQL.items())
+    return f"""hl AS (SELECT lang, b FROM code_lines WHERE b <> '' AND NOT regexp_matches(b, '^(//|#|/\\*|\\*)')), tk AS ({parts}),
+      ct AS (SELECT CASE WHEN token[1] IN ('"', '''') THEN '<string>' ELSE token END AS token, op, count(*) AS n FROM tk GROUP BY 1, 2),
+      hs AS (SELECT count(*) FILTER (op) AS n1, count(*) FILTER (NOT op) AS n2, coalesce(sum(n) FILTER (op), 0)::BIGINT AS t1, coalesce(sum(n) FILTER (NOT op), 0)::BIGINT AS t2 FROM ct),
+      hv AS (SELECT *, (t1 + t2)::DOUBLE * log2((n1 + n2)::DOUBLE) AS v, n1::DOUBLE / 2.0::DOUBLE * (t2::DOUBLE / n2::DOUBLE) AS d FROM hs)"""
+
+
+HALSTEAD = halstead_sql()
+
+# --- innermost function around a place -----------------------------------------------------------------------------
+
+SEAMS = r"\.unwrap\(\)|\.expect\(|panic!?\(|\braise\b|\bthrow\b|\?\."
+
+
+def seams(spark, d):
+    """Places that may fail, with the innermost function around each."""
+    facts = cx.source_facts(code_files(spark, d))
+    lines = facts.select("path", F.posexplode("lines").alias("i", "text")).where(F.col("text").rlike(SEAMS)).select("path", (F.col("i") + 1).cast("long").alias("line"))
+    return fns.innermost(lines, fns.function_spans(facts, "nested"), 8)
+
+
+def complexity(spark, d):
+    return cx.file_complexity(code_files(spark, d))
+
+
+def code_totals(spark, d):
+    return scan.scan_rows(code_files(spark, d), "parents-only").agg(F.sum("code").alias("code"), F.count("*").alias("files"))
+
+
+TOTALS = "tt AS (SELECT sum(code)::BIGINT AS code, count(*) AS files FROM classes)"
+
+
+def details_sql() -> str:
+    words = {"rust": ("if ", "match ", "while ", "for ", "loop ", "?", "&&", "||"), "javascript": ("if ", "case ", "while ", "for ", "?", "&&", "||", "catch "), "python": ("if ", "elif ", "while ", "for ", "except ", " and ", " or "), "go": ("if ", "case ", "for ", "select ", "&&", "||")}
+    words["java"] = words["javascript"]
+    raw = "CASE lang " + " ".join(f"WHEN '{k}' THEN " + " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" for w in v) for k, v in words.items()) + " END"
+    return f"""dd AS (SELECT o.*, l.i AS li, l.line, l.b, l.comment, l.ind FROM outer_spans o JOIN code_lines l ON l.path = o.path AND l.i BETWEEN o.s AND o.e WHERE o.lang <> 'typescript'),
+      dr AS (SELECT *, coalesce(sum(CASE WHEN comment THEN 0 ELSE {hits("[{]", "line")} - {hits("[}]", "line")} END) OVER (PARTITION BY path, s ORDER BY li ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN comment THEN 0 ELSE {hits("[{]", "line")} END AS depth FROM dd),
+      dt AS (SELECT path, module, lang, s, e, i, lower(string_agg(line, chr(10) ORDER BY li)) AS t, arg_min(b, li) AS head, arg_min(b, li) FILTER (li >= i) AS own, CASE WHEN lang = 'python' THEN max(CASE WHEN b <> '' AND NOT comment THEN ind // 4 END) ELSE max(depth) END AS deepest FROM dr GROUP BY path, module, lang, s, e, i),
+      dn AS (SELECT *, 1 + {raw} AS cyc, trim(regexp_extract(head, '[(]([^)]*)[)]', 1)) AS params FROM dt)
+      SELECT dn.path, module, dn.lang, CASE dn.lang WHEN 'rust' THEN regexp_extract(own, 'fn (\\w+)', 1) WHEN 'go' THEN regexp_extract(own, 'func (\\w+)', 1) WHEN 'python' THEN regexp_extract(own, 'def (\\w+)', 1)
+        WHEN 'javascript' THEN CASE WHEN contains(own, 'function ') THEN regexp_extract(own, 'function (\\w+)', 1) WHEN regexp_matches(own, '[\\w$] *[(]') THEN regexp_extract(own, '([\\w$]+) *[(]', 1) ELSE '<anonymous>' END ELSE regexp_extract(own, '(\\w+)[(]', 1) END AS name,
+        (dn.s + 1)::BIGINT AS line_start, (dn.e + 1)::BIGINT AS line_end, (dn.e - dn.s + 1)::BIGINT AS length, cyc::BIGINT AS cyclomatic, cognitive, nullif(deepest, 0)::BIGINT AS max_nesting, CASE WHEN params <> '' THEN len(string_split(params, ',')) END::BIGINT AS param_count
+      FROM dn JOIN scores sc ON sc.path = dn.path AND sc.s = dn.s"""
+
+
+GATE = rf"""
+mk AS (SELECT path, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM (SELECT path, string_split(regexp_replace(text, '{QUOTED}|{LINE}|{NESTED}', '', 'g'), chr(10)) AS ls FROM code_files WHERE lang = 'Rust')),
+mb AS (SELECT path, i, k, ch, sum(CASE ch WHEN '{{' THEN 1 ELSE -1 END) OVER (PARTITION BY path ORDER BY i, k) AS d FROM (SELECT path, i, unnest(regexp_extract_all(line, '[{{}}]')) AS ch, generate_subscripts(regexp_extract_all(line, '[{{}}]'), 1) AS k FROM mk)),
+ml AS (SELECT *, lead(i) OVER (PARTITION BY path, CASE ch WHEN '{{' THEN d ELSE d + 1 END ORDER BY i, k) AS close_i FROM mb), mp AS (SELECT path, i AS open_i, close_i FROM ml WHERE ch = '{{' AND d = 1),
+mf AS (SELECT h.path, h.i AS s, p.close_i AS e FROM mk h ASOF JOIN mp p ON h.path = p.path AND h.i <= p.open_i WHERE regexp_matches(h.line, '^\s*(pub )?fn ')),
+mc AS (SELECT mf.path, s, e, 1 + coalesce(sum({hits("if |while |for |loop |match |&&|[|][|]|[?]|=>", "line")}), 0) AS c FROM mf LEFT JOIN mk ON mk.path = mf.path AND mk.i >= s AND mk.i < e GROUP BY mf.path, s, e),
+rc AS (SELECT f.path, coalesce(sum(c), 0)::BIGINT AS total_cyclomatic, coalesce(max(c), 0)::BIGINT AS cyclomatic, count(c) AS function_count, coalesce(max(e - s + 1), 0)::BIGINT AS max_function_length FROM code_files f LEFT JOIN mc ON mc.path = f.path WHERE lang = 'Rust' GROUP BY f.path),
+gt AS (SELECT count(*) FILTER (cyclomatic > 15) AS high_files FROM rc)"""
+GATE_STATUS = "CASE WHEN high_files = 0 THEN 'pass' WHEN high_files <= 3 THEN 'warn' ELSE 'fail' END"
+
+QUERIES |= {
+    "function_spans": (
+        lambda s, d: fns.function_spans(cx.source_facts(code_files(s, d))),
+        with_(CODE, CODE_LINES) + "SELECT path, lang, name, (s + 1)::BIGINT AS start_line, (e + 1)::BIGINT AS end_line FROM outer_spans",
+    ),
+    "function_scores": (
+        lambda s, d: cx.function_scores(code_files(s, d)).drop("module"),
+        with_(CODE, CODE_LINES, SCORES) + "SELECT path, lang, name, (s + 1)::BIGINT AS line, cyclomatic, cognitive FROM scores",
+    ),
+    "function_details": (lambda s, d: cx.function_details(code_files(s, d)), with_(CODE, CODE_LINES, SCORES).rstrip() + ", " + details_sql()),
+    "innermost_functions": (
+        seams,
+        with_(CODE, CODE_LINES, rf"pt AS (SELECT path, i FROM code_lines WHERE regexp_matches(line, '{SEAMS}'))", "best AS (SELECT pt.path, pt.i, arg_max({'name': name, 's': s, 'e': e}, s) AS f FROM pt JOIN spans ON spans.path = pt.path AND pt.i BETWEEN s AND e GROUP BY pt.path, pt.i)")
+        + "SELECT path, (pt.i + 1)::BIGINT AS line, f.name AS function, (f.s + 1)::BIGINT AS start_line, (f.e + 1)::BIGINT AS end_line FROM pt LEFT JOIN best USING (path, i)",
+    ),
+    "complexity_files": (complexity, with_(*COMPLEXITY, RISKS) + "SELECT * FROM rk"),
+    "complexity_summary": (lambda s, d: cx.complexity_summary(complexity(s, d)), with_(*COMPLEXITY, RISKS, SUMMARY) + "SELECT * FROM sm"),
+    "complexity_histogram": (
+        lambda s, d: cx.complexity_histogram(complexity(s, d)),
+        with_(*COMPLEXITY) + "SELECT b::INTEGER AS bucket, (b * 5)::BIGINT AS low, count(c) AS files FROM range(7) t(b) LEFT JOIN (SELECT least(max_function_cyclomatic // 5, 6) AS c FROM cx) ON c = b GROUP BY b",
+    ),
+    "technical_debt": (
+        lambda s, d: cx.debt_ratio(complexity(s, d), code_totals(s, d)),
+        with_(*COMPLEXITY, CODE_IDS, CLASSES, TOTALS, "o AS (SELECT (SELECT sum(cyclomatic + coalesce(cognitive, 0)) FROM cx)::BIGINT AS complexity_points, code FROM tt)", f"v AS (SELECT complexity_points, {ratio('complexity_points * 1000', 'code', 2)} AS ratio, {ratio('code', '1000')} AS code_kloc FROM o WHERE code > 0)")
+        + "SELECT *, CASE WHEN ratio < 30 THEN 'low' WHEN ratio < 60 THEN 'moderate' WHEN ratio < 100 THEN 'high' ELSE 'critical' END AS level FROM v",
+    ),
+    "halstead": (
+        lambda s, d: cx.halstead(code_files(s, d)),
+        with_(CODE, CODE_LINES, HALSTEAD) + f"SELECT n1 AS distinct_operators, n2 AS distinct_operands, t1 AS total_operators, t2 AS total_operands, n1 + n2 AS vocabulary, t1 + t2 AS length, {r('v', 2)} AS volume, {r('d', 2)} AS difficulty, {r('d * v', 2)} AS effort, {r('d * v / 18', 2)} AS time_seconds, {r('v / 3000')} AS estimated_bugs FROM hv",
+    ),
+    "maintainability_index": (
+        lambda s, d: cx.maintainability_report(complexity(s, d), code_totals(s, d), cx.halstead(code_files(s, d))),
+        with_(*COMPLEXITY, RISKS, SUMMARY, CODE_IDS, CLASSES, TOTALS, HALSTEAD, f"q AS (SELECT avg_cyclomatic, {ratio('code', 'tt.files', 2)} AS avg_loc, {r('v', 2)} AS vol FROM sm, tt, hv)", f"w AS (SELECT *, {r('greatest(171.0::DOUBLE - 5.2::DOUBLE * ln(vol) - 0.23::DOUBLE * avg_cyclomatic - 16.2::DOUBLE * ln(avg_loc), 0.0::DOUBLE)', 2)} AS score FROM q)")
+        + "SELECT score, avg_cyclomatic, avg_loc, vol AS avg_halstead_volume, CASE WHEN score >= 85 THEN 'A' WHEN score >= 65 THEN 'B' ELSE 'C' END AS grade FROM w",
+    ),
+    "rust_complexity": (lambda s, d: fns.rust_complexity(code_files(s, d)), with_(CODE, GATE) + "SELECT * FROM rc"),
+    "complexity_gate": (lambda s, d: rev.complexity_gate(fns.rust_complexity(code_files(s, d))), with_(CODE, GATE) + f"SELECT *, {GATE_STATUS} AS status FROM gt"),
+    "overall_status": (
+        lambda s, d: rev.overall_status(rev.complexity_gate(fns.rust_complexity(code_files(s, d))).select(F.lit("complexity").alias("gate"), "status").unionByName(rev.diff_coverage(src.added_lines(s, d), src.coverage(s, d)).select(F.lit("coverage").alias("gate"), "status"))),
+        with_(CODE, GATE, COVERAGE, "o AS (SELECT count(*) AS a, count(*) FILTER (coalesce(hits, 0) > 0) AS c FROM added LEFT JOIN coverage USING (path, line))",
+              f"g AS (SELECT {GATE_STATUS} AS status FROM gt UNION ALL SELECT CASE WHEN {ratio('c', 'a', 2)} >= 0.8 THEN 'pass' WHEN {ratio('c', 'a', 2)} >= 0.5 THEN 'warn' ELSE 'fail' END FROM o)")
+        + "SELECT CASE WHEN bool_or(status = 'fail') THEN 'fail' WHEN bool_and(status = 'pass') THEN 'pass' WHEN bool_or(status = 'warn') THEN 'warn' ELSE 'pass' END AS status FROM g",
+    ),
+}

@@ -4,40 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import complexity as cx
 from siltstone.operators import context as ctx
 from siltstone.operators import effort as eff
 from siltstone.operators import gates
 from siltstone.operators import history as his
 from siltstone.operators import inventory as inv
 from siltstone.operators import review as rev
-from siltstone.plans.facts_sql import COMMITS, CONTENTS, COVERAGE, FILES, NUMSTAT, TRACKED, r, ratio, with_
+from siltstone.plans.facts_sql import COMMITS, COVERAGE, FILES, NUMSTAT, TRACKED, r, ratio, with_
 from siltstone.plans.history_queries import TOUCHED, touched
 from siltstone.sources import adapters as src
 
 
-def code(spark, d):
-    """Documents read as Python: their words hold its keywords."""
-    return src.contents(spark, d).withColumn("lang", F.lit("python"))
-
-
-def complexity(spark, d):
-    return cx.file_complexity(code(spark, d))
-
-
-CYCLO = "1 + " + " + ".join(f"(length(l) - length(replace(l, '{w}', ''))) // {len(w)}" for w in cx.DECISIONS["python"])
-METRICS = f"""cx AS (SELECT path, module, ({CYCLO})::BIGINT AS cyclomatic,
-    len(list_filter(ls, lambda x: regexp_matches(x, '^\\s*(async\\s+)?def\\s+\\w+')))::BIGINT AS function_count,
-    coalesce(list_max(list_transform(list_filter(ls, lambda x: trim(x, ' ') <> '' AND NOT starts_with(ltrim(x, ' '), '#')), lambda x: length(replace(regexp_extract(x, '^[ \\t]*'), chr(9), '    ')) // 4)), 0)::BIGINT AS max_nesting
-    FROM (SELECT path, module, lower(text) AS l, string_split(text, chr(10)) AS ls FROM contents))"""
-BAND = "CASE WHEN function_count > 50 THEN 2 WHEN function_count > 20 THEN 1 ELSE 0 END + CASE WHEN cyclomatic > 50 THEN 3 WHEN cyclomatic > 20 THEN 2 WHEN cyclomatic > 10 THEN 1 ELSE 0 END + CASE WHEN max_nesting > 8 THEN 3 WHEN max_nesting > 5 THEN 2 WHEN max_nesting > 4 THEN 1 ELSE 0 END"
-RISKS = f"rk AS (SELECT *, CASE WHEN {BAND} <= 1 THEN 'low' WHEN {BAND} <= 4 THEN 'moderate' WHEN {BAND} <= 7 THEN 'high' ELSE 'critical' END AS risk FROM cx)"
-TOK = cx.TOKENS.replace("'", "''")
-KEYS = ", ".join(f"'{w}'" for w in cx.KEYWORDS["python"])
-HALSTEAD = f"""tk AS (SELECT unnest(regexp_extract_all(text, '{TOK}')) AS token FROM contents), ct AS (SELECT token, token IN ({KEYS}) OR NOT regexp_matches(token, '^[A-Za-z0-9_]') AS op, count(*) AS n FROM tk GROUP BY 1, 2),
-  hs AS (SELECT count(*) FILTER (op) AS n1, count(*) FILTER (NOT op) AS n2, coalesce(sum(n) FILTER (op), 0)::BIGINT AS t1, coalesce(sum(n) FILTER (NOT op), 0)::BIGINT AS t2 FROM ct),
-  hv AS (SELECT *, (t1 + t2)::DOUBLE * log2((n1 + n2)::DOUBLE) AS v, n1::DOUBLE / 2.0::DOUBLE * (t2::DOUBLE / n2::DOUBLE) AS d FROM hs)"""
-
 COMMIT_COUNT = 42
 CLI_ROOTS, SCHEMAS = ["part/1"], ["docs/schema.json"]
 
@@ -137,26 +114,6 @@ BLAST = """cm AS (SELECT DISTINCT seq, module FROM touched), per AS (SELECT modu
   SELECT files_touched, modules_touched, hotspots_touched, coupled_pairs, """ + r("least(15.0::DOUBLE * CASE WHEN modules_touched > 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END + 3.0::DOUBLE * CASE WHEN am > 0 THEN modules_touched::DOUBLE / am ELSE 0.0::DOUBLE END + ln(1.0::DOUBLE + files_touched::DOUBLE) + 2.0::DOUBLE * hotspots_touched + 2.0::DOUBLE * coupled_pairs, 100.0::DOUBLE)", 2) + " AS score FROM nn"
 
 QUERIES = {
-    "complexity_files": (lambda s, d: complexity(s, d).drop("lang"), with_(CONTENTS, METRICS, RISKS) + "SELECT path, module, function_count, 0::BIGINT AS max_function_length, cyclomatic, max_nesting, risk FROM rk"),
-    "complexity_summary": (
-        lambda s, d: cx.complexity_summary(complexity(s, d)),
-        with_(CONTENTS, METRICS, RISKS) + f"SELECT count(*) AS files, sum(function_count)::BIGINT AS total_functions, 0.0::DOUBLE AS avg_function_length, 0::BIGINT AS max_function_length, {ratio('sum(cyclomatic)', 'count(*)', 2)} AS avg_cyclomatic, max(cyclomatic) AS max_cyclomatic, count(*) FILTER (risk IN ('high', 'critical')) AS high_risk_files FROM rk",
-    ),
-    "complexity_histogram": (lambda s, d: cx.complexity_histogram(complexity(s, d)), with_(CONTENTS, METRICS) + "SELECT b::INTEGER AS bucket, (b * 5)::BIGINT AS low, count(c) AS files FROM range(7) t(b) LEFT JOIN (SELECT least(cyclomatic // 5, 6) AS c FROM cx) ON c = b GROUP BY b"),
-    "technical_debt": (
-        lambda s, d: cx.debt_ratio(complexity(s, d), inv.totals(src.files(s, d))),
-        with_(CONTENTS, FILES, METRICS, "o AS (SELECT (SELECT sum(cyclomatic) FROM cx)::BIGINT AS complexity_points, (SELECT sum(code) FROM files)::BIGINT AS code)", f"v AS (SELECT complexity_points, {ratio('complexity_points * 1000', 'code', 2)} AS ratio, {ratio('code', '1000')} AS code_kloc FROM o WHERE code > 0)")
-        + "SELECT *, CASE WHEN ratio < 30 THEN 'low' WHEN ratio < 60 THEN 'moderate' WHEN ratio < 100 THEN 'high' ELSE 'critical' END AS level FROM v",
-    ),
-    "halstead": (
-        lambda s, d: cx.halstead(code(s, d)),
-        with_(CONTENTS, HALSTEAD) + f"SELECT n1 AS distinct_operators, n2 AS distinct_operands, t1 AS total_operators, t2 AS total_operands, n1 + n2 AS vocabulary, t1 + t2 AS length, {r('v', 2)} AS volume, {r('d', 2)} AS difficulty, {r('d * v', 2)} AS effort, {r('d * v / 18', 2)} AS time_seconds, {r('v / 3000')} AS estimated_bugs FROM hv",
-    ),
-    "maintainability_index": (
-        lambda s, d: cx.maintainability_index(complexity(s, d).select("path", "cyclomatic").join(src.files(s, d).select("path", "code"), "path")),
-        with_(CONTENTS, FILES, METRICS, f"m AS (SELECT path, {r('greatest(171.0::DOUBLE - 5.2::DOUBLE * 0.0::DOUBLE - 0.23::DOUBLE * cyclomatic::DOUBLE - 16.2::DOUBLE * ln(greatest(code::DOUBLE, 1.0::DOUBLE)), 0.0::DOUBLE)', 2)} AS index FROM cx JOIN files USING (path) WHERE code > 0)")
-        + "SELECT *, CASE WHEN index >= 85 THEN 'A' WHEN index >= 65 THEN 'B' ELSE 'C' END AS grade FROM m",
-    ),
     "change_surface": (lambda s, d: rev.change_surface(src.numstat(s, d), COMMIT_COUNT), with_(NUMSTAT).rstrip() + ", " + SURFACE),
     "composition": (
         lambda s, d: rev.composition(src.numstat(s, d)),
@@ -186,13 +143,6 @@ QUERIES = {
         lambda s, d: rev.hunks(rev.uncovered(src.added_lines(s, d), src.coverage(s, d))),
         with_(COVERAGE, "u AS (SELECT path, line FROM added LEFT JOIN coverage USING (path, line) WHERE coalesce(hits, 0) <= 0)", "g AS (SELECT path, line, line - row_number() OVER (PARTITION BY path ORDER BY line) AS g FROM u)") + "SELECT path, min(line) AS start_line, max(line) AS end_line FROM g GROUP BY path, g",
     ),
-    "complexity_gate": (lambda s, d: rev.complexity_gate(complexity(s, d)), with_(CONTENTS, METRICS, "n AS (SELECT count(*) FILTER (cyclomatic > 15) AS high_files FROM cx)") + "SELECT *, CASE WHEN high_files = 0 THEN 'pass' WHEN high_files <= 3 THEN 'warn' ELSE 'fail' END AS status FROM n"),
-    "overall_status": (
-        lambda s, d: rev.overall_status(rev.complexity_gate(complexity(s, d)).select(F.lit("complexity").alias("gate"), "status").unionByName(rev.diff_coverage(src.added_lines(s, d), src.coverage(s, d)).select(F.lit("coverage").alias("gate"), "status"))),
-        with_(CONTENTS, METRICS, COVERAGE, "n AS (SELECT count(*) FILTER (cyclomatic > 15) AS h FROM cx)", "o AS (SELECT count(*) AS a, count(*) FILTER (coalesce(hits, 0) > 0) AS c FROM added LEFT JOIN coverage USING (path, line))",
-              f"g AS (SELECT CASE WHEN h = 0 THEN 'pass' WHEN h <= 3 THEN 'warn' ELSE 'fail' END AS status FROM n UNION ALL SELECT CASE WHEN {ratio('c', 'a', 2)} >= 0.8 THEN 'pass' WHEN {ratio('c', 'a', 2)} >= 0.5 THEN 'warn' ELSE 'fail' END FROM o)")
-        + "SELECT CASE WHEN bool_or(status = 'fail') THEN 'fail' WHEN bool_and(status = 'pass') THEN 'pass' WHEN bool_or(status = 'warn') THEN 'warn' ELSE 'pass' END AS status FROM g",
-    ),
     "gate_policy": (
         policy,
         "SELECT * FROM (VALUES (1, 'code present', '/totals/code', 'error', true), (2, 'few files', '/totals/files', 'warn', (SELECT count(*) FROM documents WHERE text IS NOT NULL) <= 100), (3, 'status', '/status', 'error', true), (4, 'status in', '/status', 'error', true), (5, 'second lang', '/langs/1', 'error', true), (6, 'no secret', '/secret', 'error', true), (7, 'missing', '/totals/none', 'error', false), (8, 'not numeric', '/status', 'error', false), (9, 'numeric equal', '/totals/files', 'warn', (SELECT count(*) FROM documents WHERE text IS NOT NULL) <> 1000)) v(ord, name, pointer, level, passed)",

@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from siltstone.sources.adapters import FILE_COLUMNS
 
-DOUBLE, SINGLE = r'"(?:\\.|[^"\\])*(?:"|\Z)', r"'(?:\\.|[^'\\\n])*(?:'|$|\Z)"
-TEMPLATE, RAW_GO = r"`(?:\\.|[^`\\])*(?:`|\Z)", r"`[^`]*(?:`|\Z)"
-TRIPLE = r'(?:"""(?:\\.|[^\\])*?(?:"""|\Z)|' + r"'''(?:\\.|[^\\])*?(?:'''|\Z))"
-ONE_LINE = r'"(?:\\.|[^"\\\n])*(?:"|$|\Z)'
+# what is left open, by a single backslash too, ends with the text
+DOUBLE, SINGLE = r'"(?:\\.|[^"\\])*(?:"|\\?\Z)', r"'(?:\\.|[^'\\\n])*(?:'|$|\\?\Z)"
+TEMPLATE, RAW_GO = r"`(?:\\.|[^`\\])*(?:`|\\?\Z)", r"`[^`]*(?:`|\Z)"
+TRIPLE = r'(?:"""(?:\\.|[^\\])*?(?:"""|\\?\Z)|' + r"'''(?:\\.|[^\\])*?(?:'''|\\?\Z))"
+ONE_LINE = r'"(?:\\.|[^"\\\n])*(?:"|$|\\?\Z)'
 RAW_RUST, CHAR_RUST = r'\bb?r(?P<hashes>#*)".*?(?:"(?P=hashes)|\Z)', r"'(?:\\[^\n]{1,8}?|[^'\\\n])'"
 
 
@@ -166,3 +167,29 @@ def scan_rows(contents: DataFrame, children: str = "separate", doc_strings: bool
 
     given = contents.where("text is not null").select("path", "module", "lang", "text", F.octet_length("text").cast("long").alias("size"))
     return given.mapInArrow(run, "path string, module string, lang string, kind string, code long, comments long, blanks long, lines long, bytes long, tokens long")
+
+
+def masked(text: str, lang: str) -> str:
+    """The text without comments and strings; line ends within them stay."""
+    out, at = [], 0
+    places = sorted({*comments_in(text, lang), *strings_in(text, lang)})
+    for start, end in places:
+        out += [text[at:start], "\n" * text.count("\n", start, end)]
+        at = end
+    return "".join([*out, text[at:]])
+
+
+def strings_in(text: str, lang: str) -> Iterator[tuple[int, int]]:
+    """Places of strings that are not in comments."""
+    pattern, at = tokens_of(lang), 0
+    inside = list(comments_in(text, lang))
+    k = 0
+    while (found := pattern.search(text, at)) is not None:
+        while k < len(inside) and inside[k][1] <= found.start():
+            k += 1
+        if k < len(inside) and inside[k][0] <= found.start():
+            at = max(inside[k][1], found.start() + 1)
+            continue
+        at = max(found.end(), found.start() + 1)
+        if found.end() > found.start():
+            yield found.span()

@@ -16,7 +16,7 @@ CONDITIONS = {"even": "l_partkey % 2 = 0", "third": "cast(l_quantity as bigint)
 RUST = (
     ["//! Order $o", "use std::fmt;", "use crate::part::{Part, Line};", "use super::order$o;", ""],
     [
-        ("even", "/* block $p"), ("even", ""), ("even", "   still /* nested */ comment */"), "/// Doc of $p", "pub fn item_$n(x: i32) -> i32 {", '    let s = "if { // && } no comment"; // tail', "    if x > $q && x < 90 {",
+        ("even", "/* block $p"), ("even", ""), ("even", "   still /* nested */ comment */"), "/// Doc of $p", "pub fn item_$n(x: i32) -> i32 {", '    let s = "if { && } no"; // tail', "    if x > $q && x < 90 {",
         ("third", "        for i in 0..$n {"), ("third", "            work(i)?;"), ("third", "        }"), "    } else if x == $p || x == 1 {", ("returned", "        break 'outer;"), ("even", "        let y = x.get($n).unwrap();"),
         "    }", "    match x {", "        1 => $q,", "        _ => x,", "    }", "}", "",
     ],

@@ -122,8 +122,8 @@ def _hidden():
 def test_complexity(spark):
     texts = [("a.py", "m", "Python", PY), ("b.rs", "m", "Rust", "pub fn f() {\n  if a { { } }\n}\n}\n"), ("c", "m", "Klingon", "if if")]
     got = {r["path"]: r for r in complexity.file_complexity(spark.createDataFrame(texts, "path string, module string, lang string, text string")).collect()}
-    assert got["a.py"]["function_count"] == 2 and got["a.py"]["cyclomatic"] == 4 and got["a.py"]["max_nesting"] == 4
-    assert got["b.rs"]["function_count"] == 1 and got["b.rs"]["max_nesting"] == 3 and got["c"]["cyclomatic"] == 1
+    assert got["a.py"]["function_count"] == 2 and got["a.py"]["cyclomatic"] == 5 and got["a.py"]["max_function_cyclomatic"] == 4 and got["a.py"]["max_nesting"] == 4
+    assert got["b.rs"]["function_count"] == 1 and got["b.rs"]["max_nesting"] == 3 and "c" not in got
     symbols = complexity.api_symbols(spark.createDataFrame(texts, "path string, module string, lang string, text string")).collect()
     assert {(s["name"], s["is_public"]) for s in symbols} == {("Thing", True), ("_hidden", False), ("f", True)}
 
