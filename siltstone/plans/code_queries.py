@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import complexity as cx
 from siltstone.operators import functions as fns
+from siltstone.operators import imports as imp
+from siltstone.operators import lockfiles as locks
 from siltstone.operators import review as rev
-from siltstone.plans.facts_sql import CODE, COVERAGE, r, ratio, with_
+from siltstone.plans.facts_sql import CODE, COVERAGE, LOCKS, r, ratio, with_
 from siltstone.sources import adapters as src
 from siltstone.sources import line_scanner as scan
-from siltstone.sources.rendered import code_files
+from siltstone.sources.rendered import code_files, lock_files
 
 # --- line classes --------------------------------------------------------------------------------------------------
 
@@ -286,3 +288,44 @@ QUERIES |= {
         + "SELECT CASE WHEN bool_or(status = 'fail') THEN 'fail' WHEN bool_and(status = 'pass') THEN 'pass' WHEN bool_or(status = 'warn') THEN 'warn' ELSE 'pass' END AS status FROM g",
     ),
 }
+
+# --- imports -------------------------------------------------------------------------------------------------------
+
+IMPORTS = r"""
+il AS (SELECT path, module, lang, i, b, CASE WHEN starts_with(b, 'import (') THEN 1 WHEN starts_with(b, ')') THEN 0 END AS event FROM code_lines WHERE i < 200),
+ib AS (SELECT *, coalesce(last_value(event IGNORE NULLS) OVER (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open FROM il),
+targets AS (
+  SELECT path, module, lang, string_split(trim(regexp_replace(substr(b, 5), ';+$', '')), '::')[1] AS target FROM ib WHERE lang = 'rust' AND starts_with(b, 'use ')
+  UNION ALL SELECT path, module, lang, regexp_extract(b, '["'']([^"'']+)["'']', 1) FROM ib WHERE lang IN ('javascript', 'typescript') AND starts_with(b, 'import ')
+  UNION ALL SELECT path, module, lang, regexp_extract(b, 'require\([''"]([^"'']+)["'']', 1) FROM ib WHERE lang IN ('javascript', 'typescript') AND contains(b, 'require(')
+  UNION ALL SELECT path, module, lang, string_split(b, ' ')[2] FROM ib WHERE lang = 'python' AND (starts_with(b, 'import ') OR starts_with(b, 'from '))
+  UNION ALL SELECT path, module, lang, regexp_extract(b, '"([^"]+)"', 1) FROM ib WHERE lang = 'go' AND event IS NULL AND (open = 1 OR starts_with(b, 'import '))
+), named AS (SELECT path, module, lang, target, CASE WHEN starts_with(target, '.') THEN 'local' ELSE regexp_extract(target, '^[^/:.]*') END AS root FROM targets WHERE target <> '')
+"""
+
+QUERIES |= {
+    "imports": (lambda s, d: imp.imports(code_files(s, d)), with_(CODE, CODE_LINES, IMPORTS) + "SELECT path, module, lang, target FROM named"),
+    "import_edges_modules": (lambda s, d: imp.import_edges(code_files(s, d)), with_(CODE, CODE_LINES, IMPORTS) + "SELECT module AS source, root AS target, count(*) AS count FROM named GROUP BY 1, 2"),
+    "import_edges_files": (lambda s, d: imp.import_edges(code_files(s, d), "file"), with_(CODE, CODE_LINES, IMPORTS) + "SELECT path AS source, root AS target, count(*) AS count FROM named GROUP BY 1, 2"),
+}
+
+# --- lockfiles -----------------------------------------------------------------------------------------------------
+
+LOCK_COUNTS = r"""
+lk AS (SELECT path, text, string_split(path, '/')[2] AS name FROM lock_files),
+ll AS (SELECT path, name, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM (SELECT *, string_split(text, chr(10)) AS ls FROM lk)),
+gem AS (SELECT *, last_value(CASE WHEN trim(x) = 'specs:' THEN 1 WHEN NOT starts_with(x, '    ') THEN 0 END IGNORE NULLS) OVER (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS open FROM ll WHERE name = 'Gemfile.lock'),
+counted AS (
+  SELECT path, 'cargo' AS kind, len(regexp_extract_all(text, '\[\[package\]\]'))::BIGINT AS dependencies FROM lk WHERE name = 'Cargo.lock'
+  UNION ALL SELECT path, 'npm', CASE WHEN json_valid(text) THEN len(json_keys(text, '$.packages')) - 1 ELSE 0 END::BIGINT FROM lk WHERE name = 'package-lock.json'
+  UNION ALL SELECT path, 'pnpm', count(*) FILTER (starts_with(ltrim(x), '/') AND contains(x, ':')) FROM ll WHERE name = 'pnpm-lock.yaml' GROUP BY path
+  UNION ALL SELECT path, 'yarn', count(*) FILTER (ends_with(x, ':') AND NOT starts_with(x, ' ') AND NOT starts_with(x, '#')) FROM ll WHERE name = 'yarn.lock' GROUP BY path
+  UNION ALL SELECT path, 'go', count(DISTINCT string_split(x, ' ')[1] || '@' || string_split(x, ' ')[2]) FILTER (contains(x, ' ') AND NOT contains(x, '/go.mod')) FROM ll WHERE name = 'go.sum' GROUP BY path
+  UNION ALL SELECT path, 'bundler', count(*) FILTER (open = 1 AND starts_with(x, '    ') AND contains(x, '(')) FROM gem GROUP BY path
+)
+"""
+
+QUERIES |= {
+    "lockfiles": (lambda s, d: locks.lockfiles(lock_files(s, d)), with_(LOCKS, LOCK_COUNTS) + "SELECT * FROM counted"),
+    "dependency_report": (lambda s, d: locks.dependency_report(lock_files(s, d)), with_(LOCKS, LOCK_COUNTS) + "SELECT kind, count(*) AS lockfiles, sum(dependencies)::BIGINT AS dependencies FROM counted GROUP BY kind"),
+}

@@ -100,3 +100,18 @@ def code_sql() -> str:
 
 
 CODE = code_sql()
+
+
+def locks_sql() -> str:
+    """The rendered lockfiles: lock_files(path, text)."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    line = lambda x: "(" + " || ".join(f"({rendered.NAMES[p]})::VARCHAR" if named else quoted(p) for named, p in rendered.pieces(x)) + ")"
+    pick = lambda key, values: f"CASE {key} % {len(values)} " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
+    kinds = rendered.LOCKFILES
+    body = pick("o_orderkey", [f"array_to_string(parts, {quoted(x[3])})" for x in kinds])
+    return f"""lock_parts AS (SELECT l_orderkey, list(DISTINCT {pick('l_orderkey', [line(x[2]) for x in kinds])}) AS parts FROM lineitem GROUP BY l_orderkey),
+      lock_files AS (SELECT 'o' || o_orderkey || '/' || {pick('o_orderkey', [quoted(x[0]) for x in kinds])} AS path, {pick('o_orderkey', [line(x[1]) for x in kinds])} || coalesce({body}, '') || CASE WHEN o_custkey % 2 = 0 THEN {pick('o_orderkey', [quoted(x[4]) for x in kinds])} ELSE '' END AS text
+        FROM (SELECT o_orderkey, o_custkey, list_sort(parts) AS parts FROM orders LEFT JOIN lock_parts ON o_orderkey = l_orderkey))"""
+
+
+LOCKS = locks_sql()

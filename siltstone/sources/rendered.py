@@ -81,3 +81,28 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("src/"), pick(lambda lang, *_: F.lit(lang.lower())), F.lit("/"), (F.col("o_orderkey") % 50).cast("string"), F.lit("/o"), F.col("o_orderkey").cast("string"), F.lit("."), pick(lambda _, ext, *__: F.lit(ext)))
     made = whole.select(path.alias("path"), pick(lambda lang, *_: F.lit(lang)).alias("lang"), text.alias("text"))
     return made.select("path", module_key("path", ["src"], 2).alias("module"), "lang", "text")
+
+# --- lockfiles: one an order, of six kinds, one dependency an item -------------------------------------------------
+
+#: By o_orderkey modulo 6: file name, text before, text of an item, what joins items, text behind. A customer's key odd: the end is missing.
+LOCKFILES = [
+    ("Cargo.lock", "version = 4\n", '[[package]]\nname = "p$p"\nversion = "$n.0"\n', "\n", ""),
+    ("package-lock.json", '{"name": "o$o", "packages": {"": {"name": "root"}, ', '"node_modules/p$p-$n": {"version": "$q"}', ", ", "}}"),
+    ("pnpm-lock.yaml", "packages:\n", "  /p$p@$n:\n    resolution: {integrity: s$q}", "\n", "\nx/y: 1\n"),
+    ("yarn.lock", "# lock\n\n", 'p$p@^$n:\n  version "$n.0"\n  dependencies:\n', "\n", "\n"),
+    ("go.sum", "", "example.com/p$p v1.$n.0 h1:x=\nexample.com/p$p v1.$n.0/go.mod h1:y=\nexample.com/p$p v1.$n.0 h1:x=", "\n", "\nlone\n"),
+    ("Gemfile.lock", "GEM\n  specs:\n", "    p$p ($n.0)\n      q$q (>= 1)\n    bare", "\n", "\n\nPLATFORMS\n    no (1)\n"),
+]
+
+
+def lock_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, text."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    pick = lambda key, values: F.coalesce(*(F.when(F.col(key) % len(LOCKFILES) == k, v) for k, v in enumerate(values)))
+    parts = items.select("l_orderkey", pick("l_orderkey", [line_column(x[2]) for x in LOCKFILES]).alias("part")).groupBy("l_orderkey").agg(F.array_sort(F.collect_set("part")).alias("parts"))
+    whole = orders.join(parts, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    body = F.coalesce(pick("o_orderkey", [F.array_join("parts", x[3]) for x in LOCKFILES]), F.lit(""))
+    end = F.when(F.col("o_custkey") % 2 == 0, pick("o_orderkey", [F.lit(x[4]) for x in LOCKFILES])).otherwise(F.lit(""))
+    path = F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit("/"), pick("o_orderkey", [F.lit(x[0]) for x in LOCKFILES]))
+    return whole.select(path.alias("path"), F.concat(pick("o_orderkey", [line_column(x[1]) for x in LOCKFILES]), body, end).alias("text"))
