@@ -13,9 +13,12 @@ from siltstone.operators import functions as fns
 from siltstone.operators import imports as imp
 from siltstone.operators import lockfiles as locks
 from siltstone.operators import review as rev
-from siltstone.plans.facts_sql import CODE, COVERAGE, LOCKS, r, ratio, with_
+from siltstone.plans.facts_sql import CODE, COMMITS, COVERAGE, LOCKS, r, ratio, with_
 from siltstone.sources import adapters as src
+from siltstone.sources import ignore_rules as ign
 from siltstone.sources import line_scanner as scan
+from siltstone.sources import segments as seg
+from siltstone.sources import text as txt
 from siltstone.sources.rendered import code_files, lock_files
 
 # --- line classes --------------------------------------------------------------------------------------------------
@@ -329,3 +332,81 @@ QUERIES |= {
     "lockfiles": (lambda s, d: locks.lockfiles(lock_files(s, d)), with_(LOCKS, LOCK_COUNTS) + "SELECT * FROM counted"),
     "dependency_report": (lambda s, d: locks.dependency_report(lock_files(s, d)), with_(LOCKS, LOCK_COUNTS) + "SELECT kind, count(*) AS lockfiles, sum(dependencies)::BIGINT AS dependencies FROM counted GROUP BY kind"),
 }
+
+# --- reports in segments -------------------------------------------------------------------------------------------
+
+MOST_COMMITS, MOST_FILES, SEGMENT = 5, 3, 16
+
+
+def history_logs(spark, d):
+    """A log a customer: orders as commits, the newest first, each with its parts and an empty line."""
+    made = src.commits(spark, d).join(src.commit_files(spark, d).groupBy("seq").agg(F.array_join(F.array_sort(F.collect_list("path")), "\n").alias("files")), "seq", "left")
+    entry = F.concat_ws("\n", F.concat_ws("|", F.col("ts").cast("string"), "author", "hash", "subject"), "files", F.lit(""))
+    entries = made.select(F.regexp_extract("author", "^u([0-9]+)@", 1).alias("repo"), F.struct((-F.col("seq")).alias("k"), entry.alias("entry")).alias("e")).groupBy("repo").agg(F.array_sort(F.collect_list("e")).alias("es"))
+    return entries.select("repo", F.array_join(F.transform("es", lambda e: e["entry"]), "\n").alias("text"))
+
+
+def history(spark, d):
+    lines = seg.cut_lines(history_logs(spark, d), "repo", chunk_lines=SEGMENT)
+    commits, files = txt.parse_history(lines, MOST_COMMITS, MOST_FILES)
+    return commits.join(files.groupBy("repo", "seq").agg(F.count("*").alias("files"), F.min("path").alias("first_file")), ["repo", "seq"], "left").withColumn("files", F.coalesce("files", F.lit(0)).cast("long"))
+
+
+HISTORY = f"""hr AS (SELECT regexp_extract(author, '^u([0-9]+)@', 1) AS repo, *, row_number() OVER (PARTITION BY regexp_extract(author, '^u([0-9]+)@', 1) ORDER BY seq DESC) AS place FROM commits),
+  hf AS (SELECT seq, least(count(*), {MOST_FILES}) AS files, min(path) AS first_file FROM commit_files GROUP BY seq)"""
+
+
+def coverage_reports(spark, d):
+    """Reports of a hundred orders each: every order a source file, every item line a line with its hits."""
+    rows = src.coverage(spark, d).select("path", F.struct("line", F.concat(F.lit("DA:"), F.col("line").cast("string"), F.lit(","), F.col("hits").cast("string")).alias("t")).alias("e"))
+    files = rows.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["t"]), "\n").alias("t"))
+    whole = files.select(F.floor(F.col("path").cast("long") / 100).alias("name"), F.concat(F.lit("TN:\nSF:"), "path", F.lit("\n"), "t", F.lit("\nend_of_record")).alias("t"))
+    return whole.groupBy("name").agg(F.array_join(F.array_sort(F.collect_list("t")), "\n").alias("text"))
+
+
+def diffs(spark, d):
+    """Diffs of a hundred orders each: a hunk for every item line."""
+    rows = src.added_lines(spark, d).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: F.concat(F.lit("@@ -0,0 +"), x.cast("string"), F.lit(" @@\n+x"))), "\n").alias("t"))
+    whole = rows.select(F.floor(F.col("path").cast("long") / 100).alias("name"), F.concat(F.lit("--- a/"), "path", F.lit("\n+++ b/"), "path", F.lit("\n"), "t").alias("t"))
+    return whole.groupBy("name").agg(F.array_join(F.array_sort(F.collect_list("t")), "\n").alias("text"))
+
+
+# --- ignore rules --------------------------------------------------------------------------------------------------
+
+def ignore_files(spark, d):
+    """One ignore file a region, in the folder of a language, with two lines a nation."""
+    folders = F.array(*(F.lit(x) for x in ("", "src", "src/rust", "src/go", "src/python")))
+    key, kind = F.col("n_nationkey").cast("string"), F.col("n_nationkey") % 5
+    line = F.when(kind == 0, F.concat(F.lit("/"), key, F.lit("/"))).when(kind == 1, F.concat(F.lit("o*"), key, F.lit(".??"))).when(kind == 2, F.concat(F.lit("# "), key)).when(kind == 3, F.concat(F.lit("**/"), key, F.lit("/o[1-5]*"))).otherwise(F.concat(key, F.lit("/")))
+    back = F.when(kind < 3, F.concat(F.lit("!o*"), key, F.lit("?.*"))).otherwise(F.lit(""))
+    lines = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", F.array(line, back).alias("l")))), lambda e: e["l"])), "\n")
+    made = src.table(spark, d, "nation").groupBy("n_regionkey").agg(lines.alias("text"))
+    return made.select(F.concat(F.element_at(folders, F.col("n_regionkey") + 1), F.when(F.col("n_regionkey") > 0, "/").otherwise(""), F.lit(".gitignore")).alias("path"), "text")
+
+
+IGNORED = r"""
+nr AS (SELECT n_nationkey AS k, n_nationkey % 5 AS kind, ['', 'src', 'src/rust', 'src/go', 'src/python'][n_regionkey + 1] AS folder FROM nation),
+rule AS (
+  SELECT folder, 2 * k AS place, false AS negated, kind IN (0, 4) AS folder_only, CASE kind WHEN 0 THEN '/' || k || '/' WHEN 1 THEN 'o*' || k || '.??' WHEN 3 THEN '**/' || k || '/o[1-5]*' ELSE k || '/' END AS pattern,
+    CASE kind WHEN 0 THEN '^' || k || '$' WHEN 1 THEN '(^|/)o[^/]*' || k || '[.][^/][^/]$' WHEN 3 THEN '^(.*/)?' || k || '/o[1-5][^/]*$' ELSE '(^|/)' || k || '$' END AS rx FROM nr WHERE kind <> 2
+  UNION ALL SELECT folder, 2 * k + 1, true, false, '!o*' || k || '?.*', '(^|/)o[^/]*' || k || '[^/][.][^/]*$' FROM nr WHERE kind < 3
+), entry AS (
+  SELECT path, 'src' AS e, true AS is_folder, 1 AS level FROM code_files UNION ALL SELECT path, array_to_string(string_split(path, '/')[:2], '/'), true, 2 FROM code_files
+  UNION ALL SELECT path, array_to_string(string_split(path, '/')[:3], '/'), true, 3 FROM code_files UNION ALL SELECT path, path, false, 4 FROM code_files
+), hit AS (
+  SELECT e.path, e.level, e.is_folder, r.negated, r.pattern, row_number() OVER (PARTITION BY e.path, e.level ORDER BY length(r.folder) DESC, r.place DESC) AS k
+  FROM entry e JOIN rule r ON (r.folder = '' OR starts_with(e.e, r.folder || '/')) AND (e.is_folder OR NOT r.folder_only)
+    AND regexp_matches(CASE WHEN r.folder = '' THEN e.e ELSE substr(e.e, length(r.folder) + 2) END, r.rx)
+), decided AS (SELECT path, min(level) FILTER (NOT negated) AS stop, max(CASE WHEN NOT is_folder THEN pattern END) AS own FROM hit WHERE k = 1 GROUP BY path)
+"""
+
+QUERIES |= {
+    "history_log": (history, with_(COMMITS, HISTORY) + f"SELECT repo, place AS seq, ts, author, hash, subject, coalesce(files, 0)::BIGINT AS files, first_file FROM hr LEFT JOIN hf ON hf.seq = hr.seq WHERE place <= {MOST_COMMITS}"),
+    "lcov_lines": (lambda s, d: txt.parse_lcov(seg.cut_lines(coverage_reports(s, d), "name", chunk_lines=SEGMENT)), with_(COVERAGE) + "SELECT * FROM coverage"),
+    "diff_lines": (lambda s, d: txt.parse_added_lines(seg.cut_lines(diffs(s, d), "name", chunk_lines=SEGMENT)), with_(COVERAGE) + "SELECT * FROM added"),
+    "ignored_files": (
+        lambda s, d: ign.verdicts(code_files(s, d), ign.ignore_rules(ignore_files(s, d))),
+        with_(CODE, IGNORED) + "SELECT f.path, stop IS NOT NULL AS ignored, ltrim(rtrim(coalesce((SELECT pattern FROM hit h WHERE h.path = f.path AND h.level = d.stop AND k = 1), own), '/'), '!') AS by FROM code_files f LEFT JOIN decided d ON d.path = f.path",
+    ),
+    "listed_files": (lambda s, d: ign.list_files(code_files(s, d), ign.ignore_rules(ignore_files(s, d))), with_(CODE, IGNORED) + "SELECT f.path FROM code_files f LEFT JOIN decided d ON d.path = f.path WHERE stop IS NULL"),
+}

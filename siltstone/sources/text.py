@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.scalars import module_key, normalize_path
 from siltstone.sources.line_scanner import scan_rows
+from siltstone.sources.segments import cut_lines, scanned
 
 # Languages by file extension and by whole name.
 LANGS = {
@@ -90,15 +91,29 @@ def read_zip(archives: DataFrame, entry_bytes: int = 64 << 20, total_bytes: int
     return archives.select("path", "content").mapInPandas(run, "archive string, path string, text string, error string")
 
 
-def parse_history(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(commits, commit_files) from log texts (repo, text) of lines "time|author|hash|subject", each followed by its files."""
-    lines = log.select("repo", F.posexplode(F.split("text", "\n")).alias("n", "line")).where("line <> ''")
+def lines_of_reports(reports: DataFrame, name: str) -> DataFrame:
+    """Lines in segments, as read by read_lines, or cut from texts in rows."""
+    return reports if "line" in reports.columns else cut_lines(reports, name)
+
+
+def parse_history(log: DataFrame, max_commits: int | None = None, max_commit_files: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(commits, commit_files) from logs of lines "time|author|hash|subject", each followed by its files.
+
+    log: (repo, text), or lines in segments. Of each log, at most max_commits first commits, and of each commit at most
+    max_commit_files first files.
+    """
+    lines = lines_of_reports(log, "repo").where("line <> ''")
     head = F.col("line").rlike(r"^[0-9]+\|[^|]*\|[0-9a-f]*\|")
-    order = Window.partitionBy("repo").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = lines.withColumn("head", head).withColumn("seq", F.sum(F.col("head").cast("long")).over(order)).where("seq > 0")
+    lines = scanned(lines.withColumn("head", head), count={"seq": F.col("head")}).where("seq > 0").withColumnRenamed("name", "repo")
+    if max_commits is not None:
+        lines = lines.where(F.col("seq") <= max_commits)
     part = F.split("line", r"\|", 4)
     commits = lines.where("head").select("repo", "seq", part[0].cast("long").alias("ts"), part[1].alias("author"), part[2].alias("hash"), part[3].alias("subject"))
-    return commits, lines.where("not head").select("repo", "seq", F.col("line").alias("path")).distinct()
+    files = lines.where("not head")
+    if max_commit_files is not None:
+        place = F.row_number().over(Window.partitionBy("repo", "seq").orderBy("chunk", "n"))
+        files = files.withColumn("place", place).where(F.col("place") <= max_commit_files)
+    return commits, files.select("repo", "seq", F.col("line").alias("path")).distinct()
 
 
 def parse_numstat(lines: DataFrame) -> DataFrame:
@@ -109,11 +124,9 @@ def parse_numstat(lines: DataFrame) -> DataFrame:
 
 
 def parse_added_lines(diffs: DataFrame) -> DataFrame:
-    """(path, line) of unified diffs without context, given as (name, text)."""
-    lines = diffs.select("name", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    order = Window.partitionBy("name").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """(path, line) of unified diffs without context, given as (name, text) or as lines in segments."""
     target = F.when(F.col("line").startswith("+++ "), F.regexp_replace(F.regexp_replace("line", r"^\+\+\+ ", ""), "^b/", ""))
-    lines = lines.withColumn("path", F.last(target, ignorenulls=True).over(order))
+    lines = scanned(lines_of_reports(diffs, "name"), last={"path": target})
     hunk = lines.where(F.col("line").rlike(r"^@@ .* \+[0-9]+") & (F.col("path") != "/dev/null"))
     start = F.regexp_extract("line", r"^@@ \S+ \+([0-9]+)", 1).cast("long")
     count = F.coalesce(F.expr(r"try_cast(regexp_extract(line, '^@@ \\S+ \\+[0-9]+,([0-9]+)', 1) as bigint)"), F.lit(1).cast("long"))
@@ -121,13 +134,11 @@ def parse_added_lines(diffs: DataFrame) -> DataFrame:
 
 
 def parse_lcov(reports: DataFrame) -> DataFrame:
-    """(path, line, hits) of coverage texts (name, text); a line given twice keeps its last count; data before a source file is left out."""
-    lines = reports.select("name", F.posexplode(F.split("text", r"\r?\n")).alias("n", "line"))
-    order = Window.partitionBy("name").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """(path, line, hits) of coverage texts (name, text) or lines in segments; a line given twice keeps its last count; data before a source file is left out."""
     mark = F.when(F.col("line").startswith("SF:"), F.substring("line", 4, 1 << 20)).when(F.col("line") == "end_of_record", F.lit(""))
-    lines = lines.withColumn("path", F.last(mark, ignorenulls=True).over(order)).where("path <> ''")
+    lines = scanned(lines_of_reports(reports, "name"), last={"path": mark}).where("path <> ''")
     data = F.regexp_extract("line", r"^DA:([0-9]+),[0-9]+", 1)
-    rows = lines.where(data != "").select("path", data.cast("long").alias("line"), F.regexp_extract("line", r"^DA:[0-9]+,([0-9]+)", 1).cast("long").alias("hits"), F.struct("name", "n").alias("at"))
+    rows = lines.where(data != "").select("path", data.cast("long").alias("line"), F.regexp_extract("line", r"^DA:[0-9]+,([0-9]+)", 1).cast("long").alias("hits"), F.struct("name", "chunk", "n").alias("at"))
     return rows.groupBy("path", "line").agg(F.max_by("hits", "at").alias("hits"))
 
 
