@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.scalars import col
 from siltstone.operators.inventory import parents
+from siltstone.sources.storage import cut
 
 # Names and places that context selection treats in their own ways.
 LOCKFILES = ["Cargo.lock", "Gemfile.lock", "Pipfile.lock", "composer.lock", "go.sum", "package-lock.json", "pnpm-lock.yaml", "poetry.lock", "yarn.lock"]
@@ -59,59 +64,156 @@ def policies(rows: DataFrame, budget: int) -> DataFrame:
     return rows.withColumn("policy", policy).withColumn("effective_tokens", F.when(policy == "head_tail", F.lit(cap)).otherwise(F.col("tokens")).cast("long"))
 
 
-def fold(ordered: list[str], rows: DataFrame, budget: int, chunk: int = 20_000) -> tuple[list, int]:
-    """Walk rows (path, tokens, order columns) in order, taking each that still fits; (paths taken, tokens used).
+#: So many rows that may still be taken are walked in one task.
+WALKED = 65_536
+BLOCK = 33  # monotonically_increasing_id: the partition stands above these bits
+
+
+def placed(rows: DataFrame, order: list[Column], width: int | None = None) -> DataFrame:
+    """rows with `place`, a number that follows the order; the partition it was given in is place >> 33."""
+    parts = width or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
 
-    The walk is sequential by nature. Each round asks the cluster for the next `chunk` rows that can still fit, in
-    order, so the driver never holds more than that, and rows that are too large never reach it.
+
+def rank_within(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """rows with `rank` from 1 within each key: each task numbers what it has of a key, behind what earlier ones have.
+
+    A key with very many rows is ranked by many tasks.
+    """
+    block = F.shiftright("place", BLOCK)
+    ordered = placed(rows, [F.col(key), *order]).withColumn("block", block)
+    counts = ordered.groupBy(key, "block").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(F.col(key).alias("_key"), F.col("block").alias("_block"), F.coalesce(before, F.lit(0)).alias("before"))
+    here = F.row_number().over(Window.partitionBy(key, "block").orderBy("place"))
+    out = ordered.withColumn("here", here).join(offsets, F.col(key).eqNullSafe(F.col("_key")) & (F.col("block") == F.col("_block")))
+    return out.withColumn("rank", (F.col("here") + F.col("before")).cast("long")).drop("_key", "_block", "before", "here", "block", "place")
+
+
+def walk(candidates: DataFrame, budget: int) -> list[int]:
+    """The places taken by one task that reads (place, tokens) in order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = budget
+        for batch in batches:
+            taken = []
+            for place, tokens in zip(batch["place"], batch["tokens"], strict=True):
+                if tokens <= left:
+                    left -= tokens
+                    taken.append(place)
+            yield pd.DataFrame({"place": pd.Series(taken, dtype="int64")})
+
+    one = candidates.select("place", "tokens").coalesce(1).sortWithinPartitions("place").mapInPandas(run, "place long")
+    return [r["place"] for r in one.collect()]  # at most WALKED of the budget's rows
+
+
+class Taken(NamedTuple):
+    """What a walk took: between `after` and `upto` (exclusive) all rows of at most `most` tokens, and single places."""
+
+    ranges: list[tuple[int, int, int]]
+    places: list[int]
+    used: int
+
+    def condition(self) -> Column:
+        """Whether a row of (place, tokens) was taken."""
+        out = F.col("place").isin(self.places) if self.places else F.lit(False)
+        for after, upto, most in self.ranges:
+            out = out | ((F.col("place") > after) & (F.col("place") < upto) & (F.col("tokens") <= most) & (F.col("tokens") > 0))
+        return out
+
+
+def first_fit(rows: DataFrame, budget: int, walked: int = WALKED) -> Taken:
+    """Walk rows (place, tokens) in order and take each that fits into what is left of the budget.
+
+    With r left, a row of more than r / 2 tokens is heavy: at most one more of these is taken. Rows of at most r / 2
+    are all taken until their sum passes r / 2, or until a heavy row fits behind those before it. Either event is
+    found by sums over blocks of the order, then within the blocks up to the event, and leaves at most half of r: after
+    at most log2(budget) rounds nothing is left. Once few rows can still be taken, one task walks them. The driver sees
+    a few numbers a round, and at the end the places of one walk.
     """
-    taken: list = []
-    used, after = 0, None
-    while True:
-        left = rows.where((F.col("tokens") > 0) & (F.col("tokens") <= budget - used))
-        left = left if after is None else left.where(F.struct(*ordered) > F.struct(*(F.lit(v) for v in after)))
-        part = left.orderBy(*ordered).limit(chunk).select("path", "tokens", *(F.col(c).alias(f"_o{k}") for k, c in enumerate(ordered))).collect()
-        for row in part:
-            if used + row["tokens"] <= budget:
-                used += row["tokens"]
-                taken.append(row["path"])
-        if len(part) < chunk:
-            return taken, used
-        after = [part[-1][f"_o{k}"] for k in range(len(ordered))]
-
-
-def selected(rows: DataFrame, paths: list) -> DataFrame:
-    """The rows taken, and all without tokens, which always fit. paths is bounded by the budget."""
-    spark = rows.sparkSession
-    chosen = spark.createDataFrame([(p,) for p in paths], "path string")
-    return rows.join(chosen, "path", "left_semi").unionByName(rows.where("tokens = 0"))
+    ranges: list[tuple[int, int, int]] = []
+    places: list[int] = []
+    left, after, end = budget, -1, 1 << 62
+    while left > 0:
+        open_rows = rows.select("place", F.col("tokens").cast("long").alias("tokens")).where((F.col("place") > after) & (F.col("tokens") > 0) & (F.col("tokens") <= left))
+        if open_rows.limit(walked + 1).count() <= walked:
+            places += (last := walk(open_rows, left))
+            left -= open_rows.where(F.col("place").isin(last)).agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0] if last else 0
+            break
+        half = left // 2
+        light = F.when(F.col("tokens") <= half, F.col("tokens")).otherwise(0)
+        blocks = open_rows.groupBy(F.shiftright("place", BLOCK).alias("block")).agg(F.sum(light).alias("sum"))
+        so_far = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row a partition
+        blocks = cut(blocks.withColumn("upto", F.sum("sum").over(so_far)))
+        stop = blocks.where(F.col("upto") > half).agg(F.min("block")).first()[0]
+        near = open_rows.withColumn("block", F.shiftright("place", BLOCK))
+        near = near if stop is None else near.where(F.col("block") <= stop)
+        within = Window.partitionBy("block").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        summed = near.join(F.broadcast(blocks.select("block", (F.col("upto") - F.col("sum")).alias("before"))), "block").withColumn("sum", F.sum(light).over(within) + F.col("before"))  # one row a partition
+        heavy = F.col("tokens") > half
+        event = summed.where(F.when(heavy, F.col("sum") + F.col("tokens") <= left).otherwise(F.col("sum") > half)).agg(F.min_by(F.struct("place", "tokens", "sum"), "place").alias("e")).first()["e"]
+        if event is None:
+            total = summed.agg(F.max("sum")).first()[0]
+            ranges.append((after, end, half))
+            left -= total
+            break
+        # the event's row is taken too: a heavy one fits, and a light one still does where the sum passes half
+        taken = event["sum"] if event["tokens"] <= half else event["sum"] + event["tokens"]
+        ranges.append((after, event["place"], half))
+        places.append(event["place"])
+        left, after = left - taken, event["place"]
+    return Taken(ranges, places, budget - left)
 
 
 def pack_greedy(rows: DataFrame, budget: int, value: Column | str = "code") -> DataFrame:
-    """By value descending, path ascending; a row over what is left is passed over, and smaller ones after it may fit."""
-    rows = parents(rows).withColumn("value", col(value))
-    walk = rows.withColumn("_v", -F.col("value"))
-    paths, _ = fold(["_v", "path"], walk, budget)
-    return selected(rows, paths).select("path", "module", "tokens", "code", "value")
+    """By value descending, path ascending; a row over what is left is passed over, and smaller ones after it may fit.
+
+    Rows without tokens always fit.
+    """
+    rows = placed(parents(rows).withColumn("value", col(value)), [F.desc("value"), F.asc("path")])
+    taken = first_fit(rows, budget)
+    return rows.where(taken.condition() | (F.col("tokens") == 0)).select("path", "module", "tokens", "code", "value")
 
 
 def pack_spread(rows: DataFrame, budget: int, value: Column | str = "code") -> DataFrame:
     """Round-robin over modules up to 70 % of the budget, then greedily from the rest up to the whole budget."""
-    rows = parents(rows).withColumn("value", col(value))
-    rank = F.row_number().over(Window.partitionBy("module").orderBy(F.desc("value"), "path"))
-    spread = int(budget * 0.7)
-    first, used = fold(["_rank", "module", "path"], rows.withColumn("_rank", rank), spread)
-    some = rows.sparkSession.createDataFrame([(p,) for p in first], "path string")
-    rest = rows.join(some, "path", "left_anti").withColumn("_v", -F.col("value"))
-    more, _ = fold(["_v", "path"], rest, budget - used)
-    return selected(rows, first + more).select("path", "module", "tokens", "code", "value")
+    ranked = rank_within(parents(rows).withColumn("value", col(value)), "module", [F.desc("value"), F.asc("path")])
+    around = placed(ranked, [F.asc("rank"), F.asc("module"), F.asc("path")])
+    first = first_fit(around, int(budget * 0.7))
+    held = around.where(first.condition() | (F.col("tokens") == 0))
+    rest = placed(around.where(~first.condition() & (F.col("tokens") > 0)).drop("place"), [F.desc("value"), F.asc("path")])
+    more = rest.where(first_fit(rest, budget - first.used).condition())
+    return held.unionByName(more).select("path", "module", "tokens", "code", "value")
 
 
 def spine_files(rows: DataFrame, budget: int) -> DataFrame:
     """Spine files, smallest first, within 5 % of the budget and at most 5 000 tokens."""
-    spine = parents(rows).where(is_spine("path"))
-    paths, _ = fold(["_t", "path"], spine.withColumn("_t", F.col("tokens")), min(int(budget * 0.05), 5000))
-    return selected(spine, paths)
+    spine = placed(parents(rows).where(is_spine("path")), [F.asc("tokens"), F.asc("path")])
+    return spine.where(first_fit(spine, min(int(budget * 0.05), 5000)).condition() | (F.col("tokens") == 0)).drop("place")
+
+
+def select_context(rows: DataFrame, budget: int, strategy: str = "greedy", metric: str = "code", scores: DataFrame | None = None) -> DataFrame:
+    """(path, module, tokens, code, value, policy, reason): the whole selection.
+
+    Lockfiles, minified files and source maps are left out, over-long files skipped or cut to the cap; spine files are
+    held first, the rest of the budget is packed by the metric: code, tokens, or hotspot or churn from scores (path,
+    hotspot, churn). Without scores these two fall back to code; reason names the metric that was used, or spine.
+    """
+    effective = metric if scores is not None or metric in ("code", "tokens") else "code"
+    some = policies(parents(rows).where(smart_exclude("path").isNull()), budget).where("policy <> 'skip'")
+    some = some.withColumn("tokens", F.col("effective_tokens"))
+    if effective in ("hotspot", "churn"):
+        some = some.join(scores.select("path", F.col(effective).alias("value")), "path", "left").withColumn("value", F.coalesce("value", F.lit(0)).cast("long"))
+    else:
+        some = some.withColumn("value", F.col(effective).cast("long"))
+    some = cut(some)
+    spine = cut(spine_files(some, budget))
+    used = spine.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    rest = some.join(spine.select("path"), "path", "left_anti")
+    packed = (pack_greedy if strategy == "greedy" else pack_spread)(rest, budget - used, "value")
+    columns = ["path", "module", "tokens", "code", "value"]
+    both = spine.select(*columns, F.lit("spine").alias("reason")).unionByName(packed.select(*columns, F.lit(effective).alias("reason")))
+    return both.join(some.select("path", "policy"), "path").select(*columns, "policy", "reason")
 
 
 def token_estimates(rows: DataFrame) -> DataFrame:

@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.operators import complexity as cx
+from siltstone.operators import context as ctx
 from siltstone.operators import functions as fns
 from siltstone.operators import imports as imp
 from siltstone.operators import lockfiles as locks
 from siltstone.operators import review as rev
-from siltstone.plans.facts_sql import CODE, COMMITS, COVERAGE, LOCKS, r, ratio, with_
+from siltstone.plans.facts_sql import CODE, COMMITS, COVERAGE, FILES, LOCKS, r, ratio, with_
 from siltstone.sources import adapters as src
 from siltstone.sources import ignore_rules as ign
 from siltstone.sources import line_scanner as scan
@@ -410,3 +411,36 @@ QUERIES |= {
     ),
     "listed_files": (lambda s, d: ign.list_files(code_files(s, d), ign.ignore_rules(ignore_files(s, d))), with_(CODE, IGNORED) + "SELECT f.path FROM code_files f LEFT JOIN decided d ON d.path = f.path WHERE stop IS NULL"),
 }
+
+# --- the whole context selection -----------------------------------------------------------------------------------
+
+CONTEXT_BUDGET = 20_000
+
+
+def context_rows(spark, d):
+    """Documents, a README for each region and a lockfile for each nation."""
+    number = lambda c: F.col(c).cast("long")
+    named = lambda df, path, module, tokens: df.select(path.alias("path"), F.lit(module).alias("module"), F.lit("Text").alias("lang"), F.lit("parent").alias("kind"), F.lit(1).cast("long").alias("code"), F.lit(0).cast("long").alias("comments"), F.lit(0).cast("long").alias("blanks"), F.lit(100).cast("long").alias("lines"), (tokens * 4).alias("bytes"), tokens.alias("tokens"))
+    regions = named(src.table(spark, d, "region"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string"), F.lit("/README.md")), "root", (number("r_regionkey") + 1) * 300)
+    nations = named(src.table(spark, d, "nation"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit("/Cargo.lock")), "root", number("n_nationkey") + 1)
+    return src.files(spark, d).unionByName(regions).unionByName(nations)
+
+
+def hot_scores(spark, d):
+    return src.files(spark, d).where("code % 3 > 0").select("path", (F.col("lines") * (F.col("code") % 7)).alias("hotspot"), (F.col("code") % 7).alias("churn"))
+
+
+SELECTED = f"""crows AS (SELECT path, module, code, lines, tokens FROM files UNION ALL SELECT 'r' || r_regionkey || '/README.md', 'root', 1, 100, (r_regionkey + 1) * 300 FROM region UNION ALL SELECT 'n' || n_nationkey || '/Cargo.lock', 'root', 1, 100, n_nationkey + 1 FROM nation),
+  cpol AS (SELECT path, module, code, CASE WHEN tokens > {int(CONTEXT_BUDGET * 0.15)} THEN {int(CONTEXT_BUDGET * 0.15)} ELSE tokens END AS tokens, CASE WHEN tokens > {int(CONTEXT_BUDGET * 0.15)} THEN 'head_tail' ELSE 'full' END AS policy FROM crows WHERE NOT ends_with(path, '/Cargo.lock') AND NOT (tokens > {int(CONTEXT_BUDGET * 0.15)} AND tokens::DOUBLE / greatest(lines, 1) > 50.0)),
+  cval AS (SELECT c.*, CASE WHEN f.code % 3 > 0 THEN f.lines * (f.code % 7) ELSE 0 END AS value FROM cpol c LEFT JOIN files f ON f.path = c.path),
+  cspine AS (SELECT * FROM (SELECT *, sum(tokens) OVER (ORDER BY tokens, path) AS upto FROM cval WHERE ends_with(path, '/README.md')) WHERE upto <= {min(int(CONTEXT_BUDGET * 0.05), 5000)}),
+  cq AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY value DESC, path) AS k FROM cval WHERE tokens > 0 AND path NOT IN (SELECT path FROM cspine)),
+  cw AS (SELECT 0::BIGINT AS k, (SELECT coalesce(sum(tokens), 0) FROM cspine)::BIGINT AS used, NULL::VARCHAR AS took UNION ALL SELECT cw.k + 1, (cw.used + CASE WHEN cw.used + q.tokens <= {CONTEXT_BUDGET} THEN q.tokens ELSE 0 END)::BIGINT, CASE WHEN cw.used + q.tokens <= {CONTEXT_BUDGET} THEN q.path END FROM cw JOIN cq q ON q.k = cw.k + 1)"""
+
+QUERIES |= {
+    "context_selection": (
+        lambda s, d: ctx.select_context(context_rows(s, d), CONTEXT_BUDGET, "greedy", "hotspot", hot_scores(s, d)),
+        with_(FILES).replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ", " + SELECTED
+        + " SELECT path, module, tokens::BIGINT AS tokens, code::BIGINT AS code, value::BIGINT AS value, policy, 'spine' AS reason FROM cspine UNION ALL SELECT path, module, tokens::BIGINT, code::BIGINT, value::BIGINT, policy, 'hotspot' FROM cval WHERE path IN (SELECT took FROM cw WHERE took IS NOT NULL) OR tokens = 0",
+    ),
+}
