@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import complexity as cx
 from siltstone.operators import context as ctx
+from siltstone.operators import evidence as evi
 from siltstone.operators import functions as fns
 from siltstone.operators import imports as imp
 from siltstone.operators import lockfiles as locks
 from siltstone.operators import review as rev
-from siltstone.plans.facts_sql import CODE, COMMITS, COVERAGE, FILES, LOCKS, r, ratio, with_
+from siltstone.plans.facts_sql import CODE, COMMITS, COVERAGE, FILES, LOCKS, NUMSTAT, r, ratio, with_
 from siltstone.sources import adapters as src
 from siltstone.sources import ignore_rules as ign
 from siltstone.sources import line_scanner as scan
@@ -444,3 +445,73 @@ QUERIES |= {
         + " SELECT path, module, tokens::BIGINT AS tokens, code::BIGINT AS code, value::BIGINT AS value, policy, 'spine' AS reason FROM cspine UNION ALL SELECT path, module, tokens::BIGINT, code::BIGINT, value::BIGINT, policy, 'hotspot' FROM cval WHERE path IN (SELECT took FROM cw WHERE took IS NOT NULL) OR tokens = 0",
     ),
 }
+
+# --- evidence ------------------------------------------------------------------------------------------------------
+
+OWN_BASE, OWN_HEAD = "main", "abc1230"
+
+
+def artifacts(spark, d):
+    """An evidence artifact an order, of five schemas and one unknown; some are cut short."""
+    o, c = F.col("o_orderkey").cast("string"), F.col("o_custkey")
+    head = F.when(c % 3 == 0, OWN_HEAD).when(c % 3 == 1, "HEAD").otherwise("def4567")
+    status = F.when(F.col("o_orderstatus") == "F", "Passed").when(F.col("o_orderstatus") == "O", "error").otherwise("other")
+    code = F.when(c % 4 == 0, "0").when(c % 4 == 1, "2").otherwise("null")
+    required = F.when(c % 2 == 0, "true").otherwise("false")
+    common = F.concat(F.lit('"profile": "p'), (c % 3).cast("string"), F.lit('", "base": "b", "head": "'), head, F.lit('"'))
+    scope = lambda name, key: F.concat(F.lit('{"' + name + '": "s'), (c % 5).cast("string"), F.lit('", "command": "run '), o, F.lit('", "required": '), required, F.lit(', "status": "'), status, F.lit('", "skip_reason": "'), F.when(c % 6 == 2, "later").otherwise(""), F.lit('", "exit_code": '), key, F.lit("}"))
+    bodies = [
+        F.concat(common, F.lit(', "entries": ['), scope("scope", code), F.lit(", "), scope("scope", F.lit("0")), F.lit("]")),
+        F.concat(common, F.lit(', "counts": {"required_planned": '), (c % 2).cast("string"), F.lit('}, "scopes": ['), scope("name", code), F.lit("]")),
+        F.concat(common, F.lit(', "required": '), required, F.lit(', "scopes": ['), scope("name", code), F.lit("]")),
+        F.concat(F.lit('"sha": "'), head, F.lit('", "repo": "a/b", "flag": "s1", "github": {"run_id": "'), o, F.lit('"}, "status": {"ok": '), required, F.lit(', "missing": ['), F.when(c % 5 == 0, '"x"').otherwise(""), F.lit('], "empty": []}, "artifacts": [{"non_empty": '), F.when(c % 4 == 0, "false").otherwise("true"), F.lit("}]")),
+        common,
+        common,
+    ]
+    names = ["proof_run_summary", "proof_run_observation", "proof_executor_observation", "coverage_receipt", "proof_pack_route", "other"]
+    pick = lambda values: F.coalesce(*(F.when(F.col("o_orderkey") % 6 == k, v) for k, v in enumerate(values)))
+    text = F.concat(F.lit('{"schema": "x.'), pick([F.lit(n) for n in names]), F.lit('.v1", '), pick(bodies), F.when(c % 7 == 0, "").otherwise("}"))
+    return src.table(spark, d, "orders").select(F.concat(F.lit("e/"), o, F.lit(".json")).alias("path"), text.alias("text"))
+
+
+EVIDENCE = f"""ev0 AS (SELECT o_orderkey AS o, o_custkey AS c, o_orderkey % 6 AS k, o_custkey % 7 = 0 OR o_orderkey % 6 = 5 AS bad, CASE o_custkey % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'partial' ELSE 'stale' END AS match, CASE o_custkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 2 END AS code, o_orderstatus AS st FROM orders),
+  ev1 AS (
+    SELECT *, i, CASE WHEN k = 0 AND c % 6 = 2 AND (i = 0 AND code IS NULL) THEN 'not_executed' WHEN st = 'F' THEN 'executed_passed' WHEN st = 'O' THEN 'executed_failed' WHEN i = 1 OR code = 0 THEN 'executed_passed' WHEN code IS NOT NULL THEN 'executed_failed' ELSE 'not_executed' END AS status
+    FROM ev0, (VALUES (0), (1)) t(i) WHERE NOT bad AND k < 3 AND (i = 0 OR k = 0)
+  ), ev2 AS (
+    SELECT 'e/' || o || '.json' AS source_path, ['proof_run_summary', 'proof_run_observation', 'proof_executor_observation'][k + 1] AS kind, 'p' || (c % 3) AS profile, 's' || (c % 5) AS scope, 'run ' || o AS command, CASE k WHEN 1 THEN c % 2 > 0 ELSE c % 2 = 0 END AS required, status AS execution_status,
+      CASE WHEN starts_with(status, 'executed') THEN 'available' ELSE 'missing' END AS got, match, NULL::VARCHAR AS run_url, 'e/' || o || '.json#/' || CASE k WHEN 0 THEN 'entries/' ELSE 'scopes/' END || i AS ref FROM ev1
+    UNION ALL SELECT 'e/' || o || '.json', 'coverage_receipt', NULL, 's1', NULL, false, CASE WHEN c % 2 = 0 THEN 'executed_passed' ELSE 'executed_failed' END, CASE WHEN c % 2 = 0 AND c % 4 <> 0 THEN 'available' WHEN c % 5 = 0 THEN 'missing' WHEN c % 4 = 0 THEN 'degraded' ELSE 'unavailable' END, match, 'https://github.com/a/b/actions/runs/' || o, 'e/' || o || '.json#/artifacts' FROM ev0 WHERE NOT bad AND k = 3
+    UNION ALL SELECT 'e/' || o || '.json', 'proof_pack_route', NULL, 'proof_pack_route', NULL, false, 'planned', 'available', match, NULL, 'e/' || o || '.json#/summary' FROM ev0 WHERE NOT bad AND k = 4
+    UNION ALL SELECT 'e/' || o || '.json', 'malformed', NULL, NULL, NULL, false, 'not_executed', 'unavailable', 'unknown', NULL, 'e/' || o || '.json' FROM ev0 WHERE bad
+  ), ev AS (SELECT source_path, kind, profile, scope, command, required, execution_status, CASE WHEN kind = 'malformed' THEN got WHEN match = 'stale' THEN 'stale' WHEN match = 'partial' AND got = 'available' THEN 'degraded' ELSE got END AS availability, match AS commit_match, run_url, ref FROM ev2)"""
+PRECEDENCE = "['missing', 'stale', 'degraded', 'available', 'skipped', 'unavailable']"
+
+
+def normalized_evidence(spark, d):
+    return evi.normalize(artifacts(spark, d), OWN_BASE, OWN_HEAD)
+
+
+def mapped(spark, d):
+    """Changed parts in the order of review; a part's evidence is that of the order of its number."""
+    items = rev.review_plan(src.numstat(spark, d), rev.contracts(src.numstat(spark, d), ["part/1"], ["docs/schema.json"]))
+    of = normalized_evidence(spark, d).select(F.regexp_extract("source_path", "([0-9]+)", 1).alias("o"), "availability")
+    named = items.select("path", F.regexp_extract("path", "^part/([0-9]+)", 1).alias("o"))
+    return evi.review_map(items, of.join(named, "o").select("path", "availability"), ["part/11"])
+
+
+QUERIES |= {
+    "evidence": (normalized_evidence, with_(EVIDENCE) + "SELECT * FROM ev"),
+    "evidence_summary": (
+        lambda s, d: evi.evidence_summary(normalized_evidence(s, d)),
+        with_(EVIDENCE) + "SELECT scope, count(*) AS entries, sum(required::INT)::BIGINT AS required, " + ", ".join(f"count(*) FILTER (availability = '{a}') AS {a}" for a in ("missing", "stale", "degraded", "available", "skipped", "unavailable")) + f", {PRECEDENCE}[min(list_position({PRECEDENCE}, availability))] AS status FROM ev GROUP BY scope",
+    ),
+    "review_map": (
+        mapped,
+        with_(NUMSTAT, EVIDENCE, "it AS (SELECT path, insertions + deletions AS l, regexp_matches(path, '(lib|mod)\\.rs$') AS api, regexp_extract(path, '^part/([0-9]+)', 1) AS o FROM numstat)",
+              "ip AS (SELECT path, o, api, l AS lines_changed, least(CASE WHEN l > 200 THEN 1 WHEN l > 50 THEN 2 ELSE 3 END, CASE WHEN api THEN 2 ELSE 3 END)::BIGINT AS priority, CASE WHEN l > 300 THEN 5 WHEN l > 100 THEN 3 ELSE 1 END::BIGINT AS complexity FROM it)",
+              f"eo AS (SELECT regexp_extract(source_path, '([0-9]+)', 1) AS o, min(list_position({PRECEDENCE}, availability)) AS k, list(availability) AS all_of FROM ev GROUP BY 1)")
+        + f"""SELECT path, CASE WHEN starts_with(path, 'part/11') THEN 0 WHEN list_contains(all_of, 'missing') THEN 1 WHEN list_contains(all_of, 'stale') THEN 2 WHEN list_contains(all_of, 'degraded') THEN 3 WHEN complexity >= 4 THEN 4 WHEN api THEN 5 WHEN priority <= 1 THEN 6 WHEN priority = 2 THEN 7
+          WHEN list_contains(all_of, 'available') THEN 8 WHEN list_contains(all_of, 'skipped') THEN 9 ELSE 10 END::BIGINT AS bucket, priority, complexity, lines_changed, {PRECEDENCE}[k] AS status FROM ip LEFT JOIN eo ON eo.o = ip.o""",
+    ),
+}

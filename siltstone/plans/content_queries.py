@@ -35,8 +35,8 @@ def license_sql() -> str:
     return with_(CONTENTS) + f"SELECT path, spdx, confidence FROM ({options}) QUALIFY row_number() OVER (PARTITION BY path ORDER BY confidence DESC, o) = 1"
 
 
-PAIRS = """toks AS (SELECT lang AS scope, path, regexp_extract_all(text, '[A-Za-z0-9_]+') AS t FROM contents),
-  grams AS (SELECT scope, path, i, md5(array_to_string(t[i:i + 24], ' ')) AS h FROM (SELECT scope, path, t, unnest(range(1, len(t) - 23)) AS i FROM toks WHERE len(t) >= 25)),
+PAIRS = """toks AS (SELECT lang AS scope, path, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: ('0x' || md5(x)[1:15])::BIGINT::HUGEINT) AS t FROM contents),
+  grams AS (SELECT scope, path, i, list_reduce(t[i:i + 24], lambda a, b: (a * 1000003 + b) % 2305843009213693951)::BIGINT AS h FROM (SELECT scope, path, t, unnest(range(1, len(t) - 23)) AS i FROM toks WHERE len(t) >= 25)),
   wins AS (SELECT *, min(h) OVER (PARTITION BY path ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS m, count(*) OVER (PARTITION BY path) AS n FROM grams),
   fps AS (SELECT DISTINCT scope, path, CASE WHEN n < 4 THEN h ELSE m END AS fp FROM wins WHERE n < 4 OR i <= n - 3),
   sizes AS (SELECT scope, path, count(*) AS n FROM fps GROUP BY 1, 2), posts AS (SELECT scope, fp FROM fps GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 50),
@@ -91,4 +91,16 @@ QUERIES = {
           pr AS (SELECT label, count(*) AS pair_count, max(similarity) AS max_similarity FROM pairs JOIN lab ON lab.a = left_path GROUP BY label)
           SELECT label AS cluster, files, representative, pair_count, max_similarity FROM mem JOIN pr USING (label)""",
     ),
+    "near_dup_groups": (
+        lambda s, d: nd.groups(nd.fingerprints(src.contents(s, d), scope="")).drop("scope"),
+        with_(CONTENTS, PAIRS.replace("lang AS scope", "'' AS scope").replace("BETWEEN 2 AND 50", "> 1")).replace("WITH ", "WITH RECURSIVE ", 1)
+        + """, all_of AS (SELECT path, list_sort(list(fp)) AS l FROM fps GROUP BY path), reps AS (SELECT path, min(path) OVER (PARTITION BY l) AS representative FROM all_of),
+          both_ways AS (SELECT left_path AS a, right_path AS b FROM pairs UNION ALL SELECT right_path, left_path FROM pairs), reach AS (SELECT a, a AS b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a)
+          SELECT path, representative, label AS "group" FROM reps JOIN (SELECT a, min(b) AS label FROM reach GROUP BY a) ON a = path""",
+    ),
+    "near_dup_selection": (
+        lambda s, d: nd.select_files(src.files(s, d), 100, 4_000, ["*1.txt", "fr/**"]).select("path", "code").unionByName(nd.selection_counts(src.files(s, d), 100, 4_000, ["*1.txt", "fr/**"]).select(F.concat_ws(" ", "eligible_files", "files_skipped", "excluded_by_pattern").alias("path"), F.lit(-1).cast("long").alias("code"))),
+        with_(FILES, "ok AS (SELECT path, code, ends_with(path, '1.txt') OR starts_with(path, 'fr/') AS gone FROM files WHERE bytes <= 4000)")
+        + "SELECT * FROM (SELECT path, code FROM ok WHERE NOT gone ORDER BY code DESC, path LIMIT 100) UNION ALL SELECT count(*) FILTER (NOT gone) || ' ' || greatest(count(*) FILTER (NOT gone) - 100, 0) || ' ' || count(*) FILTER (gone), -1 FROM ok",
+    ),
 }

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.operators import complexity, content, effort, history, inventory
-from siltstone.sources import sinks
+from siltstone.sources import bundles, sinks
 
 # The optional sections of each preset; the derived sections always run.
 PRESETS = {
@@ -73,7 +73,10 @@ def analyze(facts: Facts, preset: str = "receipt") -> tuple[dict[str, DataFrame]
 
 
 def run_json(spark: SparkSession, mode: str, args: str, facts: Facts) -> str:
-    """{"ok": true, "data": ...} or {"ok": false, "error": {"code", "message"}} for modes version, lang, module, export, analyze."""
+    """{"ok": true, "data": ...} or {"ok": false, "error": {"code", "message"}} for modes version, lang, module, export, analyze.
+
+    export with `out` has the executors write the rows to that folder and gives its manifest; without, the answer holds them.
+    """
     try:
         options = json.loads(args or "{}")
         if not isinstance(options, dict):
@@ -84,6 +87,9 @@ def run_json(spark: SparkSession, mode: str, args: str, facts: Facts) -> str:
             data = sinks.receipt("lang", options, rows=inventory.lang_report(facts.files, int(options.get("top", 0)), options.get("children", "collapse")))
         elif mode == "module":
             data = sinks.receipt("module", options, rows=inventory.module_report(facts.files, int(options.get("top", 0))))
+        elif mode == "export" and options.get("out"):
+            written = bundles.write_export(inventory.export_rows(facts.files, int(options.get("min_code", 0)), int(options.get("max_rows", 0))), options["out"], options.get("redact", "none"))
+            data = sinks.receipt("export", options, manifest=written)
         elif mode == "export":
             data = sinks.receipt("export", options, rows=sinks.redact(inventory.export_rows(facts.files, int(options.get("min_code", 0)), int(options.get("max_rows", 0))), options.get("redact", "none")))
         elif mode == "analyze":

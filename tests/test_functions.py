@@ -196,3 +196,33 @@ def test_row_order_and_partitions_do_not_matter(spark):
     for operator in (inventory.doc_density, inventory.max_files, inventory.distribution, inventory.integrity, inventory.lang_purity):
         one, other = (sorted(map(repr, operator(r).collect())) for r in (rows.repartition(1), rows.orderBy(F.rand(3)).repartition(7)))
         assert one == other
+
+
+def test_near_duplicate_groups_lose_no_frequent_copies(spark):
+    base = [f"tok{k}" for k in range(400)]
+    near = base[:390] + [f"new{k}" for k in range(10)]
+    rows = [(f"c{k:03}", "m", "L", " ".join(base)) for k in range(60)] + [("n1", "m", "L", " ".join(near)), ("far", "m", "L", " ".join(f"x{k}" for k in range(400))), ("short", "m", "L", "a b"), ("lone", "m", "L", " ".join(f"y{k}" for k in range(30)))]
+    rows += [(f"p{k:02}", "m", "L", " ".join(base[k : k + 120] + [f"q{k}_{j}" for j in range(200)])) for k in range(55)]
+    fps = near_dup.fingerprints(spark.createDataFrame(rows, "path string, module string, lang string, text string"), scope="")
+    assert near_dup.pairs(fps).count() == 0  # the rule drops what stands in over 50 files
+    got = {r["path"]: (r["representative"], r["group"]) for r in near_dup.groups(fps).collect()}
+    assert got == {f"c{k:03}": ("c000", "c000") for k in range(60)} | {"n1": ("n1", "c000")}
+    assert near_dup.groups(fps.limit(0)).count() == 0
+
+
+def test_gram_hashes():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(1)
+    x = np.array([rng.randrange(1 << 60) for _ in range(200)], dtype=np.int64)
+    for k in (1, 2, 25):
+        want = []
+        for i in range(len(x) - k + 1):
+            h = 0
+            for v in x[i : i + k].tolist():
+                h = (h * near_dup.BASE + v) % near_dup.PRIME
+            want.append(h)
+        assert near_dup.gram_hashes(x, k).tolist() == want
+    assert near_dup.gram_hashes(x[:3], 4).tolist() == []
