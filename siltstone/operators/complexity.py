@@ -164,17 +164,17 @@ def brace_depth(lines: Column, lang: Column) -> Column:
 
 def indent_depth(lines: Column) -> Column:
     """Greatest indentation in units; the unit is the first indentation of 1 to 8, a tab, or 4. Blank and comment lines are skipped."""
-    width = lambda x: F.char_length(F.regexp_extract(x, r"^\s*", 0))
-    units = F.filter(F.transform(lines, lambda x: F.when(x.startswith("\t"), 1).when((width(x) > 0) & (width(x) <= 8), width(x))), lambda u: u.isNotNull())
-    unit = F.coalesce(F.get(units, F.lit(0)), F.lit(4))
-    depths = F.transform(F.filter(lines, lambda x: (trim(x) != "") & ~trim(x).startswith("#")), lambda x: F.floor(width(x) / unit).cast("long"))
-    return F.coalesce(F.array_max(depths), F.lit(0).cast("long"))
+    width = lambda x: F.char_length(x) - F.char_length(F.ltrim(x, F.lit(SPACE)))
+    first = F.filter(lines, lambda x: x.startswith("\t") | ((width(x) > 0) & (width(x) <= 8)))
+    unit = F.coalesce(F.get(F.transform(F.slice(first, 1, 1), lambda x: F.when(x.startswith("\t"), 1).otherwise(width(x))), F.lit(0)), F.lit(4))
+    deepest = F.array_max(F.transform(F.filter(lines, lambda x: (trim(x) != "") & ~trim(x).startswith("#")), width))
+    return F.coalesce(F.floor(deepest / unit).cast("long"), F.lit(0).cast("long"))
 
 
 def nesting(lines: Column, lang: Column) -> Column:
     """Greatest depth, null where nothing nests."""
     depth = F.when(lang == "python", indent_depth(lines)).otherwise(brace_depth(lines, lang))
-    return F.when(depth > 0, depth)
+    return F.get(F.filter(F.array(depth), lambda d: d > 0), F.lit(0))  # the depth stands once, so that it is computed once
 
 
 def risk_class(functions: Column, longest: Column, cyclomatic: Column, cognitive: Column, nesting: Column) -> Column:
@@ -196,10 +196,10 @@ def within(lines: Column, span: Column) -> Column:
     return F.slice(lines, span["first"] + 1, span["last"] - span["first"] + 1)
 
 
-def source_facts(contents: DataFrame) -> DataFrame:
+def source_facts(contents: DataFrame, *parts: str) -> DataFrame:
     """function_facts of files in languages that are scored, with their lines."""
     known = contents.where(F.lower("lang").isin(LANGS))
-    return function_facts(known).withColumn("lines", lines_of("text"))
+    return function_facts(known, parts or ("scored",)).withColumn("lines", lines_of("text"))
 
 
 def function_scores(contents: DataFrame) -> DataFrame:
@@ -216,7 +216,7 @@ def function_scores(contents: DataFrame) -> DataFrame:
 def function_details(contents: DataFrame) -> DataFrame:
     """(path, module, lang, name, line_start, line_end, length, cyclomatic, cognitive, max_nesting, param_count); 0 parameters are null."""
     s, lang = F.col("s"), F.col("lang")
-    rows = source_facts(contents).select("path", "module", "lang", "lines", F.explode("details").alias("s")).withColumn("own", within(F.col("lines"), s))
+    rows = source_facts(contents, "details").select("path", "module", "lang", "lines", F.explode("details").alias("s")).withColumn("own", within(F.col("lines"), s))
     head = F.element_at("own", 1)
     opened, closed = F.instr(head, "("), F.instr(head, ")")
     params = F.trim(F.substr(head, opened + 1, closed - opened - 1), F.lit(SPACE))

@@ -298,32 +298,31 @@ def count_functions(lines: list[str], lang: str) -> tuple[int, int]:
 SPAN = "name:string,first:int,last:int"
 
 
-def function_facts(contents: DataFrame) -> DataFrame:
-    """contents (path, module, lang, text) with lang in lower case, function_count, max_function_length, and arrays of intervals.
+def function_facts(contents: DataFrame, parts: tuple[str, ...] = ("scored",)) -> DataFrame:
+    """contents (path, module, lang, text) with lang in lower case, function_count, max_function_length, and the asked arrays of intervals.
 
     scored and nested hold (name, first, last) with lines from 0, nested also functions within others; details have
     the scored intervals of their own text beside them. One pass over whole files, no shuffle.
     """
     span = pa.struct([("name", pa.string()), ("first", pa.int32()), ("last", pa.int32())])
-    detail = pa.struct([("name", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("inner", pa.list_(span))])
+    types = {"scored": pa.list_(span), "nested": pa.list_(span), "details": pa.list_(pa.struct([("name", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("inner", pa.list_(span))]))}
+    schema = {"scored": f"array<struct<{SPAN}>>", "nested": f"array<struct<{SPAN}>>", "details": f"array<struct<{SPAN},inner:array<struct<{SPAN}>>>>"}
     row = lambda s: dict(zip(("name", "first", "last"), s, strict=True))
 
+    def found(lines: list[str], lang: str, part: str) -> list[dict]:
+        if part == "details":
+            return [row(s) | {"inner": [row(x) for x in scored_spans(lines[s[1] : s[2] + 1], lang)]} for s in detail_spans(lines, lang)]
+        return [row(s) for s in scored_spans(lines, lang, part == "nested")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, scored, nested, details = [], [], [], []
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                lines = lines_in(text)
-                counts.append(count_functions(lines, lang))
-                scored.append([row(s) for s in scored_spans(lines, lang)])
-                nested.append([row(s) for s in scored_spans(lines, lang, True)])
-                details.append([row(s) | {"inner": [row(x) for x in scored_spans(lines[s[1] : s[2] + 1], lang)]} for s in detail_spans(lines, lang)])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([c for c, _ in counts], pa.int64()), pa.array([m for _, m in counts], pa.int64()), pa.array(scored, pa.list_(span)), pa.array(nested, pa.list_(span)), pa.array(details, pa.list_(detail))],
-                ["path", "module", "lang", "text", "function_count", "max_function_length", "scored", "nested", "details"],
-            )
+            texts = [(lines_in(text), lang) for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            counts = [count_functions(*t) for t in texts]
+            arrays = [pa.array([found(*t, part) for t in texts], types[part]) for part in parts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c for c, _ in counts], pa.int64()), pa.array([m for _, m in counts], pa.int64()), *arrays], ["path", "module", "lang", "text", "function_count", "max_function_length", *parts])
 
     given = contents.where("text is not null").select("path", "module", F.lower("lang").alias("lang"), "text")
-    return given.mapInArrow(run, f"path string, module string, lang string, text string, function_count long, max_function_length long, scored array<struct<{SPAN}>>, nested array<struct<{SPAN}>>, details array<struct<{SPAN},inner:array<struct<{SPAN}>>>>")
+    return given.mapInArrow(run, "path string, module string, lang string, text string, function_count long, max_function_length long, " + ", ".join(f"{part} {schema[part]}" for part in parts))
 
 
 def function_spans(facts: DataFrame, which: str = "scored") -> DataFrame:

@@ -209,7 +209,7 @@ SEAMS = r"\.unwrap\(\)|\.expect\(|panic!?\(|\braise\b|\bthrow\b|\?\."
 
 def seams(spark, d):
     """Places that may fail, with the innermost function around each."""
-    facts = cx.source_facts(code_files(spark, d))
+    facts = cx.source_facts(code_files(spark, d), "nested")
     lines = facts.select("path", F.posexplode("lines").alias("i", "text")).where(F.col("text").rlike(SEAMS)).select("path", (F.col("i") + 1).cast("long").alias("line"))
     return fns.innermost(lines, fns.function_spans(facts, "nested"), 8)
 

@@ -66,10 +66,15 @@ def line_column(line: str | tuple[str, str]) -> Column:
     return F.concat(*(F.expr(NAMES[x]).cast("string") if named else F.lit(x) for named, x in pieces(line)))
 
 
+def dealt(spark: SparkSession, sf_dir: str, orders: list[str], items: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Orders and items, both dealt by order into as many parts as there are cores: what is rendered from few bytes is much work."""
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return table(spark, sf_dir, "orders").select(orders).repartition(parts, "o_orderkey"), table(spark, sf_dir, "lineitem").select(items).repartition(parts, "l_orderkey")
+
+
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, module, lang, text."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag")
+    orders, items = dealt(spark, sf_dir, ["o_orderkey"], ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag"])
     kind = F.col("l_orderkey") % len(FILES)
     body = F.coalesce(*(F.when(kind == k, F.array_join(F.array(*map(line_column, lines)), "\n")) for k, (_, _, _, lines) in enumerate(FILES)))
     parts = items.select("l_orderkey", F.struct("l_linenumber", body.alias("body")).alias("part")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("part")).alias("parts"))
@@ -97,8 +102,7 @@ LOCKFILES = [
 
 def lock_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, text."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    orders, items = dealt(spark, sf_dir, ["o_orderkey", "o_custkey"], ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity"])
     pick = lambda key, values: F.coalesce(*(F.when(F.col(key) % len(LOCKFILES) == k, v) for k, v in enumerate(values)))
     parts = items.select("l_orderkey", pick("l_orderkey", [line_column(x[2]) for x in LOCKFILES]).alias("part")).groupBy("l_orderkey").agg(F.array_sort(F.collect_set("part")).alias("parts"))
     whole = orders.join(parts, F.col("o_orderkey") == F.col("l_orderkey"), "left")
