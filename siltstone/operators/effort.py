@@ -87,3 +87,64 @@ def archetype(paths: DataFrame) -> DataFrame:
     kind = F.when(F.col("cargo") & F.col("crates") & F.col("cli"), "Rust workspace (CLI)").when(F.col("cargo") & F.col("crates"), "Rust workspace").when(F.col("node") & F.col("next"), "Next.js app")
     kind = kind.when(F.col("docker") & F.col("k8s"), "Containerized service").when(F.col("iac"), "Infrastructure as code")
     return flags.select(kind.when(F.col("python"), "Python package").when(F.col("node"), "Node package").alias("kind")).where("kind is not null")
+
+
+# Drivers of effort: key, signal, when it counts, and its weight from the signal, with the bounds of the weight.
+DRIVERS = [
+    ("generated_files", "generated_pct", lambda x: x > 0.30, lambda x: x * 0.8, 0.05, 0.75),
+    ("vendored_files", "vendored_pct", lambda x: x > 0.25, lambda x: x * 0.9, 0.05, 0.65),
+    ("freshness_staleness", "stale_pct", lambda x: x > 0.30, lambda x: x * 0.95, 0.06, 0.95),
+    ("module_coupling", "coupling_links", lambda x: x > 0, lambda x: x / 120.0, 0.1, 0.7),
+    ("complexity_hotspots", "max_cyclomatic", lambda x: x > 30, lambda x: (x - 20.0) / 200.0, 0.15, 0.75),
+    ("complexity_breadth", "avg_cyclomatic", lambda x: x > 4.0, lambda x: (x - 1.0) / 30.0, 0.08, 0.45),
+    ("api_documentation", "public_ratio", lambda x: x < 0.20, lambda x: F.lit(0.35), 0.35, 0.35),
+    ("api_documented_ratio", "documented_ratio", lambda x: x < 0.50, lambda x: F.lit(0.20), 0.20, 0.20),
+    ("duplication", "wasted_bytes", lambda x: x > 0, lambda x: x / 12_000.0, 0.1, 0.7),
+    ("test_density", "test_ratio", lambda x: x < 0.10, lambda x: F.lit(0.55), 0.55, 0.55),
+    ("polyglot_spread", "lang_count", lambda x: x > 8, lambda x: x / 20.0, 0.1, 0.45),
+    ("classification_fallback", "warnings", lambda x: x > 0, lambda x: F.lit(0.08), 0.08, 0.08),
+]
+SIGNALS = [name for _, name, *_ in DRIVERS]
+
+
+def clamped(x: Column, low: float, high: float) -> Column:
+    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+
+
+def effort_drivers(signals: DataFrame) -> DataFrame:
+    """(key, weight, value) of what raises effort, the heaviest first; signals: one row, a column null or absent where its report is missing."""
+    have = [d for d in DRIVERS if d[1] in signals.columns]
+    value = lambda name: F.col(name).cast("double")
+    found = F.array(*(F.when(test(value(name)), F.struct(F.lit(key).alias("key"), clamped(weight(value(name)), low, high).alias("weight"), value(name).alias("value"))) for key, name, test, weight, low, high in have))
+    return signals.select(F.explode(F.array_compact(found)).alias("d")).select("d.*").orderBy(F.desc("weight"), "key")
+
+
+def effort_confidence(signals: DataFrame) -> DataFrame:
+    """(score, level) of what the estimate rests on. signals also has classification (high, medium, low), and may have hotspots, test_lines, delta."""
+    col = lambda name: F.col(name).cast("double") if name in signals.columns else F.lit(None).cast("double")
+    given = lambda *names: F.coalesce(*(F.when(col(n).isNotNull(), True) for n in names), F.lit(False))
+    add = lambda test, points: F.when(F.coalesce(test, F.lit(False)), points).otherwise(0.0)
+    git, shape = given("stale_pct", "coupling_links"), given("avg_cyclomatic")
+    score = (
+        F.lit(0.25) + add(F.coalesce(col("warnings"), F.lit(0.0)) == 0, 0.10) + F.when(F.col("classification") == "high", 0.25).when(F.col("classification") == "medium", 0.15).otherwise(0.0)
+        + add(git, 0.12) + add(git & (col("stale_pct") > 0), 0.02) + add(git & (col("hotspots") > 0), 0.03) + add(shape, 0.10) + add(shape & (col("avg_cyclomatic") > 0), 0.04) + add(shape & (col("max_cyclomatic") > 30), 0.02)
+        + add(given("public_ratio"), 0.08) + add(given("wasted_bytes"), 0.05) + add(col("test_lines") > 0, 0.10) + add(col("delta") > 0, 0.05)
+    )
+    worn = F.coalesce(col("generated_pct"), F.lit(0.0)) + F.coalesce(col("vendored_pct"), F.lit(0.0))
+    out = signals.select(clamped(score - worn * 0.20, 0.0, 1.0).alias("score"))
+    return out.withColumn("level", F.when(F.col("score") >= 0.72, "high").when(F.col("score") >= 0.45, "medium").otherwise("low"))
+
+
+def effort_bands(estimates: DataFrame, confidence: DataFrame, drivers: DataFrame) -> DataFrame:
+    """(model, effort_pm, effort_low, effort_p80, months, months_low, months_p80, staff_low, staff_p80): wider the less the estimate rests on."""
+    pressure = drivers.agg(clamped(F.coalesce(F.sum(F.greatest("weight", F.lit(0.0))), F.lit(0.0)), 0.0, 0.85).alias("pressure"))
+    one = confidence.crossJoin(F.broadcast(pressure))  # one row each
+    base = F.when(F.col("level") == "high", 0.10).when(F.col("level") == "medium", 0.22).otherwise(0.35)
+    width = clamped(base + F.col("pressure") * 0.06 + clamped(1.0 - F.col("score"), 0.0, 0.8) * 0.45 + clamped(1.0 - F.col("score"), 0.0, 0.6) * 0.35, 0.04, 0.85)
+    rows = estimates.crossJoin(F.broadcast(one.select(width.alias("width")))).withColumn("turn", clamped(F.col("width") * 0.62, 0.03, 0.70))  # three models
+    e, m, w, t = (F.col(c) for c in ("effort_pm", "months", "width", "turn"))
+    low, high, soon, late = e * (1.0 - w), e * (1.0 + w), m * (1.0 - t), m * (1.0 + t)
+    return rows.select(
+        "model", "effort_pm", round_away(low, 2).alias("effort_low"), round_away(high, 2).alias("effort_p80"), "months", round_away(soon, 2).alias("months_low"), round_away(late, 2).alias("months_p80"),
+        round_away(F.when(late > 0, low / late).otherwise(0.0), 2).alias("staff_low"), round_away(F.when(soon > 0, high / soon).otherwise(0.0), 2).alias("staff_p80"),
+    )

@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.operators import complexity as cx
+from siltstone.operators import content as con
 from siltstone.operators import context as ctx
+from siltstone.operators import effort as eff
 from siltstone.operators import evidence as evi
 from siltstone.operators import functions as fns
 from siltstone.operators import imports as imp
 from siltstone.operators import lockfiles as locks
 from siltstone.operators import review as rev
-from siltstone.plans.facts_sql import CODE, COMMITS, COVERAGE, FILES, LOCKS, NUMSTAT, r, ratio, with_
+from siltstone.plans.facts_sql import CODE, COMMITS, CONTENTS, COVERAGE, FILES, LOCKS, NUMSTAT, r, ratio, with_
 from siltstone.sources import adapters as src
 from siltstone.sources import ignore_rules as ign
 from siltstone.sources import line_scanner as scan
@@ -515,3 +517,43 @@ QUERIES |= {
           WHEN list_contains(all_of, 'available') THEN 8 WHEN list_contains(all_of, 'skipped') THEN 9 ELSE 10 END::BIGINT AS bucket, priority, complexity, lines_changed, {PRECEDENCE}[k] AS status FROM ip LEFT JOIN eo ON eo.o = ip.o""",
     ),
 }
+
+# --- effort: drivers, confidence, bands ----------------------------------------------------------------------------
+
+
+def effort_signals(spark, d):
+    """Signals of the code files, with duplicates of the documents and tags of the lockfiles' folders."""
+    rows = scan.scan_rows(code_files(spark, d), "parents-only")
+    summary = cx.complexity_summary(complexity(spark, d)).select("avg_cyclomatic", "max_cyclomatic")
+    tagged = rows.withColumn("tag", eff.effort_tag(F.concat(F.lit("/"), F.col("path")), F.col("lang")))
+    share = lambda tag: (F.sum(F.when(F.col("tag") == tag, F.col("code")).otherwise(0)) / F.sum("code")).alias(f"{tag}_pct")
+    files = tagged.agg(share("generated"), share("vendored"), F.countDistinct("lang").alias("lang_count"), F.sum("code").alias("test_lines"), (F.sum(F.when(F.col("tag") == "tests", F.col("code")).otherwise(0)) / F.sum("code")).alias("test_ratio"))
+    wasted = con.duplicate_groups(src.contents(spark, d)).agg(F.sum("wasted_bytes").alias("wasted_bytes"))
+    one = summary.crossJoin(files).crossJoin(wasted)  # one row each
+    return one.withColumn("classification", F.when(F.col("lang_count") > 4, "medium").otherwise("high"))
+
+
+SIGNALS = f"""dz AS (SELECT octet_length(encode(text))::BIGINT AS bytes, sha256(text) AS hash FROM contents WHERE text <> ''), du AS (SELECT sum(w)::DOUBLE AS wasted FROM (SELECT bytes * (count(*) - 1) AS w FROM dz GROUP BY bytes, hash HAVING count(*) > 1)),
+  sg AS (SELECT avg_cyclomatic, max_cyclomatic::DOUBLE AS max_cyclomatic, (SELECT count(DISTINCT lang) FROM code_files)::DOUBLE AS lang_count, wasted FROM sm, du),
+  dv AS (
+    SELECT 'complexity_hotspots' AS key, least(greatest((max_cyclomatic - 20.0::DOUBLE) / 200.0::DOUBLE, 0.15::DOUBLE), 0.75::DOUBLE) AS weight, max_cyclomatic AS value FROM sg WHERE max_cyclomatic > 30
+    UNION ALL SELECT 'complexity_breadth', least(greatest((avg_cyclomatic - 1.0::DOUBLE) / 30.0::DOUBLE, 0.08::DOUBLE), 0.45::DOUBLE), avg_cyclomatic FROM sg WHERE avg_cyclomatic > 4.0
+    UNION ALL SELECT 'duplication', least(greatest(wasted / 12000.0::DOUBLE, 0.1::DOUBLE), 0.7::DOUBLE), wasted FROM sg WHERE wasted > 0
+    UNION ALL SELECT 'test_density', 0.55::DOUBLE, 0.0::DOUBLE FROM sg
+    UNION ALL SELECT 'polyglot_spread', least(greatest(lang_count / 20.0::DOUBLE, 0.1::DOUBLE), 0.45::DOUBLE), lang_count FROM sg WHERE lang_count > 8),
+  cf AS (SELECT 0.25::DOUBLE + 0.10::DOUBLE + CASE WHEN lang_count > 4 THEN 0.15::DOUBLE ELSE 0.25::DOUBLE END + 0.0::DOUBLE + 0.0::DOUBLE + 0.0::DOUBLE + 0.10::DOUBLE + 0.04::DOUBLE + CASE WHEN max_cyclomatic > 30 THEN 0.02::DOUBLE ELSE 0.0::DOUBLE END + 0.0::DOUBLE + 0.05::DOUBLE + 0.10::DOUBLE AS score FROM sg),
+  cl AS (SELECT score, CASE WHEN score >= 0.72 THEN 'high' WHEN score >= 0.45 THEN 'medium' ELSE 'low' END AS level FROM cf)"""
+EFFORT_PARTS = (CONTENTS, *COMPLEXITY, RISKS, SUMMARY, SIGNALS)
+
+QUERIES |= {
+    "effort_drivers": (lambda s, d: eff.effort_drivers(effort_signals(s, d)), with_(*EFFORT_PARTS) + "SELECT * FROM dv"),
+    "effort_confidence": (lambda s, d: eff.effort_confidence(effort_signals(s, d)).select(F.round("score", 6).alias("score"), "level"), with_(*EFFORT_PARTS) + "SELECT round(score, 6) AS score, level FROM cl"),
+    "effort_bands": (
+        lambda s, d: eff.effort_bands(eff.effort_models(scan.scan_rows(code_files(s, d), "parents-only")), eff.effort_confidence(effort_signals(s, d)), eff.effort_drivers(effort_signals(s, d))).select("model", "effort_pm", "effort_low", "effort_p80", "months_low", "months_p80"),
+        with_(*EFFORT_PARTS, CODE_IDS, CLASSES, "k AS (SELECT sum(code)::DOUBLE / 1000.0::DOUBLE AS k FROM classes)", "ee AS (SELECT 2.4::DOUBLE * pow(k, 1.05::DOUBLE) AS e1, 2.94::DOUBLE * pow(k, 1.1::DOUBLE) AS e2 FROM k)", "mm AS (SELECT *, 2.5::DOUBLE * pow(e1, 0.38::DOUBLE) AS m1, 3.67::DOUBLE * pow(e2, 0.28::DOUBLE) AS m2 FROM ee)",
+              f"md AS (SELECT model, {r('e', 2)} AS e, {r('m', 2)} AS m FROM (SELECT 'cocomo81' AS model, e1 AS e, m1 AS m FROM mm UNION ALL SELECT 'cocomo2', e2, m2 FROM mm UNION ALL SELECT 'ensemble', (e1 + e2) / 2.0::DOUBLE, (m1 + m2) / 2.0::DOUBLE FROM mm))",
+              "wd AS (SELECT least(greatest(CASE level WHEN 'high' THEN 0.10::DOUBLE WHEN 'medium' THEN 0.22::DOUBLE ELSE 0.35::DOUBLE END + least((SELECT sum(weight) FROM dv), 0.85::DOUBLE) * 0.06::DOUBLE + least(1.0::DOUBLE - score, 0.8::DOUBLE) * 0.45::DOUBLE + least(1.0::DOUBLE - score, 0.6::DOUBLE) * 0.35::DOUBLE, 0.04::DOUBLE), 0.85::DOUBLE) AS w FROM cl)",
+              "wt AS (SELECT w, least(greatest(w * 0.62::DOUBLE, 0.03::DOUBLE), 0.70::DOUBLE) AS t FROM wd)")
+        + f"SELECT model, e AS effort_pm, {r('e * (1.0::DOUBLE - w)', 2)} AS effort_low, {r('e * (1.0::DOUBLE + w)', 2)} AS effort_p80, {r('m * (1.0::DOUBLE - t)', 2)} AS months_low, {r('m * (1.0::DOUBLE + t)', 2)} AS months_p80 FROM md, wt",
+    ),
+}

@@ -226,3 +226,17 @@ def test_gram_hashes():
             want.append(h)
         assert near_dup.gram_hashes(x, k).tolist() == want
     assert near_dup.gram_hashes(x[:3], 4).tolist() == []
+
+
+def test_effort_drivers_confidence_and_bands(spark):
+    one = spark.createDataFrame([(0.4, 0.1, 0.5, 12.0, 45.0, 2.0, None, None, 240.0, 0.3, 9.0, 0.0, "medium", 3, 100)], ", ".join(f"{c} double" for c in effort.SIGNALS) + ", classification string, hotspots int, test_lines int")
+    got = [(r["key"], round(r["weight"], 4)) for r in effort.effort_drivers(one).collect()]
+    assert got == [("freshness_staleness", 0.475), ("polyglot_spread", 0.45), ("generated_files", 0.32), ("complexity_hotspots", 0.15), ("duplication", 0.1), ("module_coupling", 0.1)]
+    c = effort.effort_confidence(one).first()
+    assert (round(c["score"], 4), c["level"]) == (round(0.25 + 0.1 + 0.15 + 0.17 + 0.16 + 0.05 + 0.1 - 0.5 * 0.2, 4), "high")
+    estimates = spark.createDataFrame([("m", 10.0, 5.0), ("none", 0.0, 0.0)], "model string, effort_pm double, months double")
+    b = {r["model"]: r for r in effort.effort_bands(estimates, effort.effort_confidence(one), effort.effort_drivers(one)).collect()}
+    width = 0.10 + 0.85 * 0.06 + 0.12 * 0.45 + 0.12 * 0.35
+    assert abs(b["m"]["effort_low"] - 10 * (1 - width)) < 0.006 and abs(b["m"]["months_p80"] - 5 * (1 + width * 0.62)) < 0.006
+    assert (b["none"]["effort_low"], b["none"]["staff_p80"]) == (0.0, 0.0)
+    assert effort.effort_drivers(one.select("lang_count")).count() == 1
