@@ -216,6 +216,24 @@ def select_context(rows: DataFrame, budget: int, strategy: str = "greedy", metri
     return both.join(some.select("path", "policy"), "path").select(*columns, "policy", "reason")
 
 
+UNLIMITED = (1 << 64) - 1
+
+
+def parse_budget(text: str) -> int:
+    """Tokens of `50000`, `128k`, `1.5m`, `1g`, or `unlimited` and `max`; anything else is a ValueError."""
+    given = text.strip().lower()
+    if given in ("unlimited", "max"):
+        return UNLIMITED
+    scale = {"k": 1e3, "m": 1e6, "g": 1e9}.get(given[-1:], 1.0)
+    try:
+        tokens = float(given[:-1].strip() if scale > 1 else given) * scale
+    except ValueError:
+        raise ValueError(f"invalid budget {text.strip()!r}: a number with k, m or g behind it, or unlimited") from None
+    if not 0 <= tokens <= UNLIMITED:
+        raise ValueError(f"invalid budget {text.strip()!r}: out of range")
+    return int(tokens)
+
+
 def token_estimates(rows: DataFrame) -> DataFrame:
     """(path, tokens_min, tokens_est, tokens_max): bytes over 5, 4 and 3, rounded up."""
     up = lambda d: F.ceil(F.col("bytes") / d).cast("long")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.scalars import is_infra_lang, ratio, round_away
 from siltstone.operators.inventory import parents, size_basis, totals
+from siltstone.sources.ignore_rules import attributed
 
 # What tags a file for effort, in the order in which it is tried.
 TAGS = [
@@ -148,3 +149,22 @@ def effort_bands(estimates: DataFrame, confidence: DataFrame, drivers: DataFrame
         "model", "effort_pm", round_away(low, 2).alias("effort_low"), round_away(high, 2).alias("effort_p80"), "months", round_away(soon, 2).alias("months_low"), round_away(late, 2).alias("months_p80"),
         round_away(F.when(late > 0, low / late).otherwise(0.0), 2).alias("staff_low"), round_away(F.when(soon > 0, high / soon).otherwise(0.0), 2).alias("staff_p80"),
     )
+
+
+# What the first lines of a generated file say.
+SENTINELS = ["generated by", "do not edit", "auto-generated", "autogenerated"]
+
+
+def generated_sentinel(text: Column, most_lines: int = 40) -> Column:
+    """Whether one of the first lines says that the file is generated."""
+    head = F.array_join(F.slice(F.split(F.lower(text), "\n", most_lines + 1), 1, most_lines), "\n")
+    return F.coalesce(F.regexp_like(head, F.lit("|".join(SENTINELS))), F.lit(False))
+
+
+def effort_kinds(contents: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """(path, kind) of (path, lang, text): attribute rules first, then what its first lines say, then its path and language."""
+    kind = F.when(generated_sentinel(F.col("text")), "generated").otherwise(effort_tag(F.concat(F.lit("/"), F.col("path")), F.col("lang")))
+    own = contents.select("path", kind.alias("own"))
+    if rules is None:
+        return own.select("path", F.col("own").alias("kind"))
+    return attributed(own, rules, ["own"]).select("path", F.coalesce("kind", "own").alias("kind"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.scalars import round_away
@@ -67,3 +67,18 @@ def evaluate_ratchet(rules: DataFrame, baseline: DataFrame, current: DataFrame,
     )
     shown = F.when(F.col("p") == float("inf"), F.col("p")).otherwise(round_away("p", 2))
     return rows.select("pointer", "level", "baseline_value", "current_value", shown.alias("change_pct"), reason.isin("ok", "allowed").alias("passed"), reason.alias("reason"))
+
+
+def finding_id(tool: Column, check: Column, code: Column) -> Column:
+    return F.concat_ws(".", tool, check, code)
+
+
+def finding_fingerprint(tool: Column, check: Column, code: Column, path: Column) -> Column:
+    """32 hex digits that name a finding at a place; a missing path counts as empty."""
+    return F.substring(F.sha2(F.concat_ws("\0", tool, check, code, F.coalesce(path, F.lit(""))), 256), 1, 32)
+
+
+def findings(places: DataFrame, tool: str, check: str, code: str) -> DataFrame:
+    """(id, fingerprint, path, line) of places (path, line)."""
+    given = [F.lit(tool), F.lit(check), F.lit(code)]
+    return places.select(finding_id(*given).alias("id"), finding_fingerprint(*given, F.col("path")).alias("fingerprint"), "path", "line")

@@ -14,6 +14,7 @@ from siltstone.operators import context as ctx
 from siltstone.operators import effort as eff
 from siltstone.operators import evidence as evi
 from siltstone.operators import functions as fns
+from siltstone.operators import gates
 from siltstone.operators import imports as imp
 from siltstone.operators import lockfiles as locks
 from siltstone.operators import review as rev
@@ -557,3 +558,34 @@ QUERIES |= {
         + f"SELECT model, e AS effort_pm, {r('e * (1.0::DOUBLE - w)', 2)} AS effort_low, {r('e * (1.0::DOUBLE + w)', 2)} AS effort_p80, {r('m * (1.0::DOUBLE - t)', 2)} AS months_low, {r('m * (1.0::DOUBLE + t)', 2)} AS months_p80 FROM md, wt",
     ),
 }
+
+# --- kinds of files, findings --------------------------------------------------------------------------------------
+
+ATTRIBUTE_TEXT = "# kinds\n*9.rs linguist-generated\nsrc/go/1 linguist-vendored=true\n*.py text\n"
+
+
+def marked_files(spark, d):
+    """Code files, of which every seventh says before and every eleventh behind its lines that it is generated."""
+    files = code_files(spark, d).withColumn("o", F.regexp_extract("path", "o([0-9]+)[.]", 1).cast("long"))
+    text = F.concat(F.when(F.col("o") % 7 == 0, "// Code Generated by x.\n").otherwise(""), "text", F.when(F.col("o") % 11 == 0, "// DO NOT EDIT\n").otherwise(""))
+    return files.select("path", "lang", text.alias("text"))
+
+
+def kinds(spark, d):
+    rules = ign.attribute_rules(spark.createDataFrame([(ATTRIBUTE_TEXT,)], "text string"))  # configuration
+    return eff.effort_kinds(marked_files(spark, d), rules)
+
+
+QUERIES |= {
+    "effort_kinds": (
+        kinds,
+        with_(CODE, "mf AS (SELECT path, regexp_extract(path, 'o([0-9]+)[.]', 1)::BIGINT AS o, text FROM code_files)",
+              "mt AS (SELECT path, CASE WHEN o % 7 = 0 THEN '// Code Generated by x.' || chr(10) ELSE '' END || text || CASE WHEN o % 11 = 0 THEN '// DO NOT EDIT' || chr(10) ELSE '' END AS t FROM mf)",
+              "mh AS (SELECT path, lower(array_to_string(string_split(t, chr(10))[1:40], chr(10))) AS h FROM mt)")
+        + "SELECT path, CASE WHEN ends_with(path, '9.rs') THEN 'generated' WHEN contains(path, 'src/go/1') THEN 'vendored' WHEN contains(h, 'generated by') OR contains(h, 'do not edit') THEN 'generated' ELSE 'core' END AS kind FROM mh",
+    ),
+    "findings": (
+        lambda s, d: gates.findings(cx.function_scores(code_files(s, d)).where("cyclomatic > 5").select("path", "line"), "scan", "complexity", "cyclomatic_high"),
+        with_(CODE, CODE_LINES, SCORES) + "SELECT 'scan.complexity.cyclomatic_high' AS id, sha256('scan' || chr(0) || 'complexity' || chr(0) || 'cyclomatic_high' || chr(0) || path)[1:32] AS fingerprint, path, (s + 1)::BIGINT AS line FROM scores WHERE cyclomatic > 5",
+    ),
+}

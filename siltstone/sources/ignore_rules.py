@@ -96,8 +96,8 @@ def attribute_rules(text: DataFrame) -> DataFrame:
     return rows.select("place", F.regexp_extract("line", r"^\S+", 0).alias("pattern"), kind.alias("kind")).where("kind is not null")
 
 
-def attributed(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """(path, kind): the first rule that matches, null without one; a suffix after stars, a folder before a slash, else a part of the path.
+def attributed(files: DataFrame, rules: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(path, columns to keep, kind): the first rule that matches, null without one; a suffix after stars, a folder before a slash, else a part of the path.
 
     Rules are few: they become one ordered condition, so that no row is joined.
     """
@@ -111,4 +111,4 @@ def attributed(files: DataFrame, rules: DataFrame) -> DataFrame:
         else:
             hit = path.startswith(pattern) if pattern.endswith("/") else F.contains(path, F.lit(pattern))
         found = F.when(hit, rule["kind"]) if found is None else found.when(hit, rule["kind"])
-    return files.select("path", (found if found is not None else F.lit(None).cast("string")).alias("kind"))
+    return files.select("path", *(keep or []), (found if found is not None else F.lit(None).cast("string")).alias("kind"))

@@ -49,3 +49,11 @@ def test_selection(spark):
     few = {r["path"] for r in ctx.select_context(df, 1000, "spread", "churn", scores).collect()}
     assert "t/small.rs" in few
     assert ctx.select_context(df.limit(0), 1000).count() == 0
+
+
+def test_budgets():
+    assert [ctx.parse_budget(x) for x in ("50000", " 128K", "1.5k", "0.5m", "1g", "0")] == [50_000, 128_000, 1500, 500_000, 10**9, 0]
+    assert ctx.parse_budget("max") == ctx.parse_budget("Unlimited") == 2**64 - 1
+    for bad in ("", "k", "x", "-1", "1e30", "nan", "inf"):
+        with pytest.raises(ValueError, match="invalid budget"):
+            ctx.parse_budget(bad)
