@@ -48,8 +48,9 @@ def winnow(text: str, k: int, w: int, known: dict[str, int]) -> list[int]:
     tokens = TOKEN.findall(text)
     if len(known) > MANY:
         known.clear()
-    for t in set(tokens) - known.keys():
-        known[t] = token_hash(t)
+    for t in tokens:
+        if t not in known:
+            known[t] = token_hash(t)
     grams = gram_hashes(np.fromiter((known[t] for t in tokens), np.int64, len(tokens)), k)
     n = len(grams) - w + 1
     least = grams if n < 1 else np.minimum.reduce([grams[j : j + n] for j in range(w)])
