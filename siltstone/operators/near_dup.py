@@ -26,10 +26,16 @@ def token_hash(token: str) -> int:
     return int(hashlib.md5(token.encode()).hexdigest()[:15], 16)
 
 
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME for x below 2^62, by shifts."""
+    x = (x & PRIME) + (x >> 61)
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
 def times_base(x: np.ndarray) -> np.ndarray:
     """x * BASE modulo PRIME, in 64 bits: the high and low 31 bits apart, the high part turned back by a shift."""
-    high, low = (x >> 31) * BASE % PRIME, (x & ((1 << 31) - 1)) * BASE
-    return ((high >> 30) + ((high & ((1 << 30) - 1)) << 31) % PRIME + low % PRIME) % PRIME
+    high, low = (x >> 31) * BASE, (x & ((1 << 31) - 1)) * BASE
+    return reduced((high >> 30) + ((high & ((1 << 30) - 1)) << 31) + low)
 
 
 def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -39,7 +45,7 @@ def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     out = np.zeros(n, np.int64)
     for j in range(k):
-        out = (times_base(out) + hashes[j : j + n]) % PRIME
+        out = reduced(times_base(out) + hashes[j : j + n])
     return out
 
 
