@@ -22,14 +22,26 @@ BLOCK = set("address article aside blockquote body caption center dd details dia
 # Elements whose text is never prose.
 DROPPED = set("script style template noscript svg math canvas head title iframe object select button textarea datalist".split())
 # Elements that never hold the main text.
-APART = set("nav header footer aside form menu dialog fieldset".split())
+APART = set("nav header footer aside menu dialog".split())
+# Elements that hold the main text only where they are wrapped around the whole of it.
+FORMS = {"form", "fieldset"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-# Words of class, id and role values that mark what is not main text.
-MARKS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|adverts|banner|breadcrumb|breadcrumbs|comment|comments|consent|cookie|cookies|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|pager|popup|promo|promoted|related|search|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)s?(?:$|[\s_-])", re.I)
+# Words of class and id values that mark what is not main text, wherever they begin or end a name.
+STRONG_MARKS = set("ad ads advert advertisement adverts breadcrumb breadcrumbs comment comments cookie cookies disqus footer footers nav navbar navigation newsletter pagination related replies respond sidebar sidebars sponsor sponsored sponsors".split())
+# Words that mark a name of one or two parts; in longer names two of all these words are needed.
+WEAK_MARKS = set("banner banners consent header headers masthead mastheads menu menus modal modals notice notices pager popup popups promo promos promoted search share shares sharing social subscribe toolbar toolbars widget widgets".split())
+# Words that say that the other part of such a name is what the text is about.
+TOPICS = set("article copy essay paragraph prose recipe story text".split())
 #: Class words of a layout that has, or lacks, such a part.
 LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)-\S+", re.I)
 #: Inside an article these mark its own heading part.
-HEADING_MARKS = re.compile(r"(?<![^\s_-])(?:header|masthead)s?(?![^\s_-])", re.I)
+HEADING_MARKS = {"header", "headers", "masthead", "mastheads"}
+PARTS = re.compile(r"[-_]+")
+COMMENT_END = re.compile(r"--!?>")
+#: Letters of other scripts than Latin; and those of which one says about as much as three Latin ones.
+OTHER_SCRIPT = re.compile(r"[^\x00-\u024f\u2000-\u206f]")
+WIDE = re.compile(r"[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
+SENTENCE_END = tuple(".!?\u2026\u3002\uff01\uff1f\u0964\u06d4\u061f")
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
 #: An attribute: its name is read whole, so that no name is tried from its middle.
@@ -43,7 +55,7 @@ STOPS = frozenset(w for words in STOP_WORDS.values() for w in words.split())
 #: A paragraph ends at these when its end tag is left out.
 CLOSES_P = BLOCK - {"body", "html", "head", "option", "optgroup"}
 
-SHORT, LONG, MOST_LINKS, SOME_STOPS, MANY_STOPS = 70, 200, 0.35, 0.15, 0.25
+SHORT, LONG, MOST_LINKS, FEW_STOPS, SOME_STOPS, MANY_STOPS = 70, 200, 0.35, 0.05, 0.15, 0.25
 
 
 def decoded(text: str) -> str:
@@ -54,23 +66,43 @@ def decoded(text: str) -> str:
 
 
 class Block:
-    """Text of one block: its characters, those inside links, and where it stands: its innermost class mark and holder (-1: none)."""
+    """Text of one block: its characters, those inside links, and where it stands: its innermost class mark and holder (-1: none).
 
-    __slots__ = ("parts", "linked", "apart", "mark", "holder", "heading", "label", "text")
+    plain: whether letters stand outside of its links. size: its length, wide letters as three.
+    """
+
+    __slots__ = ("parts", "linked", "plain", "apart", "mark", "holder", "heading", "label", "text", "size", "other")
 
     def __init__(self, apart: bool, mark: int, holder: int, heading: bool):
         self.parts: list[str] = []
         self.linked = 0
+        self.plain = False
         self.apart, self.mark, self.holder, self.heading, self.label, self.text = apart, mark, holder, heading, "", ""
+        self.size, self.other = 0, False
+
+    def finish(self) -> None:
+        """Join the parts and measure them; other: most of it is in a script that is not Latin."""
+        self.text = text = decoded("".join(self.parts))
+        self.size = len(text)
+        if not text.isascii():
+            self.size += 2 * sum(len(m) for m in WIDE.findall(text))
+            self.other = 2 * len(OTHER_SCRIPT.findall(text)) > len(text)
+
+    def prose(self) -> int:
+        """Its size if it is long enough, and not mostly links."""
+        return self.size if self.size >= SHORT and self.linked <= MOST_LINKS * len(self.text) else 0
 
 
 class Place:
-    """A class mark, or an article or main element (name): the mark and the holder around it, and the text under it."""
+    """A mark, or an article or main element: the mark and the holder around it, the text and the prose under it.
 
-    __slots__ = ("name", "apart", "mark", "holder", "size")
+    A mark's name is "form" if it is one for being a form alone.
+    """
+
+    __slots__ = ("name", "apart", "mark", "holder", "size", "prose")
 
     def __init__(self, name: str, apart: bool, mark: int, holder: int):
-        self.name, self.apart, self.mark, self.holder, self.size = name, apart, mark, holder, 0
+        self.name, self.apart, self.mark, self.holder, self.size, self.prose = name, apart, mark, holder, 0, 0
 
 
 class Tags:
@@ -112,8 +144,11 @@ class Tags:
         page = self.page
         while (start := page.find("<", at)) >= 0 and self.last[">"] > start:
             if page.startswith("<!--", start):
-                end = page.find("-->", start + 4)
-                return start, end + 3 if end >= 0 else len(page), "", ""
+                for empty in ("<!-->", "<!--->"):
+                    if page.startswith(empty, start):
+                        return start, start + len(empty), "", ""
+                closed = COMMENT_END.search(page, start + 4)
+                return start, closed.end() if closed else len(page), "", ""
             if page[start + 1 : start + 2] in ("!", "?"):
                 return start, page.index(">", start) + 1, "", ""
             name = TAG_NAME.match(page, start + 1)
@@ -124,16 +159,30 @@ class Tags:
         return -1, len(page), "", ""
 
 
+def mark_word(name: str, article: bool) -> bool:
+    """Whether one class or id name marks what is not main text: a whole word, or parts of a compound that tell."""
+    strong, weak = STRONG_MARKS, WEAK_MARKS
+    parts = [x for x in PARTS.split(name.lower()) if x and not (article and x in HEADING_MARKS)]
+    if not parts:
+        return False
+    if parts[0] in strong or parts[-1] in strong:
+        return True
+    known = sum(x in strong or x in weak for x in parts)
+    return known >= 2 or known == 1 and len(parts) <= 2 and not any(x in TOPICS for x in parts)
+
+
 def marked(name: str, values: dict[str, str], article: bool) -> bool:
     """Whether class or id say that the element is not main text."""
     if article and name in HEADINGS:
         return False
-    said = [LAYOUT.sub(" ", values.get("class", "")), values.get("id", "")]
-    return any(MARKS.search(HEADING_MARKS.sub("", x) if article else x) for x in said)
+    said = LAYOUT.sub(" ", values.get("class", "")).split() + values.get("id", "").split()
+    return any(mark_word(x, article) for x in said)
 
 
 def hidden(values: dict[str, str]) -> bool:
-    return values.get("role", "").lower() in ROLES or values.get("aria-hidden") == "true" or "hidden" in values or "display:none" in values.get("style", "").replace(" ", "")
+    """Whether role, aria-hidden, hidden or style say that it is no text to read."""
+    style = SPACE.sub("", values.get("style", "")).lower()
+    return values.get("role", "").lower() in ROLES or values.get("aria-hidden", "").lower() == "true" or "hidden" in values or "display:none" in style
 
 
 def split_blocks(page: str) -> tuple[list[Block], list[Place], list[Place]]:
@@ -163,6 +212,8 @@ def split_blocks(page: str) -> tuple[list[Block], list[Place], list[Place]]:
         current.parts.append(piece)
         if links:
             current.linked += len(piece.strip())
+        elif not current.plain:
+            current.plain = any(c.isalpha() for c in piece)
 
     def close(depth: int) -> None:
         while len(stack) > depth:
@@ -209,6 +260,7 @@ def split_blocks(page: str) -> tuple[list[Block], list[Place], list[Place]]:
         elif name in ("article", "main"):
             holders.append(Place(name, apart, mark, holder))
             holder = len(holders) - 1
+        form = name in FORMS and not apart
         if attributes and not apart and name not in ("body", "html", "article", "main"):
             values: dict[str, str] = {}
             for k, a, b, c in ATTRIBUTE.findall(attributes):
@@ -216,12 +268,16 @@ def split_blocks(page: str) -> tuple[list[Block], list[Place], list[Place]]:
             if hidden(values):
                 apart = True
             elif marked(name, values, holder >= 0):
-                marks.append(Place(name, apart, mark, holder))
+                form = False
+                marks.append(Place("", apart, mark, holder))
                 mark = len(marks) - 1
+        if form and not apart:
+            marks.append(Place("form", apart, mark, holder))
+            mark = len(marks) - 1
         open_at.setdefault(name, []).append(len(stack))
         stack.append((name, apart, mark, holder))
     for b in blocks:
-        b.text = decoded("".join(b.parts))
+        b.finish()
     return blocks, marks, holders
 
 
@@ -230,19 +286,25 @@ def set_apart(blocks: list[Block], marks: list[Place], holders: list[Place]) ->
 
     That is: every main element; of articles, if each is under a mark, the one of most text; and within an article what
     holds over half of its text. A page left without main text gives up the marks that hold over half of all.
+    A form is taken back if an article or main element stands in it, if all prose of its article does, or, on a page
+    without articles outside of marks, if over half of all prose does.
     """
     waived = [False] * len(marks)
     open_blocks = [b for b in blocks if not b.apart]
     total = sum(len(b.text) for b in open_blocks)
+    prose = 0
     for b in open_blocks:
-        if b.mark >= 0:
-            marks[b.mark].size += len(b.text)
-        if b.holder >= 0:
-            holders[b.holder].size += len(b.text)
+        own = b.prose()
+        prose += own
+        for place in (marks[b.mark] if b.mark >= 0 else None, holders[b.holder] if b.holder >= 0 else None):
+            if place is not None:
+                place.size += len(b.text)
+                place.prose += own
     for places, around in ((marks, "mark"), (holders, "holder")):
         for p in reversed(places):  # each stands after the one around it
             if getattr(p, around) >= 0:
                 places[getattr(p, around)].size += p.size
+                places[getattr(p, around)].prose += p.prose
 
     def waive(mark: int) -> None:
         while mark >= 0 and not waived[mark]:
@@ -260,11 +322,20 @@ def set_apart(blocks: list[Block], marks: list[Place], holders: list[Place]) ->
     for h in able:
         if h.name == "main":
             waive(h.mark)
+        around = h.mark
+        while around >= 0 and marks[around].name == "form" and not waived[around]:
+            waived[around] = True
+            around = marks[around].mark
     held = under()
     if able and all(h.mark >= 0 and held[h.mark] for h in able):
         waive(max(able, key=lambda h: h.size).mark)
+    held = under()
+    outside = not any(h.mark < 0 or not held[h.mark] for h in able)
     for k, m in enumerate(marks):
-        waived[k] = waived[k] or m.holder >= 0 and 2 * m.size > holders[m.holder].size
+        if m.name == "form":
+            waived[k] = waived[k] or m.prose > 0 and (m.prose == holders[m.holder].prose if m.holder >= 0 else outside and 2 * m.prose > prose)
+        else:
+            waived[k] = waived[k] or m.holder >= 0 and 2 * m.size > holders[m.holder].size
 
     def settle() -> None:
         held = under()
@@ -280,10 +351,18 @@ def set_apart(blocks: list[Block], marks: list[Place], holders: list[Place]) ->
         settle()
 
 
-def first_label(b: Block, anywhere: bool, in_article: bool) -> str:
+def stop_words(text: str) -> tuple[int, int]:
+    """(stop words, words)."""
+    words = [w.strip(".,;:!?\"'()").lower() for w in text.split()]
+    return sum(w in STOPS for w in words), len(words)
+
+
+def first_label(b: Block, anywhere: bool, in_article: bool, unknown: bool) -> str:
     """The first pass: good and bad by stop-word density, length and link density, near if these do not tell.
 
-    Link density decides nothing inside an article: what is linked there is still its text.
+    Link density decides nothing inside an article: what is linked there is still its text. A block with many links
+    that has words of its own is between: it follows its neighbours if both agree. In other scripts than Latin, and on
+    a page of a language whose stop words are not listed (unknown), length and the end of a sentence stand for density.
     """
     n = len(b.text)
     if b.apart or not n:
@@ -292,40 +371,56 @@ def first_label(b: Block, anywhere: bool, in_article: bool) -> str:
     if b.holder >= 0:
         if links > MOST_LINKS and not in_article:
             return "bad"
-        return "good" if n >= SHORT or b.heading else "near"
+        return "good" if b.size >= SHORT or b.heading else "near"
     if links > MOST_LINKS:
-        return "bad"
-    words = [w.strip(".,;:!?\"'()").lower() for w in b.text.split()]
-    density = sum(w in STOPS for w in words) / len(words)
+        return "between" if b.plain and not anywhere else "bad"
+    if unknown or b.other:
+        if anywhere:
+            return "near" if b.size >= LONG else "bad"
+        return "good" if b.size >= LONG or b.size >= SHORT and b.text.endswith(SENTENCE_END) else "near"
+    stops, words = stop_words(b.text)
+    density = stops / words
     if anywhere:
         return "bad" if n < SHORT or density < SOME_STOPS else "near"
     if n < SHORT:
-        return "bad" if b.linked else "near"
+        return "near"
     if density >= MANY_STOPS or density >= SOME_STOPS and n >= LONG:
         return "good"
     return "near" if density >= SOME_STOPS or n < LONG else "bad"
 
 
+def unknown_language(blocks: list[Block]) -> bool:
+    """Whether the page's prose outside of articles has next to no stop word."""
+    stops = words = 0
+    for b in blocks:
+        if not b.apart and b.holder < 0 and not b.other and b.prose():
+            more = stop_words(b.text)
+            stops, words = stops + more[0], words + more[1]
+    return words > 0 and stops < FEW_STOPS * words
+
+
 def label_blocks(blocks: list[Block], holders: list[Place]) -> None:
     """Both passes: the first decides by each block's own measures, the second gives ambiguous blocks the label of the nearest decided one.
 
     Of two as near, a good one counts. An ambiguous block of an article or main element looks only at decided blocks
     that stand in one too and are not set apart, so that an advert does not decide on the paragraph beside it; with
-    none it is good, as is any ambiguous block of a page without decided ones.
+    none it is good, as is any ambiguous block of a page without decided ones. A block between is good if the nearest
+    decided blocks on both sides are.
     """
     anywhere = any(b.holder >= 0 and not b.apart for b in blocks)
     articles: list[bool] = []
     for h in holders:
         articles.append(h.name == "article" or h.holder >= 0 and articles[h.holder])
+    unknown = unknown_language(blocks)
     for b in blocks:
-        b.label = first_label(b, anywhere, b.holder >= 0 and articles[b.holder])
+        b.label = first_label(b, anywhere, b.holder >= 0 and articles[b.holder], unknown)
     first = [b.label for b in blocks]
     nearest: list[list[tuple[int, bool]]] = [[] for _ in blocks]
     for order in (range(len(blocks)), range(len(blocks) - 1, -1, -1)):
         last: dict[bool, int | None] = {True: None, False: None}
         for k in order:
             b = blocks[k]
-            if first[k] == "near":
+            if first[k] in ("near", "between"):
                 s = last[b.holder >= 0]
                 if s is not None:
                     nearest[k].append((abs(k - s), first[s] != "good"))
@@ -336,6 +431,8 @@ def label_blocks(blocks: list[Block], holders: list[Place]) -> None:
     for b, label, sides in zip(blocks, first, nearest, strict=True):
         if label == "near":
             b.label = "bad" if sides and min(sides)[1] else "good"
+        elif label == "between":
+            b.label = "good" if len(sides) == 2 and not any(bad for _, bad in sides) else "bad"
 
 
 def main_text(page: str | None) -> str:
