@@ -32,15 +32,14 @@ def tree_merge(digests: DataFrame, keep: str, runs: int) -> DataFrame:
     kept identifier goes on: equal short digests of different texts never merge, and a group of copies of any size adds
     at most one row per run to a round. Each round's runs are written, so a lost executor costs one round at most.
     """
-    best = {"largest": F.col("keep_id").desc_nulls_last(), "smallest": F.col("keep_id").asc_nulls_last()}[keep]
     pick = {"largest": F.max, "smallest": F.min}[keep]
     order = ["range", "run", *KEY]
     sizes = F.sum("group_size").alias("group_size")
 
     def met(level: DataFrame) -> DataFrame:
-        """Runs that meet, merged: the first row of each group in the common order holds its kept identifier."""
-        together = level.repartition("range", "run").sortWithinPartitions(*order, best)
-        return together.groupBy(*order).agg(F.first("keep_id").alias("keep_id"), sizes)
+        """Runs that meet, merged in the common order; the kept identifier of each group goes on, whatever order its rows have."""
+        together = level.repartition("range", "run").sortWithinPartitions(*order)
+        return together.groupBy(*order).agg(pick("keep_id").alias("keep_id"), sizes)
 
     ranged = F.shiftrightunsigned("digest", 64 - RANGE_BITS).cast("int").alias("range")
     level = digests.select(ranged, "run", *KEY, F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
