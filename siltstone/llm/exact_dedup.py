@@ -37,9 +37,12 @@ def tree_merge(digests: DataFrame, keep: str, runs: int) -> DataFrame:
     sizes = F.sum("group_size").alias("group_size")
 
     def met(level: DataFrame) -> DataFrame:
-        """Runs that meet, merged in the common order; the kept identifier of each group goes on, whatever order its rows have."""
+        """Runs that meet, merged in the common order; the kept identifier of each group goes on, whatever order its rows have.
+
+        The first row's identifier stands in the plan because Spark drops a sort that no aggregate looks at.
+        """
         together = level.repartition("range", "run").sortWithinPartitions(*order)
-        return together.groupBy(*order).agg(pick("keep_id").alias("keep_id"), sizes)
+        return together.groupBy(*order).agg(F.coalesce(pick("keep_id"), F.first("keep_id")).alias("keep_id"), sizes)
 
     ranged = F.shiftrightunsigned("digest", 64 - RANGE_BITS).cast("int").alias("range")
     level = digests.select(ranged, "run", *KEY, F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
