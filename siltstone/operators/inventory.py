@@ -222,23 +222,28 @@ def cocomo(rows: DataFrame, a: float = 2.4, b: float = 1.05, c: float = 2.5, d:
     return out.select(round_away("kloc", 4).alias("kloc"), round_away("e", 2).alias("effort_pm"), round_away("t", 2).alias("duration_months"), round_away(F.col("e") / F.col("t"), 2).alias("staff"))
 
 
-def integrity(rows: DataFrame) -> DataFrame:
-    """(algo, hash, entries): digest over "path:bytes:lines" of all parents.
+def digest_tree(entries: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, hash, entries) over the different values of column entry, for each value of the keys.
 
     Entries are digested in sorted order per leaf of a tree: the first five hex digits of an entry's own digest name its
     leaf, so a leaf is a millionth of all files. The digests of a node's leaves are digested in order, 1024 to a node,
     and then those of the nodes, so no list of all files is ever built in one place.
     """
-    entry = F.concat_ws(":", "path", F.col("bytes").cast("string"), F.col("lines").cast("string"))
-    own = parents(rows).select(entry.alias("entry")).withColumn("b", F.conv(F.substring(F.sha2("entry", 256), 1, 5), 16, 10).cast("long"))
+    own = entries.withColumn("b", F.conv(F.substring(F.sha2("entry", 256), 1, 5), 16, 10).cast("long"))
 
     def joined(column: str) -> Column:
         return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256).alias(column)
 
-    leaves = own.groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("entry")), "\n"), 256).alias("h"), F.count("*").alias("n"))
-    inner = leaves.groupBy(F.shiftright("b", 10).alias("node")).agg(joined("h"), F.sum("n").alias("n")).select(F.col("node").alias("b"), "h", "n")
-    whole = inner.agg(joined("hash"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("entries"))
-    return whole.select(F.lit("sha256").alias("algo"), "hash", "entries")
+    leaves = own.groupBy(*keys, "b").agg(F.array_sort(F.collect_set("entry")).alias("es"))
+    leaves = leaves.select(*keys, "b", F.sha2(F.array_join("es", "\n"), 256).alias("h"), F.size("es").alias("n"))
+    inner = leaves.groupBy(*keys, F.shiftright("b", 10).alias("node")).agg(joined("h"), F.sum("n").alias("n")).withColumnRenamed("node", "b")
+    return inner.groupBy(*keys).agg(joined("hash"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("entries"))
+
+
+def integrity(rows: DataFrame) -> DataFrame:
+    """(algo, hash, entries): digest over "path:bytes:lines" of all parents."""
+    entry = F.concat_ws(":", "path", F.col("bytes").cast("string"), F.col("lines").cast("string"))
+    return digest_tree(parents(rows).select(entry.alias("entry"))).select(F.lit("sha256").alias("algo"), "hash", "entries")
 
 
 def path_tree(rows: DataFrame, max_depth: int = 0) -> DataFrame:
