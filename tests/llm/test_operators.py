@@ -454,7 +454,8 @@ def test_oracle_sql(spark):
 
     at = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{at}/documents.parquet'")
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{at}/{name}.parquet'")
     for name, sql in ORACLE_SQL.items():
         df = QUERIES[name](spark, at)
         cursor = con.execute(sql)
