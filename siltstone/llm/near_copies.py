@@ -1,9 +1,10 @@
-"""Near copies by 5-word shingles: min-hash bands give candidates, exact Jaccard similarity decides, components join them."""
+"""Near copies by 5-word shingles: SimHash fingerprints in a byte-position inverted index, shared positional bytes tallied, exact Jaccard similarity decides, components join them."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -14,17 +15,28 @@ from siltstone.llm.components import connected_components
 from siltstone.llm.shared import pieces, small_batches, text_bytes, written
 
 WIDTH = 5
-#: 25 bands of 4 minima: a pair of similarity s shares a band but with chance (1 - s^4)^25, 1.9e-6 at s = 0.8.
-BANDS, ROWS = 25, 4
-#: Of a pair's minima (those of the bands, and more), at least so many agree at similarity 0.8, but with chance 1e-5 (4.4 standard deviations).
-MINIMA, LEAST_EQUAL = 300, 210
+#: A fingerprint is so many words of 64 SimHash bits. Of sets of similarity 0.8 a bit differs with chance 0.15, a byte is
+#: equal with chance 0.27, and no key of any word is shared with chance 5e-6.
+WORDS = 96
+#: The index keys of a word are three of its bytes within one half, as in op6. Sets of at most TINY shingles (of which a
+#: pair's bits differ with chance up to 0.19) have all triples of bytes as keys.
+TRIPLES = [p for half in (range(4), range(4, 8)) for p in combinations(half, 3)]
+TRIPLES += [p for p in combinations(range(8), 3) if p not in TRIPLES]
+HALVES, TINY = 8, 5
+#: Words of the fingerprint that are indexed at a time, so that a shuffle stays small.
+AT_ONCE = 16
+#: In a posting list, the word after the indexed one differs in at most so many bits (10 of 64 at similarity 0.8; 25 or more with chance 3e-6).
+MOST_BITS = 24
+#: Postings of at most so many nodes are looked through at once; longer ones are passed on whole.
+CROWDED = 32
+#: Of a pair's positional bytes at least so many are equal (206 of 768 at similarity 0.8, with a standard deviation of 12).
+LEAST_EQUAL = 96
 
 _rng = np.random.default_rng(42)
 BYTES = _rng.integers(0, 1 << 64, 256, np.uint64)
 BYTES[65:91] = BYTES[97:123]  # A-Z count as a-z
-PLACES = _rng.integers(0, 1 << 64, max(WIDTH, ROWS) + 1, np.uint64) | np.uint64(1)
-FLIPS = _rng.integers(0, 1 << 32, MINIMA, np.uint32)
-FACTORS = _rng.integers(0, 1 << 32, MINIMA, np.uint32) | np.uint32(1)
+PLACES = _rng.integers(0, 1 << 64, WIDTH, np.uint64) | np.uint64(1)
+FACTORS = _rng.integers(0, 1 << 64, WORDS, np.uint64) | np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -83,116 +95,224 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mixed(out), out_offsets
 
 
-def band_keys(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the texts that have shingles: (texts, BANDS) keys, from the minima of BANDS x ROWS permutations, and the last byte of each minimum, eight in a number."""
-    starts = offsets[:-1][np.diff(offsets) > 0]
-    keys = np.zeros((len(starts), BANDS), np.uint64)
-    ends = np.zeros((len(starts), -(-MINIMA // 8) * 8), np.uint8)
-    if not len(starts):
-        return keys, ends.view("<i8")
-    short = (hashes >> np.uint64(32)).astype(np.uint32)
-    for k in range(MINIMA):
-        least = np.minimum.reduceat((short ^ FLIPS[k]) * FACTORS[k], starts)
-        ends[:, k] = least & np.uint32(255)
-        if k < BANDS * ROWS:
-            band, row = divmod(k, ROWS)
-            key = mixed((key if row else np.full(len(starts), band, np.uint64)) * PLACES[row] + least)
-            keys[:, band] = key
-    return keys, ends.view("<i8")
+def fingerprints(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(sets, WORDS): a bit is 1 if set in over half of the set's hashes; each word has the hashes scrambled anew. No set is empty.
+
+    Hashes stand in groups of 32 of one set. The bits of a group are counted in binary, 64 side by side: bit i of all
+    counts is one word, and the halves of a group are added by the rules of a binary adder.
+    """
+    n = np.diff(offsets)
+    groups = -(-n // 32)
+    firsts = np.concatenate(([0], np.cumsum(groups)))
+    place = np.arange(len(hashes)) + np.repeat(firsts[:-1] * 32 - offsets[:-1], n)
+    place = place % 32 * firsts[-1] + place // 32
+    x, there = np.zeros(32 * firsts[-1], np.uint64), np.zeros(32 * firsts[-1], np.uint64)
+    x[place], there[place] = hashes, ~np.uint64(0)
+    out = np.zeros((len(n), WORDS), np.uint64)
+    for k in range(WORDS if len(n) else 0):
+        x *= FACTORS[k]
+        x ^= x >> np.uint64(32)
+        planes = [x & there]
+        while len(planes[0]) > firsts[-1]:
+            half, sums, carry = len(planes[0]) // 2, [], None
+            for plane in planes:
+                a, b = plane[:half], plane[half:]
+                odd, both = a ^ b, a & b
+                if carry is None:
+                    sums.append(odd)
+                    carry = both
+                else:
+                    sums.append(odd ^ carry)
+                    odd &= carry
+                    both |= odd
+                    carry = both
+            planes = [*sums, carry]
+        counts = np.unpackbits(planes[-1].view(np.uint8), bitorder="little")
+        for plane in planes[-2::-1]:
+            counts += counts
+            counts += np.unpackbits(plane.view(np.uint8), bitorder="little")
+        total = np.add.reduceat(counts.reshape(-1, 64), firsts[:-1], axis=0, dtype=np.int32)
+        out[:, k] = np.packbits(total * 2 > n[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
+def shingle_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of texts, a few at a time: (first, last row, a digest of each set, the sorted distinct shingle hashes, len + 1 offsets)."""
+    data, offsets = text_bytes(column)
+    for first, last in pieces(offsets, 1 << 18):
+        hashes, bounds = shingles(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+        sets = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        nodes = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=8).digest() for s in sets), np.int64)
+        yield first, last, nodes, np.concatenate(sets), np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+
+
+def lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, node, hashes, bands, ends): the sorted distinct shingle hashes, a digest of them, the band keys, and the ends of the minima."""
+    """(id, node, n, prints): a digest of the set of shingles, its size, and its fingerprint (none: no words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            for first, last in pieces(offsets, 1 << 20):
-                hashes, bounds = shingles(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
-                sets = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                nodes = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=8).digest() for s in sets), np.int64)
-                ends = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-                full = np.diff(bounds) > 0
-                keys, minima = band_keys(hashes, bounds)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(first, last - first),
-                        pa.array(nodes),
-                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(full * BANDS))).astype(np.int32)), pa.array(keys.ravel().view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(full * minima.shape[1]))).astype(np.int32)), pa.array(minima.ravel())),
-                    ],
-                    ["id", "node", "hashes", "bands", "ends"],
-                )
+            for first, last, nodes, hashes, ends in shingle_sets(batch.column(1)):
+                n = np.diff(ends)
+                prints = fingerprints(hashes, np.concatenate(([0], np.cumsum(n[n > 0]))))
+                starts = np.concatenate(([0], np.cumsum((n > 0) * WORDS)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(nodes), pa.array(n), lists(prints.ravel(), starts)], ["id", "node", "n", "prints"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, node long, hashes array<long>, bands array<long>, ends array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, node long, n long, prints array<long>")
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, hashes): the sets of shingles of the rows with these ids, taken from their texts again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, nodes, hashes, ends in shingle_sets(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), lists(hashes, ends)], ["node", "hashes"])
+
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return texts.join(ids, texts.id.eqNullSafe(ids.first_id), "left_semi").select("text").mapInArrow(run, "node long, hashes array<long>")
+
+
+def postings(nodes: DataFrame, first: int) -> DataFrame:
+    """(key, node, after): the index of AT_ONCE words from `first`: the word's place, a triple of byte positions and the bytes there; and the word after it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, n = (batch.column(k).to_numpy() for k in range(2))
+            words = batch.column(2).flatten().to_numpy().reshape(-1, WORDS)
+            places = np.arange(first, min(first + AT_ONCE, WORDS))
+            after = np.ascontiguousarray(words[:, (places + 1) % WORDS])
+            octets = np.ascontiguousarray(words[:, places]).view(np.uint8).reshape(len(ids), len(places), 8).astype(np.int64)
+            for t, (a, b, c) in enumerate(TRIPLES):
+                rows = slice(None) if t < HALVES else np.flatnonzero(n <= TINY)
+                some = octets[rows]
+                keys = ((places * len(TRIPLES) + t) << 24) | (some[:, :, a] << 16) | (some[:, :, b] << 8) | some[:, :, c]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[rows], len(places))), pa.array(after[rows].ravel())], ["key", "node", "after"])
+
+    return nodes.where("n > 0").select("node", "n", "prints").mapInArrow(run, "key long, node long, after long")
+
+
+def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of postings in the order of their keys, those with a possible partner under their key: one whose word after differs in at most MOST_BITS bits. Crowded lists pass whole."""
+    names, held, hot = ["key", "node", "after"], None, None
+
+    def chosen(keys: np.ndarray, after: np.ndarray) -> np.ndarray:
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        sizes = np.diff(np.append(starts, len(keys)))
+        keep = np.repeat(sizes > CROWDED, sizes) | (keys == hot if hot is not None else False)
+        for d in range(1, min(CROWDED, int(sizes.max()))):
+            pairs = np.flatnonzero(keys[d:] == keys[:-d])
+            pairs = pairs[np.bitwise_count(after[pairs] ^ after[pairs + d]) <= MOST_BITS]
+            keep[pairs] = keep[pairs + d] = True
+        return keep
+
+    for batch in chain_end(batches):
+        columns = [np.concatenate(both) for both in zip(held, batch, strict=True)] if held and batch else batch or held
+        if not columns or not len(columns[0]):
+            continue
+        keys = columns[0]
+        last = int(np.searchsorted(keys, keys[-1])) if batch else len(keys)  # the last key's list may go on
+        if batch and (len(keys) - last > CROWDED or keys[-1] == hot):
+            last = len(keys)
+        if last:
+            keep = chosen(keys[:last], columns[2][:last].view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(c[:last][keep]) for c in columns], names)
+        hot = keys[-1] if last == len(keys) else None
+        held = [c[last:] for c in columns]
 
-def unequal_minima(a: str, b: str) -> Column:
-    """How many of the minima end in different bytes, by their numbers alone: each byte that differs leaves one bit."""
-    total = F.lit(0)
-    for k in range(-(-MINIMA // 8)):
-        bits = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+
+def chain_end(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray] | None]:
+    """The columns of each batch that has rows, and None at the end."""
+    for batch in batches:
+        if batch.num_rows:
+            yield [c.to_numpy() for c in batch.columns]
+    yield None
+
+
+def unequal_bits(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def equal_bytes(a: str, b: str) -> Column:
+    """How many positional bytes of two fingerprints are equal: each byte of a word that differs leaves one bit."""
+
+    def unequal(x: Column, y: Column) -> Column:
+        bits = x.bitwiseXOR(y)
         for step in (4, 2, 1):
             bits = bits.bitwiseOR(F.shiftrightunsigned(bits, step))
-        total = total + F.bit_count(bits.bitwiseAND(F.lit(0x0101010101010101)))
-    return total
+        return F.bit_count(bits.bitwiseAND(F.lit(0x0101010101010101)))
+
+    return F.aggregate(F.zip_with(a, b, unequal), F.lit(8 * WORDS), lambda total, x: total - x)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tenths: int = 8, pivot_rounds: int = 1) -> DataFrame:
     """One row per document: id_col, component_id (smallest id reachable by links of similarity at least tenths / 10).
 
     Similarity is the exact Jaccard similarity of the sets of 5-word shingles (A-Z lower-cased). Texts of equal sets are
-    one node, texts without words too. In each round every node of a band is held against one pivot: the node that
-    shares most bands with others, at first of all, then of those that the band's pivots so far have not joined. What
-    is left in more than one component is compared pair by pair, each pair in the first band it shares, if enough of
-    its minima agree. Rows repeat as given; an empty table gives an empty result; other columns are ignored.
+    one node, texts without words too. Nodes with SimHash fingerprints that share three positional bytes of a word stand
+    under one key. In each round every node of a key is held against one pivot: the node that has most partners, at first
+    of all, then of those that the key's pivots so far have not joined. What is left in more than one component is
+    compared pair by pair. A pair with enough equal positional bytes is verified on its texts, which are read again.
+    Rows repeat as given; an empty table gives an empty result; other columns are ignored.
     """
-    with small_batches(docs.sparkSession):
+    spark = docs.sparkSession
+    with small_batches(spark):
         marked = written(sketches(docs, id_col, text_col), "sketches")
-    nodes = marked.groupBy("node").agg(F.min("id").alias("first_id"), F.first("bands").alias("bands"), F.first("ends").alias("ends"), F.first(F.size("hashes")).alias("n"))
-    nodes = written(nodes, "nodes")
-    entries = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
-    lists = entries.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
-    shared = written(entries.join(lists, ["band", "key"]), "bands")
-    degrees = written(shared.groupBy("node").agg(F.sum("m").alias("degree")), "degrees")
-    shared = written(shared.join(degrees, "node"), "bands")
+    nodes = written(marked.groupBy("node").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("prints").alias("prints")), "nodes")
+    shared = None
+    for first in range(0, WORDS, AT_ONCE):
+        with small_batches(spark):
+            entries = postings(nodes, first).repartition("key").sortWithinPartitions("key").mapInArrow(partnered, "key long, node long, after long")
+            entries = written(entries, "postings")
+        shared = entries if shared is None else shared.unionByName(entries)
+    sizes = shared.groupBy("key").agg(F.count("*").alias("m"))
+    shared = written(shared.join(sizes, "key"), "shared")
+    degrees = written(shared.groupBy("node").agg(F.sum("m").alias("degree")).join(nodes.select("node", "n"), "node"), "degrees")
+    shared = written(shared.join(degrees, "node"), "shared")
 
     def linked(pairs: DataFrame, tag: str) -> DataFrame:
-        """Of (a, b), each a struct of node and size, the pairs of enough similarity."""
-        able = (10 * F.least("a.n", "b.n") >= tenths * F.greatest("a.n", "b.n")) & (F.col("a.node") != F.col("b.node"))
+        """Of (a, b), each a struct of node, size and the word after the key's, the pairs of enough similarity."""
+        able = (10 * F.least("a.n", "b.n") >= tenths * F.greatest("a.n", "b.n")) & (F.col("a.node") != F.col("b.node")) & (unequal_bits("a.after", "b.after") <= MOST_BITS)
         both = [f("a.node", "b.node").alias(c) for f, c in ((F.least, "a"), (F.greatest, "b"))]
         wanted = written(pairs.where(able).select(*both).distinct(), f"pairs-{tag}")
+        tallied = wanted
+        for c, prints in (("a", "x"), ("b", "y")):
+            tallied = tallied.join(nodes.select(F.col("node").alias(c), F.col("prints").alias(prints)), c)
+        wanted = written(tallied.where(equal_bytes("x", "y") >= LEAST_EQUAL).select("a", "b"), f"tallied-{tag}")
         asked = wanted.select(F.col("a").alias("node")).unionByName(wanted.select(F.col("b").alias("node"))).distinct()
-        sets = written(marked.select("node", "hashes").join(asked, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")), f"sets-{tag}")
+        ids = written(nodes.join(asked, "node", "left_semi").select("first_id"), f"asked-{tag}")
+        with small_batches(spark):
+            sets = written(sets_of(docs, ids, id_col, text_col).groupBy("node").agg(F.first("hashes").alias("hashes")), f"sets-{tag}")
         both = wanted.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
         counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("sizes"))
         return written(counted.where(10 * F.col("common") >= tenths * (F.col("sizes") - F.col("common"))).select("a", "b"), f"links-{tag}")
 
-    tip = F.struct("node", "n")
+    tip = F.struct("node", "n", "after")
     edges, labels, left = None, None, shared.withColumn("label", F.col("node"))
     for k in range(pivot_rounds):
-        pivots = left.groupBy("band", "key").agg(F.max(F.struct("degree", "node", "n", "label")).alias("p"))
-        pairs = left.join(pivots, ["band", "key"]).where("label <> p.label")
-        found = linked(pairs.select(tip.alias("a"), F.struct("p.node", "p.n").alias("b")), f"pivots-{k}")
+        pivots = left.groupBy("key").agg(F.max(F.struct("degree", "node", "n", "after", "label")).alias("p"))
+        pairs = left.join(pivots, "key").where("label <> p.label")
+        found = linked(pairs.select(tip.alias("a"), F.struct("p.node", "p.n", "p.after").alias("b")), f"pivots-{k}")
         edges = found if edges is None else edges.unionByName(found)
         labels = written(connected_components(edges), "labels")
         named = left.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        # what stands in the pivot's component needs no other pivot; the rest of the band may
-        again = named.join(pivots.select("band", "key", F.col("p.node").alias("pivot")), ["band", "key"]).join(labels.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_component")), "pivot", "left")
+        # what stands in the pivot's component needs no other pivot; the rest of the key's nodes may
+        again = named.join(pivots.select("key", F.col("p.node").alias("pivot")), "key").join(labels.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_component")), "pivot", "left")
         left = written(again.where("label <> coalesce(pivot_component, pivot)").drop("pivot", "pivot_component"), "left")
         if left.isEmpty():
             break
     if not left.isEmpty():
-        open_keys = left.select("band", "key").distinct()
-        inner = shared.join(open_keys, ["band", "key"]).join(labels, "node", "left").select("band", "key", "node", "n", F.coalesce("component", "node").alias("label"))
-        inner = written(inner.join(nodes.select("node", "bands", "ends"), "node"), "inner")
-        a, b = (inner.select("band", "key", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "label", "bands", "ends"))) for side in "ab")
-        first_shared = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == F.col("band") + 1
-        alike = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & (10 * F.least("n_a", "n_b") >= tenths * F.greatest("n_a", "n_b"))
-        alike &= (unequal_minima("ends_a", "ends_b") <= MINIMA - LEAST_EQUAL) & first_shared
-        rest = a.join(b, ["band", "key"]).where(alike).select(*(F.struct(F.col(f"node_{side}").alias("node"), F.col(f"n_{side}").alias("n")).alias(side) for side in "ab"))
+        open_keys = left.select("key").distinct()
+        inner = shared.join(open_keys, "key").join(labels, "node", "left").select("key", "node", "n", "after", F.coalesce("component", "node").alias("label"))
+        inner = written(inner, "inner")
+        a, b = (inner.select("key", tip.alias(side), F.col("label").alias(f"label_{side}")) for side in "ab")
+        rest = a.join(b, "key").where((F.col("a.node") < F.col("b.node")) & (F.col("label_a") != F.col("label_b"))).select("a", "b")
         labels = connected_components(edges.unionByName(linked(rest, "inner")))
     classes = written(nodes.join(labels, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component")), "classes")
     least = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))

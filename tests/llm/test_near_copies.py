@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -67,3 +69,50 @@ def test_components_are_those_of_all_similar_pairs(spark):
     got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()}
     assert got == least_reachable(rows)
     assert near_copies.near_copies(docs.limit(0)).count() == 0
+
+
+def test_fingerprints_are_majorities_of_the_bits_of_a_set():
+    rng = np.random.default_rng(3)
+    sizes = np.array([1, 2, 5, 31, 32, 33, 64, 700])
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    hashes = rng.integers(0, 1 << 63, offsets[-1], np.uint64)
+    got = near_copies.fingerprints(hashes, offsets)
+    scrambled = hashes.tolist()
+    for k in range(near_copies.WORDS):
+        scrambled = [x ^ (x >> 32) for x in ((x * int(near_copies.FACTORS[k])) % (1 << 64) for x in scrambled)]
+        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            assert int(got[i, k]) == sum(1 << bit for bit in range(64) if 2 * sum(x >> bit & 1 for x in scrambled[a:b]) > b - a)
+    assert near_copies.fingerprints(hashes[:0], offsets[:1]).shape == (0, near_copies.WORDS)
+
+
+def test_posting_lists_keep_every_possible_partner():
+    """Lists of all lengths, cut anywhere by batches; crowded ones pass whole."""
+    rng = np.random.default_rng(4)
+    keys = np.repeat(np.arange(300), rng.choice([1, 1, 2, 3, 20, 31, 32, 33, 34, 90], 300))
+    after = rng.integers(0, 1 << 63, len(keys), np.int64)
+    close = rng.random(len(keys)) < 0.3
+    after[close] = 0x0F0F ^ (1 << rng.integers(0, 62, close.sum()))
+    words = after.view(np.uint64)
+    want = set()
+    for at in range(len(keys)):
+        same = np.flatnonzero(keys == keys[at])
+        bits = np.bitwise_count(words[same] ^ words[at])
+        if len(same) > near_copies.CROWDED or (bits[same != at] <= near_copies.MOST_BITS).any():
+            want.add(at)
+    whole = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.arange(len(keys))), pa.array(after)], ["key", "node", "after"])
+    for width in (1, 7, 40, 1000, len(keys)):
+        cut = (whole.slice(at, width) for at in range(0, len(keys), width))
+        got = [x for batch in near_copies.partnered(iter([whole.slice(0, 0), *cut])) for x in batch.column(1).to_pylist()]
+        assert len(got) == len(set(got)) and set(got) == want, width
+    assert list(near_copies.partnered(iter([]))) == []
+
+
+def test_short_texts_and_the_tally_of_positional_bytes(spark, monkeypatch):
+    """Pairs of 8 and 9 words, of similarity 0.8 exactly; without enough equal positional bytes a pair is no link."""
+    rng = random.Random(9)
+    texts = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(9)) for _ in range(150)]
+    rows = [(2 * k + side, t if side else t.rsplit(" ", 1)[0]) for k, t in enumerate(texts) for side in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()} == {d: d // 2 * 2 for d, _ in rows}
+    monkeypatch.setattr(near_copies, "LEAST_EQUAL", 8 * near_copies.WORDS + 1)
+    assert {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()} == {d: d for d, _ in rows}
