@@ -29,6 +29,19 @@ PRE_TOKEN = regex.compile(r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 SCHEMA = "id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class KnownUnits(dict):
+    """Ids by unit, learned when a unit is first looked up; at the bound the memory starts anew."""
+
+    def __init__(self, most: int, learned):
+        self.most, self.learned = most, learned
+
+    def __missing__(self, unit: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        ids = self[unit] = self.learned(unit)
+        return ids
+
+
 class UnitEncoder:
     """Token ids of texts by a byte-level vocabulary file of `tokenizers`.
 
@@ -49,9 +62,9 @@ class UnitEncoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # literals of added tokens are cut out of a text before anything else
         self.whole = re.compile("|".join([UNSETTLED.pattern, *(re.escape(x) for x in sorted(added, key=len, reverse=True) if x)]))
-        self.known: dict[str, bytes] = {}
         self.most = most
         self.merge = self.merger(str(tokenizer_path))
+        self.known = KnownUnits(most, self.merged)
 
     @staticmethod
     def merger(path: str):
@@ -71,32 +84,30 @@ class UnitEncoder:
         ranks = {bytes(alphabet[c] for c in p): k for p, k in vocab.items() if k < 256 + len(merges)}
         return tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
-    def learn(self, units: set[str]) -> None:
-        known, merge = self.known, self.merge
-        if merge is None:
-            listed = list(units)
-            for at in range(0, len(listed), 4096):
-                part = listed[at : at + 4096]
-                for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[u] = array("I", e.ids).tobytes()
-            return
-        for u in units:
-            if u.isalpha() or u[0] == " " and u[1:].isalpha():
-                ids = merge(u.encode())
-            else:
-                ids = [i for piece in PRE_TOKEN.findall(u) for i in merge(piece.encode())]
-            known[u] = array("I", ids).tobytes()
+    def merged(self, unit: str) -> bytes:
+        if unit.isalpha() or unit[0] == " " and unit[1:].isalpha():
+            ids = self.merge(unit.encode())
+        else:
+            ids = [i for piece in PRE_TOKEN.findall(unit) for i in self.merge(piece.encode())]
+        return array("I", ids).tobytes()
+
+    def learn(self, units: list[str]) -> None:
+        """For the tokenizer itself: the units not known yet, many at a time."""
+        missing = list({u for u in units if u not in self.known})
+        if len(self.known) + len(missing) > self.most:
+            self.known.clear()
+            missing = list(set(units))
+        for at in range(0, len(missing), 4096):
+            part = missing[at : at + 4096]
+            for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[u] = array("I", e.ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if self.whole.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         units = UNIT.findall(text)
-        missing = set(units).difference(self.known)
-        if missing:
-            if len(self.known) + len(missing) > self.most:
-                self.known.clear()
-                missing = set(units)
-            self.learn(missing)
+        if self.merge is None:
+            self.learn(units)
         return np.frombuffer(b"".join(map(self.known.__getitem__, units)), np.uint32)
 
 

@@ -51,3 +51,13 @@ def test_a_bound_on_open_windows_cuts_items_and_keeps_the_level_array():
             at += n
     assert {d: sum(n for _, n in c) for d, c in covered.items()} == lengths
     assert sum(sum(n for _, n in w) < 100 for w in windows.values()) <= 1
+
+
+def test_units_known_stay_within_the_bound_inside_one_text():
+    """Each unit is looked up once and learned there, so a text of many units does not outgrow the memory; ids stay the same."""
+    encoder, batched = UnitEncoder(most=4), UnitEncoder(most=4)
+    batched.merge = None
+    for text in ["one two three one", "", "four\n five six, seven eight's nine 1234 one two", "one two"]:
+        want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text).tolist() == want and batched.encode(text).tolist() == want
+        assert len(encoder.known) <= 4
