@@ -7,6 +7,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -24,6 +25,7 @@ UNSETTLED = re.compile(
     r"[^\t\n\r\x20-\x7e\xa1-\u021f\u0391-\u03a1\u03a3-\u03ce\u0400-\u0482\u048a-\u04ff\u05d0-\u05ea\u0621-\u063a\u0641-\u064a"
     r"\u0e01-\u0e2e\u2010-\u2027\u2030-\u205e\u20a0-\u20b1\u3001-\u3003\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e]"
 )
+SETTLED_ASCII = bytes(c for c in range(128) if not UNSETTLED.search(chr(c)))
 #: Fixed value: the pieces within which byte-level vocabularies merge.
 PRE_TOKEN = regex.compile(r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 SCHEMA = "id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -59,9 +61,9 @@ class UnitEncoder:
 
             tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
         self.tokenizer = Tokenizer.from_file(str(tokenizer_path))
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         # literals of added tokens are cut out of a text before anything else
-        self.whole = re.compile("|".join([UNSETTLED.pattern, *(re.escape(x) for x in sorted(added, key=len, reverse=True) if x)]))
+        self.whole = re.compile("|".join([UNSETTLED.pattern, *(re.escape(x) for x in sorted(added, key=len, reverse=True))]))
         self.most = most
         self.merge = self.merger(str(tokenizer_path))
         self.known = KnownUnits(most, self.merged)
@@ -102,8 +104,14 @@ class UnitEncoder:
             for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.known[u] = array("I", e.ids).tobytes()
 
+    def plain(self, text: str) -> bool:
+        """Whether no character is unsettled and no added token is spelled out."""
+        if text.isascii():
+            return not text.encode().translate(None, SETTLED_ASCII) and not any(x in text for x in self.added)
+        return not self.whole.search(text)
+
     def encode(self, text: str) -> np.ndarray:
-        if self.whole.search(text):
+        if not self.plain(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         units = UNIT.findall(text)
         if self.merge is None:
@@ -111,6 +119,12 @@ class UnitEncoder:
         return np.frombuffer(b"".join(map(self.known.__getitem__, units)), np.uint32)
 
 
+@lru_cache(maxsize=1)
+def encoder_of(tokenizer_path: str | None) -> UnitEncoder:
+    """One encoder a worker process: its later tasks find the vocabulary read and the common units known."""
+    return UnitEncoder(tokenizer_path)
+
+
 class SumOfSquaresPacker:
     """Places items of 1..size-1 tokens so that the sum over fill levels of (number of open windows there)^2 stays least.
 
@@ -210,7 +224,7 @@ def pack_documents(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         packer = SumOfSquaresPacker(size, TaskContext.get().partitionId() << 36)
         id_type = None
 
