@@ -29,6 +29,9 @@ AT_ONCE = 16
 MOST_BITS = 24
 #: Postings of at most so many nodes are looked through at once; longer ones are passed on whole.
 CROWDED = 32
+#: What pivots leave is compared by so many words first: of their 1024 bits at most 216 differ (155 at similarity 0.8, with a
+#: standard deviation of 12), of sets of at most TINY shingles at most 256 (192, 12).
+GLANCED, MOST_GLANCED, MOST_TINY = 16, 216, 256
 #: Of a pair's positional bytes at least so many are equal (206 of 768 at similarity 0.8, with a standard deviation of 12).
 LEAST_EQUAL = 96
 
@@ -239,6 +242,14 @@ def unequal_bits(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def glanced(a: str, b: str) -> Column:
+    """How many bits of the first GLANCED words differ."""
+    total = F.lit(0)
+    for k in range(GLANCED):
+        total = total + F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k))))
+    return total
+
+
 def equal_bytes(a: str, b: str) -> Column:
     """How many positional bytes of two fingerprints are equal: each byte of a word that differs leaves one bit."""
 
@@ -310,9 +321,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not left.isEmpty():
         open_keys = left.select("key").distinct()
         inner = shared.join(open_keys, "key").join(labels, "node", "left").select("key", "node", "n", "after", F.coalesce("component", "node").alias("label"))
-        inner = written(inner, "inner")
-        a, b = (inner.select("key", tip.alias(side), F.col("label").alias(f"label_{side}")) for side in "ab")
-        rest = a.join(b, "key").where((F.col("a.node") < F.col("b.node")) & (F.col("label_a") != F.col("label_b"))).select("a", "b")
+        inner = written(inner.join(nodes.select("node", F.slice("prints", 1, GLANCED).alias("some")), "node"), "inner")
+        a, b = (inner.select("key", tip.alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("label", "some"))) for side in "ab")
+        most = F.when(F.least("a.n", "b.n") <= TINY, MOST_TINY).otherwise(MOST_GLANCED)
+        near = (F.col("a.node") < F.col("b.node")) & (F.col("label_a") != F.col("label_b")) & (10 * F.least("a.n", "b.n") >= tenths * F.greatest("a.n", "b.n"))
+        near &= (unequal_bits("a.after", "b.after") <= MOST_BITS) & (glanced("some_a", "some_b") <= most)
+        rest = a.join(b, "key").where(near).select("a", "b")
         labels = connected_components(edges.unionByName(linked(rest, "inner")))
     classes = written(nodes.join(labels, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component")), "classes")
     least = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
