@@ -8,7 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.components import connected_components
@@ -29,9 +29,8 @@ AT_ONCE = 16
 MOST_BITS = 24
 #: Postings of at most so many nodes are looked through at once; longer ones are passed on whole.
 CROWDED = 32
-#: What pivots leave is compared by so many words first: of their 1024 bits at most 216 differ (155 at similarity 0.8, with a
-#: standard deviation of 12), of sets of at most TINY shingles at most 256 (192, 12).
-GLANCED, MOST_GLANCED, MOST_TINY = 16, 216, 256
+#: Rounds in which nodes and keys settle on references.
+VOTES = 3
 #: Of a pair's positional bytes at least so many are equal (206 of 768 at similarity 0.8, with a standard deviation of 12).
 LEAST_EQUAL = 96
 
@@ -238,18 +237,6 @@ def chain_end(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray] |
     yield None
 
 
-def unequal_bits(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-
-
-def glanced(a: str, b: str) -> Column:
-    """How many bits of the first GLANCED words differ."""
-    total = F.lit(0)
-    for k in range(GLANCED):
-        total = total + F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k))))
-    return total
-
-
 def equal_bytes(a: str, b: str) -> Column:
     """How many positional bytes of two fingerprints are equal: each byte of a word that differs leaves one bit."""
 
@@ -262,14 +249,70 @@ def equal_bytes(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, unequal), F.lit(8 * WORDS), lambda total, x: total - x)
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tenths: int = 8, pivot_rounds: int = 1) -> DataFrame:
+def most_common(votes: DataFrame, by: str, weight: Column) -> DataFrame:
+    """(by, ref): the ref of each `by` that has most weight; of equal ones, that of the highest degree."""
+    counted = votes.groupBy(by, "ref").agg(F.sum(weight).alias("k"))
+    return counted.groupBy(by).agg(F.max(F.struct("k", "ref")).alias("best")).select(by, "best.ref")
+
+
+def references(shared: DataFrame) -> DataFrame:
+    """(ref, node): groups of nodes, named by one of them; all nodes of a key are in one group together, and in others too.
+
+    Keys begin with their node of most partners; then nodes take the reference of most of their partners and keys that of
+    most of their nodes, so that the keys of a loose group come to agree.
+    """
+    refs = shared.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("ref"))
+    for _ in range(VOTES):
+        votes = most_common(shared.select("key", "node", "m").join(refs, "key"), "node", F.col("m"))
+        refs = written(most_common(shared.select("key", "node").join(votes, "node"), "key", F.lit(1)), "refs")
+    found = shared.select("key", "node").join(refs, "key").select(F.col("ref.node").alias("ref"), "node").distinct()
+    return found.unionByName(found.select("ref", F.col("ref").alias("node"))).distinct()
+
+
+def differences(grouped: DataFrame, tenths: int) -> DataFrame:
+    """(ref, node, n, w, d) of (ref, node, size, hashes), size being that of the group: n the set's size, d the shingles in
+    which it differs from its group's center, the set of what is in more than half of the group's sets."""
+    counted = grouped.select("ref", "size", F.explode("hashes").alias("e")).groupBy("ref", "size", "e").agg(F.count("*").alias("k"))
+    centers = counted.where("2 * k > size").groupBy("ref").agg(F.collect_list("e").alias("center"))
+    center = F.coalesce("center", F.array().cast("array<long>"))
+    d = F.concat(F.array_except("hashes", center), F.array_except(center, "hashes"))
+    found = grouped.join(centers, "ref", "left").select("ref", "node", F.size("hashes").alias("n"), d.alias("d"))
+    return found.withColumn("w", (10 + tenths) * F.size("d") - (10 - tenths) * F.col("n"))
+
+
+def rare_pairs(deltas: DataFrame, tenths: int) -> DataFrame:
+    """(a, b), repeats allowed: of (ref, node, n, w, d, label, far, hub_w), pairs of a group that may be similar, not of one label.
+
+    Two sets are similar if they differ in at most q (n + n') shingles, q = (10 - tenths) / (10 + tenths). They differ where
+    their d differ, so their d share at least s = (w + w') / (2 (10 + tenths)), and at least |d| - n (10 - tenths) / tenths,
+    as n' is at most 10 n / tenths. The hub is the node of least w; all others were held against it. One that is not
+    similar to it is far and has w over -hub_w. Of a pair at least one is far, so s is over 0. With the elements of a group in
+    one order, rare ones first, the first that two d share has s - 1 more behind it in each. `last` counts from the end of
+    that order; what no other d has stands before all that and is left out.
+    """
+    sides, d, n, w, hub = 2 * (10 + tenths), F.size("d"), F.col("n"), F.col("w"), F.col("hub_w")
+    least = F.greatest(F.lit(1), d - F.floor((10 - tenths) * n / tenths), F.ceil((w + hub) / sides))
+    short = F.greatest(least, F.ceil((w + F.greatest(hub, 1 - hub)) / sides))
+    limits = (F.when(F.col("far"), least).otherwise(short).cast("int").alias("least"), short.cast("int").alias("short"))
+    each = deltas.select("ref", "node", "label", "w", "far", *limits, F.explode("d").alias("e"))
+    counted = each.withColumn("df", F.count("*").over(Window.partitionBy("ref", "e"))).where("df > 1")
+    ranked = counted.withColumn("last", F.row_number().over(Window.partitionBy("ref", "node").orderBy(F.desc("df"), "e")))
+    rare = written(ranked.where("last >= least").select("ref", "e", "node", "label", "w", "far", "last", F.expr("last >= short").alias("brief")), "differences")
+    a, b = (rare.where(of).select("ref", "e", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "label", "w", "far", "last", "brief"))) for side, of in (("a", "far"), ("b", "brief")))
+    once = "label_a <> label_b AND (node_a < node_b OR NOT far_b OR NOT brief_a)"
+    both = a.join(b, ["ref", "e"]).where(f"{once} AND {sides} * least(last_a, last_b) >= w_a + w_b")
+    return both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tenths: int = 8) -> DataFrame:
     """One row per document: id_col, component_id (smallest id reachable by links of similarity at least tenths / 10).
 
     Similarity is the exact Jaccard similarity of the sets of 5-word shingles (A-Z lower-cased). Texts of equal sets are
     one node, texts without words too. Nodes with SimHash fingerprints that share three positional bytes of a word stand
-    under one key. In each round every node of a key is held against one pivot: the node that has most partners, at first
-    of all, then of those that the key's pivots so far have not joined. What is left in more than one component is
-    compared pair by pair. A pair with enough equal positional bytes is verified on its texts, which are read again.
+    under one key, and the nodes of a key in one group. All nodes of a group are held against its reference. Where this
+    leaves several components, all are held against the node nearest to the group's majority of shingles; then two are
+    compared only if they share rare differences from that majority, as many as every similar pair does.
+    A pair with enough equal positional bytes is verified on its texts, which are read again.
     Rows repeat as given; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -280,54 +323,52 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for first in range(0, WORDS, AT_ONCE):
         with small_batches(spark):
             entries = postings(nodes, first).repartition("key").sortWithinPartitions("key").mapInArrow(partnered, "key long, node long, after long")
-            entries = written(entries, "postings")
+            entries = written(entries.select("key", "node"), "postings")
         shared = entries if shared is None else shared.unionByName(entries)
-    sizes = shared.groupBy("key").agg(F.count("*").alias("m"))
-    shared = written(shared.join(sizes, "key"), "shared")
-    degrees = written(shared.groupBy("node").agg(F.sum("m").alias("degree")).join(nodes.select("node", "n"), "node"), "degrees")
+    shared = shared.join(shared.groupBy("key").agg(F.count("*").alias("m")), "key")
+    degrees = written(shared.groupBy("node").agg(F.sum("m").alias("degree")), "degrees")
     shared = written(shared.join(degrees, "node"), "shared")
 
+    def sets_for(wanted: DataFrame, tag: str) -> DataFrame:
+        """(node, hashes) of these nodes, which may repeat."""
+        ids = written(nodes.join(wanted.select("node").distinct(), "node", "left_semi").select("first_id"), f"asked-{tag}")
+        with small_batches(spark):
+            return written(sets_of(docs, ids, id_col, text_col).groupBy("node").agg(F.first("hashes").alias("hashes")), f"sets-{tag}")
+
     def linked(pairs: DataFrame, tag: str) -> DataFrame:
-        """Of (a, b), each a struct of node, size and the word after the key's, the pairs of enough similarity."""
-        able = (10 * F.least("a.n", "b.n") >= tenths * F.greatest("a.n", "b.n")) & (F.col("a.node") != F.col("b.node")) & (unequal_bits("a.after", "b.after") <= MOST_BITS)
-        both = [f("a.node", "b.node").alias(c) for f, c in ((F.least, "a"), (F.greatest, "b"))]
-        wanted = written(pairs.where(able).select(*both).distinct(), f"pairs-{tag}")
+        """Of (a, b), the pairs of enough similarity."""
+        wanted = written(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"pairs-{tag}")
         tallied = wanted
-        for c, prints in (("a", "x"), ("b", "y")):
-            tallied = tallied.join(nodes.select(F.col("node").alias(c), F.col("prints").alias(prints)), c)
-        wanted = written(tallied.where(equal_bytes("x", "y") >= LEAST_EQUAL).select("a", "b"), f"tallied-{tag}")
-        asked = wanted.select(F.col("a").alias("node")).unionByName(wanted.select(F.col("b").alias("node"))).distinct()
-        ids = written(nodes.join(asked, "node", "left_semi").select("first_id"), f"asked-{tag}")
-        with small_batches(spark):
-            sets = written(sets_of(docs, ids, id_col, text_col).groupBy("node").agg(F.first("hashes").alias("hashes")), f"sets-{tag}")
+        for c, size, prints in (("a", "p", "x"), ("b", "q", "y")):
+            tallied = tallied.join(nodes.select(F.col("node").alias(c), F.col("n").alias(size), F.col("prints").alias(prints)), c)
+        able = 10 * F.least("p", "q") >= tenths * F.greatest("p", "q")
+        wanted = written(tallied.where(able).where(equal_bytes("x", "y") >= LEAST_EQUAL).select("a", "b"), f"tallied-{tag}")
+        sets = sets_for(wanted.select(F.explode(F.array("a", "b")).alias("node")), tag)
         both = wanted.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
         counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("sizes"))
         return written(counted.where(10 * F.col("common") >= tenths * (F.col("sizes") - F.col("common"))).select("a", "b"), f"links-{tag}")
 
-    tip = F.struct("node", "n", "after")
-    edges, labels, left = None, None, shared.withColumn("label", F.col("node"))
-    for k in range(pivot_rounds):
-        pivots = left.groupBy("key").agg(F.max(F.struct("degree", "node", "n", "after", "label")).alias("p"))
-        pairs = left.join(pivots, "key").where("label <> p.label")
-        found = linked(pairs.select(tip.alias("a"), F.struct("p.node", "p.n", "p.after").alias("b")), f"pivots-{k}")
-        edges = found if edges is None else edges.unionByName(found)
-        labels = written(connected_components(edges), "labels")
-        named = left.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        # what stands in the pivot's component needs no other pivot; the rest of the key's nodes may
-        again = named.join(pivots.select("key", F.col("p.node").alias("pivot")), "key").join(labels.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_component")), "pivot", "left")
-        left = written(again.where("label <> coalesce(pivot_component, pivot)").drop("pivot", "pivot_component"), "left")
-        if left.isEmpty():
-            break
+    def labelled(rows: DataFrame, labels: DataFrame, by: str = "node", label: str = "label") -> DataFrame:
+        named = labels.select(F.col("node").alias(by), F.col("component").alias(label))
+        return rows.join(named, by, "left").withColumn(label, F.coalesce(label, by))
+
+    members = written(references(shared), "members")
+    edges = linked(members.select(F.col("ref").alias("a"), F.col("node").alias("b")), "refs")
+    labels = written(connected_components(edges), "labels")
+    others = F.when(F.col("ref") != F.col("node"), F.col("label"))
+    several = labelled(members, labels).groupBy("ref").agg(F.count("*").alias("size"), F.min(others).alias("low"), F.max(others).alias("high")).where("low < high").select("ref", "size")
+    left = written(members.join(several, "ref"), "left")
     if not left.isEmpty():
-        open_keys = left.select("key").distinct()
-        inner = shared.join(open_keys, "key").join(labels, "node", "left").select("key", "node", "n", "after", F.coalesce("component", "node").alias("label"))
-        inner = written(inner.join(nodes.select("node", F.slice("prints", 1, GLANCED).alias("some")), "node"), "inner")
-        a, b = (inner.select("key", tip.alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("label", "some"))) for side in "ab")
-        most = F.when(F.least("a.n", "b.n") <= TINY, MOST_TINY).otherwise(MOST_GLANCED)
-        near = (F.col("a.node") < F.col("b.node")) & (F.col("label_a") != F.col("label_b")) & (10 * F.least("a.n", "b.n") >= tenths * F.greatest("a.n", "b.n"))
-        near &= (unequal_bits("a.after", "b.after") <= MOST_BITS) & (glanced("some_a", "some_b") <= most)
-        rest = a.join(b, "key").where(near).select("a", "b")
-        labels = connected_components(edges.unionByName(linked(rest, "inner")))
+        deltas = written(differences(left.join(sets_for(left, "left"), "node"), tenths), "deltas")
+        hubs = written(deltas.groupBy("ref").agg(F.min(F.struct("w", "node")).alias("hub")).select("ref", F.col("hub.node").alias("hub"), F.col("hub.w").alias("hub_w")), "hubs")
+        edges = edges.unionByName(linked(left.join(hubs, "ref").select(F.col("hub").alias("a"), F.col("node").alias("b")), "hubs"))
+        labels = written(connected_components(edges), "labels")
+        hubs = labelled(hubs, labels, "hub", "hub_label")
+        placed = labelled(left.select("ref", "node"), labels).join(hubs, "ref").withColumn("far", F.expr("label <> hub_label"))
+        placed = written(placed.select("ref", "node", "label", "far", "hub_w"), "placed")
+        placed = placed.join(placed.where("far").select("ref").distinct(), "ref", "left_semi")
+        rest = rare_pairs(deltas.join(placed, ["ref", "node"]), tenths)
+        labels = connected_components(edges.unionByName(linked(rest, "left")))
     classes = written(nodes.join(labels, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component")), "classes")
     least = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = classes.join(least, "component").select("node", "component_id")

@@ -116,3 +116,47 @@ def test_short_texts_and_the_tally_of_positional_bytes(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()} == {d: d // 2 * 2 for d, _ in rows}
     monkeypatch.setattr(near_copies, "LEAST_EQUAL", 8 * near_copies.WORDS + 1)
     assert {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()} == {d: d for d, _ in rows}
+
+
+def test_a_loose_group_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Texts near a base that is not there and not near each other; some have copies, near them or chained, some lie near the reference."""
+    rng = random.Random(10)
+    changed = lambda words, n, tag: [f"{tag}_{k}" if k in at else w for at in [set(rng.sample(range(len(words)), n))] for k, w in enumerate(words)]
+    base = [f"b{k}" for k in range(200)]
+    texts = [changed(base, 5, f"s{k}") for k in range(240)]
+    texts += [changed(texts[k], 2, f"t{k}") for k in range(40)]
+    texts += [changed(texts[k], 3, f"u{k}") for k in range(240, 260)]
+    texts += [changed(base, rng.randrange(1, 12), f"v{k}")[: rng.randrange(150, 200)] for k in range(60)]
+    rng.shuffle(texts)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    compared, write = [], near_copies.written
+
+    def written(df, tag):
+        out = write(df, tag)
+        if tag.startswith("pairs-"):
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "written", written)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()} == least_reachable(rows)
+    assert len(compared) == 3 and sum(compared) < 10 * len(texts), compared
+
+
+def test_every_similar_pair_of_a_group_shares_rare_differences(spark):
+    """Sets of many sizes around a center that is none of them: of similar pairs that the hub does not join, none is missed, and few others are found."""
+    rng = random.Random(11)
+    center = set(range(120))
+    group = [set(rng.sample(sorted(center), rng.randrange(60, 121))) | set(rng.sample(range(120, 160), rng.randrange(0, 20))) for _ in range(150)]
+    group += [x ^ set(rng.sample(range(160), rng.randrange(1, 14))) for x in group[:100]]
+    schema = "ref long, node long, n int, w int, d array<long>, label long, far boolean, hub_w int"
+    for tenths in (6, 8, 9):
+        w = [(10 + tenths) * len(x ^ center) - (10 - tenths) * len(x) for x in group]
+        hub = w.index(min(w))
+        similar = [[10 * len(x & y) >= tenths * len(x | y) for y in group] for x in group]
+        label = [hub if near else k for k, near in enumerate(similar[hub])]
+        rows = [(0, k, len(x), w[k], sorted(x ^ center), label[k], label[k] != hub, w[hub]) for k, x in enumerate(group)]
+        got = [tuple(sorted(r)) for r in near_copies.rare_pairs(spark.createDataFrame(rows, schema), tenths).collect()]
+        want = {(a, b) for a in range(len(group)) for b in range(a + 1, len(group)) if similar[a][b] and label[a] != label[b]}
+        assert want and want <= set(got), (tenths, len(want), len(want - set(got)))
+        assert all(label[a] != label[b] for a, b in got)
