@@ -309,9 +309,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Similarity is the exact Jaccard similarity of the sets of 5-word shingles (A-Z lower-cased). Texts of equal sets are
     one node, texts without words too. Nodes with SimHash fingerprints that share three positional bytes of a word stand
-    under one key, and the nodes of a key in one group. All nodes of a group are held against its reference. Where this
-    leaves several components, all are held against the node nearest to the group's majority of shingles; then two are
-    compared only if they share rare differences from that majority, as many as every similar pair does.
+    under one key. Two alone are compared; more are in one group, and held against its reference. Where this leaves some
+    out, all are held against the node nearest to the group's majority of shingles; then two are compared only if they share rare differences from that majority, as many as every similar pair does.
     A pair with enough equal positional bytes is verified on its texts, which are read again.
     Rows repeat as given; an empty table gives an empty result; other columns are ignored.
     """
@@ -348,27 +347,32 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("sizes"))
         return written(counted.where(10 * F.col("common") >= tenths * (F.col("sizes") - F.col("common"))).select("a", "b"), f"links-{tag}")
 
-    def labelled(rows: DataFrame, labels: DataFrame, by: str = "node", label: str = "label") -> DataFrame:
-        named = labels.select(F.col("node").alias(by), F.col("component").alias(label))
-        return rows.join(named, by, "left").withColumn(label, F.coalesce(label, by))
-
-    members = written(references(shared), "members")
-    edges = linked(members.select(F.col("ref").alias("a"), F.col("node").alias("b")), "refs")
-    labels = written(connected_components(edges), "labels")
-    others = F.when(F.col("ref") != F.col("node"), F.col("label"))
-    several = labelled(members, labels).groupBy("ref").agg(F.count("*").alias("size"), F.min(others).alias("low"), F.max(others).alias("high")).where("low < high").select("ref", "size")
+    def held(rows: DataFrame, links: DataFrame, against: str) -> DataFrame:
+        """The rows, with near_<against>: whether the node is linked with it, or is it."""
+        sides = [f(against, "node").alias(c) for f, c in ((F.least, "a"), (F.greatest, "b"))]
+        found = rows.select("*", *sides).join(links.withColumn("link", F.lit(True)), ["a", "b"], "left")
+        return found.withColumn(f"near_{against}", F.col("link").isNotNull() | (F.col("node") == F.col(against))).drop("a", "b", "link")
+
+    members = written(references(shared.where("m > 2")), "members")
+    pairs = shared.where("m = 2").groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).select("a", "b")
+    edges = linked(pairs.unionByName(members.select(F.col("ref").alias("a"), F.col("node").alias("b"))), "refs")
+    members = held(members, edges, "ref")
+    several = members.groupBy("ref").agg(F.count("*").alias("size"), F.min("near_ref").alias("closed")).where("size > 2 AND NOT closed").select("ref", "size")
     left = written(members.join(several, "ref"), "left")
     if not left.isEmpty():
         deltas = written(differences(left.join(sets_for(left, "left"), "node"), tenths), "deltas")
-        hubs = written(deltas.groupBy("ref").agg(F.min(F.struct("w", "node")).alias("hub")).select("ref", F.col("hub.node").alias("hub"), F.col("hub.w").alias("hub_w")), "hubs")
-        edges = edges.unionByName(linked(left.join(hubs, "ref").select(F.col("hub").alias("a"), F.col("node").alias("b")), "hubs"))
-        labels = written(connected_components(edges), "labels")
-        hubs = labelled(hubs, labels, "hub", "hub_label")
-        placed = labelled(left.select("ref", "node"), labels).join(hubs, "ref").withColumn("far", F.expr("label <> hub_label"))
-        placed = written(placed.select("ref", "node", "label", "far", "hub_w"), "placed")
+        hubs = deltas.groupBy("ref").agg(F.min(F.struct("w", "node")).alias("hub")).select("ref", F.col("hub.node").alias("hub"), F.col("hub.w").alias("hub_w"))
+        placed = written(left.join(hubs, "ref"), "placed")
+        found = linked(placed.select(F.col("hub").alias("a"), F.col("node").alias("b")), "hubs")
+        placed = held(placed, found, "hub")
+        joined = placed.where("near_hub AND near_ref").select("ref").distinct().withColumn("joined", F.lit(True))
+        placed = placed.join(joined, "ref", "left")
+        label = F.expr("CASE WHEN near_hub OR near_ref AND joined IS NOT NULL THEN hub WHEN near_ref THEN ref ELSE node END")
+        placed = written(placed.select("ref", "node", label.alias("label"), (label != F.col("hub")).alias("far"), "hub_w"), "placed")
         placed = placed.join(placed.where("far").select("ref").distinct(), "ref", "left_semi")
         rest = rare_pairs(deltas.join(placed, ["ref", "node"]), tenths)
-        labels = connected_components(edges.unionByName(linked(rest, "left")))
+        edges = edges.unionByName(found).unionByName(linked(rest, "left"))
+    labels = connected_components(edges)
     classes = written(nodes.join(labels, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component")), "classes")
     least = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = classes.join(least, "component").select("node", "component_id")
