@@ -309,7 +309,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Similarity is the exact Jaccard similarity of the sets of 5-word shingles (A-Z lower-cased). Texts of equal sets are
     one node, texts without words too. Nodes with SimHash fingerprints that share three positional bytes of a word stand
-    under one key. Two alone are compared; more are in one group, and held against its reference. Where this leaves some
+    under one key. Two alone that share no group are compared; more are in one group, and held against its reference. Where this leaves some
     out, all are held against the node nearest to the group's majority of shingles; then two are compared only if they share rare differences from that majority, as many as every similar pair does.
     A pair with enough equal positional bytes is verified on its texts, which are read again.
     Rows repeat as given; an empty table gives an empty result; other columns are ignored.
@@ -354,7 +354,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return found.withColumn(f"near_{against}", F.col("link").isNotNull() | (F.col("node") == F.col(against))).drop("a", "b", "link")
 
     members = written(references(shared.where("m > 2")), "members")
-    pairs = shared.where("m = 2").groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).select("a", "b")
+    pairs = shared.where("m = 2").groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).select("a", "b").distinct()
+    grouped = pairs.join(members.withColumnRenamed("node", "a"), "a").join(members.withColumnRenamed("node", "b"), ["ref", "b"]).select("a", "b").distinct()
+    pairs = pairs.join(grouped, ["a", "b"], "left_anti")
     edges = linked(pairs.unionByName(members.select(F.col("ref").alias("a"), F.col("node").alias("b"))), "refs")
     members = held(members, edges, "ref")
     several = members.groupBy("ref").agg(F.count("*").alias("size"), F.min("near_ref").alias("closed")).where("size > 2 AND NOT closed").select("ref", "size")
