@@ -19,7 +19,7 @@ def test_repeated_keys_count_each_time(spark):
     assert got == {f"{k}/package-lock.json": n for k, n in enumerate(texts.values())}
 
 
-@pytest.mark.parametrize("name", ["lockfiles"])
+@pytest.mark.parametrize("name", ["lockfiles", "dependency_report"])
 def test_an_order_with_a_part_twice(spark, tmp_path, name):
     orders = [(k, k // 6, "F", 1.0, datetime.datetime(2024, 1, 1), "5-LOW") for k in range(12)]
     items = [(k, 5, 1, 1, float(q), 1.0, 0.0, 0.0, "R", "F", datetime.datetime(2024, 1, 1)) for k in range(12) for q in (3, 7, 7)]
