@@ -2,7 +2,10 @@
 
 import json
 
+import duckdb
+
 from siltstone.operators import evidence as evi
+from siltstone.plans.code_queries import QUERIES
 
 HEAD = "abc123"
 
@@ -51,3 +54,12 @@ def test_each_artifact_is_parsed_once(spark):
     assert plan.count("parseJson") == 1  # a filter inferred for the explode wrote the parse out 3 000 times
     none, one = run(scopes=[]), run(schema="x.proof_run_summary.v1", entries=[None])
     assert states(spark, none) == [] and states(spark, one) == [("proof_run_summary", None, False, "not_executed", "missing", "exact")]
+
+
+def test_summary_parses_each_artifact_once(spark, tmp_path):
+    spark.createDataFrame([(k, k, "F") for k in range(84)], "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    summary = QUERIES["evidence_summary"][0](spark, str(tmp_path))
+    assert summary._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert sorted(map(tuple, summary.select(*[d[0] for d in con.execute(QUERIES["evidence_summary"][1]).description]).collect()), key=repr) == sorted(con.fetchall(), key=repr)
