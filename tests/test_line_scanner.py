@@ -116,3 +116,27 @@ def test_file_rows_come_from_the_scanner(spark):
     files = spark.createDataFrame([("crates/a/x.rs", "/* a\n b */\nfn x() {}\n"), ("crates/a/n.md", "t\n```js\nx()\n```\n"), ("unknown.zzz", "x")], "path string, text string")
     rows = {(r["path"], r["lang"]): (r["module"], r["kind"], r["code"], r["comments"], r["bytes"]) for r in source_text.file_rows(files, ["crates"], children="separate").collect()}
     assert rows == {("crates/a/x.rs", "Rust"): ("crates/a", "parent", 1, 2, 120), ("crates/a/n.md", "Markdown"): ("crates/a", "parent", 1, 3, 160), ("crates/a/n.md", "JavaScript"): ("crates/a", "child", 1, 0, 0)}
+
+
+def test_counts_by_pieces_are_those_of_whole_files(spark):
+    pick = random.Random(5)
+    parts = ["code 12;", "", "  ", "// c 3", "# h", "/* open", "*/", "/* a */ x", "/* /* n */", "still */ */", '"s', 's"', '"a" + "b" // t', "'", "'c'", "it's", '"""', "'''doc'''", '"""d"""', "r#\"raw", "\"#", "r\"x\"", "`t", "x`", "\\", '"\\', "'\\", "-- sql", "=begin", "=end", "<!-- h", "-->", "x \0 y", "é // ü", "\t/* t", "br##\"", "\"##", "a\r"]
+    for lang in [*scan.GRAMMARS, "Unknown"]:
+        for doc_strings in (False, True):
+            pieces = scan.Pieces(lang, doc_strings)
+            for _ in range(150):
+                text = "\n".join(pick.choice(parts) for _ in range(pick.choice([0, 1, 3, 8, 40]))) + pick.choice(["", "\n", "\n\n"])
+                if lang != "Markdown":
+                    assert scan.file_counts(text, pieces) == scan.counts(scan.line_kinds(text, lang, doc_strings)), (lang, text)
+    long = "x\n/* a\n" + "b\n" * 40 + "*/ y\n"
+    rows = spark.createDataFrame([("a", "m", "Go", long), ("b", "m", "Markdown", "t\n```go\n" + long + "```\n"), ("c", "m", "Go", "")], "path string, module string, lang string, text string")
+    got = {(r["path"], r["lang"]): (r["code"], r["comments"], r["blanks"]) for r in scan.scan_rows(rows).collect()}
+    assert got == {("a", "Go"): (2, 41, 0), ("b", "Markdown"): (2, 44, 0), ("b", "Go"): (2, 41, 0), ("c", "Go"): (0, 0, 0)}
+
+
+def test_a_line_is_read_once_whatever_its_digits(monkeypatch):
+    calls, read = [], scan.line_kinds
+    monkeypatch.setattr(scan, "line_kinds", lambda *a: calls.append(a) or read(*a))
+    pieces = scan.Pieces("Go", False)
+    assert scan.file_counts("".join(f"x := {k % 10}\n/* {k % 10}\n*/\n" for k in range(500)), pieces) == (500, 1000, 0)
+    assert len(calls) == 2
